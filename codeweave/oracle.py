@@ -1,2 +1,388 @@
-def oracle_sql():
-    return {}
+"""DuckDB oracle: the expected answers of every registered query, computed
+directly from ``customer``, ``orders``, ``lineitem`` (and ``nation``,
+``region``) with the rendering rules of ``sources.generated`` — no parsing.
+
+The shared prelude models the corpus as relations: eligible files, methods
+(constructor first), call sites per method in first-occurrence order with
+the dialect's call-name grammar, free functions, variables and imports.
+"""
+
+from __future__ import annotations
+
+PRELUDE = r"""
+WITH cu AS (
+  SELECT c_custkey AS c, c_nationkey AS n, 'repo_' || lower(c_mktsegment) AS repo,
+         CASE c_custkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'js' WHEN 2 THEN 'cpp'
+              ELSE 'dart' END AS lang
+  FROM customer),
+oc AS (
+  SELECT o_custkey, CAST(greatest(1, ceil(count(*) / 1000.0)) AS BIGINT) AS nf
+  FROM orders GROUP BY o_custkey),
+od AS (
+  SELECT o.o_orderkey AS o, o.o_custkey AS c, o.o_orderstatus AS st,
+         o.o_orderpriority AS pr, o.o_orderkey % oc.nf AS fpart
+  FROM orders o JOIN oc ON oc.o_custkey = o.o_custkey),
+fp AS (
+  SELECT DISTINCT c, fpart FROM od
+  UNION ALL
+  SELECT c_custkey, 0 FROM customer
+  WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)),
+allf AS (
+  SELECT cu.repo, cu.c, cu.n, cu.lang, fp.fpart,
+         'src/' || CASE WHEN cu.c % 23 = 7 THEN 'node_modules/' ELSE '' END
+           || 'nation_' || cu.n AS folder,
+         'cust_' || cu.c || CASE WHEN fp.fpart > 0 THEN '_' || fp.fpart ELSE '' END
+           || CASE WHEN cu.c % 50 = 9 THEN '.md' WHEN cu.lang = 'python' THEN '.py'
+                   WHEN cu.lang = 'js' THEN '.js' WHEN cu.lang = 'cpp' THEN '.cpp'
+                   ELSE '.dart' END AS name
+  FROM cu JOIN fp ON fp.c = cu.c),
+fl AS (
+  SELECT repo, folder || '/' || name AS path, folder, name, lang, c, n, fpart,
+         (lang = 'python' AND c % 40 = 16) AS broken
+  FROM allf WHERE c % 23 <> 7 AND c % 50 <> 9),
+ok AS (SELECT * FROM fl WHERE NOT broken),
+st AS (
+  SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, min(l_linenumber) AS ln
+  FROM lineitem GROUP BY 1, 2, 3),
+sn AS (
+  SELECT o, CAST(greatest(1, ceil(count(*) / 1000.0)) AS BIGINT) AS mp
+  FROM st GROUP BY o),
+stp AS (
+  SELECT st.o, st.p, st.s, st.ln, (st.p + st.s) % sn.mp AS mpart
+  FROM st JOIN sn ON sn.o = st.o),
+mth AS (
+  SELECT od.c, od.fpart, od.o, coalesce(x.mpart, 0) AS mpart, od.pr = '1-URGENT' AS urgent,
+         CASE od.st WHEN 'F' THEN 'get_' WHEN 'O' THEN 'obtener_' ELSE 'run_' END
+           || 'order_' || od.o
+           || CASE WHEN coalesce(x.mpart, 0) > 0 THEN '_' || x.mpart ELSE '' END AS mname
+  FROM od LEFT JOIN (SELECT DISTINCT o, mpart FROM stp) x ON x.o = od.o),
+meth AS (
+  SELECT ok.repo, ok.path, ok.lang, ok.c, ok.n, 'Cust' || ok.c AS class_name,
+         CAST(0 AS BIGINT) AS call_ord,
+         CASE ok.lang WHEN 'python' THEN '__init__' WHEN 'js' THEN 'constructor'
+              ELSE 'Cust' || ok.c END AS name,
+         CASE ok.lang WHEN 'python' THEN '__init__(x)' WHEN 'js' THEN 'constructor(x)'
+              ELSE 'Cust' || ok.c || '(int x)' END AS signature,
+         false AS is_async, CAST(NULL AS BIGINT) AS o, CAST(NULL AS BIGINT) AS mpart
+  FROM ok
+  UNION ALL
+  SELECT ok.repo, ok.path, ok.lang, ok.c, ok.n, 'Cust' || ok.c,
+         row_number() OVER (PARTITION BY ok.repo, ok.path ORDER BY m.o, m.mpart),
+         m.mname,
+         CASE ok.lang
+           WHEN 'python' THEN CASE WHEN m.urgent THEN 'async ' ELSE '' END || m.mname || '(x)'
+           WHEN 'js' THEN m.mname || '(x)'
+           WHEN 'cpp' THEN 'int ' || m.mname || '(int x)'
+           ELSE CASE WHEN m.urgent THEN 'Future<int> ' ELSE 'int ' END || m.mname || '(int x)'
+         END,
+         m.urgent AND ok.lang <> 'cpp', m.o, m.mpart
+  FROM ok JOIN mth m ON m.c = ok.c AND m.fpart = ok.fpart),
+raw_mcalls AS (
+  SELECT me.repo, me.path, me.lang, me.class_name, me.name AS caller, me.name AS callee,
+         0 AS k, 0 AS ln, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS s
+  FROM meth me
+  WHERE me.lang IN ('cpp', 'dart') OR (me.lang = 'js' AND me.o IS NOT NULL)
+  UNION ALL
+  SELECT me.repo, me.path, me.lang, me.class_name, me.name,
+         CASE me.lang WHEN 'cpp' THEN 'supp_' || t.s || '::part_' || t.p
+                      WHEN 'dart' THEN 'part_' || t.p
+                      ELSE 'supp_' || t.s || '.part_' || t.p END,
+         1, t.ln, t.p, t.s
+  FROM meth me JOIN stp t ON t.o = me.o AND t.mpart = me.mpart),
+mcalls AS (
+  SELECT repo, path, lang, class_name, caller, 'method' AS kind, callee,
+         CAST(row_number() OVER (PARTITION BY repo, path, caller
+                                 ORDER BY k, ln, p, s) - 1 AS BIGINT) AS ord
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo, path, caller, callee
+                                     ORDER BY k, ln, p, s) AS r
+        FROM raw_mcalls) WHERE r = 1),
+fcalls AS (
+  SELECT repo, path, lang, CAST(NULL AS VARCHAR) AS class_name, 'crear_cust_' || c AS caller,
+         'function' AS kind,
+         CASE WHEN lang = 'python' THEN 'Cust' || c ELSE 'crear_cust_' || c END AS callee,
+         CAST(0 AS BIGINT) AS ord
+  FROM ok
+  UNION ALL
+  SELECT repo, path, lang, NULL, 'crear_cust_' || c, 'function',
+         CASE WHEN lang = 'python' THEN 'lib_' || n || '.make' ELSE 'Cust' || c END, 1
+  FROM ok
+  UNION ALL
+  SELECT repo, path, lang, NULL, 'crear_cust_' || c, 'function',
+         CASE lang WHEN 'js' THEN 'lib_' || n || '.make' WHEN 'cpp' THEN 'lib_' || n || '::make'
+                   ELSE 'make' END, 2
+  FROM ok WHERE lang <> 'python'),
+calls AS (SELECT * FROM mcalls UNION ALL SELECT * FROM fcalls),
+call_lists AS (
+  SELECT repo, path, kind, caller, string_agg(callee, '|' ORDER BY ord) AS calls
+  FROM calls GROUP BY 1, 2, 3, 4),
+fns AS (
+  SELECT ok.repo, ok.path, ok.lang, CAST(0 AS BIGINT) AS call_ord, 'crear_cust_' || ok.c AS name,
+         CASE ok.lang WHEN 'python' THEN 'crear_cust_' || ok.c || '(x)'
+                      WHEN 'js' THEN 'function crear_cust_' || ok.c || '(x)'
+                      WHEN 'cpp' THEN 'Cust' || ok.c || '* crear_cust_' || ok.c || '(int x)'
+                      ELSE 'Cust' || ok.c || ' crear_cust_' || ok.c || '(int x)' END AS signature,
+         false AS is_async, cl.calls
+  FROM ok JOIN call_lists cl ON cl.repo = ok.repo AND cl.path = ok.path
+    AND cl.kind = 'function' AND cl.caller = 'crear_cust_' || ok.c),
+vars AS (
+  SELECT repo, path, 'LIMIT' AS name,
+         CASE WHEN lang IN ('cpp', 'dart') THEN 'int' END AS type,
+         CAST(c AS VARCHAR) AS value, 'module' AS scope
+  FROM ok
+  UNION ALL
+  SELECT repo, path, 'NATION_' || c, '#define', CAST(n AS VARCHAR), 'module'
+  FROM ok WHERE lang = 'cpp'
+  UNION ALL
+  SELECT repo, path, 'Cust' || c || '.rate', CASE WHEN lang IN ('cpp', 'dart') THEN 'int' END,
+         CAST(n AS VARCHAR), 'class'
+  FROM ok),
+imps AS (
+  SELECT repo, path, CAST(0 AS BIGINT) AS ord,
+         CASE lang WHEN 'cpp' THEN 'lib_' || n || '.h' WHEN 'dart' THEN 'lib_' || n || '.dart'
+                   ELSE 'lib_' || n END AS module,
+         CASE WHEN lang IN ('js', 'dart') THEN 'helper' ELSE '' END AS names,
+         lang IN ('js', 'dart') AS is_from
+  FROM ok),
+cls AS (
+  SELECT ok.repo, ok.path, CAST(0 AS BIGINT) AS class_ord, 'Cust' || ok.c AS name,
+         CASE ok.lang WHEN 'python' THEN 'Cust' || ok.c || '(x)'
+                      WHEN 'cpp' THEN 'class Cust' || ok.c || ' : Base' || ok.n
+                      ELSE 'class Cust' || ok.c || ' extends Base' || ok.n END AS signature,
+         'Base' || ok.n AS bases,
+         CAST((SELECT count(*) FROM meth me WHERE me.repo = ok.repo AND me.path = ok.path)
+              AS BIGINT) AS n_methods,
+         CAST(1 AS BIGINT) AS n_attributes,
+         CAST(CASE WHEN ok.lang IN ('python', 'cpp') THEN 6 ELSE 5 END AS BIGINT) AS line
+  FROM ok),
+defs AS (
+  SELECT repo, path, 'class' AS type, name, signature, 'definition' AS category,
+         CAST(NULL AS VARCHAR) AS calls_to, name AS raw_name
+  FROM cls
+  UNION ALL
+  SELECT repo, path, 'method', class_name || '.' || name, signature, 'definition', NULL, name
+  FROM meth
+  UNION ALL
+  SELECT repo, path, 'function', name, signature, 'definition', NULL, name FROM fns),
+callables AS (
+  SELECT me.repo, me.path, 'method' AS kind, me.class_name || '.' || me.name AS ctx,
+         me.signature, me.name AS raw_name
+  FROM meth me
+  UNION ALL
+  SELECT repo, path, 'function', name, signature, name FROM fns)
+"""
+
+
+def _q(body: str) -> str:
+    return PRELUDE + body
+
+
+def _search_body(cond: str) -> str:
+    """cond: SQL predicate on a lower-cased name ``{x}``."""
+    d = cond.format(x="lower(raw_name)")
+    u = cond.format(x="lower(c.callee)")
+    return f"""
+SELECT repo, path, type, name, signature, category, calls_to FROM defs WHERE {d}
+UNION ALL
+SELECT k.repo, k.path, k.kind AS type, k.ctx AS name, k.signature, 'usage' AS category,
+       string_agg(c.callee, '|' ORDER BY c.ord) AS calls_to
+FROM callables k
+JOIN calls c ON c.repo = k.repo AND c.path = k.path AND c.kind = k.kind
+  AND c.caller = k.raw_name
+WHERE {u}
+GROUP BY k.repo, k.path, k.kind, k.ctx, k.signature
+"""
+
+
+def _search_sql(cond: str) -> str:
+    return _q(_search_body(cond))
+
+
+def _over_search(cond: str, select: str) -> str:
+    return PRELUDE + ", hits AS (" + _search_body(cond) + ") " + select
+
+
+SUBSTR = "contains({x}, 'order_1')"
+GLOB = "regexp_full_match({x}, '.*_order_1.')"
+
+
+def _symbols_sql(symbols: str) -> str:
+    return _q(f"""
+, syms AS ({symbols}),
+cand AS (
+  SELECT me.class_name || '.' || me.name AS symbol, me.repo, me.path,
+         coalesce(cl.calls, '') AS calls, me.call_ord
+  FROM meth me LEFT JOIN call_lists cl ON cl.repo = me.repo AND cl.path = me.path
+    AND cl.kind = 'method' AND cl.caller = me.name
+  UNION ALL
+  SELECT name, repo, path, coalesce(calls, ''), call_ord FROM fns)
+SELECT symbol, repo, path, calls FROM (
+  SELECT cand.*, row_number() OVER (PARTITION BY cand.symbol
+                                    ORDER BY cand.repo, cand.path, cand.call_ord) AS r
+  FROM cand JOIN syms ON syms.symbol = cand.symbol) WHERE r = 1
+""")
+
+
+ORDER_SYMBOLS = """
+  SELECT 'Cust' || o_custkey || '.' || CASE o_orderstatus WHEN 'F' THEN 'get_'
+         WHEN 'O' THEN 'obtener_' ELSE 'run_' END || 'order_' || o_orderkey AS symbol
+  FROM orders
+  UNION ALL
+  SELECT 'crear_cust_' || c_custkey FROM customer"""
+
+TOP_SYMBOL = """
+  SELECT 'Cust' || o_custkey || '.' || CASE o_orderstatus WHEN 'F' THEN 'get_'
+         WHEN 'O' THEN 'obtener_' ELSE 'run_' END || 'order_' || o_orderkey AS symbol
+  FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)"""
+
+NAMING = """
+, toks AS (
+  SELECT repo, path,
+         CASE WHEN starts_with(name, 'obtener_') OR starts_with(name, 'crear_') THEN 'es'
+              WHEN starts_with(name, 'get_') THEN 'en' END AS lang
+  FROM (SELECT repo, path, name FROM meth UNION ALL SELECT repo, path, name FROM fns)),
+per AS (
+  SELECT repo, path, CAST(count(*) FILTER (WHERE lang = 'es') AS BIGINT) AS es,
+         CAST(count(*) FILTER (WHERE lang = 'en') AS BIGINT) AS en
+  FROM toks WHERE lang IS NOT NULL GROUP BY repo, path)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["extension_language"] = _q("SELECT repo, path, lang FROM fl")
+    q["excluded_paths"] = _q("""
+SELECT repo, folder || '/' || name AS path,
+       CASE WHEN c % 50 = 9 THEN 'unsupported_extension' ELSE 'excluded_folder' END AS reason
+FROM allf WHERE c % 23 = 7 OR c % 50 = 9""")
+    q["error_files"] = _q("SELECT repo, path, 'SyntaxError' AS error_kind FROM fl WHERE broken")
+    for key, lang in (("py", "python"), ("js", "js"), ("cpp", "cpp"), ("dart", "dart")):
+        q[f"extract_{key}_calls"] = _q(f"""
+SELECT repo, path, class_name, caller, kind, ord, callee FROM calls WHERE lang = '{lang}'""")
+    q["files_by_folder"] = _q("SELECT repo, folder, path FROM fl")
+    q["folder_summary"] = _q("""
+SELECT repo, folder, CAST(count(*) AS BIGINT) AS n_files, min(path) AS first_path,
+       max(path) AS last_path
+FROM fl GROUP BY repo, folder""")
+    q["folder_rollup"] = _q("""
+SELECT repo, folder, CAST(count(*) AS BIGINT) AS n_files,
+       CAST(count(*) FILTER (WHERE lang <> 'cpp') AS BIGINT) AS n_active,
+       CAST(max(len(string_split(folder, '/'))) AS BIGINT) AS depth
+FROM (SELECT repo, lang, '.' AS folder FROM fl
+      UNION ALL SELECT repo, lang, 'src' FROM fl
+      UNION ALL SELECT repo, lang, folder FROM fl)
+GROUP BY repo, folder""")
+    q["folder_subtree"] = _q("""
+SELECT repo, folder, path FROM fl
+WHERE folder = 'src/nation_1' OR starts_with(folder, 'src/nation_1/')""")
+    q["visible_files"] = _q("""
+SELECT repo, path FROM fl
+WHERE folder NOT IN (SELECT 'src/nation_' || n_nationkey FROM nation
+                     JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AMERICA')""")
+    q["imports_by_file"] = _q("""
+SELECT fl.repo, fl.path, i.ord, i.module, i.names, i.is_from
+FROM fl LEFT JOIN imps i ON i.repo = fl.repo AND i.path = fl.path""")
+    q["import_labels"] = _q("""
+SELECT repo, path, ord,
+       CASE WHEN is_from THEN 'from ' || module || ' import ' || names
+            ELSE 'import ' || module END AS label
+FROM imps""")
+    q["classes_by_file"] = _q("""
+SELECT fl.repo, fl.path, k.class_ord, k.name, k.signature, k.bases, k.n_methods,
+       k.n_attributes, k.line
+FROM fl LEFT JOIN cls k ON k.repo = fl.repo AND k.path = fl.path""")
+    q["class_detail"] = _q("""
+, firsts AS (
+  SELECT * FROM (SELECT cls.*, row_number() OVER (PARTITION BY name ORDER BY repo, path) AS r
+                 FROM cls WHERE name IN (SELECT 'Cust' || c_custkey FROM customer))
+  WHERE r = 1)
+SELECT f.name AS class_name, f.repo, f.path, f.signature AS class_signature,
+       'method' AS member_kind, me.call_ord AS member_ord, me.name, me.signature,
+       coalesce(cl.calls, '') AS calls, CAST(NULL AS VARCHAR) AS type,
+       CAST(NULL AS VARCHAR) AS value
+FROM firsts f JOIN meth me ON me.repo = f.repo AND me.path = f.path
+LEFT JOIN call_lists cl ON cl.repo = me.repo AND cl.path = me.path AND cl.kind = 'method'
+  AND cl.caller = me.name
+UNION ALL
+SELECT f.name, f.repo, f.path, f.signature, 'attribute', CAST(0 AS BIGINT), 'rate', NULL, NULL,
+       v.type, v.value
+FROM firsts f JOIN vars v ON v.repo = f.repo AND v.path = f.path AND v.scope = 'class'""")
+    q["functions_by_file"] = _q("""
+SELECT fl.repo, fl.path, f.call_ord, f.name, f.signature, f.is_async, f.calls
+FROM fl LEFT JOIN fns f ON f.repo = fl.repo AND f.path = fl.path""")
+    q["variables_module"] = _q("SELECT * FROM vars WHERE scope = 'module'")
+    q["variables_class"] = _q("SELECT * FROM vars WHERE scope = 'class'")
+    q["variables_all"] = _q("SELECT * FROM vars")
+    q["calls_of_symbol"] = _symbols_sql(TOP_SYMBOL)
+    q["calls_of_symbols"] = _symbols_sql(ORDER_SYMBOLS)
+    usage = """
+SELECT repo, path, CASE WHEN kind = 'method' THEN class_name || '.' || caller
+                        ELSE caller END AS context, callee AS call
+FROM calls WHERE contains(lower(callee), 'part_1')"""
+    q["usages_of_name"] = _q(usage)
+    q["usages_by_file"] = _q(f"""
+SELECT repo, path, CAST(count(*) AS BIGINT) AS n_refs,
+       CAST(count(DISTINCT context) AS BIGINT) AS n_contexts,
+       CAST(count(DISTINCT call) AS BIGINT) AS n_calls
+FROM ({usage}) u GROUP BY repo, path""")
+    q["status_totals"] = _q("""
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM fl) AS total_files,
+       (SELECT CAST(count(*) AS BIGINT) FROM cls) AS total_classes,
+       (SELECT CAST(count(*) AS BIGINT) FROM meth) AS total_methods,
+       (SELECT CAST(count(*) AS BIGINT) FROM fns) AS total_functions,
+       (SELECT CAST(count(*) AS BIGINT) FROM vars WHERE scope = 'module') AS total_variables,
+       (SELECT CAST(count(*) AS BIGINT) FROM vars WHERE scope = 'class') AS total_attributes,
+       (SELECT CAST(count(*) AS BIGINT) FROM fl WHERE broken) AS error_files""")
+    q["symbols_per_file"] = _q("""
+SELECT fl.repo, fl.path,
+       CAST(CASE WHEN fl.broken THEN 0 ELSE 1 END AS BIGINT) AS n_classes,
+       CAST(CASE WHEN fl.broken THEN 0 ELSE 1 END AS BIGINT) AS n_functions,
+       CAST(coalesce(v.n, 0) AS BIGINT) AS n_variables,
+       CAST(CASE WHEN fl.broken THEN 0 ELSE 1 END AS BIGINT) AS n_imports,
+       CAST(CASE WHEN fl.broken THEN 0 ELSE 3 END + coalesce(v.n, 0) AS BIGINT) AS n_symbols
+FROM fl LEFT JOIN (SELECT repo, path, count(*) AS n FROM vars GROUP BY repo, path) v
+  ON v.repo = fl.repo AND v.path = fl.path""")
+    lib = """
+SELECT repo, path, 'import' AS type, CAST(NULL AS VARCHAR) AS symbol, module AS detail,
+       CAST(-1 AS BIGINT) AS co
+FROM imps WHERE contains(lower(module), 'lib_1')
+UNION ALL
+SELECT repo, path, 'call', CASE WHEN kind = 'method' THEN class_name || '.' || caller
+                                ELSE caller END,
+       string_agg(callee, '|' ORDER BY ord), 0
+FROM calls WHERE contains(lower(callee), 'lib_1')
+GROUP BY repo, path, kind, class_name, caller"""
+    q["library_usage"] = _q(f"SELECT repo, path, type, symbol, detail FROM ({lib}) x")
+    q["library_usage_by_file"] = _q("""
+, ih AS (SELECT repo, path, module FROM imps WHERE contains(lower(module), 'lib_1')),
+ch AS (SELECT repo, path, callee, ord FROM calls WHERE contains(lower(callee), 'lib_1')),
+cc AS (SELECT repo, path, CAST(count(*) AS BIGINT) AS n,
+              string_agg(callee, '|' ORDER BY ord) AS calls FROM ch GROUP BY repo, path)
+SELECT coalesce(ih.repo, cc.repo) AS repo, coalesce(ih.path, cc.path) AS path,
+       ih.module AS import_module, coalesce(cc.n, 0) AS n_calls,
+       coalesce(cc.calls, '') AS first_calls, CAST(0 AS BIGINT) AS more_calls
+FROM ih FULL OUTER JOIN cc ON cc.repo = ih.repo AND cc.path = ih.path""")
+    q["library_union_files"] = _q("""
+SELECT repo, path, folder FROM fl WHERE (repo, path) IN (
+  SELECT repo, path FROM imps
+  WHERE contains(lower(module), 'lib_2') OR contains(lower(module), 'lib_3')
+  UNION
+  SELECT repo, path FROM calls
+  WHERE contains(lower(callee), 'lib_2') OR contains(lower(callee), 'lib_3'))""")
+    q["search_substring"] = _search_sql(SUBSTR)
+    q["search_glob"] = _search_sql(GLOB)
+    q["search_category_counts"] = _over_search(
+        SUBSTR, "SELECT category, type, CAST(count(*) AS BIGINT) AS n FROM hits GROUP BY 1, 2")
+    q["suggestions"] = _over_search(
+        SUBSTR, "SELECT repo, path, type, name, category FROM hits WHERE type <> 'class' "
+                "ORDER BY repo, path, name, category LIMIT 15")
+    q["naming_language_totals"] = _q(NAMING + """
+SELECT CASE WHEN sum(es) + sum(en) = 0 THEN 'indeterminado'
+            WHEN sum(es) >= sum(en) THEN 'es' ELSE 'en' END AS dominant,
+       CAST(sum(es) AS BIGINT) AS count_es, CAST(sum(en) AS BIGINT) AS count_en,
+       CAST(count(*) FILTER (WHERE es > 0 AND en > 0) AS BIGINT) AS mixed_files
+FROM per""")
+    q["naming_language_mixed_files"] = _q(NAMING + """
+SELECT repo, path FROM per WHERE es > 0 AND en > 0""")
+    q["naming_language_by_file"] = _q(NAMING + """
+SELECT repo, path, es, en, es > 0 AND en > 0 AS mixed FROM per""")
+    return q
