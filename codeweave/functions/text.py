@@ -30,8 +30,15 @@ def split_lines(text: Column) -> Column:
         F.split(body, LINE_SEP, -1))
 
 
+# the same set as explicit characters, for btrim (much cheaper than a regex)
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{WS}+|{WS}+$", "")
+    """``str.strip()``."""
+    return F.btrim(s, F.lit(WS_CHARS))
 
 
 def count_char(s: Column, ch: str) -> Column:

@@ -6,9 +6,10 @@ The whole plan is Catalyst expressions, windows and one aggregation:
 2. **one exchange** on ``(repo, path)``, then ``posexplode`` the cleaned lines
    (explode keeps the partitioning, so nothing below shuffles again);
 3. windows per file ordered by line: the clamped brace depth before each
-   line (running sum minus the running minimum), and for every line the next
-   line where a module-level block (depth 0) or a class member (depth 1)
-   closes;
+   line (running sum minus the running minimum) and the last earlier line
+   that closed a module-level block (depth 0) or a class member (depth 1);
+   a line belongs to the block opened on line s iff no block closed in
+   between (running frames only — a forward frame would be quadratic);
 4. header lines (classes at depth 0, members at class depth 1, functions at
    depth 0) are recognised with the dialect's patterns; every line is
    assigned to the callable whose body contains it;
@@ -217,11 +218,12 @@ def line_table(files: DataFrame) -> DataFrame:
              .withColumn("s", py_strip(F.col("line")))
              .withColumn("o", count_char(F.col("line"), "{"))
              .withColumn("c", count_char(F.col("line"), "}"))
-             .withColumn("pf_line", F.when(F.col("d") == "js", _paren_free(F.col("line"))))
+             .withColumn("pf_line", F.when((F.col("d") == "js") & F.col("line").contains("(")
+                                           & has_b, _paren_free(F.col("line"))))
              .withColumn("bst", F.when(has_b, st))
              .withColumn("pmin", F.coalesce(F.col("bst.mn"), F.lit(0)))
              .withColumn("selfclose", F.coalesce(F.col("bst.cl"), F.lit(False)))
-             .withColumn("selfclose_p", F.when(F.col("d") == "js", F.coalesce(
+             .withColumn("selfclose_p", F.when(F.col("pf_line").isNotNull(), F.coalesce(
                  F.when(F.col("pf_line").rlike("[{}]"), pf)["cl"], F.lit(False)))
                  .otherwise(F.col("selfclose")))
              .drop("bst", "pf_line"))
@@ -236,15 +238,10 @@ def line_table(files: DataFrame) -> DataFrame:
              .withColumn("depth", F.col("s_before") - F.col("min_prev"))
              .drop("min_prev"))
     # a line closes a block opened at depth b when its lowest point reaches b
-    nxt = w.rowsBetween(1, Window.unboundedFollowing)
-    lines = (lines
-             .withColumn("next_end0", F.min(F.when(
-                 (F.col("depth") > 0) & (F.col("depth") + F.col("pmin") <= 0), F.col("ln"))).over(nxt))
-             .withColumn("next_end1", F.min(F.when(
-                 (F.col("depth") > 1) & (F.col("depth") + F.col("pmin") <= 1), F.col("ln"))).over(nxt))
-             .withColumn("last_ln", F.max("ln").over(w.rowsBetween(
-                 Window.currentRow, Window.unboundedFollowing))))
-    return lines
+    return (lines
+            .withColumn("end0", (F.col("depth") > 0) & (F.col("depth") + F.col("pmin") <= 0))
+            .withColumn("end1", (F.col("depth") > 1) & (F.col("depth") + F.col("pmin") <= 1))
+            .drop("pmin"))
 
 
 # ---------------------------------------------------------------------------
@@ -419,68 +416,15 @@ def _calls_of(body: Column, d: Column) -> Column:
 # ---------------------------------------------------------------------------
 # the plan
 # ---------------------------------------------------------------------------
-def extract_all(files: DataFrame) -> list[dict[str, DataFrame]]:
-    """Eligible non-Python files → the flat tables (one dict)."""
+def extract_all(files: DataFrame, lines: DataFrame | None = None) -> list[dict[str, DataFrame]]:
+    """Eligible non-Python files → the flat tables (one dict).
+
+    ``lines`` may pass a cached :func:`annotate` result so that the tables
+    derived from it share one evaluation of the windows.
+    """
     files = files.where(dialect_of(F.col("lang")).isNotNull())
     imports, c_defines = _raw_branch(files)
-    L = line_table(files)
-    w = Window.partitionBy(*KEY).orderBy("ln")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    for k, v in _class_header().items():
-        L = L.withColumn(k, v)
-    L = L.withColumn("is_class", F.coalesce(F.col("is_class"), F.lit(False)))
-    for k, v in _function_header().items():
-        L = L.withColumn(k, v)
-    L = L.withColumn("is_fn", F.coalesce(F.col("is_fn"), F.lit(False)))
-    # end of a module-level block: its own line if it closes there, else the
-    # next line that returns to depth 0 (JS functions ignore braces in parens)
-    blk_end = F.when(F.col("selfclose"), F.col("ln")).otherwise(
-        F.coalesce(F.col("next_end0"), F.col("last_ln")))
-    fn_end = (F.when(~F.col("fbody"), F.col("ln"))
-              .when(F.col("selfclose_p"), F.col("ln"))
-              .otherwise(F.coalesce(F.col("next_end0"), F.col("last_ln"))))
-    L = (L.withColumn("class_end", F.when(F.col("is_class"), blk_end))
-          .withColumn("fn_end", F.when(F.col("is_fn"), fn_end)))
-    cls_struct = F.when(F.col("is_class"), F.struct(
-        F.col("ln").alias("s"), F.col("class_end").alias("e"), F.col("cname").alias("name"),
-        F.col("ckind").alias("kind"), F.col("s_after").alias("sa"),
-        F.col("s_before").alias("sb")))
-    L = L.withColumn("k", F.last(cls_struct, ignorenulls=True).over(upto))
-    in_class = F.col("k").isNotNull() & (F.col("ln") > F.col("k.s")) & (F.col("ln") <= F.col("k.e"))
-    local = F.when(F.col("d") == "dart", F.col("s_before") - F.col("k.sb")).otherwise(
-        F.lit(1) + F.col("s_before") - F.col("k.sa"))
-    L = (L.withColumn("k_name", F.col("k.name")).withColumn("k_kind", F.col("k.kind"))
-          .withColumn("is_mline", in_class & (local == 1) & (F.col("s") != "")
-                      & (F.col("k.kind") != "enum")))
-    for k, v in _member().items():
-        L = L.withColumn(k, F.when(F.col("is_mline"), v))
-    is_callable_member = F.col("mkind").isin("ctor", "method")
-    mem_end = (F.when(~F.col("line").contains("{"), F.col("ln"))
-               .when(F.col("selfclose_p"), F.col("ln"))
-               .otherwise(F.least(F.coalesce(F.col("next_end1"), F.col("k.e")), F.col("k.e"))))
-    L = L.withColumn("mem_end", F.when(is_callable_member, mem_end))
-    mem_struct = F.when(is_callable_member, F.struct(
-        F.col("ln").alias("s"), F.col("mem_end").alias("e"), F.col("mkind").alias("kind"),
-        F.col("o").alias("o")))
-    fn_struct = F.when(F.col("is_fn"), F.struct(F.col("ln").alias("s"), F.col("fn_end").alias("e")))
-    L = (L.withColumn("mo", F.last(mem_struct, ignorenulls=True).over(upto))
-          .withColumn("fo", F.last(fn_struct, ignorenulls=True).over(upto)))
-    owner = (F.when(F.col("mo").isNotNull() & (F.col("ln") <= F.col("mo.e")) & in_class,
-                    F.col("mo.s"))
-             .when(F.col("fo").isNotNull() & (F.col("ln") <= F.col("fo.e")), F.col("fo.s")))
-    L = L.withColumn("owner", owner)
-
-    # class order per file, carried to members through the class header line
-    L = L.withColumn("class_ord", F.sum(F.col("is_class").cast("int")).over(upto) - 1)
-    # per-file name sets (class, function, #define names) for the exclusions
-    whole = Window.partitionBy(*KEY)
-    L = (L.withColumn("cnames", F.collect_set(F.when(F.col("is_class"), F.col("cname"))).over(whole))
-          .withColumn("fnames", F.collect_set(F.when(F.col("is_fn"), F.col("fname"))).over(whole))
-          .withColumn("dnames", F.collect_set(F.when(
-              (F.col("d") == "c") & F.col("s").rlike(C_DEFINE), _rx(F.col("s"), C_DEFINE, 1))).over(whole)))
-
-    # ---------------- classes ----------------
+    L = lines if lines is not None else annotate(files)
     classes = L.where("is_class").select(
         "repo", "path", "lang", "class_ord", F.col("cname").alias("name"),
         F.col("csig").alias("signature"), F.lit("").alias("docstring"),
@@ -492,7 +436,7 @@ def extract_all(files: DataFrame) -> list[dict[str, DataFrame]]:
         F.when(F.col("mkind").isNotNull(), F.lit("method")).otherwise(F.lit("function")).alias("kind"),
         F.col("mkind").alias("mkind"),
         F.when(F.col("mkind").isNotNull(), F.col("class_ord")).alias("class_ord"),
-        F.when(F.col("mkind").isNotNull(), F.col("k_name")).alias("class_name"),
+        F.when(F.col("mkind").isNotNull(), F.col("k.name")).alias("class_name"),
         F.coalesce(F.col("mname"), F.col("fname")).alias("name"),
         F.coalesce(F.col("msig"), F.col("fsig")).alias("signature"),
         F.coalesce(F.col("masync"), F.col("fasync")).alias("is_async"),
@@ -517,6 +461,83 @@ def extract_all(files: DataFrame) -> list[dict[str, DataFrame]]:
     return _finish(L, classes, cal, imports, c_defines)
 
 
+def annotate(files: DataFrame) -> DataFrame:
+    """The line table with every per-line decision of the extractors:
+    headers, class membership, member kinds and the owning callable.
+
+    Window passes over each file, all after the single exchange and all with
+    running (never forward-looking) frames, so each is linear in the file:
+    running brace sum; running minimum (clamped depth); enclosing class,
+    enclosing function and last closing lines (plus per-file name sets);
+    enclosing member.
+    """
+    files = files.where(dialect_of(F.col("lang")).isNotNull())
+    L = line_table(files)
+    w = Window.partitionBy(*KEY).orderBy("ln")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line, d = F.col("line"), F.col("d")
+
+    cls_pre = ((F.col("depth") == 0) & line.contains("{")
+               & (line.contains("class") | line.contains("struct") | line.contains("enum")
+                  | line.contains("mixin") | line.contains("extension")))
+    ch = _class_header()
+    L = L.withColumn("is_class", F.coalesce(cls_pre & ch.pop("is_class"), F.lit(False)))
+    L = L.select("*", *[F.when(F.col("is_class"), v).alias(k) for k, v in ch.items()])
+    fn_pre = (F.col("depth") == 0) & ~F.col("is_class") & (line.contains("(") | line.contains("=>"))
+    fh = _function_header()
+    L = L.withColumn("is_fn", F.coalesce(fn_pre & fh.pop("is_fn"), F.lit(False)))
+    L = L.select("*", *[F.when(F.col("is_fn"), v).alias(k) for k, v in fh.items()])
+    # Block membership without forward-looking frames: line j lies in the
+    # block opened on line s iff no closing line falls in (s, j) — i.e. the
+    # last closing line before j is at or before s.  A header that closes on
+    # its own line (or has no '{') owns that line only.
+    prev = w.rowsBetween(Window.unboundedPreceding, -1)
+    single_fn = ~F.col("fbody") | F.col("selfclose_p")
+    cls_struct = F.when(F.col("is_class"), F.struct(
+        F.col("ln").alias("s"), F.col("selfclose").alias("single"),
+        F.col("cname").alias("name"), F.col("ckind").alias("kind"),
+        F.col("s_after").alias("sa"), F.col("s_before").alias("sb")))
+    fn_struct = F.when(F.col("is_fn"), F.struct(F.col("ln").alias("s"), single_fn.alias("single")))
+    whole = Window.partitionBy(*KEY)
+    define = (d == "c") & F.col("s").startswith("#") & F.col("s").rlike(C_DEFINE)
+    L = L.select(
+        "*",
+        F.last(cls_struct, ignorenulls=True).over(upto).alias("k"),
+        F.last(fn_struct, ignorenulls=True).over(upto).alias("fo"),
+        (F.sum(F.col("is_class").cast("int")).over(upto) - 1).alias("class_ord"),
+        F.coalesce(F.max(F.when(F.col("end0"), F.col("ln"))).over(prev), F.lit(-1)).alias("last0"),
+        F.coalesce(F.max(F.when(F.col("end1"), F.col("ln"))).over(prev), F.lit(-1)).alias("last1"),
+        # per-file name sets (class, function, #define names) for the exclusions
+        F.collect_set(F.when(F.col("is_class"), F.col("cname"))).over(whole).alias("cnames"),
+        F.collect_set(F.when(F.col("is_fn"), F.col("fname"))).over(whole).alias("fnames"),
+        F.collect_set(F.when(define, _rx(F.col("s"), C_DEFINE, 1))).over(whole).alias("dnames"))
+    in_class = (F.col("k").isNotNull() & (F.col("ln") > F.col("k.s")) & ~F.col("k.single")
+                & (F.col("last0") <= F.col("k.s")))
+    local = F.when(d == "dart", F.col("s_before") - F.col("k.sb")).otherwise(
+        F.lit(1) + F.col("s_before") - F.col("k.sa"))
+    L = (L.withColumn("in_class", F.coalesce(in_class, F.lit(False)))
+          .withColumn("k_name", F.col("k.name"))
+          .withColumn("is_mline", F.col("in_class") & (local == 1) & (F.col("s") != "")
+                      & (F.col("k.kind") != "enum")))
+    L = L.select("*", *[F.when(F.col("is_mline"), v).alias(k) for k, v in _member().items()])
+    is_callable_member = F.col("mkind").isin("ctor", "method")
+    single_m = ~line.contains("{") | F.col("selfclose_p")
+    mem_struct = F.when(is_callable_member, F.struct(
+        F.col("ln").alias("s"), single_m.alias("single"), F.col("mkind").alias("kind"),
+        line.contains("{").alias("open")))
+    L = L.select("*", F.last(mem_struct, ignorenulls=True).over(upto).alias("mo"))
+
+    def owns(o: str, last: str) -> Column:
+        return F.col(o).isNotNull() & F.when(
+            F.col(f"{o}.single"), F.col("ln") == F.col(f"{o}.s")).otherwise(
+            F.col(last) <= F.col(f"{o}.s"))
+
+    owner = (F.when(F.col("in_class") & owns("mo", "last1") & (F.col("mo.s") > F.col("k.s")),
+                    F.col("mo.s"))
+             .when(owns("fo", "last0"), F.col("fo.s")))
+    return L.withColumn("owner", owner)
+
+
 def _finish(L, classes, cal, imports, c_defines):
     key_fn = Window.partitionBy("repo", "path", "kind", "class_ord", "name").orderBy("ln")
     # C: a free function named like a class of the file is not a function;
@@ -544,10 +565,9 @@ def _finish(L, classes, cal, imports, c_defines):
         F.col("ln").alias("pos"), F.col("mname").alias("name"), F.col("atype").alias("type"),
         F.col("aval").alias("value"), F.col("ln").alias("at"), F.col("k.s").alias("ks"))
     this_rows = L.where((F.col("d") == "js") & F.col("mo").isNotNull()
-                        & (F.col("mo.kind") == "ctor") & (F.col("ln") <= F.col("mo.e"))
-                        & (F.col("ln") > F.col("mo.s") - 1)
-                        & (F.col("mo.o") > 0) & F.col("line").rlike(JS_THIS_ATTR)
-                        & (F.col("owner") == F.col("mo.s"))).select(
+                        & (F.col("mo.kind") == "ctor") & F.col("mo.open")
+                        & (F.col("owner") == F.col("mo.s"))
+                        & F.col("line").rlike(JS_THIS_ATTR)).select(
         "repo", "path", "lang", "d", "class_ord", F.col("k_name").alias("class_name"),
         F.col("ln").alias("pos"), _rx(F.col("line"), JS_THIS_ATTR, 1).alias("name"),
         F.lit(None).cast("string").alias("type"),

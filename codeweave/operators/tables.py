@@ -128,7 +128,11 @@ def build_index(corpus: DataFrame, persist: bool = False) -> CodeIndex:
     files = eligible_files(corpus)
     py = _normalise_python(python_ast.extract_python(files.where(F.col("lang") == "python")))
     other = files.where(F.col("lang") != "python")
-    br = brace.extract_all(other)[0]
+    lines = brace.annotate(other)
+    if persist:
+        from pyspark import StorageLevel
+        lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
+    br = brace.extract_all(other, lines=lines)[0]
     br["files"] = other.select("repo", "path", "folder", "name", "lang",
                                F.lit(None).cast("string").alias("error"))
     parts = [py, br]
@@ -147,7 +151,14 @@ def build_index(corpus: DataFrame, persist: bool = False) -> CodeIndex:
         callables=union("callables", CALLABLE_COLS),
         variables=union("variables", VAR_COLS),
     )
-    return idx.persist() if persist else idx
+    if persist:
+        # materialise every table while the annotated lines are cached, then
+        # release them: the windows over the line table run once per build
+        idx.persist()
+        for df in idx.tables().values():
+            df.count()
+        lines.unpersist()
+    return idx
 
 
 def save_index(idx: CodeIndex, path: str) -> None:

@@ -10,6 +10,7 @@ DuckDB oracle (``codeweave.oracle``) hashes to the same values.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,8 @@ from .plans import report as X
 from .plans import scope as V
 from .plans import search as S
 from .plans import structure as Q
-from .sources.corpus import classify
+from .session import checkpoint_dir
+from .sources.corpus import classify, read_table
 from .sources.generated import generate_corpus
 
 # Parameters of the parameterised operators (the search terms themselves).
@@ -32,15 +34,28 @@ SEARCH_GLOB = "*_order_1?"
 SUBTREE = "src/nation_1"
 EXCLUDED_REGION = "AMERICA"
 
-_CACHE: dict[tuple[str, str], CodeIndex] = {}
+_CACHE: dict[tuple, object] = {}
+
+
+def corpus_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered corpus, written once as Parquet below the session's
+    checkpoint folder (cuts the rendering lineage; every extractor branch
+    then scans the table instead of re-rendering it)."""
+    key = ("corpus", spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _CACHE:
+        out = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+        generate_corpus(spark, sf_dir).write.parquet(out)
+        _CACHE[key] = read_table(spark, out)
+    return _CACHE[key]
 
 
 def index_for(spark: SparkSession, sf_dir: str) -> CodeIndex:
     """The index of the corpus rendered from ``sf_dir``, built once per
-    session and kept (memory and disk; lost blocks are recomputed)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    session and kept (memory and disk; lost blocks are recomputed from the
+    written corpus)."""
+    key = ("index", spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
-        _CACHE[key] = build_index(generate_corpus(spark, sf_dir), persist=True)
+        _CACHE[key] = build_index(corpus_for(spark, sf_dir), persist=True)
     return _CACHE[key]
 
 
@@ -58,7 +73,7 @@ def extension_language(spark, d):
 
 
 def excluded_paths(spark, d):
-    return (classify(generate_corpus(spark, d)).where(F.col("skip_reason").isNotNull())
+    return (classify(corpus_for(spark, d)).where(F.col("skip_reason").isNotNull())
             .select("repo", "path", F.col("skip_reason").alias("reason")))
 
 
