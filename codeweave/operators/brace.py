@@ -200,6 +200,21 @@ def _paren_free(line: Column) -> Column:
     return out
 
 
+def cpu_partitions(spark) -> int:
+    """Partition count for the CPU-bound line stage.
+
+    Per-line regexes and windows cost CPU, not bytes, so this exchange gets
+    an explicit count (which AQE does not coalesce into a handful of tasks):
+    the session's shuffle partitions — sized for the data on a cluster — but
+    at least two tasks per core.  ``codeweave.linePartitions`` overrides it.
+    """
+    forced = spark.conf.get("codeweave.linePartitions", "")
+    if forced:
+        return int(forced)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               2 * spark.sparkContext.defaultParallelism)
+
+
 def line_table(files: DataFrame) -> DataFrame:
     """Cleaned lines with brace depth, one exchange on (repo, path)."""
     cleaned = (files.select("repo", "path", "lang", dialect_of(F.col("lang")).alias("d"), "text")
@@ -207,7 +222,7 @@ def line_table(files: DataFrame) -> DataFrame:
                            .when(F.col("d") == "c", clean_code(F.col("text"), "c"))
                            .otherwise(clean_code(F.col("text"), "dart")))
                .drop("text")
-               .repartition(*KEY))
+               .repartition(cpu_partitions(files.sparkSession), *KEY))
     lines = cleaned.select("repo", "path", "lang", "d",
                            F.posexplode(split_lines(F.col("clean"))).alias("ln", "line"))
     has_b = F.col("line").rlike("[{}]")
@@ -424,7 +439,7 @@ def extract_all(files: DataFrame, lines: DataFrame | None = None) -> list[dict[s
     """
     files = files.where(dialect_of(F.col("lang")).isNotNull())
     imports, c_defines = _raw_branch(files)
-    L = lines if lines is not None else annotate(files)
+    L = lines if lines is not None else narrow(annotate(files))
     classes = L.where("is_class").select(
         "repo", "path", "lang", "class_ord", F.col("cname").alias("name"),
         F.col("csig").alias("signature"), F.lit("").alias("docstring"),
@@ -444,8 +459,7 @@ def extract_all(files: DataFrame, lines: DataFrame | None = None) -> list[dict[s
         F.when(F.col("mkind").isNotNull() & (F.col("d") == "dart"),
                F.col("ln") - F.col("k.s") + 1)
         .when(F.col("d") == "dart", F.col("ln") + 1).otherwise(F.col("ln")).alias("ref_line"),
-        F.col("line").contains("{").alias("has_brace"),
-        F.col("cnames").alias("cnames")))
+        F.col("line").contains("{").alias("has_brace")))
     bodies = (L.where(F.col("owner").isNotNull())
               .groupBy("repo", "path", "lang", "d", "owner")
               .agg(F.array_join(F.transform(
@@ -456,7 +470,7 @@ def extract_all(files: DataFrame, lines: DataFrame | None = None) -> list[dict[s
     no_calls = ((F.col("d") == "js") & ((F.col("h.mkind") == "ctor") | ~F.col("h.has_brace")))
     cal = bodies.where(F.col("h").isNotNull()).select(
         "repo", "path", "lang", "d", "h.kind", "h.mkind", "h.class_ord", "h.class_name",
-        "h.name", "h.signature", "h.is_async", "h.ln", "h.ref_line", "h.cnames",
+        "h.name", "h.signature", "h.is_async", "h.ln", "h.ref_line",
         F.when(no_calls, F.array().cast("array<string>")).otherwise(calls).alias("calls"))
     return _finish(L, classes, cal, imports, c_defines)
 
@@ -498,19 +512,15 @@ def annotate(files: DataFrame) -> DataFrame:
         F.col("cname").alias("name"), F.col("ckind").alias("kind"),
         F.col("s_after").alias("sa"), F.col("s_before").alias("sb")))
     fn_struct = F.when(F.col("is_fn"), F.struct(F.col("ln").alias("s"), single_fn.alias("single")))
-    whole = Window.partitionBy(*KEY)
     define = (d == "c") & F.col("s").startswith("#") & F.col("s").rlike(C_DEFINE)
+    L = L.withColumn("dname", F.when(define, _rx(F.col("s"), C_DEFINE, 1)))
     L = L.select(
         "*",
         F.last(cls_struct, ignorenulls=True).over(upto).alias("k"),
         F.last(fn_struct, ignorenulls=True).over(upto).alias("fo"),
         (F.sum(F.col("is_class").cast("int")).over(upto) - 1).alias("class_ord"),
         F.coalesce(F.max(F.when(F.col("end0"), F.col("ln"))).over(prev), F.lit(-1)).alias("last0"),
-        F.coalesce(F.max(F.when(F.col("end1"), F.col("ln"))).over(prev), F.lit(-1)).alias("last1"),
-        # per-file name sets (class, function, #define names) for the exclusions
-        F.collect_set(F.when(F.col("is_class"), F.col("cname"))).over(whole).alias("cnames"),
-        F.collect_set(F.when(F.col("is_fn"), F.col("fname"))).over(whole).alias("fnames"),
-        F.collect_set(F.when(define, _rx(F.col("s"), C_DEFINE, 1))).over(whole).alias("dnames"))
+        F.coalesce(F.max(F.when(F.col("end1"), F.col("ln"))).over(prev), F.lit(-1)).alias("last1"))
     in_class = (F.col("k").isNotNull() & (F.col("ln") > F.col("k.s")) & ~F.col("k.single")
                 & (F.col("last0") <= F.col("k.s")))
     local = F.when(d == "dart", F.col("s_before") - F.col("k.sb")).otherwise(
@@ -538,12 +548,36 @@ def annotate(files: DataFrame) -> DataFrame:
     return L.withColumn("owner", owner)
 
 
+NARROW = ["repo", "path", "lang", "d", "ln", "line", "s", "depth", "is_class", "cname", "csig",
+          "cbases", "class_ord", "is_fn", "fname", "fsig", "fasync", "dname", "k", "k_name",
+          "mkind", "mname", "msig", "masync", "atype", "aval", "mo", "owner"]
+
+
+def narrow(L: DataFrame) -> DataFrame:
+    """The rows and columns of :func:`annotate` that the tables read: body
+    lines, headers, members and module-level lines (what is worth caching)."""
+    keep = (F.col("owner").isNotNull() | F.col("is_class") | F.col("mkind").isNotNull()
+            | (F.col("depth") == 0))
+    return L.where(keep).select(*NARROW)
+
+
 def _finish(L, classes, cal, imports, c_defines):
+    # Per-file name sets (class, function and #define names) for the
+    # exclusions: a small aggregate over header lines only, joined to the
+    # few candidate rows (module variables, C free functions).
+    names = (L.where(F.col("is_class") | F.col("is_fn") | F.col("dname").isNotNull())
+             .groupBy("repo", "path")
+             .agg(F.collect_set(F.when(F.col("is_class"), F.col("cname"))).alias("cnames"),
+                  F.collect_set(F.when(F.col("is_fn"), F.col("fname"))).alias("fnames"),
+                  F.collect_set("dname").alias("dnames")))
     key_fn = Window.partitionBy("repo", "path", "kind", "class_ord", "name").orderBy("ln")
     # C: a free function named like a class of the file is not a function;
     # Dart: first function/method of a name wins (constructors always kept)
-    cal = cal.where(~((F.col("d") == "c") & (F.col("kind") == "function")
-                      & F.coalesce(F.array_contains("cnames", F.col("name")), F.lit(False))))
+    c_fn = (F.col("d") == "c") & (F.col("kind") == "function")
+    c_fns = (cal.where(c_fn).join(names.select("repo", "path", "cnames"), ["repo", "path"], "left")
+             .where(~F.coalesce(F.array_contains("cnames", F.col("name")), F.lit(False)))
+             .drop("cnames"))
+    cal = cal.where(~c_fn).unionByName(c_fns)
     rank = F.row_number().over(key_fn)
     cal = cal.withColumn("rk", rank).where(
         (F.col("d") != "dart") | (F.col("mkind") == "ctor") | (F.col("rk") == 1))
@@ -585,7 +619,7 @@ def _finish(L, classes, cal, imports, c_defines):
         .otherwise(F.col("at")).alias("ref_line"))
 
     # ---------------- module variables ----------------
-    mv = _module_variables(L)
+    mv = _module_variables(L).join(names, ["repo", "path"], "left")
     excl = (F.coalesce(F.array_contains("cnames", F.col("name")), F.lit(False))
             | F.coalesce(F.array_contains("fnames", F.col("name")), F.lit(False)))
     mv = mv.where(
@@ -629,7 +663,7 @@ def _module_variables(L: DataFrame) -> DataFrame:
     d_m = line.rlike(DART_VARIABLE) & ~_rx(line, DART_VARIABLE, 2).isin(*DART_KEYWORDS)
     ok = (F.col("depth") == 0) & F.when(d == "js", js_ok).when(d == "c", c_m).otherwise(d_m)
     return L.where(ok).select(
-        "repo", "path", "lang", "d", F.col("ln").alias("pos"), "cnames", "fnames", "dnames",
+        "repo", "path", "lang", "d", F.col("ln").alias("pos"),
         F.when(d == "js", _rx(s, JS_VARIABLE, 1)).when(d == "c", _rx(s, C_VARIABLE, 2))
         .otherwise(_rx(line, DART_VARIABLE, 2)).alias("name"),
         F.when(d == "js", _nz(py_strip(_rx(s, JS_VARIABLE, 2))))

@@ -66,6 +66,7 @@ class CodeIndex:
     def persist(self) -> "CodeIndex":
         from pyspark import StorageLevel
         for df in self.tables().values():
+            # NB: MEMORY_AND_DISK; lost blocks are recomputed from lineage
             df.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
@@ -125,13 +126,17 @@ def build_index(corpus: DataFrame, persist: bool = False) -> CodeIndex:
     dialect branch filters the eligible files on ``lang`` so Parquet scans
     are pruned per branch.
     """
+    from pyspark import StorageLevel
+
     files = eligible_files(corpus)
-    py = _normalise_python(python_ast.extract_python(files.where(F.col("lang") == "python")))
+    nested = python_ast.extract_python(files.where(F.col("lang") == "python"))
     other = files.where(F.col("lang") != "python")
-    lines = brace.annotate(other)
+    lines = brace.narrow(brace.annotate(other))
     if persist:
-        from pyspark import StorageLevel
+        # both intermediate results feed several tables: evaluate them once
+        nested = nested.persist(StorageLevel.MEMORY_AND_DISK)
         lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
+    py = _normalise_python(nested)
     br = brace.extract_all(other, lines=lines)[0]
     br["files"] = other.select("repo", "path", "folder", "name", "lang",
                                F.lit(None).cast("string").alias("error"))
@@ -158,6 +163,7 @@ def build_index(corpus: DataFrame, persist: bool = False) -> CodeIndex:
         for df in idx.tables().values():
             df.count()
         lines.unpersist()
+        nested.unpersist()
     return idx
 
 

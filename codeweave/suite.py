@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.brace import cpu_partitions
 from .operators.tables import CodeIndex, build_index
 from .plans import report as X
 from .plans import scope as V
@@ -44,7 +45,9 @@ def corpus_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ("corpus", spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
         out = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-        generate_corpus(spark, sf_dir).write.parquet(out)
+        (generate_corpus(spark, sf_dir)
+         .repartition(cpu_partitions(spark), "repo", "path")
+         .write.parquet(out))
         _CACHE[key] = read_table(spark, out)
     return _CACHE[key]
 
