@@ -85,9 +85,12 @@ def clean_code(text: Column, dialect: str) -> Column:
     toks = F.regexp_extract_all(text, F.lit(f"({_TOKENS[dialect]})"), 1)
 
     def one(t: Column) -> Column:
-        comment = (t.startswith("/*") | t.startswith("//")
-                   | t.startswith('"""') | t.startswith("'''"))
-        quoted = t.startswith('"') | t.startswith("'") | t.startswith("`")
+        comment = t.startswith("/*") | t.startswith("//")
+        if dialect == "dart":
+            comment = comment | t.startswith('"""') | t.startswith("'''")
+        quoted = t.startswith('"') | t.startswith("'")
+        if dialect == "js":
+            quoted = quoted | t.startswith("`")
         out = F.when(comment, F.regexp_replace(t, "[^\\n]", ""))
         if dialect == "c":
             out = out.when(t.startswith("'"), F.lit(""))
