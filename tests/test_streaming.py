@@ -1,0 +1,15 @@
+"""Incremental re-indexing with the file stream."""
+from codeweave.streaming.reindex import index_stream
+
+
+def test_new_files_are_indexed_once(spark, tmp_path):
+    src, out, ck = str(tmp_path / "src"), str(tmp_path / "idx"), str(tmp_path / "ck")
+    df1 = spark.createDataFrame([("r", "a.py", "def f():\n    g()\n")], "repo string, path string, content string")
+    df1.write.parquet(src + "/p1")
+    index_stream(spark, src + "/*", out, checkpoint=ck)
+    df2 = spark.createDataFrame([("r", "b.js", "function h() { k(); }\n")], "repo string, path string, content string")
+    df2.write.parquet(src + "/p2")
+    index_stream(spark, src + "/*", out, checkpoint=ck)
+    calls = {(r.name, tuple(r.calls)) for r in spark.read.parquet(out + "/callables").collect()}
+    assert calls == {("f", ("g",)), ("h", ("h", "k"))}
+    assert spark.read.parquet(out + "/files").count() == 2
