@@ -118,13 +118,19 @@ def _normalise_python(nested: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def build_index(corpus: DataFrame, persist: bool = False) -> CodeIndex:
+def build_index(corpus: DataFrame, persist: bool = False,
+                save_to: str | None = None) -> CodeIndex:
     """The corpus job: ``(repo, path, content)`` → :class:`CodeIndex`.
 
     Python files go through the Arrow extractor; JS/TS, C/C++ and Dart files
     through the native line-table plans of :mod:`operators.brace`.  Each
     dialect branch filters the eligible files on ``lang`` so Parquet scans
     are pruned per branch.
+
+    ``persist`` keeps the tables cached; ``save_to`` writes them as Parquet
+    (a snapshot in shared storage, e.g. below ``spark.checkpoint.dir``) and
+    returns the index read back from there — lineage cut, durable against
+    executor loss, and queries plan against a plain scan.
     """
     from pyspark import StorageLevel
 
@@ -132,7 +138,8 @@ def build_index(corpus: DataFrame, persist: bool = False) -> CodeIndex:
     nested = python_ast.extract_python(files.where(F.col("lang") == "python"))
     other = files.where(F.col("lang") != "python")
     lines = brace.narrow(brace.annotate(other))
-    if persist:
+    staged = persist or save_to is not None
+    if staged:
         # both intermediate results feed several tables: evaluate them once
         nested = nested.persist(StorageLevel.MEMORY_AND_DISK)
         lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
@@ -156,6 +163,12 @@ def build_index(corpus: DataFrame, persist: bool = False) -> CodeIndex:
         callables=union("callables", CALLABLE_COLS),
         variables=union("variables", VAR_COLS),
     )
+    if save_to is not None:
+        save_index(idx, save_to)
+        lines.unpersist()
+        nested.unpersist()
+        idx = load_index(corpus.sparkSession, save_to)
+        return idx.persist() if persist else idx
     if persist:
         # materialise every table while the annotated lines are cached, then
         # release them: the windows over the line table run once per build

@@ -54,11 +54,12 @@ def corpus_for(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_for(spark: SparkSession, sf_dir: str) -> CodeIndex:
     """The index of the corpus rendered from ``sf_dir``, built once per
-    session and kept (memory and disk; lost blocks are recomputed from the
-    written corpus)."""
+    session, written as a snapshot below ``spark.checkpoint.dir`` and cached
+    from there (lost blocks are re-read from the snapshot)."""
     key = ("index", spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
-        _CACHE[key] = build_index(corpus_for(spark, sf_dir), persist=True)
+        snap = f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        _CACHE[key] = build_index(corpus_for(spark, sf_dir), persist=True, save_to=snap)
     return _CACHE[key]
 
 
