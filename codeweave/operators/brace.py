@@ -225,7 +225,9 @@ def line_table(files: DataFrame) -> DataFrame:
                .repartition(cpu_partitions(files.sparkSession), *KEY))
     lines = cleaned.select("repo", "path", "lang", "d",
                            F.posexplode(split_lines(F.col("clean"))).alias("ln", "line"))
-    has_b = F.col("line").rlike("[{}]")
+    # only lines holding both '{' and '}' need the character-level scan; for
+    # the rest the lowest prefix is -closes and the line cannot close itself
+    has_b = (F.col("o") > 0) & (F.col("c") > 0)
     st = F.expr(_BRACE_STATE.format())
     pf = F.expr(_BRACE_STATE.format().replace("regexp_extract_all(line,",
                                               "regexp_extract_all(pf_line,"))
@@ -236,7 +238,7 @@ def line_table(files: DataFrame) -> DataFrame:
              .withColumn("pf_line", F.when((F.col("d") == "js") & F.col("line").contains("(")
                                            & has_b, _paren_free(F.col("line"))))
              .withColumn("bst", F.when(has_b, st))
-             .withColumn("pmin", F.coalesce(F.col("bst.mn"), F.lit(0)))
+             .withColumn("pmin", F.coalesce(F.col("bst.mn"), -F.col("c")))
              .withColumn("selfclose", F.coalesce(F.col("bst.cl"), F.lit(False)))
              .withColumn("selfclose_p", F.when(F.col("pf_line").isNotNull(), F.coalesce(
                  F.when(F.col("pf_line").rlike("[{}]"), pf)["cl"], F.lit(False)))
@@ -347,78 +349,112 @@ def _function_header() -> dict[str, Column]:
     return {"is_fn": is_fn, "fname": name, "fasync": is_async, "fsig": sig, "fbody": has_body}
 
 
+def _member_groups() -> dict[str, Column]:
+    """Stage 1 of member classification: every regex group a member line
+    needs, each evaluated once per line ('' = no match).  Only the line's own
+    dialect is evaluated."""
+    s, line, d = F.col("s"), F.col("line"), F.col("d")
+    plain_ok = (F.col("o") == 0) & (F.col("c") == 0) & s.endswith(";")
+    js, c, dart = d == "js", d == "c", d == "dart"
+    g = {
+        # JS
+        "j_ctor": F.when(js, s.rlike(JS_CTOR)),
+        "j_ts1": F.when(js, _rx(s, JS_ATTR_TS, 1)),
+        "j_ts2": F.when(js, _rx(s, JS_ATTR_TS, 2)),
+        "j_ts3": F.when(js, _rx(s, JS_ATTR_TS, 3)),
+        "j_pl1": F.when(js & plain_ok, _rx(s, JS_ATTR_PLAIN, 1)),
+        "j_pl2": F.when(js & plain_ok, _rx(s, JS_ATTR_PLAIN, 2)),
+        "j_m1": F.when(js, _rx(s, JS_METHOD, 1)),
+        "j_m2": F.when(js, _rx(s, JS_METHOD, 2)),
+        "j_async": F.when(js, s.rlike(JS_METHOD_ASYNC)),
+        "j_cp": F.when(js, _rx(s, r"\([^)]*\)", 0)),
+        # C / C++
+        "c_k1": F.when(c, _rx(s, C_CTOR, 1)),
+        "c_k2": F.when(c, _rx(s, C_CTOR, 2)),
+        "c_a1": F.when(c & plain_ok, _rx(s, C_ATTR, 1)),
+        "c_a2": F.when(c & plain_ok, _rx(s, C_ATTR, 2)),
+        "c_a3": F.when(c & plain_ok, _rx(s, C_ATTR, 3)),
+        "c_f1": F.when(c, _rx(s, C_FUNCTION, 1)),
+        "c_f2": F.when(c, _rx(s, C_FUNCTION, 2)),
+        "c_f3": F.when(c, _rx(s, C_FUNCTION, 3)),
+        # Dart
+        "d_k1": F.when(dart, _rx(line, DART_CTOR, 1)),
+        "d_k2": F.when(dart, _rx(line, DART_CTOR, 2)),
+        "d_k3": F.when(dart, _rx(line, DART_CTOR, 3)),
+        "d_a1": F.when(dart & ~s.endswith("{") & s.endswith(";"), _rx(line, DART_ATTR, 1)),
+        "d_a2": F.when(dart & ~s.endswith("{") & s.endswith(";"), _rx(line, DART_ATTR, 2)),
+        "d_a3": F.when(dart & ~s.endswith("{") & s.endswith(";"), _rx(line, DART_ATTR, 3)),
+        "d_m1": F.when(dart, _rx(line, DART_METHOD, 1)),
+        "d_m2": F.when(dart, _rx(line, DART_METHOD, 2)),
+        "d_m3": F.when(dart, _rx(line, DART_METHOD, 3)),
+        "d_m4": F.when(dart, _rx(line, DART_METHOD, 4)),
+        "d_mm": F.when(dart, line.rlike(DART_METHOD)),
+    }
+    return g
+
+
 def _member() -> dict[str, Column]:
-    """Classification of a line at class depth 1 (needs cname/ckind of the
-    enclosing class in columns ``k_name``, ``k_kind``)."""
-    s, line, d, cname = F.col("s"), F.col("line"), F.col("d"), F.col("k_name")
-    o, c = F.col("o"), F.col("c")
-    no_braces = (o == 0) & (c == 0)
+    """Stage 2: kind, name, signature, flags of a line at class depth 1, from
+    the stage-1 groups and the enclosing class name (``k_name``)."""
+    d, cname = F.col("d"), F.col("k_name")
+    s = F.col("s")
+    G = F.col
+    nz = lambda x: F.coalesce(G(x), F.lit("")) != ""
     # --- JS ---
-    js_ctor = s.rlike(JS_CTOR)
-    js_ts = s.rlike(JS_ATTR_TS)
-    js_plain = no_braces & s.endswith(";") & s.rlike(JS_ATTR_PLAIN) & \
-        ~_rx(s, JS_ATTR_PLAIN, 1).isin(*JS_KEYWORDS)
-    js_meth = s.rlike(JS_METHOD) & ~_rx(s, JS_METHOD, 1).isin(*JS_KEYWORDS)
+    js_ctor = F.coalesce(G("j_ctor"), F.lit(False))
+    js_ts = nz("j_ts1")
+    js_plain = nz("j_pl1") & ~G("j_pl1").isin(*JS_KEYWORDS)
+    js_meth = nz("j_m1") & ~G("j_m1").isin(*JS_KEYWORDS)
     js_kind = (F.when(js_ctor, F.lit("ctor")).when(js_ts, F.lit("attr_ts"))
                .when(js_plain, F.lit("attr_plain")).when(js_meth, F.lit("method")))
-    js_ctor_params = F.coalesce(_nz(_rx(s, r"\([^)]*\)", 0)), F.lit("()"))
     # --- C ---
-    c_ctor = s.rlike(C_CTOR) & (_rx(s, C_CTOR, 1) == cname)
-    c_attr = no_braces & s.endswith(";") & s.rlike(C_ATTR) & \
-        ~_rx(s, C_ATTR, 2).isin(*C_KEYWORDS) & ~_rx(s, C_ATTR, 1).isin(*C_KEYWORDS)
-    c_mname = _rx(s, C_FUNCTION, 2)
-    c_meth = s.rlike(C_FUNCTION) & ~c_mname.isin(*C_KEYWORDS) & ~c_mname.isin(*C_BASE_TYPES)
+    c_ctor = nz("c_k1") & (G("c_k1") == cname)
+    c_attr = nz("c_a2") & ~G("c_a2").isin(*C_KEYWORDS) & ~G("c_a1").isin(*C_KEYWORDS)
+    c_meth = nz("c_f2") & ~G("c_f2").isin(*C_KEYWORDS) & ~G("c_f2").isin(*C_BASE_TYPES)
     c_kind = (F.when(c_ctor, F.lit("ctor")).when(c_attr, F.lit("attr"))
               .when(c_meth, F.lit("method")))
     # --- Dart ---
     d_skip = (s == "") | (s == "{") | (s == "}")
-    d_ctor = line.rlike(DART_CTOR) & (_rx(line, DART_CTOR, 1) == cname)
-    d_attr_line = ~s.endswith("{") & s.endswith(";") & line.rlike(DART_ATTR)
-    d_attr_ok = ~_rx(line, DART_ATTR, 2).isin(*DART_KEYWORDS) & \
-        ~_rx(line, DART_ATTR, 1).isin(*DART_KEYWORDS)
-    d_mname = py_strip(_rx(line, DART_METHOD, 2))
-    d_meth = line.rlike(DART_METHOD) & ~d_mname.isin(*DART_KEYWORDS) & (d_mname != cname)
+    d_ctor = nz("d_k1") & (G("d_k1") == cname)
+    d_attr_line = nz("d_a2")
+    d_attr_ok = ~G("d_a2").isin(*DART_KEYWORDS) & ~G("d_a1").isin(*DART_KEYWORDS)
+    d_mname = py_strip(G("d_m2"))
+    d_meth = F.coalesce(G("d_mm"), F.lit(False)) & ~d_mname.isin(*DART_KEYWORDS) & (d_mname != cname)
     d_kind = (F.when(d_skip, F.lit(None)).when(d_ctor, F.lit("ctor"))
               .when(d_attr_line, F.when(d_attr_ok, F.lit("attr")))
               .when(d_meth, F.lit("method")))
     kind = F.when(d == "js", js_kind).when(d == "c", c_kind).otherwise(d_kind)
-
-    d_named = _rx(line, DART_CTOR, 2)
-    d_ret = py_strip(_rx(line, DART_METHOD, 1))
-    name = (F.when(d == "js", F.when(js_ctor, F.lit("constructor"))
-                   .when(js_ts, _rx(s, JS_ATTR_TS, 1))
-                   .when(js_plain, _rx(s, JS_ATTR_PLAIN, 1))
-                   .otherwise(_rx(s, JS_METHOD, 1)))
-            .when(d == "c", F.when(c_ctor, cname).when(c_attr, _rx(s, C_ATTR, 2))
-                  .otherwise(c_mname))
-            .otherwise(F.when(d_ctor, F.when(d_named != "", d_named).otherwise(cname))
-                       .when(d_attr_line, _rx(line, DART_ATTR, 2))
-                       .otherwise(d_mname)))
-    sig = (F.when(d == "js", F.when(js_ctor, F.concat(F.lit("constructor"), js_ctor_params))
-                  .otherwise(F.concat(_rx(s, JS_METHOD, 1), _rx(s, JS_METHOD, 2))))
-           .when(d == "c", F.when(c_ctor, F.concat(cname, F.lit("("), _rx(s, C_CTOR, 2), F.lit(")")))
-                 .otherwise(F.concat(py_strip(_rx(s, C_FUNCTION, 1)), F.lit(" "), c_mname,
-                                     F.lit("("), _rx(s, C_FUNCTION, 3), F.lit(")"))))
-           .otherwise(F.when(d_ctor, F.concat(cname, F.lit("("), py_strip(_rx(line, DART_CTOR, 3)),
-                                              F.lit(")")))
-                      .otherwise(F.concat(
-                          F.when((d_ret != "") & ~d_ret.isin(*DART_KEYWORDS),
-                                 F.concat(d_ret, F.lit(" "))).otherwise(F.lit("")),
-                          d_mname, F.lit("("), py_strip(_rx(line, DART_METHOD, 3)), F.lit(")")))))
-    is_async = (F.when(d == "js", js_meth & ~js_ctor & s.rlike(JS_METHOD_ASYNC))
+    d_ret = py_strip(G("d_m1"))
+    name = (F.when(d == "js", F.when(js_ctor, F.lit("constructor")).when(js_ts, G("j_ts1"))
+                   .when(js_plain, G("j_pl1")).otherwise(G("j_m1")))
+            .when(d == "c", F.when(c_ctor, cname).when(c_attr, G("c_a2")).otherwise(G("c_f2")))
+            .otherwise(F.when(d_ctor, F.when(G("d_k2") != "", G("d_k2")).otherwise(cname))
+                       .when(d_attr_line, G("d_a2")).otherwise(d_mname)))
+    sig = (F.when(d == "js", F.when(js_ctor, F.concat(F.lit("constructor"), F.coalesce(
+        _nz(G("j_cp")), F.lit("()")))).otherwise(F.concat(G("j_m1"), G("j_m2"))))
+        .when(d == "c", F.when(c_ctor, F.concat(cname, F.lit("("), G("c_k2"), F.lit(")")))
+              .otherwise(F.concat(py_strip(G("c_f1")), F.lit(" "), G("c_f2"), F.lit("("),
+                                  G("c_f3"), F.lit(")"))))
+        .otherwise(F.when(d_ctor, F.concat(cname, F.lit("("), py_strip(G("d_k3")), F.lit(")")))
+                   .otherwise(F.concat(
+                       F.when((d_ret != "") & ~d_ret.isin(*DART_KEYWORDS),
+                              F.concat(d_ret, F.lit(" "))).otherwise(F.lit("")),
+                       d_mname, F.lit("("), py_strip(G("d_m3")), F.lit(")")))))
+    is_async = (F.when(d == "js", js_meth & ~js_ctor & F.coalesce(G("j_async"), F.lit(False)))
                 .when(d == "c", F.lit(False))
-                .otherwise(F.when(d_ctor, F.lit(False)).otherwise(_rx(line, DART_METHOD, 4) != "")))
-    a_type = (F.when(d == "js", F.when(js_ts, _nz(py_strip(_rx(s, JS_ATTR_TS, 2)))))
-              .when(d == "c", _rx(s, C_ATTR, 1))
-              .otherwise(_rx(line, DART_ATTR, 1)))
-    a_val = (F.when(d == "js", F.when(js_ts, _nz(py_strip(_rx(s, JS_ATTR_TS, 3))))
-                    .otherwise(_nz(py_strip(_rx(s, JS_ATTR_PLAIN, 2)))))
-             .when(d == "c", _nz(py_strip(_rx(s, C_ATTR, 3))))
-             .otherwise(_nz(py_strip(_rx(line, DART_ATTR, 3)))))
+                .otherwise(F.when(d_ctor, F.lit(False)).otherwise(G("d_m4") != "")))
+    a_type = (F.when(d == "js", F.when(js_ts, _nz(py_strip(G("j_ts2")))))
+              .when(d == "c", G("c_a1"))
+              .otherwise(G("d_a1")))
+    a_val = (F.when(d == "js", F.when(js_ts, _nz(py_strip(G("j_ts3"))))
+                    .otherwise(_nz(py_strip(G("j_pl2")))))
+             .when(d == "c", _nz(py_strip(G("c_a3"))))
+             .otherwise(_nz(py_strip(G("d_a3")))))
     return {"mkind": kind, "mname": name, "msig": sig, "masync": is_async,
             "atype": a_type, "aval": a_val}
 
 
+
 def _calls_of(body: Column, d: Column) -> Column:
     found = (F.when(d == "js", F.regexp_extract_all(body, F.lit(JS_CALL), 1))
              .when(d == "c", F.regexp_extract_all(body, F.lit(C_CALL), 1))
@@ -529,7 +565,10 @@ def annotate(files: DataFrame) -> DataFrame:
           .withColumn("k_name", F.col("k.name"))
           .withColumn("is_mline", F.col("in_class") & (local == 1) & (F.col("s") != "")
                       & (F.col("k.kind") != "enum")))
+    groups = _member_groups()
+    L = L.select("*", *[F.when(F.col("is_mline"), v).alias(k) for k, v in groups.items()])
     L = L.select("*", *[F.when(F.col("is_mline"), v).alias(k) for k, v in _member().items()])
+    L = L.drop(*groups)
     is_callable_member = F.col("mkind").isin("ctor", "method")
     single_m = ~line.contains("{") | F.col("selfclose_p")
     mem_struct = F.when(is_callable_member, F.struct(
