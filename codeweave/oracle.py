@@ -247,6 +247,49 @@ per AS (
 """
 
 
+def _report_sql(level: str) -> str:
+    """Text-report file blocks (header + block lines) → md5 and line count."""
+    sig = level != "estructura"
+    calls = level == "completo"
+    parts = ["SELECT repo, path, -2 AS sec, 0 AS k1, 0 AS k2, '[' || path || ']' AS t FROM fl"]
+    if sig:
+        parts.append("SELECT repo, path, 0, 0, 0, '  imports: 1' FROM ok")
+        parts.append("SELECT v.repo, v.path, 1, CASE WHEN v.name = 'LIMIT' AND f.lang = 'cpp' THEN 1 "
+                     "ELSE 0 END, 0, '  var ' || v.name || coalesce(': ' || v.type, '') || "
+                     "' = ' || v.value FROM vars v JOIN ok f ON f.repo = v.repo AND f.path = v.path "
+                     "WHERE v.scope = 'module'")
+        parts.append("SELECT repo, path, 2, 0, 0, '  class Cust' || c || '(Base' || n || ')' FROM ok")
+        parts.append("SELECT repo, path, 2, 0, 1, '    \"Account of customer ' || c || '.\"' "
+                     "FROM ok WHERE lang = 'python'")
+        parts.append("SELECT repo, path, 2, 0, 2, '    .rate' || CASE WHEN lang IN ('cpp', 'dart') "
+                     "THEN ': int' ELSE '' END || ' = ' || n FROM ok")
+        parts.append("SELECT repo, path, 2, 0, 3 + 4 * call_ord, '    ' || signature FROM meth")
+        parts.append("SELECT repo, path, 3, 0, 0, '  fn ' || signature FROM fns")
+    else:
+        parts.append("SELECT v.repo, v.path, 1, CASE WHEN v.name = 'LIMIT' AND f.lang = 'cpp' THEN 1 "
+                     "ELSE 0 END, 0, '  var ' || v.name FROM vars v JOIN ok f ON f.repo = v.repo "
+                     "AND f.path = v.path WHERE v.scope = 'module'")
+        parts.append("SELECT repo, path, 2, 0, 0, '  class Cust' || c FROM ok")
+        parts.append("SELECT repo, path, 2, 0, 2, '    .rate' FROM ok")
+        parts.append("SELECT repo, path, 2, 0, 3 + 4 * call_ord, '    ' || CASE WHEN is_async "
+                     "THEN 'async ' ELSE '' END || name || '()' FROM meth")
+        parts.append("SELECT repo, path, 3, 0, 0, '  fn ' || name || '()' FROM fns")
+    if calls:
+        parts.append("SELECT me.repo, me.path, 2, 0, 5 + 4 * me.call_ord, '      -> llama: ' || "
+                     "cl.calls FROM meth me JOIN ccomma cl ON cl.repo = me.repo AND cl.path = me.path "
+                     "AND cl.kind = 'method' AND cl.caller = me.name")
+        parts.append("SELECT f.repo, f.path, 3, 0, 2, '     -> llama: ' || cl.calls FROM fns f "
+                     "JOIN ccomma cl ON cl.repo = f.repo AND cl.path = f.path "
+                     "AND cl.kind = 'function' AND cl.caller = f.name")
+    return _q(f"""
+, ccomma AS (SELECT repo, path, kind, caller, string_agg(callee, ', ' ORDER BY ord) AS calls
+             FROM calls GROUP BY 1, 2, 3, 4),
+lines AS ({' UNION ALL '.join(parts)})
+SELECT repo, path, md5(string_agg(t, chr(10) ORDER BY sec, k1, k2)) AS block_md5,
+       CAST(count(*) AS BIGINT) AS n_lines
+FROM lines GROUP BY repo, path""")
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["extension_language"] = _q("SELECT repo, path, lang FROM fl")
@@ -385,4 +428,6 @@ FROM per""")
 SELECT repo, path FROM per WHERE es > 0 AND en > 0""")
     q["naming_language_by_file"] = _q(NAMING + """
 SELECT repo, path, es, en, es > 0 AND en > 0 AS mixed FROM per""")
+    for level in ("estructura", "firmas", "completo"):
+        q[f"report_text_{level}"] = _report_sql(level)
     return q
