@@ -163,13 +163,21 @@ def calls_of(idx: CodeIndex, symbols: str | DataFrame) -> DataFrame:
     cls, member = split_symbol(F.col("symbol"))
     s = symbols.select("symbol").distinct().select("symbol", cls.alias("cls"),
                                                    member.alias("member"))
+    # key: (class, member) for methods, (NULL, name) for functions; a dotted
+    # symbol therefore never matches a function (Q7).  Keep the callables of
+    # wanted keys, reduce each key to its first definition in walk order
+    # (map-side combined, so a name defined in millions of files is one
+    # partial row per task), then join one row per key back to the symbols.
     c = idx.callables.select(
-        F.when(F.col("kind") == "method", F.col("class_name")).alias("cls"),
-        F.col("name").alias("member"), "repo", "path", "class_ord", "call_ord", "calls")
-    hits = s.join(c, s.member.eqNullSafe(c.member) & s.cls.eqNullSafe(c.cls)).select(
-        "symbol", F.struct("repo", "path", F.coalesce("class_ord", F.lit(-1)).alias("co"),
-                           "call_ord", "calls").alias("h"))
-    return (hits.groupBy("symbol").agg(F.min("h").alias("h"))
+        F.coalesce(F.when(F.col("kind") == "method", F.col("class_name")), F.lit("")).alias("cls"),
+        F.col("name").alias("member"),
+        F.struct("repo", "path", F.coalesce("class_ord", F.lit(-1)).alias("co"),
+                 "call_ord", "calls").alias("h"))
+    keys = s.select(F.coalesce("cls", F.lit("")).alias("cls"), "member").distinct()
+    first = (c.join(keys, ["cls", "member"], "left_semi")
+             .groupBy("cls", "member").agg(F.min("h").alias("h")))
+    return (s.withColumn("cls", F.coalesce("cls", F.lit("")))
+            .join(first, ["cls", "member"])
             .select("symbol", "h.repo", "h.path", "h.calls"))
 
 
