@@ -21,14 +21,17 @@ CORPUS_COLUMNS = ["repo", "path", "content"]
 def read_folder(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
     """S1 for a folder tree: ``binaryFile`` with recursive lookup.
 
-    Only the extensions that can be analysed are listed (``pathGlobFilter``
-    cannot express the set, so the path filter below prunes before content
-    is decoded).  ``repo`` defaults to the folder name.
+    Only files with a supported extension are listed and read: a
+    case-insensitive ``pathGlobFilter`` (hidden files are skipped by Spark's
+    listing anyway).  Excluded folders are filtered on the path afterwards.
+    ``repo`` defaults to the folder name.
     """
     root = root.rstrip("/")
     repo = repo or root.rsplit("/", 1)[-1]
     raw = (spark.read.format("binaryFile")
            .option("recursiveFileLookup", "true")
+           # only files with a supported extension are listed (and read)
+           .option("pathGlobFilter", extension_glob())
            .load(root))
     rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + _quote(root.lstrip("/")) + "/", "")
     return raw.select(
@@ -40,8 +43,29 @@ def read_folder(spark: SparkSession, root: str, repo: str | None = None) -> Data
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """S1 for a stored corpus: Parquet ``(repo, path, content)``."""
-    return spark.read.parquet(path).select(*CORPUS_COLUMNS)
+    """S1 for a stored corpus: Parquet ``(repo, path, content)``, keeping the
+    ``lang`` partition column when the table was written by
+    :func:`write_corpus` (so language filters prune directories)."""
+    df = spark.read.parquet(path)
+    cols = CORPUS_COLUMNS + (["lang"] if "lang" in df.columns else [])
+    return df.select(*cols)
+
+
+def write_corpus(corpus: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Store a corpus partitioned by language (``lang=python/``, ``lang=js/``,
+    ...; unsupported files under the default partition).  Every extractor
+    branch then reads only its own language's files."""
+    df = corpus.select(*CORPUS_COLUMNS, language(F.col("path")).alias("lang"))
+    if partitions:
+        df = df.repartition(partitions, "repo", "path")
+    df.write.mode("overwrite").partitionBy("lang").parquet(path)
+
+
+def extension_glob() -> str:
+    """Case-insensitive glob of the supported extensions, e.g. ``*.{[pP][yY],...}``."""
+    def ci(ext: str) -> str:
+        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext[1:])
+    return "*.{" + ",".join(ci(e) for e in sorted(EXTENSIONS)) + "}"
 
 
 def _quote(s: str) -> str:
@@ -79,7 +103,7 @@ def name_of(path: Column) -> Column:
 
 def classify(corpus: DataFrame) -> DataFrame:
     """Every corpus row with its language and eligibility reason (no content)."""
-    lang = language(F.col("path"))
+    lang = F.col("lang") if "lang" in corpus.columns else language(F.col("path"))
     return corpus.select(
         "repo", "path",
         lang.alias("lang"),
@@ -95,7 +119,9 @@ def eligible_files(corpus: DataFrame) -> DataFrame:
     The path predicates come first so that Catalyst evaluates them before
     the (large) content column is materialised.
     """
-    lang = language(F.col("path"))
+    # a corpus written by write_corpus carries ``lang`` as a partition
+    # column: the language filter then prunes whole directories
+    lang = F.col("lang") if "lang" in corpus.columns else language(F.col("path"))
     return (
         corpus.where(lang.isNotNull() & ~excluded(F.col("path")))
         .select(

@@ -23,7 +23,7 @@ from .plans import scope as V
 from .plans import search as S
 from .plans import structure as Q
 from .session import checkpoint_dir
-from .sources.corpus import classify, read_table
+from .sources.corpus import classify, read_table, write_corpus
 from .sources.generated import generate_corpus
 
 # Parameters of the parameterised operators (the search terms themselves).
@@ -45,9 +45,7 @@ def corpus_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ("corpus", spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
         out = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-        (generate_corpus(spark, sf_dir)
-         .repartition(cpu_partitions(spark), "repo", "path")
-         .write.parquet(out))
+        write_corpus(generate_corpus(spark, sf_dir), out, partitions=cpu_partitions(spark))
         _CACHE[key] = read_table(spark, out)
     return _CACHE[key]
 

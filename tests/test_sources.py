@@ -21,7 +21,7 @@ def test_read_folder_and_eligibility(spark, tmp_path):
     reasons = {r.path: r.skip_reason for r in classify(corpus).collect()}
     assert reasons["a.py"] is None and reasons["src/b.JS"] is None
     assert reasons["build/c.py"] == "excluded_folder"
-    assert reasons["notes.txt"] == "unsupported_extension"
+    assert "notes.txt" not in reasons                         # never listed (glob filter)
     # a dot-file has no suffix (and Spark's file listing skips hidden files)
     assert reasons.get(".py", "unsupported_extension") == "unsupported_extension"
     assert reasons["x.egg-info/d.py"] is None                 # the glob entry never matches
