@@ -467,11 +467,14 @@ def _calls_of(body: Column, d: Column) -> Column:
 # ---------------------------------------------------------------------------
 # the plan
 # ---------------------------------------------------------------------------
-def extract_all(files: DataFrame, lines: DataFrame | None = None) -> list[dict[str, DataFrame]]:
+def extract_all(files: DataFrame, lines: DataFrame | None = None,
+                drop_self_call: bool = False) -> list[dict[str, DataFrame]]:
     """Eligible non-Python files → the flat tables (one dict).
 
     ``lines`` may pass a cached :func:`annotate` result so that the tables
-    derived from it share one evaluation of the windows.
+    derived from it share one evaluation of the windows.  A brace-language
+    body starts at its signature line, so every callable lists its own name
+    as first call (Q1); ``drop_self_call`` removes that entry.
     """
     files = files.where(dialect_of(F.col("lang")).isNotNull())
     imports, c_defines = _raw_branch(files)
@@ -503,6 +506,8 @@ def extract_all(files: DataFrame, lines: DataFrame | None = None) -> list[dict[s
                   "\n").alias("body"),
                   F.first(hdr, ignorenulls=True).alias("h")))
     calls = _calls_of(F.col("body"), F.col("d"))
+    if drop_self_call:
+        calls = F.array_remove(calls, F.col("h.name"))
     no_calls = ((F.col("d") == "js") & ((F.col("h.mkind") == "ctor") | ~F.col("h.has_brace")))
     cal = bodies.where(F.col("h").isNotNull()).select(
         "repo", "path", "lang", "d", "h.kind", "h.mkind", "h.class_ord", "h.class_name",

@@ -119,7 +119,7 @@ def _normalise_python(nested: DataFrame) -> dict[str, DataFrame]:
 
 
 def build_index(corpus: DataFrame, persist: bool = False,
-                save_to: str | None = None) -> CodeIndex:
+                save_to: str | None = None, drop_self_call: bool = False) -> CodeIndex:
     """The corpus job: ``(repo, path, content)`` → :class:`CodeIndex`.
 
     Python files go through the Arrow extractor; JS/TS, C/C++ and Dart files
@@ -127,7 +127,9 @@ def build_index(corpus: DataFrame, persist: bool = False,
     dialect branch filters the eligible files on ``lang`` so Parquet scans
     are pruned per branch.
 
-    ``persist`` keeps the tables cached; ``save_to`` writes them as Parquet
+    ``drop_self_call`` removes a brace-language callable's own name from its
+    calls (kept by default, as the original tool does).  ``persist`` keeps
+    the tables cached; ``save_to`` writes them as Parquet
     (a snapshot in shared storage, e.g. below ``spark.checkpoint.dir``) and
     returns the index read back from there — lineage cut, durable against
     executor loss, and queries plan against a plain scan.
@@ -144,7 +146,7 @@ def build_index(corpus: DataFrame, persist: bool = False,
         nested = nested.persist(StorageLevel.MEMORY_AND_DISK)
         lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
     py = _normalise_python(nested)
-    br = brace.extract_all(other, lines=lines)[0]
+    br = brace.extract_all(other, lines=lines, drop_self_call=drop_self_call)[0]
     br["files"] = other.select("repo", "path", "folder", "name", "lang",
                                F.lit(None).cast("string").alias("error"))
     parts = [py, br]

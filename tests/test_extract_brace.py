@@ -97,3 +97,11 @@ def test_every_symbol_has_a_file(sample_index):
     for t in (sample_index.classes, sample_index.callables, sample_index.variables,
               sample_index.imports):
         assert t.join(files, ["repo", "path"], "left_anti").count() == 0
+
+
+def test_drop_self_call_option(spark):
+    from codeweave.operators.tables import build_index
+    src = "function run(a) {\n  run(a - 1);\n  go();\n}\n"
+    c = spark.createDataFrame([("r", "a.js", src)], "repo string, path string, content string")
+    assert build_index(c).callables.first().calls == ["run", "go"]
+    assert build_index(c, drop_self_call=True).callables.first().calls == ["go"]
