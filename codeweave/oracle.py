@@ -9,6 +9,8 @@ the dialect's call-name grammar, free functions, variables and imports.
 
 from __future__ import annotations
 
+from .functions.config import WORDS_EN, WORDS_ES
+
 PRELUDE = r"""
 WITH cu AS (
   SELECT c_custkey AS c, c_nationkey AS n, 'repo_' || lower(c_mktsegment) AS repo,
@@ -428,6 +430,46 @@ FROM per""")
 SELECT repo, path FROM per WHERE es > 0 AND en > 0""")
     q["naming_language_by_file"] = _q(NAMING + """
 SELECT repo, path, es, en, es > 0 AND en > 0 AS mixed FROM per""")
+    q["url_folder_rollup"] = r"""
+WITH u AS (
+  SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)([^?#]*)', 1) AS repo,
+         regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)([^?#]*)', 2),
+                        '^/+|/+$', '', 'g') AS path,
+         starts_with(url, 'https:') AS https
+  FROM pages),
+f AS (
+  SELECT repo, path, bool_or(https) AS active, count(*) AS n FROM u WHERE path <> ''
+  GROUP BY repo, path),
+t AS (
+  SELECT repo, path, active, n, string_split(path, '/') AS parts FROM f),
+anc AS (
+  SELECT repo, path, active, n, '.' AS folder FROM t
+  UNION ALL
+  SELECT repo, path, active, n, array_to_string(parts[1:i], '/')
+  FROM t, range(1, len(parts)) r(i))
+SELECT repo, folder, CAST(sum(n) AS BIGINT) AS n_files,
+       CAST(sum(CASE WHEN active THEN n ELSE 0 END) AS BIGINT) AS n_active,
+       CAST(max(len(string_split(folder, '/'))) AS BIGINT) AS depth
+FROM anc GROUP BY repo, folder"""
+    q["naming_language_documents"] = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_split_to_array(text, '[ 	
+]+')) AS word FROM documents),
+t AS (
+  SELECT doc_id, unnest(string_split(lower(regexp_replace(word, '([A-Z])', '_', 'g')), '_')) AS tok
+  FROM w),
+v AS (
+  SELECT doc_id, CASE WHEN tok IN (""" + ", ".join(f"'{x}'" for x in WORDS_ES) + """) THEN 'es'
+                      WHEN tok IN (""" + ", ".join(f"'{x}'" for x in WORDS_EN) + """) THEN 'en' END AS lang
+  FROM t WHERE tok <> ''),
+per AS (
+  SELECT doc_id, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'en') AS en
+  FROM v WHERE lang IS NOT NULL GROUP BY doc_id)
+SELECT CASE WHEN coalesce(sum(es), 0) + coalesce(sum(en), 0) = 0 THEN 'indeterminado'
+            WHEN coalesce(sum(es), 0) >= coalesce(sum(en), 0) THEN 'es' ELSE 'en' END AS dominant,
+       CAST(coalesce(sum(es), 0) AS BIGINT) AS count_es, CAST(coalesce(sum(en), 0) AS BIGINT) AS count_en,
+       CAST(count(*) FILTER (WHERE es > 0 AND en > 0) AS BIGINT) AS mixed_files
+FROM per"""
     for level in ("estructura", "firmas", "completo"):
         q[f"report_text_{level}"] = _report_sql(level)
     return q

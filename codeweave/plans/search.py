@@ -79,8 +79,11 @@ def search(idx: CodeIndex, pattern: str) -> DataFrame:
 
 # --- R12 / A12 / K4 --------------------------------------------------------
 def _name_tokens(idx: CodeIndex) -> DataFrame:
-    names = (idx.classes.select("repo", "path", "name")
-             .unionByName(idx.callables.select("repo", "path", "name")))
+    return _tokens_of(idx.classes.select("repo", "path", "name")
+                      .unionByName(idx.callables.select("repo", "path", "name")))
+
+
+def _tokens_of(names: DataFrame) -> DataFrame:
     es, en = F.array(*map(F.lit, WORDS_ES)), F.array(*map(F.lit, WORDS_EN))
     return (names.select("repo", "path", F.explode(identifier_tokens(F.col("name"))).alias("t"))
             .select("repo", "path",
@@ -92,7 +95,11 @@ def _name_tokens(idx: CodeIndex) -> DataFrame:
 
 def naming_language_by_file(idx: CodeIndex) -> DataFrame:
     """Per file: Spanish and English token counts and whether it mixes."""
-    return (_name_tokens(idx).groupBy("repo", "path")
+    return _vote_per_file(_name_tokens(idx))
+
+
+def _vote_per_file(tokens: DataFrame) -> DataFrame:
+    return (tokens.groupBy("repo", "path")
             .agg(F.count(F.when(F.col("lang") == "es", 1)).alias("es"),
                  F.count(F.when(F.col("lang") == "en", 1)).alias("en"))
             .withColumn("mixed", (F.col("es") > 0) & (F.col("en") > 0)))
@@ -101,7 +108,15 @@ def naming_language_by_file(idx: CodeIndex) -> DataFrame:
 def naming_language(idx: CodeIndex) -> DataFrame:
     """One row: dominant language (ties → ``es``), both counts, number of
     mixed files."""
-    per = naming_language_by_file(idx)
+    return _vote_totals(naming_language_by_file(idx))
+
+
+def naming_language_of(names: DataFrame) -> DataFrame:
+    """The vote for any ``(repo, path, name)`` frame of identifiers."""
+    return _vote_totals(_vote_per_file(_tokens_of(names)))
+
+
+def _vote_totals(per: DataFrame) -> DataFrame:
     tot = per.agg(F.coalesce(F.sum("es"), F.lit(0)).cast("long").alias("count_es"),
                   F.coalesce(F.sum("en"), F.lit(0)).cast("long").alias("count_en"),
                   F.count(F.when(F.col("mixed"), 1)).alias("mixed_files"))

@@ -268,6 +268,35 @@ def naming_language_by_file(spark, d):
         "repo", "path", _big("es"), _big("en"), "mixed")
 
 
+# ------------------------------------------------------ real-data checks
+URL_PARTS = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)([^?#]*)"
+
+
+def url_folder_rollup(spark, d):
+    """V1/V2 on real paths: every page URL is a file ``host`` / ``path``."""
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    path = F.regexp_replace(F.regexp_extract("url", URL_PARTS, 2), r"^/+|/+$", "")
+    tree = pages.select(F.regexp_extract("url", URL_PARTS, 1).alias("repo"),
+                        path.alias("path")).where(F.col("path") != "")
+    tree = tree.select("repo", "path", F.coalesce(F.nullif(
+        F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lit("")), F.lit(".")).alias("folder"))
+    active = pages.where(F.col("url").startswith("https:")).select(
+        F.regexp_extract("url", URL_PARTS, 1).alias("repo"),
+        F.regexp_replace(F.regexp_extract("url", URL_PARTS, 2), r"^/+|/+$", "").alias("path"))
+    return V.folder_rollup_of(tree, active.distinct()).select(
+        "repo", "folder", _big("n_files"), _big("n_active"), _big("depth"))
+
+
+def naming_language_documents(spark, d):
+    """R12's tokenizer and vote on real text: each word of a document is a
+    name, each document a file."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    names = docs.select(F.lit("documents").alias("repo"), F.col("doc_id").cast("string").alias("path"),
+                        F.explode(F.split("text", "[ \t\n\r]+")).alias("name"))
+    return S.naming_language_of(names).select(
+        "dominant", _big("count_es"), _big("count_en"), _big("mixed_files"))
+
+
 # --------------------------------------------------------------- reports
 def _report(level):
     def q(spark, d):
@@ -323,6 +352,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "naming_language_totals": naming_language_totals,
     "naming_language_mixed_files": naming_language_mixed_files,
     "naming_language_by_file": naming_language_by_file,
+    "url_folder_rollup": url_folder_rollup,
+    "naming_language_documents": naming_language_documents,
     "report_text_estructura": _report("estructura"),
     "report_text_firmas": _report("firmas"),
     "report_text_completo": _report("completo"),
