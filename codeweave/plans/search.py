@@ -84,12 +84,13 @@ def _name_tokens(idx: CodeIndex) -> DataFrame:
 
 
 def _tokens_of(names: DataFrame) -> DataFrame:
-    es, en = F.array(*map(F.lit, WORDS_ES)), F.array(*map(F.lit, WORDS_EN))
+    # IN-lists of literals become hash-set lookups (InSet) in Catalyst
+    t = F.col("t")
     return (names.select("repo", "path", F.explode(identifier_tokens(F.col("name"))).alias("t"))
             .select("repo", "path",
                     # Spanish is tested first: a word in both lists counts as Spanish
-                    F.when(F.array_contains(es, F.col("t")), F.lit("es"))
-                    .when(F.array_contains(en, F.col("t")), F.lit("en")).alias("lang"))
+                    F.when(t.isin(*WORDS_ES), F.lit("es"))
+                    .when(t.isin(*WORDS_EN), F.lit("en")).alias("lang"))
             .where(F.col("lang").isNotNull()))
 
 

@@ -48,3 +48,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(conf)
     return conf
+
+
+def spread(df):
+    """Rebalance a CPU-bound input that arrives in too few partitions.
+
+    On a cluster, large tables come in thousands of splits and are returned
+    as is (no extra shuffle).  A small table stored as one file would
+    otherwise run its per-row work (regexes, explodes) in a single task, so
+    it is round-robin repartitioned to two tasks per core.
+    """
+    sc = df.sparkSession.sparkContext
+    want = 2 * sc.defaultParallelism
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(want)
+    return df

@@ -22,7 +22,7 @@ from .plans import report as X
 from .plans import scope as V
 from .plans import search as S
 from .plans import structure as Q
-from .session import checkpoint_dir
+from .session import checkpoint_dir, spread
 from .sources.corpus import classify, read_table, write_corpus
 from .sources.generated import generate_corpus
 
@@ -290,7 +290,7 @@ def url_folder_rollup(spark, d):
 def naming_language_documents(spark, d):
     """R12's tokenizer and vote on real text: each word of a document is a
     name, each document a file."""
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet"))
     names = docs.select(F.lit("documents").alias("repo"), F.col("doc_id").cast("string").alias("path"),
                         F.explode(F.split("text", "[ \t\n\r]+")).alias("name"))
     return S.naming_language_of(names).select(
