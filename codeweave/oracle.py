@@ -453,10 +453,9 @@ SELECT repo, folder, CAST(sum(n) AS BIGINT) AS n_files,
 FROM anc GROUP BY repo, folder"""
     q["naming_language_documents"] = r"""
 WITH w AS (
-  SELECT doc_id, unnest(regexp_split_to_array(text, '[ 	
-]+')) AS word FROM documents),
+  SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\r]+')) AS word FROM documents),
 t AS (
-  SELECT doc_id, unnest(string_split(lower(regexp_replace(word, '([A-Z])', '_', 'g')), '_')) AS tok
+  SELECT doc_id, unnest(string_split(lower(regexp_replace(word, '([A-Z])', '_\1', 'g')), '_')) AS tok
   FROM w),
 v AS (
   SELECT doc_id, CASE WHEN tok IN (""" + ", ".join(f"'{x}'" for x in WORDS_ES) + """) THEN 'es'
