@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 # Python's str.splitlines() separators (after universal-newline reading has
 # already turned \r\n and \r into \n).
 LINE_SEP = "[\\n\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
-# Python's str.strip() whitespace set.
-WS = ("[\\s\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
-      "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
 
 
 def universal_newlines(text: Column) -> Column:
@@ -30,7 +27,7 @@ def split_lines(text: Column) -> Column:
         F.split(body, LINE_SEP, -1))
 
 
-# the same set as explicit characters, for btrim (much cheaper than a regex)
+# Python's str.strip() whitespace set, as explicit characters for btrim
 WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
             + "".join(chr(c) for c in range(0x2000, 0x200B))
             + "\u2028\u2029\u202f\u205f\u3000")
