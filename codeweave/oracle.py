@@ -249,49 +249,103 @@ per AS (
 """
 
 
-def _report_sql(level: str) -> str:
-    """Text-report file blocks (header + block lines) → md5 and line count."""
+def _block_lines(level: str, p: str) -> list[str]:
+    """SELECTs of (repo, path, sec, k1, k2, t): the block lines of one level
+    with line prefix ``p`` ('  ' for text, '' for Markdown)."""
     sig = level != "estructura"
     calls = level == "completo"
-    parts = ["SELECT repo, path, -2 AS sec, 0 AS k1, 0 AS k2, '[' || path || ']' AS t FROM fl"]
+    parts = []
     if sig:
-        parts.append("SELECT repo, path, 0, 0, 0, '  imports: 1' FROM ok")
-        parts.append("SELECT v.repo, v.path, 1, CASE WHEN v.name = 'LIMIT' AND f.lang = 'cpp' THEN 1 "
-                     "ELSE 0 END, 0, '  var ' || v.name || coalesce(': ' || v.type, '') || "
+        parts.append(f"SELECT repo, path, 0, 0, 0, '{p}imports: 1' FROM ok")
+        parts.append(f"SELECT v.repo, v.path, 1, CASE WHEN v.name = 'LIMIT' AND f.lang = 'cpp' THEN 1 "
+                     f"ELSE 0 END, 0, '{p}var ' || v.name || coalesce(': ' || v.type, '') || "
                      "' = ' || v.value FROM vars v JOIN ok f ON f.repo = v.repo AND f.path = v.path "
                      "WHERE v.scope = 'module'")
-        parts.append("SELECT repo, path, 2, 0, 0, '  class Cust' || c || '(Base' || n || ')' FROM ok")
-        parts.append("SELECT repo, path, 2, 0, 1, '    \"Account of customer ' || c || '.\"' "
+        parts.append(f"SELECT repo, path, 2, 0, 0, '{p}class Cust' || c || '(Base' || n || ')' FROM ok")
+        parts.append(f"SELECT repo, path, 2, 0, 1, '{p}  \"Account of customer ' || c || '.\"' "
                      "FROM ok WHERE lang = 'python'")
-        parts.append("SELECT repo, path, 2, 0, 2, '    .rate' || CASE WHEN lang IN ('cpp', 'dart') "
+        parts.append(f"SELECT repo, path, 2, 0, 2, '{p}  .rate' || CASE WHEN lang IN ('cpp', 'dart') "
                      "THEN ': int' ELSE '' END || ' = ' || n FROM ok")
-        parts.append("SELECT repo, path, 2, 0, 3 + 4 * call_ord, '    ' || signature FROM meth")
-        parts.append("SELECT repo, path, 3, 0, 0, '  fn ' || signature FROM fns")
+        parts.append(f"SELECT repo, path, 2, 0, 3 + 4 * call_ord, '{p}  ' || signature FROM meth")
+        parts.append(f"SELECT repo, path, 3, 0, 0, '{p}fn ' || signature FROM fns")
     else:
-        parts.append("SELECT v.repo, v.path, 1, CASE WHEN v.name = 'LIMIT' AND f.lang = 'cpp' THEN 1 "
-                     "ELSE 0 END, 0, '  var ' || v.name FROM vars v JOIN ok f ON f.repo = v.repo "
+        parts.append(f"SELECT v.repo, v.path, 1, CASE WHEN v.name = 'LIMIT' AND f.lang = 'cpp' THEN 1 "
+                     f"ELSE 0 END, 0, '{p}var ' || v.name FROM vars v JOIN ok f ON f.repo = v.repo "
                      "AND f.path = v.path WHERE v.scope = 'module'")
-        parts.append("SELECT repo, path, 2, 0, 0, '  class Cust' || c FROM ok")
-        parts.append("SELECT repo, path, 2, 0, 2, '    .rate' FROM ok")
-        parts.append("SELECT repo, path, 2, 0, 3 + 4 * call_ord, '    ' || CASE WHEN is_async "
+        parts.append(f"SELECT repo, path, 2, 0, 0, '{p}class Cust' || c FROM ok")
+        parts.append(f"SELECT repo, path, 2, 0, 2, '{p}  .rate' FROM ok")
+        parts.append(f"SELECT repo, path, 2, 0, 3 + 4 * call_ord, '{p}  ' || CASE WHEN is_async "
                      "THEN 'async ' ELSE '' END || name || '()' FROM meth")
-        parts.append("SELECT repo, path, 3, 0, 0, '  fn ' || name || '()' FROM fns")
+        parts.append(f"SELECT repo, path, 3, 0, 0, '{p}fn ' || name || '()' FROM fns")
     if calls:
-        parts.append("SELECT me.repo, me.path, 2, 0, 5 + 4 * me.call_ord, '      -> llama: ' || "
+        parts.append(f"SELECT me.repo, me.path, 2, 0, 5 + 4 * me.call_ord, '{p}    -> llama: ' || "
                      "cl.calls FROM meth me JOIN ccomma cl ON cl.repo = me.repo AND cl.path = me.path "
                      "AND cl.kind = 'method' AND cl.caller = me.name")
-        parts.append("SELECT f.repo, f.path, 3, 0, 2, '     -> llama: ' || cl.calls FROM fns f "
+        parts.append(f"SELECT f.repo, f.path, 3, 0, 2, '{p}   -> llama: ' || cl.calls FROM fns f "
                      "JOIN ccomma cl ON cl.repo = f.repo AND cl.path = f.path "
                      "AND cl.kind = 'function' AND cl.caller = f.name")
-    return _q(f"""
+    return parts
+
+
+CCOMMA = """
 , ccomma AS (SELECT repo, path, kind, caller, string_agg(callee, ', ' ORDER BY ord) AS calls
-             FROM calls GROUP BY 1, 2, 3, 4),
+             FROM calls GROUP BY 1, 2, 3, 4)"""
+
+
+def _report_sql(level: str) -> str:
+    """Text-report file blocks (header + block lines) → md5 and line count."""
+    parts = ["SELECT repo, path, -2 AS sec, 0 AS k1, 0 AS k2, '[' || path || ']' AS t FROM fl"]
+    parts += _block_lines(level, "  ")
+    return _q(f"""{CCOMMA},
 lines AS ({' UNION ALL '.join(parts)})
 SELECT repo, path, md5(string_agg(t, chr(10) ORDER BY sec, k1, k2)) AS block_md5,
        CAST(count(*) AS BIGINT) AS n_lines
 FROM lines GROUP BY repo, path""")
 
 
+def _markdown_sql(level: str = "firmas") -> str:
+    """All Markdown report rows (repo, part, path, line_no, text).
+
+    A broken Python file ends in ``def broken(:`` on its last line: 11
+    header lines, then per method an empty line, the ``def`` line and its
+    body (one line per call, or ``pass``), then 7 closing lines; the parser
+    reports ``invalid syntax`` with the base name and that line number.
+    """
+    parts = ["SELECT repo, path, -2 AS sec, 0 AS k1, 0 AS k2, '## `' || path || '`' AS t FROM fl",
+             "SELECT e.repo, e.path, -1, 0, 0, '> ⚠ Error: SyntaxError: invalid syntax (' || e.name "
+             "|| ', line ' || e.last_line || ')' FROM err e",
+             "SELECT repo, path, 9, 0, 0, '' FROM fl"]
+    parts += _block_lines(level, "")
+    return _q(f"""{CCOMMA},
+err AS (
+  SELECT fl.repo, fl.path, fl.name,
+         11 + 7 + coalesce(sum(2 + greatest(1, coalesce(s.n, 0))), 0) AS last_line
+  FROM fl LEFT JOIN mth m ON m.c = fl.c AND m.fpart = fl.fpart
+  LEFT JOIN (SELECT o, mpart, count(*) AS n FROM stp GROUP BY o, mpart) s
+    ON s.o = m.o AND s.mpart = m.mpart
+  WHERE fl.broken GROUP BY fl.repo, fl.path, fl.name),
+lines AS ({' UNION ALL '.join(parts)}),
+body AS (
+  SELECT repo, CAST(1 AS BIGINT) AS part, path,
+         CAST(row_number() OVER (PARTITION BY repo, path ORDER BY sec, k1, k2) AS BIGINT) AS line_no,
+         t AS text
+  FROM lines),
+tot AS (
+  SELECT f.repo, count(*) AS nf, count(*) FILTER (WHERE NOT f.broken) AS nc,
+         coalesce(sum(mm.n), 0) AS nm, count(*) FILTER (WHERE NOT f.broken) AS nfn
+  FROM fl f LEFT JOIN (SELECT repo, path, count(*) AS n FROM meth GROUP BY 1, 2) mm
+    ON mm.repo = f.repo AND mm.path = f.path
+  GROUP BY f.repo),
+head AS (
+  SELECT repo, CAST(0 AS BIGINT) AS part, '' AS path, CAST(1 AS BIGINT) AS line_no,
+         '# codeweave — `' || repo || '`' AS text FROM tot
+  UNION ALL SELECT repo, 0, '', 2, '' FROM tot
+  UNION ALL SELECT repo, 0, '', 3, '**Nivel:** {level} | **Archivos:** ' || nf || ' | **Clases:** ' ||
+         nc || ' | **Metodos:** ' || nm || ' | **Funciones:** ' || nfn FROM tot
+  UNION ALL SELECT repo, 0, '', 4, '' FROM tot)
+SELECT * FROM head UNION ALL SELECT * FROM body""")
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["extension_language"] = _q("SELECT repo, path, lang FROM fl")
@@ -471,4 +525,5 @@ SELECT CASE WHEN coalesce(sum(es), 0) + coalesce(sum(en), 0) = 0 THEN 'indetermi
 FROM per"""
     for level in ("estructura", "firmas", "completo"):
         q[f"report_text_{level}"] = _report_sql(level)
+    q["report_markdown"] = _markdown_sql("firmas")
     return q
