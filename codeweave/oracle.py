@@ -346,6 +346,93 @@ head AS (
 SELECT * FROM head UNION ALL SELECT * FROM body""")
 
 
+def _json_sql() -> str:
+    """One JSON document per file, rebuilt as text (compact, field order of
+    the struct, NULL fields omitted), compared by md5.  Line numbers follow
+    the rendering layout: per dialect a fixed header, then each method takes
+    ``2 + max(1, sites)`` lines (Python) or ``3 + sites`` lines (braces)."""
+    return _q(r"""
+, sz AS (SELECT o, mpart, count(*) AS n FROM stp GROUP BY o, mpart),
+ml AS (
+  SELECT me.*, CASE WHEN me.lang = 'python' THEN 2 + greatest(1, coalesce(sz.n, 0))
+                    ELSE 3 + coalesce(sz.n, 0) END AS size
+  FROM meth me LEFT JOIN sz ON sz.o = me.o AND sz.mpart = me.mpart),
+mlc AS (
+  SELECT ml.*, coalesce(sum(CASE WHEN call_ord > 0 THEN size END) OVER (
+           PARTITION BY repo, path ORDER BY call_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(CASE WHEN call_ord > 0 THEN size ELSE 0 END) OVER (PARTITION BY repo, path) AS total
+  FROM ml),
+mj AS (
+  SELECT m.repo, m.path, m.call_ord,
+         '{"call_ord":' || m.call_ord || ',"name":"' || m.name || '","signature":"' || m.signature ||
+         '","docstring":"","decorators":[],"is_async":' || CAST(m.is_async AS VARCHAR) ||
+         ',"calls":[' || coalesce(cl.arr, '') || '],"line":' ||
+         CASE WHEN m.call_ord = 0 THEN CASE m.lang WHEN 'python' THEN 10 WHEN 'cpp' THEN 9 ELSE 7 END
+              ELSE CASE m.lang WHEN 'python' THEN 13 WHEN 'cpp' THEN 12 ELSE 10 END + m.before END
+         || '}' AS j,
+         m.total, m.lang
+  FROM mlc m LEFT JOIN (
+    SELECT repo, path, caller, string_agg('"' || callee || '"', ',' ORDER BY ord) AS arr
+    FROM calls WHERE kind = 'method' GROUP BY 1, 2, 3) cl
+    ON cl.repo = m.repo AND cl.path = m.path AND cl.caller = m.name),
+cj AS (
+  SELECT k.repo, k.path,
+         '[{"class_ord":0,"name":"' || k.name || '","signature":"' || k.signature ||
+         '","docstring":"' || CASE WHEN f.lang = 'python' THEN 'Account of customer ' || f.c || '.'
+                                   ELSE '' END ||
+         '","bases":["' || k.bases || '"],"line":' || k.line || ',"methods":[' ||
+         (SELECT string_agg(j, ',' ORDER BY call_ord) FROM mj WHERE mj.repo = k.repo AND mj.path = k.path) ||
+         '],"attributes":[{"ord":0,"name":"rate",' ||
+         CASE WHEN f.lang IN ('cpp', 'dart') THEN '"type":"int",' ELSE '' END ||
+         '"value":"' || f.n || '","line":' || CASE WHEN f.lang IN ('python', 'cpp') THEN 8 ELSE 6 END ||
+         '}]}]' AS classes,
+         (SELECT max(total) FROM mj WHERE mj.repo = k.repo AND mj.path = k.path) AS total
+  FROM cls k JOIN ok f ON f.repo = k.repo AND f.path = k.path),
+fj AS (
+  SELECT f.repo, f.path,
+         '[{"call_ord":0,"name":"' || f.name || '","signature":"' || f.signature ||
+         '","docstring":"","decorators":[],"is_async":false,"calls":[' ||
+         (SELECT string_agg('"' || callee || '"', ',' ORDER BY ord) FROM calls c
+          WHERE c.repo = f.repo AND c.path = f.path AND c.kind = 'function') ||
+         '],"line":' || (CASE f.lang WHEN 'python' THEN 14 WHEN 'cpp' THEN 14 ELSE 12 END
+                          + coalesce(cj.total, 0)) || '}]' AS functions
+  FROM fns f JOIN cj ON cj.repo = f.repo AND cj.path = f.path),
+vj AS (
+  SELECT repo, path,
+         '[' || CASE WHEN lang = 'cpp' THEN '{"ord":0,"name":"NATION_' || c ||
+                     '","type":"#define","value":"' || n || '","line":0},{"ord":1,"name":"LIMIT",' ||
+                     '"type":"int","value":"' || c || '","line":3}'
+                     ELSE '{"ord":0,"name":"LIMIT",' ||
+                          CASE WHEN lang = 'dart' THEN '"type":"int",' ELSE '' END ||
+                          '"value":"' || c || '","line":2}' END || ']' AS variables,
+         '[{"ord":0,"module":"' || CASE lang WHEN 'cpp' THEN 'lib_' || n || '.h'
+                                             WHEN 'dart' THEN 'lib_' || n || '.dart'
+                                             ELSE 'lib_' || n END ||
+         '","names":[' || CASE WHEN lang IN ('js', 'dart') THEN '"helper"' ELSE '' END ||
+         '],"is_from":' || CASE WHEN lang IN ('js', 'dart') THEN 'true' ELSE 'false' END ||
+         '}]' AS imports
+  FROM ok),
+err AS (
+  SELECT fl.repo, fl.path,
+         11 + 7 + coalesce(sum(2 + greatest(1, coalesce(s.n, 0))), 0) AS last_line
+  FROM fl LEFT JOIN mth m ON m.c = fl.c AND m.fpart = fl.fpart
+  LEFT JOIN sz s ON s.o = m.o AND s.mpart = m.mpart
+  WHERE fl.broken GROUP BY fl.repo, fl.path)
+SELECT fl.repo, fl.path, md5(
+  '{"path":"' || fl.path || '","folder":"' || fl.folder || '","name":"' || fl.name ||
+  '","lang":"' || fl.lang || '",' ||
+  CASE WHEN fl.broken THEN '"error":"SyntaxError: invalid syntax (' || fl.name || ', line ' ||
+       e.last_line || ')",' ELSE '' END ||
+  '"classes":' || coalesce(cj.classes, '[]') || ',"functions":' || coalesce(fj.functions, '[]') ||
+  ',"variables":' || coalesce(vj.variables, '[]') || ',"imports":' || coalesce(vj.imports, '[]') ||
+  '}') AS json_md5
+FROM fl
+LEFT JOIN cj ON cj.repo = fl.repo AND cj.path = fl.path
+LEFT JOIN fj ON fj.repo = fl.repo AND fj.path = fl.path
+LEFT JOIN vj ON vj.repo = fl.repo AND vj.path = fl.path
+LEFT JOIN err e ON e.repo = fl.repo AND e.path = fl.path""")
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["extension_language"] = _q("SELECT repo, path, lang FROM fl")
@@ -526,4 +613,5 @@ FROM per"""
     for level in ("estructura", "firmas", "completo"):
         q[f"report_text_{level}"] = _report_sql(level)
     q["report_markdown"] = _markdown_sql("firmas")
+    q["report_json"] = _json_sql()
     return q
