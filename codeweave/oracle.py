@@ -346,6 +346,49 @@ head AS (
 SELECT * FROM head UNION ALL SELECT * FROM body""")
 
 
+LINE_CTES = r"""
+, sz AS (SELECT o, mpart, count(*) AS n FROM stp GROUP BY o, mpart),
+ml AS (
+  SELECT me.*, CASE WHEN me.lang = 'python' THEN 2 + greatest(1, coalesce(sz.n, 0))
+                    ELSE 3 + coalesce(sz.n, 0) END AS size
+  FROM meth me LEFT JOIN sz ON sz.o = me.o AND sz.mpart = me.mpart),
+mlc AS (
+  SELECT ml.*, coalesce(sum(CASE WHEN call_ord > 0 THEN size END) OVER (
+           PARTITION BY repo, path ORDER BY call_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(CASE WHEN call_ord > 0 THEN size ELSE 0 END) OVER (PARTITION BY repo, path) AS total
+  FROM ml),
+clines AS (
+  SELECT repo, path, 'method' AS kind, name AS raw_name,
+         CASE WHEN call_ord = 0 THEN CASE lang WHEN 'python' THEN 10 WHEN 'cpp' THEN 9 ELSE 7 END
+              ELSE CASE lang WHEN 'python' THEN 13 WHEN 'cpp' THEN 12 ELSE 10 END + before END AS line
+  FROM mlc
+  UNION ALL
+  SELECT f.repo, f.path, 'function', f.name,
+         CASE f.lang WHEN 'python' THEN 14 WHEN 'cpp' THEN 14 ELSE 12 END
+         + coalesce((SELECT max(total) FROM mlc WHERE mlc.repo = f.repo AND mlc.path = f.path), 0)
+  FROM fns f)
+"""
+
+
+def _suggestions_sql(cond: str, n: int = 15) -> str:
+    d = cond.format(x="lower(k.raw_name)")
+    u = cond.format(x="lower(c.callee)")
+    return _q(LINE_CTES + f"""
+, hits AS (
+  SELECT k.repo, k.path, k.kind AS type, k.ctx AS name, 'definition' AS category, k.raw_name
+  FROM callables k WHERE {d}
+  UNION ALL
+  SELECT DISTINCT k.repo, k.path, k.kind, k.ctx, 'usage', k.raw_name
+  FROM callables k JOIN calls c ON c.repo = k.repo AND c.path = k.path AND c.kind = k.kind
+    AND c.caller = k.raw_name
+  WHERE {u})
+SELECT h.repo, h.path, h.type, h.name, h.category, CAST(l.line AS BIGINT) AS line
+FROM hits h JOIN clines l ON l.repo = h.repo AND l.path = h.path AND l.kind = h.type
+  AND l.raw_name = h.raw_name
+ORDER BY h.repo, h.path, h.category, l.line, h.name
+LIMIT {n}""")
+
+
 def _json_sql() -> str:
     """One JSON document per file, rebuilt as text (compact, field order of
     the struct, NULL fields omitted), compared by md5.  Line numbers follow
@@ -558,9 +601,7 @@ SELECT repo, path, folder FROM fl WHERE (repo, path) IN (
     q["search_glob"] = _search_sql(GLOB)
     q["search_category_counts"] = _over_search(
         SUBSTR, "SELECT category, type, CAST(count(*) AS BIGINT) AS n FROM hits GROUP BY 1, 2")
-    q["suggestions"] = _over_search(
-        SUBSTR, "SELECT repo, path, type, name, category FROM hits WHERE type <> 'class' "
-                "ORDER BY repo, path, name, category LIMIT 15")
+    q["suggestions"] = _suggestions_sql(SUBSTR)
     q["naming_language_totals"] = _q(NAMING + """
 SELECT CASE WHEN sum(es) + sum(en) = 0 THEN 'indeterminado'
             WHEN sum(es) >= sum(en) THEN 'es' ELSE 'en' END AS dominant,

@@ -249,9 +249,8 @@ def search_category_counts(spark, d):
 
 
 def suggestions(spark, d):
-    hits = S.search(index_for(spark, d), SEARCH_TERM).where(F.col("type") != "class")
-    return (hits.orderBy("repo", "path", "name", "category").limit(15)
-            .select("repo", "path", "type", "name", "category"))
+    return V.suggestions(index_for(spark, d), SEARCH_TERM).select(
+        "repo", "path", "type", "name", "category", _big("line"))
 
 
 def naming_language_totals(spark, d):
