@@ -178,29 +178,61 @@ def _q(body: str) -> str:
     return PRELUDE + body
 
 
+LINE_CTES = r"""
+, sz AS (SELECT o, mpart, count(*) AS n FROM stp GROUP BY o, mpart),
+ml AS (
+  SELECT me.*, CASE WHEN me.lang = 'python' THEN 2 + greatest(1, coalesce(sz.n, 0))
+                    ELSE 3 + coalesce(sz.n, 0) END AS size
+  FROM meth me LEFT JOIN sz ON sz.o = me.o AND sz.mpart = me.mpart),
+mlc AS (
+  SELECT ml.*, coalesce(sum(CASE WHEN call_ord > 0 THEN size END) OVER (
+           PARTITION BY repo, path ORDER BY call_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(CASE WHEN call_ord > 0 THEN size ELSE 0 END) OVER (PARTITION BY repo, path) AS total
+  FROM ml),
+clines AS (
+  SELECT repo, path, 'method' AS kind, name AS raw_name,
+         CASE WHEN call_ord = 0 THEN CASE lang WHEN 'python' THEN 10 WHEN 'cpp' THEN 9 ELSE 7 END
+              ELSE CASE lang WHEN 'python' THEN 13 WHEN 'cpp' THEN 12 ELSE 10 END + before END AS line
+  FROM mlc
+  UNION ALL
+  SELECT f.repo, f.path, 'function', f.name,
+         CASE f.lang WHEN 'python' THEN 14 WHEN 'cpp' THEN 14 ELSE 12 END
+         + coalesce((SELECT max(total) FROM mlc WHERE mlc.repo = f.repo AND mlc.path = f.path), 0)
+  FROM fns f)
+"""
+
+
 def _search_body(cond: str) -> str:
-    """cond: SQL predicate on a lower-cased name ``{x}``."""
-    d = cond.format(x="lower(raw_name)")
+    """cond: SQL predicate on a lower-cased name ``{x}``.  Needs LINE_CTES."""
+    d = cond.format(x="lower(d.raw_name)")
     u = cond.format(x="lower(c.callee)")
     return f"""
-SELECT repo, path, type, name, signature, category, calls_to FROM defs WHERE {d}
+SELECT d.repo, d.path, d.type, d.name, d.signature, d.category, d.calls_to,
+       CAST(coalesce(l.line, k.line) AS BIGINT) AS line
+FROM defs d
+LEFT JOIN clines l ON l.repo = d.repo AND l.path = d.path AND l.kind = d.type
+  AND l.raw_name = d.raw_name
+LEFT JOIN cls k ON d.type = 'class' AND k.repo = d.repo AND k.path = d.path
+WHERE {d}
 UNION ALL
 SELECT k.repo, k.path, k.kind AS type, k.ctx AS name, k.signature, 'usage' AS category,
-       string_agg(c.callee, '|' ORDER BY c.ord) AS calls_to
+       string_agg(c.callee, '|' ORDER BY c.ord) AS calls_to, CAST(min(l.line) AS BIGINT) AS line
 FROM callables k
 JOIN calls c ON c.repo = k.repo AND c.path = k.path AND c.kind = k.kind
   AND c.caller = k.raw_name
+JOIN clines l ON l.repo = k.repo AND l.path = k.path AND l.kind = k.kind AND l.raw_name = k.raw_name
 WHERE {u}
 GROUP BY k.repo, k.path, k.kind, k.ctx, k.signature
 """
 
 
 def _search_sql(cond: str) -> str:
-    return _q(_search_body(cond))
+    return _q(LINE_CTES + _search_body(cond).replace("SELECT d.repo", ", q AS (SELECT d.repo", 1)
+              + ") SELECT * FROM q")
 
 
 def _over_search(cond: str, select: str) -> str:
-    return PRELUDE + ", hits AS (" + _search_body(cond) + ") " + select
+    return PRELUDE + LINE_CTES + ", hits AS (" + _search_body(cond) + ") " + select
 
 
 SUBSTR = "contains({x}, 'order_1')"
@@ -346,28 +378,6 @@ head AS (
 SELECT * FROM head UNION ALL SELECT * FROM body""")
 
 
-LINE_CTES = r"""
-, sz AS (SELECT o, mpart, count(*) AS n FROM stp GROUP BY o, mpart),
-ml AS (
-  SELECT me.*, CASE WHEN me.lang = 'python' THEN 2 + greatest(1, coalesce(sz.n, 0))
-                    ELSE 3 + coalesce(sz.n, 0) END AS size
-  FROM meth me LEFT JOIN sz ON sz.o = me.o AND sz.mpart = me.mpart),
-mlc AS (
-  SELECT ml.*, coalesce(sum(CASE WHEN call_ord > 0 THEN size END) OVER (
-           PARTITION BY repo, path ORDER BY call_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-         sum(CASE WHEN call_ord > 0 THEN size ELSE 0 END) OVER (PARTITION BY repo, path) AS total
-  FROM ml),
-clines AS (
-  SELECT repo, path, 'method' AS kind, name AS raw_name,
-         CASE WHEN call_ord = 0 THEN CASE lang WHEN 'python' THEN 10 WHEN 'cpp' THEN 9 ELSE 7 END
-              ELSE CASE lang WHEN 'python' THEN 13 WHEN 'cpp' THEN 12 ELSE 10 END + before END AS line
-  FROM mlc
-  UNION ALL
-  SELECT f.repo, f.path, 'function', f.name,
-         CASE f.lang WHEN 'python' THEN 14 WHEN 'cpp' THEN 14 ELSE 12 END
-         + coalesce((SELECT max(total) FROM mlc WHERE mlc.repo = f.repo AND mlc.path = f.path), 0)
-  FROM fns f)
-"""
 
 
 def _suggestions_sql(cond: str, n: int = 15) -> str:

@@ -239,7 +239,7 @@ def _search(pattern):
     def q(spark, d):
         return S.search(index_for(spark, d), pattern).select(
             "repo", "path", "type", "name", "signature", "category",
-            _j("calls_to").alias("calls_to"))
+            _j("calls_to").alias("calls_to"), _big("line"))
     return q
 
 
