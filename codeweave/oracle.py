@@ -529,7 +529,7 @@ FROM imps""")
 SELECT fl.repo, fl.path, k.class_ord, k.name, k.signature, k.bases, k.n_methods,
        k.n_attributes, k.line
 FROM fl LEFT JOIN cls k ON k.repo = fl.repo AND k.path = fl.path""")
-    q["class_detail"] = _q("""
+    q["class_detail"] = _q(LINE_CTES + """
 , firsts AS (
   SELECT * FROM (SELECT cls.*, row_number() OVER (PARTITION BY name ORDER BY repo, path) AS r
                  FROM cls WHERE name IN (SELECT 'Cust' || c_custkey FROM customer))
@@ -537,17 +537,22 @@ FROM fl LEFT JOIN cls k ON k.repo = fl.repo AND k.path = fl.path""")
 SELECT f.name AS class_name, f.repo, f.path, f.signature AS class_signature,
        'method' AS member_kind, me.call_ord AS member_ord, me.name, me.signature,
        coalesce(cl.calls, '') AS calls, CAST(NULL AS VARCHAR) AS type,
-       CAST(NULL AS VARCHAR) AS value
+       CAST(NULL AS VARCHAR) AS value, CAST(l.line AS BIGINT) AS line
 FROM firsts f JOIN meth me ON me.repo = f.repo AND me.path = f.path
 LEFT JOIN call_lists cl ON cl.repo = me.repo AND cl.path = me.path AND cl.kind = 'method'
   AND cl.caller = me.name
+JOIN clines l ON l.repo = me.repo AND l.path = me.path AND l.kind = 'method' AND l.raw_name = me.name
 UNION ALL
 SELECT f.name, f.repo, f.path, f.signature, 'attribute', CAST(0 AS BIGINT), 'rate', NULL, NULL,
-       v.type, v.value
-FROM firsts f JOIN vars v ON v.repo = f.repo AND v.path = f.path AND v.scope = 'class'""")
-    q["functions_by_file"] = _q("""
-SELECT fl.repo, fl.path, f.call_ord, f.name, f.signature, f.is_async, f.calls
-FROM fl LEFT JOIN fns f ON f.repo = fl.repo AND f.path = fl.path""")
+       v.type, v.value, CAST(CASE WHEN o.lang IN ('python', 'cpp') THEN 8 ELSE 6 END AS BIGINT)
+FROM firsts f JOIN vars v ON v.repo = f.repo AND v.path = f.path AND v.scope = 'class'
+JOIN ok o ON o.repo = f.repo AND o.path = f.path""")
+    q["functions_by_file"] = _q(LINE_CTES + """
+SELECT fl.repo, fl.path, f.call_ord, f.name, f.signature, f.is_async, f.calls,
+       CAST(l.line AS BIGINT) AS line
+FROM fl LEFT JOIN fns f ON f.repo = fl.repo AND f.path = fl.path
+LEFT JOIN clines l ON l.repo = f.repo AND l.path = f.path AND l.kind = 'function'
+  AND l.raw_name = f.name""")
     q["variables_module"] = _q("SELECT * FROM vars WHERE scope = 'module'")
     q["variables_class"] = _q("SELECT * FROM vars WHERE scope = 'class'")
     q["variables_all"] = _q("SELECT * FROM vars")

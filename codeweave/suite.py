@@ -148,13 +148,13 @@ def class_detail(spark, d):
     out = Q.class_detail(index_for(spark, d), _class_names(spark, d))
     return out.select("class_name", "repo", "path", "class_signature", "member_kind",
                       _big("member_ord"), "name", "signature", _j("calls").alias("calls"),
-                      "type", "value")
+                      "type", "value", _big("line"))
 
 
 def functions_by_file(spark, d):
     return Q.functions_by_file(index_for(spark, d)).select(
         "repo", "path", _big("call_ord"), "name", "signature", "is_async",
-        _j("calls").alias("calls"))
+        _j("calls").alias("calls"), _big("line"))
 
 
 def _vars(scope):
