@@ -42,3 +42,7 @@ def test_query_matches_oracle(spark, con, name):
 def test_every_query_has_a_result_schema(spark):
     for name, fn in queries().items():
         assert fn(spark, SF).columns, name
+
+
+def test_every_query_has_an_oracle():
+    assert set(queries()) == set(oracle_sql())
