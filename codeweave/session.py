@@ -31,22 +31,26 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is read as is.  Only
-    when it is unset (local tests) a fresh scratch folder is created and
-    registered, so checkpoints never land in a machine-local folder on a
-    cluster that configured one.
+    On a cluster this setting must name storage that the driver and every
+    executor share; it is read as is and a missing value is an error.  Only a
+    local master without the setting (tests) gets a scratch folder of its own.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not conf:
-        conf = tempfile.mkdtemp(prefix="codeweave-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        conf = _LOCAL_DIRS.setdefault(sc.applicationId, "")
+        if not conf:
+            conf = _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="codeweave-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(conf)
     return conf
 
 
