@@ -11,7 +11,7 @@ SAMPLES = os.path.join(ROOT, "tests", "samples")
 @pytest.fixture(scope="session")
 def spark():
     from codeweave.session import get_spark
-    s = get_spark(cpus="*", shuffle_partitions=8, app="codeweave-tests")
+    s = get_spark(cpus=os.environ.get("TEST_CPUS", "*"), shuffle_partitions=8, app="codeweave-tests")
     yield s
 
 
