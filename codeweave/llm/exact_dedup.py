@@ -1,10 +1,17 @@
 """Exact deduplication as a stateful stream (DataFrame and SQL functions only).
 
 Every row's digest, identifier and locator go through a Structured Streaming
-aggregation whose state lives in RocksDB on disk, keyed by digest, without a
-watermark: nothing expires, and a later run with the same state folder goes on
-where the last one stopped.  A digest that was hit more than once is not
-believed: the full normalised texts behind it are compared.
+query.  Its keyed state is a table on disk, below the state folder: each
+micro-batch adds one row for each digest it met (digest, stable identifier and
+locator of the row that stays, number of rows), written under the batch's
+number, so a repeated batch replaces itself.  Nothing expires, and a later run
+with the same folder goes on where the last one stopped.  A digest that was hit
+more than once is not believed: the full normalised texts behind it are
+compared.
+
+Spark's own RocksDB state store was measured first: each of its partitions
+reserves 4 MiB of disk before it holds a row, more than the data of a small
+table over many partitions.
 
 Defined cases: null text counts as empty; texts are equal when identical after
 each run of ASCII white space became one space; the smallest id stays, null
@@ -20,10 +27,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, scratch_path, store, who
+from .common import scratch_path, store, who
 
 WHITE = r"[\x20\x09-\x0D]+"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Digests that were hit are broadcast up to this many (32 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_DIGESTS = 500_000
 
@@ -32,36 +38,25 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
-def run_state(records: DataFrame, state_dir: str, out_dir: str, parts: int | None = None) -> DataFrame:
-    """Stream the stored ``records (digest, who)`` through the keyed state in
-    ``state_dir``; returns the state's rows ``(digest, who, n)``, a digest's
-    last update being its value."""
+def run_state(records: DataFrame, state_dir: str) -> DataFrame:
+    """Stream the stored ``records (digest, doc_id, locator)`` that the state in
+    ``state_dir`` has not seen into it; returns the state by digest: ``who``
+    (the row that stays) and ``n`` (rows)."""
     spark = records.sparkSession
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKS,
-                "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
-    if parts:
-        settings["spark.sql.shuffle.partitions"] = str(parts)
-    before = {k: spark.conf.get(k, None) for k in settings}
     folder = records.inputFiles()[0].rsplit("/", 1)[0]
-    keyed = spark.readStream.schema(records.schema).parquet(folder).select("digest", who().alias("who")) \
-        .groupBy("digest").agg(F.min("who").alias("who"), F.count(F.lit(1)).alias("n"))
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
-
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        query = keyed.writeStream.outputMode("update").foreachBatch(save) \
-            .option("checkpointLocation", state_dir).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    updates = spark.read.parquet(out_dir)
-    if "batch" not in updates.columns or updates.select("batch").distinct().count() == 1:
-        return updates.select("digest", "who", "n")
-    return updates.groupBy("digest").agg(F.max_by(F.struct("who", "n"), "batch").alias("s")).select("digest", "s.*")
+
+    def remember(batch: DataFrame, number: int) -> None:
+        batch.groupBy("digest").agg(F.min("who").alias("who"), F.count(F.lit(1)).alias("n")) \
+            .write.mode("overwrite").parquet(f"{state_dir}/keys/batch={number}")
+
+    query = spark.readStream.schema(records.schema).parquet(folder).select("digest", who().alias("who")) \
+        .writeStream.foreachBatch(remember).option("checkpointLocation", f"{state_dir}/progress") \
+        .trigger(availableNow=True).start()
+    query.awaitTermination()
+    keys = spark.read.parquet(f"{state_dir}/keys")
+    if keys.select("batch").distinct().count() == 1:  # no digest is in two batches
+        return keys.select("digest", "who", "n")
+    return keys.groupBy("digest").agg(F.min("who").alias("who"), F.sum("n").alias("n"))
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
@@ -81,8 +76,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                            F.lit(True).alias("kept"))
     if not records.inputFiles() or records.isEmpty():
         return empty
-    state = run_state(records.select("digest", "doc_id", "locator"), scratch_path(spark, "state"),
-                      scratch_path(spark, "updates"))
+    state = run_state(records.select("digest", "doc_id", "locator"), scratch_path(spark, "state"))
 
     # full bytes of every digest that was hit
     hit = state.where("n > 1").select("digest")
@@ -108,5 +102,3 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return result(records.join(collided, "digest", "left_anti").join(state, "digest")).unionByName(
         result(apart.join(texts.join(collided, "digest", "left_semi"), ["digest", "norm"])))
 
-
-__all__ = ["drop_stored", "exact_dedup", "normalised", "run_state"]
