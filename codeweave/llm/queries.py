@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, packing, sharding, simhash, token_files
+from . import chat, decontaminate, exact_dedup, language_id, packing, quality, sharding, simhash, suffix_dedup, token_files
 
 LITERAL_TURN = "<|im_end|><|im_start|>assistant ok"
 SEQUENCE, PACK_END_ID, FILE_END_ID, SHARDS = 1024, 2, 1, 24
@@ -39,6 +39,17 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learnable = F.coalesce(remainder(4), F.lit(2)) != 2
+    return language_id.identify(docs, learnable, keep=["doc_id"]).select("row.doc_id", "lang_pred", "score") \
+        .select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.token_files(docs, tokenizer_path("word_bpe_49k.json"), FILE_END_ID) \
@@ -57,6 +68,12 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, keep=["doc_id"]).select(
+        "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -77,6 +94,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    learnable = F.coalesce(remainder(5), F.lit(0)) != 0
+    return quality.classify(docs, labels, learnable, keep=["doc_id"]).select("row.doc_id", "score", "predicted") \
+        .select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_token_files, op4_best_fit_packing, op5_simhash_dedup,
-                            op7_benchmark_decontamination, op8_exact_dedup, op9_sharding)}
+    f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_token_files, op4_best_fit_packing, op5_simhash_dedup,
+                            op6_suffix_dedup, op7_benchmark_decontamination, op8_exact_dedup, op9_sharding,
+                            op10_quality_classifier)}
