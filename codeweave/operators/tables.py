@@ -23,8 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.corpus import eligible_files, folder_of, name_of
-from . import brace, python_ast
+from ..sources.corpus import eligible_files
+from . import brace
+from .python_nodes import python_nodes
+from .python_symbols import python_tables
 
 FILE_COLS = ["repo", "path", "folder", "name", "lang", "error"]
 IMPORT_COLS = ["repo", "path", "lang", "ord", "module", "names", "is_from"]
@@ -75,49 +77,6 @@ class CodeIndex:
             df.unpersist()
 
 
-def _normalise_python(nested: DataFrame) -> dict[str, DataFrame]:
-    """Nested Python records → the flat tables (narrow, no shuffle)."""
-    key = [F.col("repo"), F.col("path"), F.lit("python").alias("lang")]
-    classes_x = nested.select(*key, F.posexplode("classes").alias("class_ord", "c"))
-    classes = classes_x.select(
-        "repo", "path", "lang", "class_ord", "c.name", "c.signature", "c.docstring",
-        "c.bases", "c.line", F.col("c.line").alias("ref_line"))
-    methods = classes_x.select(
-        "repo", "path", "lang", "class_ord", F.col("c.name").alias("class_name"),
-        F.posexplode("c.methods").alias("call_ord", "m"))
-    functions = nested.select(*key, F.posexplode("functions").alias("call_ord", "m"))
-    cols = ["m.name", "m.signature", "m.docstring", "m.decorators", "m.is_async",
-            "m.calls", "m.line", F.col("m.line").alias("ref_line")]
-    callables = methods.select(
-        "repo", "path", "lang", "class_ord", "class_name", "call_ord",
-        F.lit("method").alias("kind"), *cols
-    ).unionByName(functions.select(
-        "repo", "path", "lang", F.lit(None).cast("int").alias("class_ord"),
-        F.lit(None).cast("string").alias("class_name"), "call_ord",
-        F.lit("function").alias("kind"), *cols))
-    vcols = ["v.name", "v.type", "v.value"]
-    attrs = classes_x.select(
-        "repo", "path", "lang", "class_ord", F.col("c.name").alias("class_name"),
-        F.posexplode("c.attributes").alias("ord", "v")
-    ).select("repo", "path", "lang", "class_ord", "class_name", "ord", *vcols,
-             F.lit("class").alias("scope"), "v.line", F.col("v.line").alias("ref_line"))
-    mvars = nested.select(*key, F.posexplode("variables").alias("ord", "v")).select(
-        "repo", "path", "lang", F.lit(None).cast("int").alias("class_ord"),
-        F.lit(None).cast("string").alias("class_name"), "ord", *vcols,
-        F.lit("module").alias("scope"), "v.line", F.col("v.line").alias("ref_line"))
-    imports = nested.select(*key, F.posexplode("imports").alias("ord", "i")).select(
-        "repo", "path", "lang", "ord", "i.module", "i.names", "i.is_from")
-    return {
-        "files": nested.select(
-            "repo", "path", folder_of(F.col("path")).alias("folder"),
-            name_of(F.col("path")).alias("name"), F.lit("python").alias("lang"), "error"),
-        "imports": imports,
-        "classes": classes,
-        "callables": callables,
-        "variables": mvars.unionByName(attrs),
-    }
-
-
 def build_index(corpus: DataFrame, persist: bool = False,
                 save_to: str | None = None, drop_self_call: bool = False) -> CodeIndex:
     """The corpus job: ``(repo, path, content)`` → :class:`CodeIndex`.
@@ -137,7 +96,7 @@ def build_index(corpus: DataFrame, persist: bool = False,
     from pyspark import StorageLevel
 
     files = eligible_files(corpus)
-    nested = python_ast.extract_python(files.where(F.col("lang") == "python"))
+    nested = python_nodes(files.where(F.col("lang") == "python"))
     other = files.where(F.col("lang") != "python")
     lines = brace.narrow(brace.annotate(other))
     staged = persist or save_to is not None
@@ -145,7 +104,7 @@ def build_index(corpus: DataFrame, persist: bool = False,
         # both intermediate results feed several tables: evaluate them once
         nested = nested.persist(StorageLevel.MEMORY_AND_DISK)
         lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
-    py = _normalise_python(nested)
+    py = python_tables(nested)
     br = brace.extract_all(other, lines=lines, drop_self_call=drop_self_call)[0]
     br["files"] = other.select("repo", "path", "folder", "name", "lang",
                                F.lit(None).cast("string").alias("error"))

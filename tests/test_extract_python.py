@@ -1,46 +1,71 @@
-"""Python extraction: the Arrow helper directly and through Spark."""
-from codeweave.operators import python_ast as P
-from conftest import rows_of
-
+"""Python extraction: sources through the node records to the symbol tables."""
+import pytest
 
-def rec(src):
-    return P.extract_file("r", "m.py", src)
+from codeweave.operators.python_nodes import node_records, python_nodes
+from codeweave.operators.python_symbols import python_tables
+from conftest import rows_of
 
 
-def test_syntax_error_is_reported_not_raised():
+@pytest.fixture(scope="session")
+def rec(spark):
+    def tables_of(src):
+        t = python_tables(python_nodes(spark.createDataFrame([("r", "m.py", src)], "repo string, path string, text string")))
+        order = lambda r: tuple(-1 if r.get(c) is None else r[c] for c in ("class_ord", "call_ord", "ord"))
+        got = {k: sorted((r.asDict(recursive=True) for r in v.collect()), key=order) for k, v in t.items()}
+        for c in got["classes"]:
+            mine = lambda rows: [r for r in rows if r["class_ord"] == c["class_ord"]]
+            c["methods"], c["attributes"] = mine(got["callables"]), mine(got["variables"])
+        return {"error": got["files"][0]["error"], "classes": got["classes"], "imports": got["imports"],
+                "functions": [r for r in got["callables"] if r["kind"] == "function"],
+                "variables": [r for r in got["variables"] if r["scope"] == "module"]}
+    return tables_of
+
+
+def test_node_records_give_parents_and_extents():
+    import ast
+    nodes = node_records(ast.parse("class A(B):\n    if x:\n        y = 1\n    def f(self): g()\nz = 2\n"))
+    by = {(n["kind"], n["name"]): n for n in nodes}
+    assert by["Name", "B"]["parent"] == by["ClassDef", "A"]["at"] and by["Name", "B"]["field"] == "bases"
+    inner = next(n for n in nodes if n["kind"] == "Assign" and n["line"] == 3)
+    assert (inner["parent"], inner["field"]) == (by["ClassDef", "A"]["at"], "If.body")
+    last = next(n for n in nodes if n["kind"] == "Assign" and n["line"] == 5)
+    assert last["parent"] == -1 and by["ClassDef", "A"]["upto"] == last["at"] - 1
+
+
+def test_syntax_error_is_reported_not_raised(rec):
     r = rec("def broken(:\n")
     assert r["error"].startswith("SyntaxError:")
     assert r["classes"] == [] and r["functions"] == []
 
 
-def test_empty_file():
+def test_empty_file(rec):
     r = rec("")
     assert r["error"] is None and r["imports"] == [] and r["variables"] == []
 
 
-def test_method_signature_drops_first_parameter_even_for_staticmethod():
+def test_method_signature_drops_first_parameter_even_for_staticmethod(rec):
     r = rec("class A:\n    @staticmethod\n    def f(a, b=1):\n        pass\n")
     m = r["classes"][0]["methods"][0]
     assert m["signature"] == "f(b = 1)"
     assert m["decorators"] == ["@staticmethod"]
 
 
-def test_positional_only_defaults_align_from_the_right():
+def test_positional_only_defaults_align_from_the_right(rec):
     r = rec("def f(a, b=1, /, c=2, *, d, e=3, **kw) -> int:\n    pass\n")
     assert r["functions"][0]["signature"] == "f(a, b = 1, /, c = 2, *, d, e = 3, **kw) -> int"
 
 
-def test_non_literal_default_is_ellipsis():
+def test_non_literal_default_is_ellipsis(rec):
     r = rec("def f(a=g()):\n    pass\n")
     assert r["functions"][0]["signature"] == "f(a = ...)"
 
 
-def test_calls_unique_in_preorder_and_exclusions():
+def test_calls_unique_in_preorder_and_exclusions(rec):
     r = rec("def f():\n    a.b(c(), len(x))\n    a.b()\n    print(1)\n    g().h()\n")
     assert r["functions"][0]["calls"] == ["a.b", "c", "h", "g"]
 
 
-def test_class_signature_from_init_and_bfs_attributes():
+def test_class_signature_from_init_and_bfs_attributes(rec):
     src = ("class K(B):\n    x = 1\n    def __init__(self, p, q=2):\n"
            "        self.p = p\n        if q:\n            self.q = q\n        self.x = 5\n")
     c = rec(src)["classes"][0]
@@ -48,25 +73,25 @@ def test_class_signature_from_init_and_bfs_attributes():
     assert [a["name"] for a in c["attributes"]] == ["x", "p", "q"]
 
 
-def test_module_variables_first_wins_and_tuples():
+def test_module_variables_first_wins_and_tuples(rec):
     r = rec("A: int = 1\nB = [1, 2]\nc, d = 1, 2\nA = 3\nN = -4\n")
     vs = [(v["name"], v["type"], v["value"]) for v in r["variables"]]
     assert vs == [("A", "int", "1"), ("B", None, "[1, 2]"), ("c", None, None),
                   ("d", None, None), ("N", None, "-4")]
 
 
-def test_relative_import_loses_level():
+def test_relative_import_loses_level(rec):
     r = rec("from . import x\nfrom ..a import b as c\nimport m, n\n")
     assert [(i["module"], i["names"], i["is_from"]) for i in r["imports"]] == [
         ("", ["x"], True), ("a", ["b"], True), ("m", [], False), ("n", [], False)]
 
 
-def test_nested_definitions_are_ignored():
+def test_nested_definitions_are_ignored(rec):
     r = rec("if True:\n    def hidden():\n        pass\nclass A:\n    class Inner:\n        pass\n")
     assert r["functions"] == [] and [c["name"] for c in r["classes"]] == ["A"]
 
 
-def test_docstring_collapsed():
+def test_docstring_collapsed(rec):
     r = rec('def f():\n    """a\n    b   c"""\n')
     assert r["functions"][0]["docstring"] == "a b c"
 
