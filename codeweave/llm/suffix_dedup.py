@@ -45,9 +45,10 @@ by_value(__name__)
 
 MATCH, GRAM = 200, 64
 LEFT = MATCH - GRAM  # an anchor is at most so many bytes behind its window's start
-CHUNK = 1 << 20  # bytes hashed at once
+CHUNK = 1 << 18  # bytes hashed at once
+TEXTS_AT_ONCE = 500
 #: Anchors and entries in a bucket of an exchange, and entries in a run, on average.
-ANCHORS, ENTRIES, RUN = 1_000_000, 150_000, 60_000
+ANCHORS, ENTRIES, RUN = 400_000, 80_000, 30_000
 HASH_BYTES, ROW = 8, 8 + MATCH + LEFT + 2
 _BASE, _INVERSE, _MIX = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 0xD6E8FEB86659FD93
 
@@ -139,7 +140,7 @@ def hashed_anchors(keyed: DataFrame, buckets: int) -> DataFrame:
     document, as nothing remains to be found for them)."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors()
-        for batch in batches:
+        for batch in (whole.slice(at, TEXTS_AT_ONCE) for whole in batches for at in range(0, len(whole), TEXTS_AT_ONCE)):
             k1, k2 = column_of(batch, "k1").to_numpy(), column_of(batch, "k2").to_numpy()
             texts = [t or b"" for t in raw_texts(column_of(batch, "t"))]
             for text, place, h, lo, hi in finder.of(texts):
