@@ -7,6 +7,8 @@ identifier tokenising stay inside the JVM.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,7 +67,8 @@ _TOKENS = {
                       "\"\"\"(?:[^\"]|\"(?!\"\"))*+(?:\"\"\")?",
                       "'''(?:[^']|'(?!''))*+(?:''')?",
                       _str_tok('"'), _str_tok("'"), "[^/\"']++", "/"]),
-    "c": "|".join([_BLOCK, _LINE, _str_tok('"'), _str_tok("'"),
+    # a quote between two digits separates them and opens no literal
+    "c": "|".join([_BLOCK, _LINE, _str_tok('"'), "(?<=[0-9a-fA-F])'(?=[0-9a-fA-F])", _str_tok("'"),
                    "[^/\"']++", "/"]),
 }
 
@@ -90,7 +93,7 @@ def clean_code(text: Column, dialect: str) -> Column:
             quoted = quoted | t.startswith("`")
         out = F.when(comment, F.regexp_replace(t, "[^\\n]", ""))
         if dialect == "c":
-            out = out.when(t.startswith("'"), F.lit(""))
+            out = out.when(t == "'", t).when(t.startswith("'"), F.lit(""))
         no_escapes = F.regexp_replace(t, "\\\\[\\s\\S]", "")
         return out.when(quoted, F.regexp_replace(no_escapes, "[^\\n]", "")) \
             .otherwise(t)
@@ -98,43 +101,26 @@ def clean_code(text: Column, dialect: str) -> Column:
     return F.array_join(F.transform(toks, one), "")
 
 
-def glob_to_regex(pattern: str) -> str:
-    """Shell glob (fnmatch) → anchored Java regex, case-insensitive.
+_GLOB_PARTS = re.compile(r"(?s)(?P<any>\*+)|(?P<one>\?)|\[(?P<not>!?)(?P<set>\]?[^\]]*)\]|(?P<text>[^*?\[]+|\[)")
 
-    ``*`` → ``.*``, ``?`` → ``.``, ``[seq]``/``[!seq]`` classes kept; every
-    other character quoted.  ``(?s)`` lets ``*`` cross newlines like fnmatch.
-    """
-    out = []
-    i, n = 0, len(pattern)
-    while i < n:
-        c = pattern[i]
-        i += 1
-        if c == "*":
-            out.append(".*")
-        elif c == "?":
-            out.append(".")
-        elif c == "[":
-            j = i
-            if j < n and pattern[j] == "!":
-                j += 1
-            if j < n and pattern[j] == "]":
-                j += 1
-            while j < n and pattern[j] != "]":
-                j += 1
-            if j >= n:
-                out.append("\\[")
-            else:
-                stuff = pattern[i:j].replace("\\", "\\\\")
-                i = j + 1
-                if stuff.startswith("!"):
-                    stuff = "^" + stuff[1:]
-                elif stuff.startswith("^"):
-                    stuff = "\\" + stuff
-                stuff = stuff.replace("[", "\\[")
-                out.append(f"[{stuff}]")
-        else:
-            out.append("\\Q" + c + "\\E" if not c.isalnum() else c)
-    return "(?is)\\A" + "".join(out) + "\\z"
+
+def glob_to_regex(pattern: str) -> str:
+    """Shell glob -> anchored Java regex that ignores the case of any letter:
+    ``*`` any text, ``?`` one character, ``[seq]`` and ``[!seq]`` sets, all else
+    itself (also a ``[`` that nothing closes)."""
+    def java(m: re.Match) -> str:
+        if m["set"] == "":  # the bracket closes at once, so it opens no set
+            return re.sub(r"[^\w\s]", lambda c: "\\" + c[0], m[0])
+        if m["any"]:
+            return ".*"
+        if m["one"]:
+            return "."
+        if m["text"]:
+            return re.sub(r"[^\w\s]", lambda c: "\\" + c[0], m["text"])
+        inside = re.sub(r"[\\\[\]^&~]", lambda c: "\\" + c[0], m["set"])
+        return f"[{'^' if m['not'] else ''}{inside}]"
+
+    return "(?isu)\\A" + _GLOB_PARTS.sub(java, pattern) + "\\z"
 
 
 def identifier_tokens(name: Column) -> Column:

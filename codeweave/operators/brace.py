@@ -18,11 +18,9 @@ The whole plan is Catalyst expressions, windows and one aggregation:
 
 Imports, ``#include`` and ``#define`` work on raw lines and need no shuffle.
 
-Body boundaries follow balanced braces for well-formed code.  Known
-deviations (documented in README): a Dart member or function without ``{``
-on its header line (``=>`` bodies, constructors ending in ``;``) keeps only
-its header line as body instead of running on into the next block; Dart
-module variables must fit on one line.
+Body boundaries follow balanced braces; braces inside the parentheses of a
+JS header do not count, at any nesting.  A Dart ``=>`` body and a Dart module
+variable run on to the line whose ``;`` closes them.
 """
 
 from __future__ import annotations
@@ -31,8 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import (BRACE_EXCLUDED_CALLS, C_BASE_TYPES, C_KEYWORDS,
-                                 C_LANGS, DART_KEYWORDS, JS_KEYWORDS, JS_LANGS,
-                                 VALUE_CUT)
+                                 C_LANGS, DART_KEYWORDS, JS_KEYWORDS, JS_LANGS)
 from ..functions.text import clean_code, count_char, py_strip, split_lines
 
 # ---------------------------------------------------------------------------
@@ -94,6 +91,7 @@ DART_CTOR = r"(?U)^[ \t]*(\w+)\s*(?:\.(\w+))?\s*\(([^)]*)\)\s*(?::\s*[^{]+)?(?:\
 DART_ATTR = (r"(?U)^[ \t]*(?:(?:final|late|static|const|override)\s+)*"
              r"([\w<>\[\]?]+(?:\s*\?)?)\s+(\w+)\s*(?:=\s*([^;]+?))?\s*;")
 DART_VARIABLE = r"(?U)^(?:final|const|late|var)\s+(?:([\w<>\[\]?]+)\s+)?(\w+)\s*=\s*([^;]+?)\s*;"
+DART_VARIABLE_START = r"(?U)^(?:final|const|late|var)\s+(?:[\w<>\[\]?]+\s+)?\w+\s*="
 DART_CALL = r"(?U)\b(\w+)\s*\("
 
 KEY = ["repo", "path"]
@@ -151,7 +149,7 @@ def _raw_branch(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         "repo", "path", "lang", F.col("ln").alias("pos"),
         _rx(F.col("s"), C_DEFINE, 1).alias("name"),
         F.lit("#define").alias("type"),
-        F.when(dval != "", F.substring(dval, 1, VALUE_CUT)).alias("value"),
+        F.when(dval != "", dval).alias("value"),
         F.lit(0).alias("line"), F.lit(0).alias("ref_line"))
     # Dart: imports then exports, matched over the whole raw text
     dart = d.where(F.col("d") == "dart")
@@ -191,13 +189,17 @@ _BRACE_STATE = (
 )
 
 
-def _paren_free(line: Column) -> Column:
-    """Drop parenthesised groups on the line (three nesting levels), so that
-    braces inside parentheses (default parameters) do not count."""
-    out = line
-    for _ in range(3):
-        out = F.regexp_replace(out, r"\([^()]*\)", "")
-    return out
+# the same outside parentheses only (default parameters may hold braces at any nesting)
+_OUTSIDE_PARENS = (
+    "aggregate(regexp_extract_all(line, '[(){}]', 0), "
+    "named_struct('p', 0, 'st', false, 'lc', 0, 'cl', false), "
+    "(a, b) -> named_struct("
+    "'p', CASE WHEN b = '(' THEN a.p + 1 WHEN b = ')' THEN greatest(a.p - 1, 0) ELSE a.p END, "
+    "'st', a.st OR (b = '{' AND a.p = 0), "
+    "'lc', CASE WHEN a.p > 0 OR b IN ('(', ')') THEN a.lc WHEN b = '{' THEN a.lc + 1 "
+    "WHEN a.st THEN a.lc - 1 ELSE a.lc END, "
+    "'cl', a.cl OR (b = '}' AND a.p = 0 AND a.st AND a.lc = 1)))"
+)
 
 
 def cpu_partitions(spark) -> int:
@@ -229,25 +231,25 @@ def line_table(files: DataFrame) -> DataFrame:
     # the rest the lowest prefix is -closes and the line cannot close itself
     has_b = (F.col("o") > 0) & (F.col("c") > 0)
     st = F.expr(_BRACE_STATE.format())
-    pf = F.expr(_BRACE_STATE.format().replace("regexp_extract_all(line,",
-                                              "regexp_extract_all(pf_line,"))
     lines = (lines
              .withColumn("s", py_strip(F.col("line")))
              .withColumn("o", count_char(F.col("line"), "{"))
              .withColumn("c", count_char(F.col("line"), "}"))
-             .withColumn("pf_line", F.when((F.col("d") == "js") & F.col("line").contains("(")
-                                           & has_b, _paren_free(F.col("line"))))
              .withColumn("bst", F.when(has_b, st))
              .withColumn("pmin", F.coalesce(F.col("bst.mn"), -F.col("c")))
              .withColumn("selfclose", F.coalesce(F.col("bst.cl"), F.lit(False)))
-             .withColumn("selfclose_p", F.when(F.col("pf_line").isNotNull(), F.coalesce(
-                 F.when(F.col("pf_line").rlike("[{}]"), pf)["cl"], F.lit(False)))
-                 .otherwise(F.col("selfclose")))
-             .drop("bst", "pf_line"))
+             .withColumn("selfclose_p", F.when(
+                 (F.col("d") == "js") & F.col("line").contains("(") & has_b,
+                 F.expr(_OUTSIDE_PARENS)["cl"]).otherwise(F.col("selfclose")))
+             # Dart statements without a block end where their parentheses are closed again
+             .withColumn("p", F.when(F.col("d") == "dart", count_char(F.col("line"), "(") - count_char(F.col("line"), ")")
+                                     + count_char(F.col("line"), "[") - count_char(F.col("line"), "]")).otherwise(0))
+             .drop("bst"))
     w = Window.partitionBy(*KEY).orderBy("ln")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("s_after", F.sum(F.col("o") - F.col("c")).over(run))
+    lines = lines.select("*", F.sum(F.col("o") - F.col("c")).over(run).alias("s_after"),
+                         F.sum("p").over(run).alias("p_after"))
     lines = (lines
              .withColumn("s_before", F.col("s_after") - (F.col("o") - F.col("c")))
              .withColumn("min_prev", F.least(F.lit(0), F.coalesce(
@@ -487,7 +489,8 @@ def extract_all(files: DataFrame, lines: DataFrame | None = None,
 
     # ---------------- callables (one aggregation, no join) ----------------
     hdr = F.when(F.col("owner") == F.col("ln"), F.struct(
-        F.when(F.col("mkind").isNotNull(), F.lit("method")).otherwise(F.lit("function")).alias("kind"),
+        F.when(F.col("mkind").isNotNull(), F.lit("method")).when(F.col("is_var"), F.lit("variable"))
+        .otherwise(F.lit("function")).alias("kind"),
         F.col("mkind").alias("mkind"),
         F.when(F.col("mkind").isNotNull(), F.col("class_ord")).alias("class_ord"),
         F.when(F.col("mkind").isNotNull(), F.col("k.name")).alias("class_name"),
@@ -509,11 +512,13 @@ def extract_all(files: DataFrame, lines: DataFrame | None = None,
     if drop_self_call:
         calls = F.array_remove(calls, F.col("h.name"))
     no_calls = ((F.col("d") == "js") & ((F.col("h.mkind") == "ctor") | ~F.col("h.has_brace")))
-    cal = bodies.where(F.col("h").isNotNull()).select(
+    long_variables = bodies.where((F.col("h.kind") == "variable") & F.col("body").rlike(DART_VARIABLE)).select(
+        "repo", "path", "lang", "d", F.col("h.ln").alias("ln"), F.col("body").alias("line"))
+    cal = bodies.where(F.col("h").isNotNull() & (F.col("h.kind") != "variable")).select(
         "repo", "path", "lang", "d", "h.kind", "h.mkind", "h.class_ord", "h.class_name",
         "h.name", "h.signature", "h.is_async", "h.ln", "h.ref_line",
         F.when(no_calls, F.array().cast("array<string>")).otherwise(calls).alias("calls"))
-    return _finish(L, classes, cal, imports, c_defines)
+    return _finish(L, classes, cal, imports, c_defines, long_variables)
 
 
 def annotate(files: DataFrame) -> DataFrame:
@@ -532,13 +537,26 @@ def annotate(files: DataFrame) -> DataFrame:
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     line, d = F.col("line"), F.col("d")
 
+    # Dart: an arrow body and a module variable run on to the line whose `;` closes them
+    opens = (d == "dart") & ~F.col("s").endswith(";") & (F.col("p_after") - F.col("p") <= 0)
+    arrow = opens & (F.col("depth") <= 1) & ~line.contains("{") & line.contains("=>") & line.rlike(DART_METHOD)
+    variable = opens & (F.col("depth") == 0) & line.rlike(DART_VARIABLE_START) & ~line.contains("=>")
+    L = L.withColumn("is_var", F.coalesce(variable, F.lit(False))).withColumn("ao", F.last(
+        F.when(arrow | variable, F.struct(F.col("ln").alias("s"), F.col("s_before").alias("sb"), F.col("depth").alias("depth"))),
+        ignorenulls=True).over(upto))
+    closes = (F.col("s").endswith(";") & (F.col("p_after") <= 0) & (F.col("s_after") <= F.col("ao.sb")))
+    L = L.withColumn("ended", F.coalesce(F.max(F.when(closes, F.col("ln"))).over(
+        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
+    L = L.withColumn("runs_on", F.coalesce((F.col("ln") > F.col("ao.s")) & (F.col("ended") < F.col("ao.s")), F.lit(False)))
+    at_top = F.col("runs_on") & (F.col("ao.depth") == 0)
+
     cls_pre = ((F.col("depth") == 0) & line.contains("{")
                & (line.contains("class") | line.contains("struct") | line.contains("enum")
                   | line.contains("mixin") | line.contains("extension")))
     ch = _class_header()
     L = L.withColumn("is_class", F.coalesce(cls_pre & ch.pop("is_class"), F.lit(False)))
     L = L.select("*", *[F.when(F.col("is_class"), v).alias(k) for k, v in ch.items()])
-    fn_pre = (F.col("depth") == 0) & ~F.col("is_class") & (line.contains("(") | line.contains("=>"))
+    fn_pre = (F.col("depth") == 0) & ~F.col("is_class") & ~at_top & ~F.col("is_var") & (line.contains("(") | line.contains("=>"))
     fh = _function_header()
     L = L.withColumn("is_fn", F.coalesce(fn_pre & fh.pop("is_fn"), F.lit(False)))
     L = L.select("*", *[F.when(F.col("is_fn"), v).alias(k) for k, v in fh.items()])
@@ -568,7 +586,8 @@ def annotate(files: DataFrame) -> DataFrame:
         F.lit(1) + F.col("s_before") - F.col("k.sa"))
     L = (L.withColumn("in_class", F.coalesce(in_class, F.lit(False)))
           .withColumn("k_name", F.col("k.name"))
-          .withColumn("is_mline", F.col("in_class") & (local == 1) & (F.col("s") != "")
+          .withColumn("runs_on", F.col("runs_on") & ((F.col("ao.depth") == 0) | F.col("in_class")))
+          .withColumn("is_mline", F.col("in_class") & (local == 1) & (F.col("s") != "") & ~F.col("runs_on")
                       & (F.col("k.kind") != "enum")))
     groups = _member_groups()
     L = L.select("*", *[F.when(F.col("is_mline"), v).alias(k) for k, v in groups.items()])
@@ -586,7 +605,8 @@ def annotate(files: DataFrame) -> DataFrame:
             F.col(f"{o}.single"), F.col("ln") == F.col(f"{o}.s")).otherwise(
             F.col(last) <= F.col(f"{o}.s"))
 
-    owner = (F.when(F.col("in_class") & owns("mo", "last1") & (F.col("mo.s") > F.col("k.s")),
+    owner = (F.when(F.col("runs_on"), F.col("ao.s")).when(F.col("is_var"), F.col("ln"))
+             .when(F.col("in_class") & owns("mo", "last1") & (F.col("mo.s") > F.col("k.s")),
                     F.col("mo.s"))
              .when(owns("fo", "last0"), F.col("fo.s")))
     return L.withColumn("owner", owner)
@@ -594,7 +614,7 @@ def annotate(files: DataFrame) -> DataFrame:
 
 NARROW = ["repo", "path", "lang", "d", "ln", "line", "s", "depth", "is_class", "cname", "csig",
           "cbases", "class_ord", "is_fn", "fname", "fsig", "fasync", "dname", "k", "k_name",
-          "mkind", "mname", "msig", "masync", "atype", "aval", "mo", "owner"]
+          "mkind", "mname", "msig", "masync", "atype", "aval", "mo", "owner", "is_var"]
 
 
 def narrow(L: DataFrame) -> DataFrame:
@@ -605,7 +625,7 @@ def narrow(L: DataFrame) -> DataFrame:
     return L.where(keep).select(*NARROW)
 
 
-def _finish(L, classes, cal, imports, c_defines):
+def _finish(L, classes, cal, imports, c_defines, long_variables):
     # Per-file name sets (class, function and #define names) for the
     # exclusions: a small aggregate over header lines only, joined to the
     # few candidate rows (module variables, C free functions).
@@ -649,7 +669,7 @@ def _finish(L, classes, cal, imports, c_defines):
         "repo", "path", "lang", "d", "class_ord", F.col("k_name").alias("class_name"),
         F.col("ln").alias("pos"), _rx(F.col("line"), JS_THIS_ATTR, 1).alias("name"),
         F.lit(None).cast("string").alias("type"),
-        F.substring(py_strip(_rx(F.col("line"), JS_THIS_ATTR, 2)), 1, VALUE_CUT).alias("value"),
+        py_strip(_rx(F.col("line"), JS_THIS_ATTR, 2)).alias("value"),
         F.col("mo.s").alias("at"), F.col("k.s").alias("ks"))
     attrs = attr_rows.unionByName(this_rows)
     first = F.row_number().over(Window.partitionBy("repo", "path", "class_ord", "name").orderBy("pos"))
@@ -663,7 +683,7 @@ def _finish(L, classes, cal, imports, c_defines):
         .otherwise(F.col("at")).alias("ref_line"))
 
     # ---------------- module variables ----------------
-    mv = _module_variables(L).join(names, ["repo", "path"], "left")
+    mv = _module_variables(L, long_variables).join(names, ["repo", "path"], "left")
     excl = (F.coalesce(F.array_contains("cnames", F.col("name")), F.lit(False))
             | F.coalesce(F.array_contains("fnames", F.col("name")), F.lit(False)))
     mv = mv.where(
@@ -694,19 +714,22 @@ def _finish(L, classes, cal, imports, c_defines):
     }]
 
 
-def _module_variables(L: DataFrame) -> DataFrame:
+def _module_variables(L: DataFrame, long_variables: DataFrame) -> DataFrame:
+    """Module variables of one line, and Dart's of several (their joined lines)."""
     s, line, d = F.col("s"), F.col("line"), F.col("d")
     js_m = s.rlike(JS_VARIABLE)
     resto = _rx(s, JS_VARIABLE, 3)
     js_ok = js_m & ~resto.contains("=>") & ~py_strip(resto).startswith("function") & \
         ~py_strip(resto).startswith("class")
-    js_val = F.substring(F.regexp_replace(py_strip(resto), ";+$", ""), 1, VALUE_CUT)
+    js_val = F.regexp_replace(py_strip(resto), ";+$", "")
     c_m = s.rlike(C_VARIABLE) & ~_rx(s, C_VARIABLE, 2).isin(*C_KEYWORDS)
-    c_val = F.when(_rx(s, C_VARIABLE, 3) != "", F.substring(
-        F.regexp_replace(py_strip(_rx(s, C_VARIABLE, 3)), ";+$", ""), 1, VALUE_CUT))
+    c_val = F.when(_rx(s, C_VARIABLE, 3) != "",
+                   F.regexp_replace(py_strip(_rx(s, C_VARIABLE, 3)), ";+$", ""))
     d_m = line.rlike(DART_VARIABLE) & ~_rx(line, DART_VARIABLE, 2).isin(*DART_KEYWORDS)
     ok = (F.col("depth") == 0) & F.when(d == "js", js_ok).when(d == "c", c_m).otherwise(d_m)
-    return L.where(ok).select(
+    cols = ["repo", "path", "lang", "d", "ln", "line"]
+    one_line = L.where(ok & ~F.col("is_var")).select(*cols)
+    return one_line.unionByName(long_variables.select(*cols)).withColumn("s", py_strip(F.col("line"))).select(
         "repo", "path", "lang", "d", F.col("ln").alias("pos"),
         F.when(d == "js", _rx(s, JS_VARIABLE, 1)).when(d == "c", _rx(s, C_VARIABLE, 2))
         .otherwise(_rx(line, DART_VARIABLE, 2)).alias("name"),

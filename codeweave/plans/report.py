@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.config import REPORT_LEVELS
+from ..functions.config import REPORT_LEVELS, VALUE_CUT
 from ..operators.tables import CodeIndex
 
 TITLE = "codeweave"
@@ -30,18 +30,17 @@ def validate_level(level: str) -> None:
         raise ValueError(f"level must be one of {tuple(REPORT_LEVELS)}, got: '{level}'")
 
 
+# section -> (the switch that hides it, the levels that have it)
+_DETAIL = ("firmas", "completo")
+_SECTIONS = {"sig": ("firmas", _DETAIL), "doc": ("docstrings", _DETAIL), "calls": ("llamadas", ("completo",)),
+             "imports": ("imports", _DETAIL), "vars": ("variables", ("estructura", *_DETAIL)),
+             "bases": ("clases_base", _DETAIL)}
+
+
 def _switches(level: str, filters: dict | None) -> dict[str, bool]:
     validate_level(level)
-    f = filters or {}
-    detail = level != "estructura"
-    return {
-        "sig": detail and f.get("firmas", True),
-        "doc": detail and f.get("docstrings", True),
-        "calls": level == "completo" and f.get("llamadas", True),
-        "imports": detail and f.get("imports", True),
-        "vars": f.get("variables", True),
-        "bases": detail and f.get("clases_base", True),
-    }
+    return {section: level in levels and (filters or {}).get(switch, True)
+            for section, (switch, levels) in _SECTIONS.items()}
 
 
 def _opt(prefix: str, c: Column) -> Column:
@@ -57,8 +56,13 @@ def _row(df: DataFrame, sec: int, k1, k2, k3, text: Column) -> DataFrame:
 
 
 def block_lines(idx: CodeIndex, level: str, prefix: str = "",
-                filters: dict | None = None) -> DataFrame:
-    """The per-file lines of one level, with sort keys (sec, k1, k2, k3)."""
+                filters: dict | None = None, value_cut: int | None = VALUE_CUT) -> DataFrame:
+    """The per-file lines of one level, with sort keys (sec, k1, k2, k3).
+
+    ``value_cut``: characters of a value that a line shows (Python literals are
+    shown whole); None shows all.  The index itself holds whole values."""
+    shown = F.col("value") if value_cut is None else F.when(F.col("lang") == "python", F.col("value")).otherwise(
+        F.substring(F.col("value"), 1, value_cut))
     sw = _switches(level, filters)
     p = F.lit(prefix)
     parts: list[DataFrame] = []
@@ -68,7 +72,7 @@ def block_lines(idx: CodeIndex, level: str, prefix: str = "",
     if sw["vars"]:
         v = idx.variables.where(F.col("scope") == "module")
         text = (F.concat(p, F.lit("var "), F.col("name"), _opt(": ", F.col("type")),
-                         _opt(" = ", F.col("value")))
+                         _opt(" = ", shown))
                 if sw["sig"] else F.concat(p, F.lit("var "), F.col("name")))
         parts.append(_row(v, 1, F.col("ord"), 0, 0, text))
     c = idx.classes
@@ -85,7 +89,7 @@ def block_lines(idx: CodeIndex, level: str, prefix: str = "",
         parts.append(_row(c, 2, F.col("class_ord"), 0, 0, F.concat(p, F.lit("class "), F.col("name"))))
     a = idx.variables.where(F.col("scope") == "class")
     atext = (F.concat(p, F.lit("  ."), F.col("name"), _opt(": ", F.col("type")),
-                      _opt(" = ", F.col("value")))
+                      _opt(" = ", shown))
              if sw["sig"] else F.concat(p, F.lit("  ."), F.col("name")))
     parts.append(_row(a, 2, F.col("class_ord"), 2, F.col("ord"), atext))
     m = idx.callables.where(F.col("kind") == "method")

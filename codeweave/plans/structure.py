@@ -5,7 +5,7 @@ rows (one per folder/file/symbol) instead of one nested document, so no
 answer ever gathers an unbounded group into one row.  "Not found" is an
 empty DataFrame.
 
-Walk order (the order "first match" refers to) is ``(repo, path)`` then the
+Walk order (the order "first match" refers to) is ``(repo, path, repo)`` then the
 source position; first matches use ``min(struct(...))`` aggregates, which
 Spark combines map-side, so a symbol defined in millions of files costs one
 partial aggregate per task, not one task holding all of them.
@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 from ..operators.tables import CodeIndex
 
 
-def _file_filter(df: DataFrame, path: str | None) -> DataFrame:
-    """equality filter on the file, skipped when ``path`` is None."""
-    return df if path is None else df.where(F.col("path") == path)
+def _file_filter(df: DataFrame, path: str | None, repo: str | None = None) -> DataFrame:
+    """equality filter on the file (and its repository), skipped when None."""
+    df = df if path is None else df.where(F.col("path") == path)
+    return df if repo is None else df.where(F.col("repo") == repo)
 
 
 # --- R1 / A8 ---------------------------------------------------------------
 def folder_tree(idx: CodeIndex) -> DataFrame:
-    """Folder → files: one row per (repo, folder, path); ``\\`` normalised."""
+    """Folder → files: one row per (repo, folder, path, repo); ``\\`` normalised."""
     return idx.files.select(
         "repo",
         F.replace(F.coalesce(F.nullif("folder", F.lit("")), F.lit(".")), F.lit("\\"), F.lit("/"))
@@ -42,24 +43,24 @@ def folder_summary(idx: CodeIndex) -> DataFrame:
 
 
 # --- R2 / K1 ---------------------------------------------------------------
-def imports_by_file(idx: CodeIndex, path: str | None = None) -> DataFrame:
+def imports_by_file(idx: CodeIndex, path: str | None = None, repo: str | None = None) -> DataFrame:
     """Imports per file; files without imports keep one row of NULLs (Q8)."""
-    files = _file_filter(idx.files.select("repo", "path"), path)
-    imps = _file_filter(idx.imports, path).select("repo", "path", "ord", "module", "names",
+    files = _file_filter(idx.files.select("repo", "path"), path, repo)
+    imps = _file_filter(idx.imports, path, repo).select("repo", "path", "ord", "module", "names",
                                                   "is_from")
     return files.join(imps, ["repo", "path"], "left")
 
 
 # --- R3 / A7 ---------------------------------------------------------------
-def classes_by_file(idx: CodeIndex, path: str | None = None) -> DataFrame:
+def classes_by_file(idx: CodeIndex, path: str | None = None, repo: str | None = None) -> DataFrame:
     """Classes without their methods, with member counts (Q8: files without
     classes keep one NULL row)."""
-    files = _file_filter(idx.files.select("repo", "path"), path)
-    n_meth = (_file_filter(idx.callables, path).where(F.col("kind") == "method")
+    files = _file_filter(idx.files.select("repo", "path"), path, repo)
+    n_meth = (_file_filter(idx.callables, path, repo).where(F.col("kind") == "method")
               .groupBy("repo", "path", "class_ord").agg(F.count(F.lit(1)).alias("n_methods")))
-    n_attr = (_file_filter(idx.variables, path).where(F.col("scope") == "class")
+    n_attr = (_file_filter(idx.variables, path, repo).where(F.col("scope") == "class")
               .groupBy("repo", "path", "class_ord").agg(F.count(F.lit(1)).alias("n_attributes")))
-    cls = (_file_filter(idx.classes, path)
+    cls = (_file_filter(idx.classes, path, repo)
            .join(n_meth, ["repo", "path", "class_ord"], "left")
            .join(n_attr, ["repo", "path", "class_ord"], "left")
            .select("repo", "path", "class_ord", "name", "signature", "docstring", "bases",
@@ -71,22 +72,27 @@ def classes_by_file(idx: CodeIndex, path: str | None = None) -> DataFrame:
 # --- R4 / K2 / L1 ----------------------------------------------------------
 def first_class(idx: CodeIndex, names: DataFrame) -> DataFrame:
     """For each wanted class name (column ``name``) its first definition in
-    walk order: (name, repo, path, class_ord)."""
-    wanted = names.select(F.col("name").alias("wanted")).distinct()
-    cand = idx.classes.join(wanted, idx.classes.name == wanted.wanted, "left_semi")
-    return (cand.groupBy("name")
-            .agg(F.min(F.struct("repo", "path", "class_ord")).alias("f"))
-            .select("name", "f.repo", "f.path", "f.class_ord"))
+    walk order in each repository: (name, repo, path, class_ord).  Definitions
+    are reduced to one per repository and name before they meet the names, so a
+    name that is defined everywhere is combined map-side."""
+    return first_of_each(idx.classes).join(names.select("name").distinct(), "name", "left_semi")
+
+
+def first_of_each(classes: DataFrame) -> DataFrame:
+    return (classes.groupBy("repo", "name").agg(F.min(F.struct("path", "class_ord")).alias("f"))
+            .select("name", "repo", "f.path", "f.class_ord"))
 
 
 def class_detail(idx: CodeIndex, classes: str | DataFrame) -> DataFrame:
-    """Methods (with calls) and attributes of the first class of each name.
+    """Methods (with calls) and attributes of each repository's first class of each name.
 
     One row per member: ``member_kind`` is ``method`` or ``attribute``.
     ``classes`` is one name or a DataFrame with a ``name`` column.
     """
-    names = _as_names(idx, classes)
-    first = first_class(idx, names)
+    if isinstance(classes, str):  # one name is a filter on the scan
+        first = first_of_each(idx.classes.where(F.col("name") == classes))
+    else:
+        first = first_class(idx, classes)
     key = ["repo", "path", "class_ord"]
     cls = idx.classes.join(first.select(*key), key, "left_semi").select(
         *key, F.col("name").alias("class_name"), F.col("signature").alias("class_signature"),
@@ -107,16 +113,10 @@ def class_detail(idx: CodeIndex, classes: str | DataFrame) -> DataFrame:
     return cls.join(members, key, "left")
 
 
-def _as_names(idx: CodeIndex, names: str | DataFrame) -> DataFrame:
-    if isinstance(names, str):
-        return idx.classes.sparkSession.createDataFrame([(names,)], "name string")
-    return names
-
-
 # --- R5 --------------------------------------------------------------------
-def functions_by_file(idx: CodeIndex, path: str | None = None) -> DataFrame:
-    files = _file_filter(idx.files.select("repo", "path"), path)
-    fns = _file_filter(idx.callables, path).where(F.col("kind") == "function").select(
+def functions_by_file(idx: CodeIndex, path: str | None = None, repo: str | None = None) -> DataFrame:
+    files = _file_filter(idx.files.select("repo", "path"), path, repo)
+    fns = _file_filter(idx.callables, path, repo).where(F.col("kind") == "function").select(
         "repo", "path", "call_ord", "name", "signature", "docstring", "decorators",
         "is_async", "calls", "line")
     return files.join(fns, ["repo", "path"], "left")
@@ -124,12 +124,12 @@ def functions_by_file(idx: CodeIndex, path: str | None = None) -> DataFrame:
 
 # --- R6 / U1 / F2 ----------------------------------------------------------
 def variables_by_file(idx: CodeIndex, path: str | None = None,
-                      scope: str | None = None) -> DataFrame:
+                      scope: str | None = None, repo: str | None = None) -> DataFrame:
     """Module variables and ``Class.attr`` rows; files with none are absent.
 
     ``scope``: ``module``, ``class`` or None (both).
     """
-    v = _file_filter(idx.variables, path)
+    v = _file_filter(idx.variables, path, repo)
     if scope is not None:
         v = v.where(F.col("scope") == scope)
     return v.select(
@@ -153,32 +153,33 @@ def split_symbol(symbol: Column) -> tuple[Column, Column]:
 
 
 def calls_of(idx: CodeIndex, symbols: str | DataFrame) -> DataFrame:
-    """Calls of ``Class.method`` or of a free function, first match (Q6/Q7).
+    """Calls of ``Class.method`` or of a free function, first match of each repository (Q6/Q7).
 
     ``symbols`` is one symbol or a DataFrame with a ``symbol`` column; many
     symbols are answered with one equi-join.
     """
-    if isinstance(symbols, str):
+    callables = idx.callables
+    if isinstance(symbols, str):  # one symbol is a filter on the scan
+        owner, dot, member = symbols.partition(".")
+        callables = callables.where((F.col("name") == member) & (F.col("kind") == "method") & (F.col("class_name") == owner)
+                                    if dot else (F.col("name") == symbols) & (F.col("kind") == "function"))
         symbols = idx.callables.sparkSession.createDataFrame([(symbols,)], "symbol string")
     cls, member = split_symbol(F.col("symbol"))
     s = symbols.select("symbol").distinct().select("symbol", cls.alias("cls"),
                                                    member.alias("member"))
-    # key: (class, member) for methods, (NULL, name) for functions; a dotted
-    # symbol therefore never matches a function (Q7).  Keep the callables of
-    # wanted keys, reduce each key to its first definition in walk order
-    # (map-side combined, so a name defined in millions of files is one
-    # partial row per task), then join one row per key back to the symbols.
-    c = idx.callables.select(
+    # key: (class, member) for methods, ('', name) for functions; a dotted
+    # symbol therefore never matches a function (Q7).  Each key is reduced to
+    # its first definition of a repository before the join, which combines
+    # map-side: a name defined in millions of files is one partial row per task.
+    c = callables.select(
+        "repo",
         F.coalesce(F.when(F.col("kind") == "method", F.col("class_name")), F.lit("")).alias("cls"),
         F.col("name").alias("member"),
-        F.struct("repo", "path", F.coalesce("class_ord", F.lit(-1)).alias("co"),
-                 "call_ord", "calls").alias("h"))
-    keys = s.select(F.coalesce("cls", F.lit("")).alias("cls"), "member").distinct()
-    first = (c.join(keys, ["cls", "member"], "left_semi")
-             .groupBy("cls", "member").agg(F.min("h").alias("h")))
+        F.struct("path", F.coalesce("class_ord", F.lit(-1)).alias("co"), "call_ord", "calls").alias("h"))
+    first = c.groupBy("repo", "cls", "member").agg(F.min("h").alias("h"))
     return (s.withColumn("cls", F.coalesce("cls", F.lit("")))
             .join(first, ["cls", "member"])
-            .select("symbol", "h.repo", "h.path", "h.calls"))
+            .select("symbol", "repo", "h.path", "h.calls"))
 
 
 # --- R8 / F3 / U2 ----------------------------------------------------------

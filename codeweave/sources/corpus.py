@@ -18,30 +18,75 @@ from ..functions.text import universal_newlines
 CORPUS_COLUMNS = ["repo", "path", "content"]
 
 
-def read_folder(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
-    """S1 for a folder tree: ``binaryFile`` with recursive lookup.
+def list_files(spark: SparkSession, root: str) -> tuple[str, list[str]]:
+    """The qualified root and every file below it that is eligible by its name.
+
+    Names are listed with the file system's own listing, as Spark's hides those
+    that begin with ``_`` or ``.``.  Excluded folders are not entered and other
+    extensions not listed, so neither is ever read.  (Names of one project's
+    files are the driver's business in any folder scan; a corpus of many
+    projects is a table, see :func:`read_table`.)
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(conf)
+    top = fs.makeQualified(path)
+    found, todo = [], [top]
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            name = status.getPath().getName()
+            if status.isDirectory():
+                if name not in EXCLUDED_PARTS:
+                    todo.append(status.getPath())
+            elif "." in name[1:] and "." + name.rsplit(".", 1)[1].lower() in EXTENSIONS and name not in EXCLUDED_PARTS:
+                found.append(status.getPath().toString())
+    return top.toString(), sorted(found)
+
 
-    Only files with a supported extension are listed and read: a
-    case-insensitive ``pathGlobFilter`` (hidden files are skipped by Spark's
-    listing anyway).  Excluded folders are filtered on the path afterwards.
-    ``repo`` defaults to the folder name.
+def read_folder(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+    """S1 for a folder tree: every file with a supported extension outside the
+    excluded folders, hidden names included; ``path`` is relative to ``root``
+    (which may be relative, or a URI).  ``repo`` defaults to the folder name.
     """
-    root = root.rstrip("/")
-    repo = repo or root.rsplit("/", 1)[-1]
-    raw = (spark.read.format("binaryFile")
-           .option("recursiveFileLookup", "true")
-           # only files with a supported extension are listed (and read)
-           .option("pathGlobFilter", extension_glob())
-           .load(root))
-    rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + _quote(root.lstrip("/")) + "/", "")
+    top, found = list_files(spark, root)
+    repo = repo or top.rstrip("/").rsplit("/", 1)[-1]
+    if not found:
+        return spark.createDataFrame([], "repo string, path string, content string")
+    # Spark's readers skip files whose own name begins so, even when asked for by name
+    hidden = [f for f in found if f.rsplit("/", 1)[-1][0] in "._"]
+    plain = sorted(set(found) - set(hidden))
+    parts = []
+    if plain:
+        parts.append(spark.read.format("binaryFile").load(plain).select("path", "content"))
+    if hidden:
+        parts.append(_read_by_name(spark, hidden))
+    raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return raw.select(
         F.lit(repo).alias("repo"),
-        rel.alias("path"),
+        F.expr(f"substring(path, {len(top.rstrip('/')) + 2})").alias("path"),
         # Bytes → text with U+FFFD for invalid sequences
         F.expr("make_valid_utf8(cast(content as string))").alias("content"),
     )
 
 
+def _read_by_name(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, content`` of files, read in tasks through Arrow's file systems; a
+    file that cannot be read fails the job rather than being left out."""
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, place = fs.FileSystem.from_uri(path)
+                with system.open_input_stream(place) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())],
+                                                     names=["path", "content"])
+
+    names = spark.createDataFrame([(p,) for p in paths], "path string")
+    return names.mapInArrow(read, "path string, content binary")
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """S1 for a stored corpus: Parquet ``(repo, path, content)``, keeping the
     ``lang`` partition column when the table was written by
@@ -61,17 +106,6 @@ def write_corpus(corpus: DataFrame, path: str, partitions: int | None = None) ->
     df.write.mode("overwrite").partitionBy("lang").parquet(path)
 
 
-def extension_glob() -> str:
-    """Case-insensitive glob of the supported extensions, e.g. ``*.{[pP][yY],...}``."""
-    def ci(ext: str) -> str:
-        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext[1:])
-    return "*.{" + ",".join(ci(e) for e in sorted(EXTENSIONS)) + "}"
-
-
-def _quote(s: str) -> str:
-    return "".join("\\" + c if not (c.isalnum() or c in "_-") else c for c in s)
-
-
 def extension(path: Column) -> Column:
     """Lower-cased suffix of the base name; a dot-file such as ``.py`` has
     none (S2/Q24)."""

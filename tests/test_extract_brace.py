@@ -105,3 +105,23 @@ def test_drop_self_call_option(spark):
     c = spark.createDataFrame([("r", "a.js", src)], "repo string, path string, content string")
     assert build_index(c).callables.first().calls == ["run", "go"]
     assert build_index(c, drop_self_call=True).callables.first().calls == ["go"]
+
+
+def test_bodies_and_values_are_whole(spark):
+    """Nested default parameters, arrow bodies and values over several lines, long values."""
+    from codeweave.operators.tables import build_index
+    js = ("function four(a = { k: f(g(h(i(1)))) }) {\n  gamma();\n}\n"
+          "function one(a = {b: 1}) { return z(); }\nconst LONG = " + "k" * 120 + ";\n")
+    dart = ("final List<String> names = [\n  1,\n];\nfinal x = 3;\n"
+            "Widget build(x) =>\n    Container(child: Text(x),\n      onTap: (y) {\n        tap(y);\n      });\n"
+            "int plain(a) {\n  return foo(a);\n}\nclass A extends B {\n  Widget draw(ctx) =>\n    Row(children: [\n"
+            "      Cell(1),\n    ]);\n  int two() => 2;\n  void three() {\n    local(q) =>\n      inner(q);\n"
+            "    after();\n  }\n}\n")
+    idx = build_index(spark.createDataFrame([("r", "a.js", js), ("r", "b.dart", dart)],
+                                            "repo string, path string, content string"))
+    calls = {r["name"]: r["calls"] for r in idx.callables.collect()}
+    assert calls == {"four": ["four", "f", "g", "h", "i", "gamma"], "one": ["one", "z"],
+                     "build": ["build", "Container", "Text", "tap"], "plain": ["plain", "foo"],
+                     "draw": ["draw", "Row", "Cell"], "two": ["two"], "three": ["three", "local", "inner", "after"]}
+    values = {r["name"]: r["value"] for r in idx.variables.collect()}
+    assert values == {"LONG": "k" * 120, "names": "[\n  1,\n]", "x": "3"}

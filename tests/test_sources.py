@@ -20,10 +20,8 @@ def test_read_folder_and_eligibility(spark, tmp_path):
     corpus = read_folder(spark, str(root), repo="proj")
     reasons = {r.path: r.skip_reason for r in classify(corpus).collect()}
     assert reasons["a.py"] is None and reasons["src/b.JS"] is None
-    assert reasons["build/c.py"] == "excluded_folder"
-    assert "notes.txt" not in reasons                         # never listed (glob filter)
-    # a dot-file has no suffix (and Spark's file listing skips hidden files)
-    assert reasons.get(".py", "unsupported_extension") == "unsupported_extension"
+    # excluded folders, other extensions and a dot-file without a suffix are not even listed
+    assert not {"build/c.py", "notes.txt", ".py"} & set(reasons)
     assert reasons["x.egg-info/d.py"] is None                 # the glob entry never matches
     idx = build_index(corpus)
     langs = {r.path: r.lang for r in idx.files.collect()}
@@ -32,6 +30,24 @@ def test_read_folder_and_eligibility(spark, tmp_path):
     assert bad.value == repr("\ufffd\ufffd")                    # invalid UTF-8 replaced
 
 
+def test_hidden_names_and_relative_roots(spark, tmp_path, monkeypatch):
+    names = ["pkg/__init__.py", "pkg/_private.py", "__tests__/a.js", ".eslintrc.js", ".hidden/b.py", "m.py", "build/out.py"]
+    for rel in names:
+        p = tmp_path / "build" / "proj" / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("x = 1\n")
+    want = sorted(n for n in names if not n.startswith("build/"))
+    root = tmp_path / "build" / "proj"       # the root itself may lie below a folder with an excluded name
+    assert sorted(r.path for r in read_folder(spark, str(root)).collect()) == want
+    assert sorted(r.path for r in read_folder(spark, f"file://{root}/").collect()) == want
+    assert {r.repo for r in read_folder(spark, str(root)).collect()} == {"proj"}
+    import os.path
+    relative = os.path.relpath(root, spark._jvm.java.lang.System.getProperty("user.dir"))
+    assert sorted(r.path for r in read_folder(spark, relative).collect()) == want
+    (tmp_path / "empty").mkdir()
+    assert read_folder(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_snapshot_roundtrip(spark, sample_index, tmp_path):
     out = str(tmp_path / "snap")
     save_index(sample_index, out)
