@@ -151,11 +151,11 @@ cls AS (
                       WHEN 'cpp' THEN 'class Cust' || ok.c || ' : Base' || ok.n
                       ELSE 'class Cust' || ok.c || ' extends Base' || ok.n END AS signature,
          'Base' || ok.n AS bases,
-         CAST((SELECT count(*) FROM meth me WHERE me.repo = ok.repo AND me.path = ok.path)
-              AS BIGINT) AS n_methods,
+         CAST(coalesce(mc.n, 0) AS BIGINT) AS n_methods,
          CAST(1 AS BIGINT) AS n_attributes,
          CAST(CASE WHEN ok.lang IN ('python', 'cpp') THEN 6 ELSE 5 END AS BIGINT) AS line
-  FROM ok),
+  FROM ok LEFT JOIN (SELECT repo, path, count(*) AS n FROM meth GROUP BY 1, 2) mc
+    ON mc.repo = ok.repo AND mc.path = ok.path),
 defs AS (
   SELECT repo, path, 'class' AS type, name, signature, 'definition' AS category,
          CAST(NULL AS VARCHAR) AS calls_to, name AS raw_name
@@ -197,8 +197,9 @@ clines AS (
   UNION ALL
   SELECT f.repo, f.path, 'function', f.name,
          CASE f.lang WHEN 'python' THEN 14 WHEN 'cpp' THEN 14 ELSE 12 END
-         + coalesce((SELECT max(total) FROM mlc WHERE mlc.repo = f.repo AND mlc.path = f.path), 0)
-  FROM fns f)
+         + coalesce(t.total, 0)
+  FROM fns f LEFT JOIN (SELECT repo, path, max(total) AS total FROM mlc GROUP BY 1, 2) t
+    ON t.repo = f.repo AND t.path = f.path)
 """
 
 
@@ -209,20 +210,17 @@ def _search_body(cond: str) -> str:
     return f"""
 SELECT d.repo, d.path, d.type, d.name, d.signature, d.category, d.calls_to,
        CAST(coalesce(l.line, k.line) AS BIGINT) AS line
-FROM defs d
+FROM (SELECT * FROM defs d WHERE {d}) d
 LEFT JOIN clines l ON l.repo = d.repo AND l.path = d.path AND l.kind = d.type
   AND l.raw_name = d.raw_name
 LEFT JOIN cls k ON d.type = 'class' AND k.repo = d.repo AND k.path = d.path
-WHERE {d}
 UNION ALL
-SELECT k.repo, k.path, k.kind AS type, k.ctx AS name, k.signature, 'usage' AS category,
-       string_agg(c.callee, '|' ORDER BY c.ord) AS calls_to, CAST(min(l.line) AS BIGINT) AS line
-FROM callables k
-JOIN calls c ON c.repo = k.repo AND c.path = k.path AND c.kind = k.kind
-  AND c.caller = k.raw_name
+SELECT k.repo, k.path, k.kind AS type, k.ctx AS name, k.signature, 'usage' AS category, c.calls_to,
+       CAST(l.line AS BIGINT) AS line
+FROM (SELECT repo, path, kind, caller, string_agg(callee, '|' ORDER BY ord) AS calls_to
+      FROM calls c WHERE {u} GROUP BY 1, 2, 3, 4) c
+JOIN callables k ON c.repo = k.repo AND c.path = k.path AND c.kind = k.kind AND c.caller = k.raw_name
 JOIN clines l ON l.repo = k.repo AND l.path = k.path AND l.kind = k.kind AND l.raw_name = k.raw_name
-WHERE {u}
-GROUP BY k.repo, k.path, k.kind, k.ctx, k.signature
 """
 
 
@@ -395,7 +393,9 @@ def _suggestions_sql(cond: str, n: int = 15) -> str:
 SELECT h.repo, h.path, h.type, h.name, h.category, CAST(l.line AS BIGINT) AS line
 FROM hits h JOIN clines l ON l.repo = h.repo AND l.path = h.path AND l.kind = h.type
   AND l.raw_name = h.raw_name
-ORDER BY h.repo, h.path, h.category, l.line, h.name
+LEFT JOIN meth m ON m.repo = h.repo AND m.path = h.path AND h.type = 'method' AND m.name = h.raw_name
+-- a file's definitions, then its usages; each: methods of the class, then functions
+ORDER BY h.repo, h.path, h.category, h.type = 'function', m.call_ord, h.name
 LIMIT {n}""")
 
 
@@ -605,6 +605,29 @@ SELECT coalesce(ih.repo, cc.repo) AS repo, coalesce(ih.path, cc.path) AS path,
        ih.module AS import_module, coalesce(cc.n, 0) AS n_calls,
        coalesce(cc.calls, '') AS first_calls, CAST(0 AS BIGINT) AS more_calls
 FROM ih FULL OUTER JOIN cc ON cc.repo = ih.repo AND cc.path = ih.path""")
+    q["library_hits_multi"] = _q("""
+, lib AS (SELECT unnest(['lib_2', 'supp_1']) AS lib),
+ih AS (SELECT lib, repo, path, module FROM imps, lib WHERE contains(lower(module), lib)),
+ch AS (SELECT lib.lib, c.repo, c.path, c.callee, coalesce(m.call_ord, 1000000000) AS co, c.ord
+  FROM calls c JOIN lib ON contains(lower(c.callee), lib.lib)
+  LEFT JOIN meth m ON m.repo = c.repo AND m.path = c.path AND c.kind = 'method' AND m.name = c.caller),
+cc AS (SELECT lib, repo, path, count(*) AS n, list(callee ORDER BY co, ord) AS calls FROM ch GROUP BY 1, 2, 3)
+SELECT coalesce(ih.lib, cc.lib) AS lib, coalesce(ih.repo, cc.repo) AS repo, coalesce(ih.path, cc.path) AS path,
+       ih.module AS import_module, CAST(coalesce(cc.n, 0) AS BIGINT) AS n_calls,
+       coalesce(array_to_string(cc.calls[1:4], '|'), '') AS first_calls,
+       CAST(greatest(coalesce(cc.n, 0) - 4, 0) AS BIGINT) AS more_calls
+FROM ih FULL OUTER JOIN cc ON cc.lib = ih.lib AND cc.repo = ih.repo AND cc.path = ih.path""")
+    q["status_by_repo"] = _q("""
+, f AS (SELECT repo, count(*) AS n, count(*) FILTER (WHERE broken) AS e FROM fl GROUP BY 1),
+c AS (SELECT repo, count(*) AS n FROM cls GROUP BY 1), m AS (SELECT repo, count(*) AS n FROM meth GROUP BY 1),
+g AS (SELECT repo, count(*) AS n FROM fns GROUP BY 1),
+v AS (SELECT repo, count(*) FILTER (WHERE scope = 'module') AS n, count(*) FILTER (WHERE scope = 'class') AS a
+  FROM vars GROUP BY 1)
+SELECT f.repo, CAST(f.n AS BIGINT) AS total_files, CAST(coalesce(c.n, 0) AS BIGINT) AS total_classes,
+  CAST(coalesce(m.n, 0) AS BIGINT) AS total_methods, CAST(coalesce(g.n, 0) AS BIGINT) AS total_functions,
+  CAST(coalesce(v.n, 0) AS BIGINT) AS total_variables, CAST(coalesce(v.a, 0) AS BIGINT) AS total_attributes,
+  CAST(f.e AS BIGINT) AS error_files
+FROM f LEFT JOIN c USING (repo) LEFT JOIN m USING (repo) LEFT JOIN g USING (repo) LEFT JOIN v USING (repo)""")
     q["library_union_files"] = _q("""
 SELECT repo, path, folder FROM fl WHERE (repo, path) IN (
   SELECT repo, path FROM imps

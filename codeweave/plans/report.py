@@ -151,6 +151,7 @@ def report_lines(idx: CodeIndex, level: str = "firmas", fmt: str = "text",
     each followed by an empty line).  ``active`` (repo, path) restricts the
     files (Markdown subset, A6/F6); totals then count the selected files."""
     validate_level(level)
+    repos = idx.files.select("repo").distinct()
     if active is not None:
         keep = active.select("repo", "path")
         idx = CodeIndex(*(t.join(keep, ["repo", "path"], "left_semi")
@@ -166,7 +167,8 @@ def report_lines(idx: CodeIndex, level: str = "firmas", fmt: str = "text",
     def cnt(df, name):
         return df.groupBy("repo").agg(F.count(F.lit(1)).alias(name))
 
-    tot = (cnt(idx.files, "nf")
+    # a repository without a selected file still has its heading
+    tot = (repos.join(cnt(idx.files, "nf"), "repo", "left")
            .join(cnt(idx.classes, "nc"), "repo", "left")
            .join(cnt(idx.callables.where(F.col("kind") == "method"), "nm"), "repo", "left")
            .join(cnt(idx.callables.where(F.col("kind") == "function"), "nfn"), "repo", "left")

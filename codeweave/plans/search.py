@@ -57,23 +57,24 @@ def library_usage(idx: CodeIndex, lib: str) -> DataFrame:
 # --- R11 / U3 / F4 ---------------------------------------------------------
 def search(idx: CodeIndex, pattern: str) -> DataFrame:
     """Definitions (classes, methods, functions) whose name matches and
-    callables that call something matching (``calls_to``)."""
+    callables that call something matching (``calls_to``).  ``class_ord`` and
+    ``call_ord`` keep the source order (functions have no class)."""
     match = name_matcher(pattern)
     cls = idx.classes.where(match(F.col("name"))).select(
         "repo", "path", F.lit("class").alias("type"), "name", "signature", "line",
         F.lit("definition").alias("category"),
-        F.lit(None).cast("array<string>").alias("calls_to"))
+        F.lit(None).cast("array<string>").alias("calls_to"), "class_ord", F.lit(-1).alias("call_ord"))
     defs = idx.callables.where(match(F.col("name"))).select(
         "repo", "path", "kind", _context().alias("name"), "signature", "line",
         F.lit("definition").alias("category"),
-        F.lit(None).cast("array<string>").alias("calls_to")
+        F.lit(None).cast("array<string>").alias("calls_to"), "class_ord", "call_ord"
     ).withColumnRenamed("kind", "type")
     uses = (idx.callables
             .select("repo", "path", "kind", "class_name", "name", "signature", "line",
-                    F.filter("calls", match).alias("calls_to"))
+                    F.filter("calls", match).alias("calls_to"), "class_ord", "call_ord")
             .where(F.size("calls_to") > 0)
             .select("repo", "path", F.col("kind").alias("type"), _context().alias("name"),
-                    "signature", "line", F.lit("usage").alias("category"), "calls_to"))
+                    "signature", "line", F.lit("usage").alias("category"), "calls_to", "class_ord", "call_ord"))
     return cls.unionByName(defs).unionByName(uses)
 
 

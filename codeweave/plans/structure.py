@@ -196,30 +196,34 @@ def usages(idx: CodeIndex, name: str) -> DataFrame:
 
 
 # --- R9 / A1–A5 / F5 / V13 -------------------------------------------------
+def _totals(idx: CodeIndex) -> DataFrame:
+    """Partial totals: one conditional aggregate per table and repository."""
+    n = lambda cond=None: F.count(F.lit(1) if cond is None else F.when(cond, 1))
+    names = ["total_files", "total_classes", "total_methods", "total_functions", "total_variables", "total_attributes",
+             "error_files"]
+    parts = [(idx.files, {"total_files": n(), "error_files": n(F.col("error").isNotNull())}),
+             (idx.classes, {"total_classes": n()}),
+             (idx.callables, {"total_methods": n(F.col("kind") == "method"), "total_functions": n(F.col("kind") == "function")}),
+             (idx.variables, {"total_variables": n(F.col("scope") == "module"), "total_attributes": n(F.col("scope") == "class")})]
+    out = None
+    for df, found in parts:
+        some = df.groupBy("repo").agg(*[c.alias(k) for k, c in found.items()])
+        some = some.select("repo", *[F.col(k) if k in found else F.lit(0).cast("long").alias(k) for k in names])
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def status_by_repo(idx: CodeIndex) -> DataFrame:
+    """R9 of every repository: one row of totals each."""
+    t = _totals(idx)
+    return t.groupBy("repo").agg(*[F.sum(c).alias(c) for c in t.columns[1:]])
+
+
 def status(idx: CodeIndex, root: str | None = None, analyzed_at: str | None = None) -> DataFrame:
-    """One row of totals.  Built from per-table partial counts combined in a
-    single global aggregate (no join)."""
-    def metric(df: DataFrame, name: str, cond: Column | None = None) -> DataFrame:
-        if cond is not None:
-            df = df.where(cond)
-        return df.select(F.lit(name).alias("m"), F.lit(1).alias("x"))
-
-    parts = (metric(idx.files, "files")
-             .unionByName(metric(idx.classes, "classes"))
-             .unionByName(metric(idx.callables, "methods", F.col("kind") == "method"))
-             .unionByName(metric(idx.callables, "functions", F.col("kind") == "function"))
-             .unionByName(metric(idx.variables, "variables", F.col("scope") == "module"))
-             .unionByName(metric(idx.variables, "attributes", F.col("scope") == "class"))
-             .unionByName(metric(idx.files, "errors", F.col("error").isNotNull())))
-
-    def tot(name: str) -> Column:
-        return F.sum(F.when(F.col("m") == name, F.col("x")).otherwise(0)).cast("long").alias(
-            f"total_{name}" if name != "errors" else "error_files")
-
-    return parts.agg(F.lit(root).cast("string").alias("root"),
-                     F.lit(analyzed_at).cast("string").alias("analyzed_at"),
-                     *[tot(n) for n in ("files", "classes", "methods", "functions",
-                                        "variables", "attributes", "errors")])
+    """One row of totals over all repositories."""
+    t = _totals(idx)
+    return t.agg(F.lit(root).cast("string").alias("root"), F.lit(analyzed_at).cast("string").alias("analyzed_at"),
+                 *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in t.columns[1:]])
 
 
 def error_files(idx: CodeIndex) -> DataFrame:

@@ -30,6 +30,7 @@ from .sources.generated import generate_corpus
 USAGE_NAME = "part_1"
 LIBRARY = "lib_1"
 LIBRARIES = ["lib_2", "lib_3"]
+HIT_LIBRARIES = ["lib_2", "supp_1"]
 SEARCH_TERM = "order_1"
 SEARCH_GLOB = "*_order_1?"
 SUBTREE = "src/nation_1"
@@ -231,6 +232,16 @@ def library_usage_by_file(spark, d):
         _j("first_calls").alias("first_calls"), _big("more_calls"))
 
 
+def library_hits_multi(spark, d):
+    return V.library_hits_multi(index_for(spark, d), HIT_LIBRARIES).select(
+        "lib", "repo", "path", "import_module", _big("n_calls"),
+        _j("first_calls").alias("first_calls"), _big("more_calls"))
+
+
+def status_by_repo(spark, d):
+    return Q.status_by_repo(index_for(spark, d))
+
+
 def library_union_files(spark, d):
     return V.library_union_files(index_for(spark, d), LIBRARIES)
 
@@ -276,13 +287,13 @@ def url_folder_rollup(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet")
     path = F.regexp_replace(F.regexp_extract("url", URL_PARTS, 2), r"^/+|/+$", "")
     tree = pages.select(F.regexp_extract("url", URL_PARTS, 1).alias("repo"),
-                        path.alias("path")).where(F.col("path") != "")
-    tree = tree.select("repo", "path", F.coalesce(F.nullif(
-        F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lit("")), F.lit(".")).alias("folder"))
-    active = pages.where(F.col("url").startswith("https:")).select(
-        F.regexp_extract("url", URL_PARTS, 1).alias("repo"),
-        F.regexp_replace(F.regexp_extract("url", URL_PARTS, 2), r"^/+|/+$", "").alias("path"))
-    return V.folder_rollup_of(tree, active.distinct()).select(
+                        path.alias("path"), F.col("url").startswith("https:").alias("https")).where(F.col("path") != "")
+    # a path counts as active when any of its URLs is https
+    paths = tree.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"), F.max("https").alias("active"))
+    folder = F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))
+    per_folder = paths.groupBy("repo", folder.alias("folder")).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("active"), F.col("n")).otherwise(0)).alias("a"))
+    return V.rollup_counts(per_folder).select(
         "repo", "folder", _big("n_files"), _big("n_active"), _big("depth"))
 
 
@@ -343,6 +354,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "symbols_per_file": symbols_per_file,
     "library_usage": library_usage,
     "library_usage_by_file": library_usage_by_file,
+    "library_hits_multi": library_hits_multi,
+    "status_by_repo": status_by_repo,
     "library_union_files": library_union_files,
     "search_substring": _search(SEARCH_TERM),
     "search_glob": _search(SEARCH_GLOB),
