@@ -150,7 +150,7 @@ def _raw_branch(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         _rx(F.col("s"), C_DEFINE, 1).alias("name"),
         F.lit("#define").alias("type"),
         F.when(dval != "", dval).alias("value"),
-        F.lit(0).alias("line"), F.lit(0).alias("ref_line"))
+        (F.col("ln") + 1).alias("line"), F.lit(0).alias("ref_line"))
     # Dart: imports then exports, matched over the whole raw text
     dart = d.where(F.col("d") == "dart")
     imps = F.arrays_zip(

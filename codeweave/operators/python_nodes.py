@@ -38,8 +38,9 @@ def node_records(tree: ast.Module) -> list[dict]:
     """Records in source order.  ``parent`` is the nearest recorded ancestor
     (-1: the module) and ``field`` the way from it (``body``, ``If.body``,
     ``arguments.args``); the descendants of a record are those after it up to
-    ``upto``.  ``text`` is the source of an expression, of a call's function, of
-    an argument's annotation, or a leading string statement's value."""
+    ``upto``.  ``text`` is the source of an expression or of an argument's
+    annotation, or a leading string statement's value; a call's ``name`` is the
+    source of its function."""
     out: list[dict] = []
     todo: list[tuple[ast.AST, int, int, str, int]] = [(tree, -1, 0, "", 0)]
     while todo:
@@ -53,9 +54,7 @@ def node_records(tree: ast.Module) -> list[dict]:
             inside = len(out), ""
             out.append({"at": len(out), "upto": len(out), "parent": parent, "depth": depth, "field": way, "pos": pos,
                         "kind": "Docstring" if string else type(node).__name__,
-                        "name": next((getattr(node, a) for a in ("name", "arg", "id", "attr", "module")
-                                      if isinstance(getattr(node, a, None), str)), None),
-                        "line": getattr(node, "lineno", None), "text": _text(node, string)})
+                        "name": _name(node), "line": getattr(node, "lineno", None), "text": _text(node, way, string)})
         children = []
         for field, value in ast.iter_fields(node):
             for i, child in enumerate(value if isinstance(value, list) else [value]):
@@ -70,14 +69,19 @@ def node_records(tree: ast.Module) -> list[dict]:
     return out
 
 
-def _text(node: ast.AST, string: bool) -> str | None:
-    if string:
-        return node.value.value
+def _name(node: ast.AST) -> str | None:
     if isinstance(node, ast.Call):
         return ast.unparse(node.func)
+    return next((getattr(node, a) for a in ("name", "arg", "id", "attr", "module")
+                 if isinstance(getattr(node, a, None), str)), None)
+
+
+def _text(node: ast.AST, way: str, string: bool) -> str | None:
+    if string:
+        return node.value.value
     if isinstance(node, ast.arg):
         return ast.unparse(node.annotation) if node.annotation else None
-    return ast.unparse(node) if isinstance(node, ast.expr) else None
+    return ast.unparse(node) if isinstance(node, ast.expr) and way in _FIELDS else None
 
 
 def parse(text: str, path: str) -> tuple[str | None, list[dict]]:

@@ -94,7 +94,7 @@ def calls(nodes: Column) -> Column:
     """Names of the calls below, each once, in source order.  A name is the
     dotted end of the function's source: nothing for a call of a call."""
     names = F.transform(F.filter(nodes, lambda n: n["kind"] == "Call"),
-                        lambda n: F.regexp_extract(n["text"], r"(?U)([^\W\d]\w*(?:\.\w+)*)$", 1))
+                        lambda n: F.regexp_extract(n["name"], r"(?U)([^\W\d]\w*(?:\.\w+)*)$", 1))
     skip = F.array(*[F.lit(x) for x in EXCLUDED_CALLS])
     return F.array_distinct(F.filter(names, lambda n: (n != "") & ~F.array_contains(skip, n)))
 

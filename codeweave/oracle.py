@@ -10,6 +10,7 @@ the dialect's call-name grammar, free functions, variables and imports.
 from __future__ import annotations
 
 from .functions.config import WORDS_EN, WORDS_ES
+from .oracle_features import feature_sql
 
 PRELUDE = r"""
 WITH cu AS (
@@ -453,7 +454,7 @@ fj AS (
 vj AS (
   SELECT repo, path,
          '[' || CASE WHEN lang = 'cpp' THEN '{"ord":0,"name":"NATION_' || c ||
-                     '","type":"#define","value":"' || n || '","line":0},{"ord":1,"name":"LIMIT",' ||
+                     '","type":"#define","value":"' || n || '","line":2},{"ord":1,"name":"LIMIT",' ||
                      '"type":"int","value":"' || c || '","line":3}'
                      ELSE '{"ord":0,"name":"LIMIT",' ||
                           CASE WHEN lang = 'dart' THEN '"type":"int",' ELSE '' END ||
@@ -693,4 +694,4 @@ FROM per"""
         q[f"report_text_{level}"] = _report_sql(level)
     q["report_markdown"] = _markdown_sql("firmas")
     q["report_json"] = _json_sql()
-    return q
+    return q | feature_sql()

@@ -24,6 +24,7 @@ from .plans import search as S
 from .plans import structure as Q
 from .session import checkpoint_dir, spread
 from .sources.corpus import classify, read_table, write_corpus
+from .sources.features import feature_corpus
 from .sources.generated import generate_corpus
 
 # Parameters of the parameterised operators (the search terms themselves).
@@ -39,6 +40,15 @@ EXCLUDED_REGION = "AMERICA"
 _CACHE: dict[tuple, object] = {}
 
 
+def features_for(spark: SparkSession, sf_dir: str) -> CodeIndex:
+    """The index of the feature corpus, a snapshot below the checkpoint folder."""
+    key = ("features", spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _CACHE:
+        snap = f"{checkpoint_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+        _CACHE[key] = build_index(feature_corpus(spark, sf_dir), save_to=snap)
+    return _CACHE[key]
+
+
 def corpus_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered corpus, written once as Parquet below the session's
     checkpoint folder (cuts the rendering lineage; every extractor branch
@@ -278,6 +288,34 @@ def naming_language_by_file(spark, d):
         "repo", "path", _big("es"), _big("en"), "mixed")
 
 
+# ------------------------------------------------------ the feature corpus
+def classes_all_kinds(spark, d):
+    return features_for(spark, d).classes.select(
+        "repo", "path", _big("class_ord"), "name", "signature", _j("bases").alias("bases"), _big("line"))
+
+
+def callables_all_kinds(spark, d):
+    return features_for(spark, d).callables.select(
+        "repo", "path", "class_name", _big("call_ord"), "kind", "name", "signature", "docstring",
+        _j("decorators").alias("decorators"), "is_async", _j("calls").alias("calls"), _big("line"))
+
+
+def variables_all_kinds(spark, d):
+    return features_for(spark, d).variables.select(
+        "repo", "path", "scope", "class_name", _big("ord"), "name", "type", "value", _big("line"))
+
+
+def imports_all_kinds(spark, d):
+    return features_for(spark, d).imports.select(
+        "repo", "path", _big("ord"), "module", _j("names").alias("names"), "is_from")
+
+
+def class_detail_by_repo(spark, d):
+    """L1: the class ``Shared`` is defined in every file; each repository answers its first."""
+    return Q.class_detail(features_for(spark, d), "Shared").select(
+        "repo", "path", "member_kind", _big("member_ord"), "name", _big("line"))
+
+
 # ------------------------------------------------------ real-data checks
 URL_PARTS = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)([^?#]*)"
 
@@ -356,6 +394,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "library_usage_by_file": library_usage_by_file,
     "library_hits_multi": library_hits_multi,
     "status_by_repo": status_by_repo,
+    "classes_all_kinds": classes_all_kinds,
+    "callables_all_kinds": callables_all_kinds,
+    "variables_all_kinds": variables_all_kinds,
+    "imports_all_kinds": imports_all_kinds,
+    "class_detail_by_repo": class_detail_by_repo,
     "library_union_files": library_union_files,
     "search_substring": _search(SEARCH_TERM),
     "search_glob": _search(SEARCH_GLOB),
