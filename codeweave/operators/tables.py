@@ -142,11 +142,16 @@ def build_index(corpus: DataFrame, persist: bool = False,
 
 
 def save_index(idx: CodeIndex, path: str) -> None:
-    """Full rebuild, no merge — every table is overwritten."""
+    """Full rebuild, no merge — every table is overwritten.  Tables are
+    partitioned by language, so a language filter prunes whole folders."""
     for name, df in idx.tables().items():
-        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        df.write.mode("overwrite").partitionBy("lang").parquet(f"{path.rstrip('/')}/{name}")
+
+
+_COLUMNS = {"files": FILE_COLS, "imports": IMPORT_COLS, "classes": CLASS_COLS, "callables": CALLABLE_COLS,
+            "variables": VAR_COLS}
 
 
 def load_index(spark: SparkSession, path: str) -> CodeIndex:
     """A saved snapshot; a missing one raises ``AnalysisException``."""
-    return CodeIndex(**{t: spark.read.parquet(f"{path.rstrip('/')}/{t}") for t in TABLES})
+    return CodeIndex(**{t: spark.read.parquet(f"{path.rstrip('/')}/{t}").select(*_COLUMNS[t]) for t in TABLES})

@@ -63,12 +63,12 @@ def corpus_for(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_for(spark: SparkSession, sf_dir: str) -> CodeIndex:
     """The index of the corpus rendered from ``sf_dir``, built once per
-    session, written as a snapshot below ``spark.checkpoint.dir`` and cached
-    from there (lost blocks are re-read from the snapshot)."""
+    session, written as a snapshot below ``spark.checkpoint.dir`` by language
+    and read from there: a query scans the columns and languages it needs."""
     key = ("index", spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
         snap = f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-        _CACHE[key] = build_index(corpus_for(spark, sf_dir), persist=True, save_to=snap)
+        _CACHE[key] = build_index(corpus_for(spark, sf_dir), save_to=snap)
     return _CACHE[key]
 
 

@@ -40,3 +40,19 @@ def test_first_match_is_combined_map_side(spark):
 def test_no_cartesian_or_nested_loop_joins(spark, name):
     p = plan(queries()[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_snapshot_is_pruned_by_language(spark):
+    idx = suite.index_for(spark, SF)
+    p = plan(idx.callables.where(F.col("lang") == "js").select("calls"))
+    assert "PartitionFilters: [isnotnull(lang" in p and "ReadSchema: struct<calls:array<string>>" in p
+
+
+def test_a_single_symbol_is_filtered_at_the_scan(spark):
+    p = plan(Q.calls_of(suite.index_for(spark, SF), "Cust5.get_order_1"))
+    assert "EqualTo(name,get_order_1)" in p
+
+
+def test_rollup_counts_folders_before_it_expands_them(spark):
+    p = plan(queries()["folder_rollup"](spark, SF))
+    assert p.index("Generate") < p.rindex("HashAggregate")
