@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -61,10 +61,36 @@ def partitions_for(df: DataFrame, bytes_each: int = 64 << 20, expand: float = 3.
     return max(least, min(1_000_000, int(estimated_bytes(df) * expand / bytes_each)))
 
 
+#: Rows and bytes of the Arrow batches that carry whole texts to Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows are whole texts, so Spark's default of 10,000 to a batch is no bound
+    on memory: lower the session's limits, never raise them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def text_of(batch: pa.RecordBatch, text: str) -> pa.Array:
+    """The texts of a batch: its column ``t``, else the field of its ``row``."""
+    return column_of(batch, "t") if "t" in batch.schema.names else column_of(batch, "row").field(text)
+
+
+def rows_with_text(docs: DataFrame, text: str, keep: list[str] | None, *more: Column) -> DataFrame:
+    """``row`` (the columns ``keep``, all by default), ``more`` and, unless the row has it, the text as ``t``."""
+    row = F.struct(*(keep if keep is not None else ["*"])).alias("row")
+    return docs.select(row, *more, *([] if keep is None or text in keep else [F.col(f"`{text}`").alias("t")]))
+
+
 def spread(df: DataFrame, expand: float = 3.0) -> DataFrame:
     """Deal a small input out over the cores when it is one file; a larger one
-    keeps its splits (``REBALANCE`` leaves the count to adaptive execution)."""
+    keeps its splits.  Bounds the Arrow batches of what follows."""
     spark = df.sparkSession
+    bound_batches(spark)
     size = estimated_bytes(df)
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes"))

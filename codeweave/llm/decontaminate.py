@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, column_of, emit, raw_texts, spread
+from .common import by_value, column_of, raw_texts, rows_with_text, spread, text_of
 
 by_value(__name__)
 
@@ -123,15 +123,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     (maximal runs of hit words: first word, number), ``longest`` (words of the
     longest verbatim match), ``contaminated``.
     """
-    out = spread(docs.select(F.struct(*(keep if keep is not None else ["*"])).alias("row"),
-                             F.col(f"`{text}`").alias("t")))
+    out = spread(rows_with_text(docs, text, keep))
+    own = "t" in out.columns  # else the text is a field of the row
     row = out.schema["row"].dataType.simpleString()
     found = "n_words long, hits array<struct<start:long,size:long>>, items array<string>, longest long"
     blocks = list(blocks_of(benchmark, item_id, item_text, window)) or [Benchmark([], window)]
     for number, bench in enumerate(blocks):
         final = number == len(blocks) - 1
-        out = out.mapInArrow(_pass(out.sparkSession.sparkContext.broadcast(bench), final),
-                             f"row {row}, {found}" + ", t string" * (not final))
+        out = out.mapInArrow(_pass(out.sparkSession.sparkContext.broadcast(bench), text, final),
+                             f"row {row}, {found}" + ", t string" * (own and not final))
     return out.select("row", "n_words", F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["size"]).alias("n_hit"),
                       "items", F.col("hits").alias("spans"), "longest", (F.size("hits") > 0).alias("contaminated"))
 
@@ -152,7 +152,7 @@ def blocks_of(benchmark: DataFrame, item_id: str, item_text: str, window: int) -
         yield Benchmark(block, window)
 
 
-def _pass(sent, final: bool):
+def _pass(sent, text: str, final: bool):
     """A pass over the documents for one block; texts go on to the next pass."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
 
@@ -191,14 +191,14 @@ def _pass(sent, final: bool):
                 longest.append(max(old_longest or 0, int(match[mine].max())))
             columns = {"row": column_of(part, "row"), "n_words": pa.array(sizes), "hits": pa.array(hits, span),
                        "items": pa.array(items, pa.list_(pa.string())), "longest": pa.array(longest, pa.int64())}
-            if not final:
+            if not final and "t" in part.schema.names:
                 columns["t"] = column_of(part, "t")
             return pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
         get, zero = bench.number.get, itertools.repeat(0)
         for batch in batches:
             words, begin, size = [], 0, 0
-            for i, raw in enumerate(raw_texts(column_of(batch, "t"))):
+            for i, raw in enumerate(raw_texts(text_of(batch, text))):
                 found = words_of(raw)
                 words.append(np.fromiter(map(get, found, zero), np.uint32, len(found)))
                 size += len(raw or b"")

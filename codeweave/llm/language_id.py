@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, column_of, raw_texts, spread
+from .common import by_value, column_of, raw_texts, rows_with_text, spread, text_of
 
 by_value(__name__)
 
@@ -201,8 +201,8 @@ def identify(docs: DataFrame, usable: Column, text: str = "text", lang: str = "l
     """Train on the rows where ``usable`` holds and predict every row: ``row``
     (the columns ``keep``, all by default), ``lang_pred``, ``score``."""
     samples = training_rows(docs, usable, text, lang, id_col)
-    rows = spread(docs.select(F.struct(*(keep if keep is not None else ["*"])).alias("row"), F.col(f"`{text}`").alias("t"),
-                              F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")))
+    has_letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
+    rows = spread(rows_with_text(docs, text, keep, has_letter))
     row = rows.schema["row"].dataType.simpleString()
     net = train(samples) if samples else None
 
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, usable: Column, text: str = "text", lang: str = "l
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
                 has = np.array(column_of(batch, "has_letter").to_pylist(), bool) & (net is not None)
-                texts = [t for t, ok in zip(raw_texts(column_of(batch, "t")), has, strict=True) if ok]
+                texts = [t for t, ok in zip(raw_texts(text_of(batch, text)), has, strict=True) if ok]
                 names, scores = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch))
                 if texts:
                     p = pool(net, texts)

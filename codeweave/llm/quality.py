@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, column_of, raw_texts, spread, store
+from .common import by_value, column_of, raw_texts, rows_with_text, spread, store, text_of
 
 by_value(__name__)
 
@@ -67,12 +67,12 @@ def statistics(raw: bytes | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, text: str, keep: list[str] | None) -> DataFrame:
-    rows = spread(docs.select(F.struct(*(keep if keep is not None else ["*"])).alias("row"), F.col(f"`{text}`").alias("t")))
+    rows = spread(rows_with_text(docs, text, keep))
     row = rows.schema["row"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = [statistics(raw) for raw in raw_texts(column_of(batch, "t"))]
+            stats = [statistics(raw) for raw in raw_texts(text_of(batch, text))]
             yield pa.RecordBatch.from_arrays([column_of(batch, "row"), pa.array(stats, pa.list_(pa.float64()))],
                                              names=["row", "stats"])
 

@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, column_of, connected_components, emit, raw_texts, spread, store, who
+from .common import (by_value, column_of, connected_components, emit, raw_texts, rows_with_text, spread, store, text_of,
+                     who)
 
 by_value(__name__)
 
@@ -70,12 +71,12 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
                  shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """The columns ``keep`` (all by default) as the struct ``row``, and ``fp``:
     the fingerprint's 64 bits as a signed long.  Null text: no words."""
-    rows = docs.select(F.struct(*(keep if keep is not None else ["*"])).alias("row"), F.col(f"`{text}`").alias("t"))
+    rows = rows_with_text(docs, text, keep)
     names, kinds = ["row", "fp"], f"row {rows.schema['row'].dataType.simpleString()}, fp long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(x, shingle, seed) for x in raw_texts(column_of(batch, "t"))), np.uint64, len(batch))
+            fps = np.fromiter((simhash(x, shingle, seed) for x in raw_texts(text_of(batch, text))), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([column_of(batch, "row"), pa.array(fps.view(np.int64))], names=names)
 
     return rows.mapInArrow(task, kinds)

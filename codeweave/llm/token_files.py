@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, column_of, emit, partitions_for, scratch_path, store
+from .common import bound_batches, by_value, column_of, emit, partitions_for, scratch_path, store
 from .tokens import encoder
 
 by_value(__name__)
@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     shards before it), stored.  One exchange: the texts, by ranges of the id.
     Null text counts as empty.  Shards are of about equal numbers of documents.
     """
-    spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     samples = rows.select(F.xxhash64("t").alias("h"), F.substring("t", 1, SAMPLE_CHARS).alias("t")) \
         .orderBy("h").limit(SAMPLE_DOCS).select("t").toArrow().column("t").to_pylist()

@@ -21,7 +21,7 @@ from .common import by_value
 by_value(__name__)
 
 #: Entries in one generation of the memory, and the longest part that is remembered (characters).
-PARTS, LONGEST = 400_000, 40
+PARTS, LONGEST = 300_000, 40
 CLOSING = ".,;:!?%&*$#|"
 #: A run of letters before closing punctuation or white space, else all up to the next white space, each with the
 #: white space before it; or closing white space.  (The dotted capital I is left out: its lower case ends in a mark.)
