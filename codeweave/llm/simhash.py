@@ -14,8 +14,9 @@ from parity, without losing a pair:
 
 So an even fingerprint emits 1 + 64 + 992 variants, an odd one 64: 560 on
 average, in proportion to the number of distinct fingerprints at every scale.
-They travel packed: one row per task and bucket holds sorted 64-bit variants
-and 16-bit flip codes (the owner is the variant with the flips undone).
+They travel packed: one row per task and bucket holds the steps between its
+sorted variants and their flip codes, compressed (the owner is the variant with
+the flips undone).
 
 Fingerprints that meet on a variant are linked to one of them that is at most
 one flip away (then all are within 3 bits of it), so a meeting of many gives a
@@ -31,6 +32,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,21 @@ def _flip_masks() -> np.ndarray:
     return np.array([0, *one, *two], np.uint64)
 
 
+_SPREAD, _UNSPREAD = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte of their width (high bytes of steps are nearly all zero), compressed."""
+    width = numbers.dtype.itemsize
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, width).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def variants(fps: DataFrame, buckets: int) -> DataFrame:
     """Packed variants of ``fps (fp)``: ``bucket, variants, codes`` (binary)."""
     schema = pa.schema([("bucket", pa.int64()), ("variants", pa.binary()), ("codes", pa.binary())])
@@ -102,15 +119,16 @@ def variants(fps: DataFrame, buckets: int) -> DataFrame:
             odd = (np.bitwise_count(some) & 1).astype(bool)
             v = np.concatenate([(some[~odd, None] ^ masks).ravel(), (some[odd, None] ^ masks[1:65]).ravel()])
             c = np.concatenate([np.tile(codes, (~odd).sum()), np.tile(codes[1:65], odd.sum())])
-            # top 32 bits of a multiplicative hash, scaled to the number of buckets
-            to = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.argsort(to.astype(np.uint16) if buckets < 65536 else to, kind="stable")
-            to, v, c = to[order], v[order], c[order]
+            # a multiplicative hash, which can be undone; its top bits tell the bucket
+            x = v * np.uint64(_SPREAD)
+            order = np.argsort(x)
+            x, c = x[order], c[order]
+            to = (x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             ends = np.append(np.flatnonzero(np.diff(to)) + 1, len(to)).tolist()
             starts = [0, *ends[:-1]]
             spans = list(zip(starts, ends, strict=True))
-            return emit({"bucket": to[starts].astype(np.int64), "variants": [v[a:b].tobytes() for a, b in spans],
-                         "codes": [c[a:b].tobytes() for a, b in spans]}, schema)
+            return emit({"bucket": to[starts].astype(np.int64), "variants": [_packed(np.diff(x[a:b], prepend=np.uint64(0))) for a, b in spans],
+                         "codes": [_packed(c[a:b]) for a, b in spans]}, schema)
 
         for batch in batches:
             waiting = np.concatenate([waiting, column_of(batch, "fp").to_numpy().view(np.uint64)])
@@ -128,8 +146,8 @@ def meet(packed: DataFrame, radius: int = RADIUS) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(table: pa.Table) -> pa.Table:
-        v = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["variants"]])
-        c = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table["codes"]])
+        v = np.concatenate([np.cumsum(_unpacked(x.as_py(), np.uint64)) for x in table["variants"]]) * np.uint64(_UNSPREAD)
+        c = np.concatenate([_unpacked(x.as_py(), np.uint16) for x in table["codes"]])
         order = np.argsort(v)
         v, c = v[order], c[order]
         same = v[1:] == v[:-1]
