@@ -48,7 +48,7 @@ LEFT = MATCH - GRAM  # an anchor is at most so many bytes behind its window's st
 CHUNK = 1 << 18  # bytes hashed at once
 TEXTS_AT_ONCE = 500
 #: Anchors and entries in a bucket of an exchange, and entries in a run, on average.
-ANCHORS, ENTRIES, RUN = 400_000, 80_000, 30_000
+ANCHORS, ENTRIES, RUN = 200_000, 25_000, 12_000
 HASH_BYTES, ROW = 8, 8 + MATCH + LEFT + 2
 _BASE, _INVERSE, _MIX = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 0xD6E8FEB86659FD93
 
