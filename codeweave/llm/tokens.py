@@ -55,7 +55,8 @@ class Memory:
 
 
 class Encoder:
-    """``encode(texts)``: little-endian unsigned 32-bit ids of each text, without special tokens."""
+    """``encode(texts)``: little-endian unsigned 32-bit ids of each text, those of the library with
+    ``add_special_tokens=False``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
@@ -63,17 +64,22 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library gives their ids for these strings wherever they stand in a text, so a text with one is not cut
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.folds = ids(" A") == ids("a")  # white space dropped, lower case
         # a single word needs no splitting: its bytes, as the vocabulary writes them, go to the model at once
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.model, self.word = self.tokenizer.model, _FOLDED if self.folds else _WORD
+        if any(map(self.word.fullmatch, self.added)):  # a word might hold such a token
+            self.word = re.compile("(?!)")
         self.spelling = {i: spell(chr(i))[0][0] for i in [32, *range(0xC0, 0x100)]}
         self.memory = Memory(PARTS)
 
     def parts(self, text: str) -> list[str]:
-        """Cut before white space, and before closing punctuation after a letter or digit."""
+        """Cut before white space, and before closing punctuation after a letter or digit; whole with an added token."""
+        if any(content in text for content in self.added):
+            return [text]
         if not _LATIN.fullmatch(text.encode().translate(None, _SIMPLE).decode()) or not self.folds and (
                 "  " in text or "\n\n" in text or " \n" in text or "\n " in text):
             return [text] if _SEPARATORS.search(text) else _PARTS.findall(text)

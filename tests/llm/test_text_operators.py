@@ -44,6 +44,23 @@ def test_parts_give_the_ids_of_the_whole_text(path):
         e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_ids_are_those_of_the_untouched_library(spark, path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(6)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", " ", "\n", "  ", "Page", " one", ".", "é", "12"]
+    texts = ["end of page <|endoftext|> next", "<|endoftext|>", "a<|startoftext|><|endoftext|>b", "plain words, only."]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.choice([3, 10, 40]))) for _ in range(500)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert any(x in ids for ids in want for x in (49407, 50256))
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path).encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.token_files(docs, path, 1).collect()}
+    assert got == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes())) for i, ids in enumerate(want)}
+
+
 def test_token_files_round_trip(spark, odd, none):
     got = token_files.token_files(odd, WORD, 1).collect()
     rows = sorted(((r["doc_id"] is not None, r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got), key=lambda r: r[2])
