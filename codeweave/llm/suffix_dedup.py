@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, column_of, drop_stored, raw_texts, spread, store
+from .common import by_value, column_of, drop_stored, raw_texts, rows_with_text, spread, store, text_of
 
 by_value(__name__)
 
@@ -125,7 +125,7 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-_HASHED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("k1", pa.binary()), ("k2", pa.binary()), ("entries", pa.binary())])
+_HASHED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("k", pa.binary()), ("entries", pa.binary())])
 _ENTRY = np.dtype([("h", "<u8"), ("place", "<u4"), ("lo", "u1"), ("hi", "u1"), ("twice", "u1")])
 
 
@@ -137,11 +137,11 @@ def _sql(schema: pa.Schema) -> str:
 def hashed_anchors(keyed: DataFrame, buckets: int) -> DataFrame:
     """Packed anchors by bucket of their hash: kind 0, one of each hash in a
     part; kind 1, anchors whose hash was met before in the part (dealt out by
-    document, as nothing remains to be found for them)."""
+    row, as nothing remains to be found for them: copies of a text lie apart)."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors()
         for batch in (whole.slice(at, TEXTS_AT_ONCE) for whole in batches for at in range(0, len(whole), TEXTS_AT_ONCE)):
-            k1, k2 = column_of(batch, "k1").to_numpy(), column_of(batch, "k2").to_numpy()
+            k = column_of(batch, "k").to_numpy()
             texts = [t or b"" for t in raw_texts(column_of(batch, "t"))]
             for text, place, h, lo, hi in finder.of(texts):
                 order = np.argsort(h, kind="stable")
@@ -156,32 +156,31 @@ def hashed_anchors(keyed: DataFrame, buckets: int) -> DataFrame:
                     mine = np.flatnonzero(new if kind == 0 else twice)
                     if not len(mine):
                         continue
-                    to = _bucket(h[mine], buckets) if kind == 0 else k2[text[mine]] % buckets
+                    to = _bucket(h[mine], buckets) if kind == 0 else k[text[mine]] % buckets
                     order = np.argsort(to, kind="stable")
                     mine, to = mine[order], to[order]
                     cuts = np.append(np.flatnonzero(np.append(True, np.diff(to) != 0)), len(to))
                     out = {n: [] for n in _HASHED.names}
                     for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                         part = mine[x:y]
-                        for n, v in zip(_HASHED.names, (int(to[x]), kind, k1[text[part]].tobytes(), k2[text[part]].tobytes(),
-                                                        entry[part].tobytes()), strict=True):
+                        for n, v in zip(_HASHED.names, (int(to[x]), kind, k[text[part]].tobytes(), entry[part].tobytes()), strict=True):
                             out[n].append(v)
                     yield pa.RecordBatch.from_pydict(out, schema=_HASHED)
 
     return keyed.mapInArrow(task, _sql(_HASHED))
 
 
-_PLACES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("places", pa.binary())])
+_PLACES = pa.schema([("k", pa.int64()), ("places", pa.binary())])
 _PLACE = np.dtype([("place", "<u4"), ("lo", "u1"), ("hi", "u1")])
 
 
-def _by_document(k1: np.ndarray, k2: np.ndarray, rows: np.ndarray, schema: pa.Schema) -> pa.Table:
-    order = np.lexsort((k2, k1))
-    k1, k2, rows = k1[order], k2[order], rows[order]
-    new = np.flatnonzero(np.append(True, (np.diff(k1) != 0) | (np.diff(k2) != 0))) if len(k1) else np.empty(0, np.int64)
-    cuts = np.append(new, len(k1)).tolist()
-    return pa.table([pa.array(k1[new]), pa.array(k2[new]),
-                     pa.array([rows[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
+def _by_document(k: np.ndarray, rows: np.ndarray, schema: pa.Schema) -> pa.Table:
+    order = np.argsort(k, kind="stable")
+    k, rows = k[order], rows[order]
+    new = np.flatnonzero(np.append(True, np.diff(k) != 0)) if len(k) else np.empty(0, np.int64)
+    cuts = np.append(new, len(k)).tolist()
+    return pa.table([pa.array(k[new]), pa.array([rows[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
+                    schema=schema)
 
 
 def repeated_anchors(hashed: DataFrame) -> DataFrame:
@@ -191,25 +190,24 @@ def repeated_anchors(hashed: DataFrame) -> DataFrame:
             np.frombuffer(x.as_buffer(), kind) for x, w in zip(table[n], where, strict=True) if w)])
         kinds = np.array(table["kind"].to_pylist())
         asks, told = kinds == 0, kinds == 1
-        e, k1, k2 = read("entries", _ENTRY, asks), read("k1", np.int64, asks), read("k2", np.int64, asks)
+        e, k = read("entries", _ENTRY, asks), read("k", np.int64, asks)
         order = np.argsort(e["h"], kind="stable")
         h = e["h"][order]
         same = h[1:] == h[:-1]
         again = np.empty(len(h), bool)
         again[order] = np.append(same, False) | np.append(False, same) if len(h) else False
         again &= e["twice"] == 0  # those that their own task met twice are among the told ones
-        e, k1, k2 = (np.concatenate([x[again], y]) for x, y in (
-            (e, read("entries", _ENTRY, told)), (k1, read("k1", np.int64, told)), (k2, read("k2", np.int64, told))))
+        e, k = (np.concatenate([x[again], y]) for x, y in ((e, read("entries", _ENTRY, told)), (k, read("k", np.int64, told))))
         rows = np.empty(len(e), _PLACE)
         for n in _PLACE.names:
             rows[n] = e[n]
-        return _by_document(k1, k2, rows, _PLACES)
+        return _by_document(k, rows, _PLACES)
 
     return hashed.groupBy("bucket").applyInArrow(task, _sql(_PLACES))
 
 
-_RUNS = pa.schema([("bucket", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("body", pa.binary())])
-_OWNER = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("place", "<u4"), ("twice", "u1")])
+_RUNS = pa.schema([("bucket", pa.int64()), ("k", pa.int64()), ("body", pa.binary())])
+_OWNER = np.dtype([("k", "<i8"), ("place", "<u4"), ("twice", "u1")])
 _SPAN = np.dtype([("first", "<u4"), ("last", "<u4")])
 
 
@@ -311,16 +309,16 @@ def sorted_runs(texts: DataFrame, buckets: int) -> DataFrame:
         spans = np.empty(twice.sum(), _SPAN)
         spans["first"] = owners["place"][twice] - rows[twice, -1]
         spans["last"] = owners["place"][twice] - rows[twice, -2]
-        known = _by_document(owners["k1"][twice], owners["k2"][twice], spans, _PLACES)
-        for k1, k2, body in zip(*(c.to_pylist() for c in known.columns), strict=True):
-            yield {"bucket": -1, "k1": k1, "k2": k2, "body": body}
+        known = _by_document(owners["k"][twice], spans, _PLACES)
+        for k, body in zip(*(c.to_pylist() for c in known.columns), strict=True):
+            yield {"bucket": -1, "k": k, "body": body}
         owners = owners.copy()
         owners["twice"] = twice
         rows, owners = rows[new], owners[new]
         to = _bucket(np.ascontiguousarray(rows[:, :HASH_BYTES]).view(">u8").ravel().astype(np.uint64), buckets)
         cuts = np.append(np.flatnonzero(np.append(True, np.diff(to) != 0)), len(to)).tolist()
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            yield {"bucket": int(to[x]), "k1": 0, "k2": 0, "body": front_coded(rows[x:y], owners[x:y])}
+            yield {"bucket": int(to[x]), "k": 0, "body": front_coded(rows[x:y], owners[x:y])}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers(_BASE, GRAM)
@@ -328,7 +326,7 @@ def sorted_runs(texts: DataFrame, buckets: int) -> DataFrame:
         held = 0
         around = np.arange(-LEFT, MATCH)
         for batch in batches:
-            k1, k2, places = (column_of(batch, n) for n in ("k1", "k2", "places"))
+            k, places = column_of(batch, "k"), column_of(batch, "places")
             for i, raw in enumerate(raw_texts(column_of(batch, "t"))):
                 p = np.concatenate([np.frombuffer(x.as_buffer(), _PLACE) for x in places[i].values])
                 data = np.frombuffer(bytes(LEFT) + (raw or b"") + bytes(MATCH), np.uint8)
@@ -339,7 +337,7 @@ def sorted_runs(texts: DataFrame, buckets: int) -> DataFrame:
                     rows = np.hstack([h.astype(">u8").view(np.uint8).reshape(-1, 8), near[:, LEFT:], near[:, :LEFT],
                                       some["lo"][:, None], some["hi"][:, None]])
                     owner = np.zeros(len(some), _OWNER)
-                    owner["k1"], owner["k2"], owner["place"] = k1[i].as_py(), k2[i].as_py(), some["place"]
+                    owner["k"], owner["place"] = k[i].as_py(), some["place"]
                     waiting.append((rows, owner))
                     held += len(some)
                     if held >= RUN:
@@ -398,7 +396,7 @@ def marks(runs: DataFrame) -> DataFrame:
         twice = (np.repeat(counts, counts) > 1) & (owners["twice"] == 0)
         lo, hi = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
         place = owners["place"].astype(np.int64)
-        k1, k2, begin, end = ([owners["k1"][twice]], [owners["k2"][twice]], [(place - hi)[twice]], [(place - lo)[twice]])
+        k, begin, end = [owners["k"][twice]], [(place - hi)[twice]], [(place - lo)[twice]]
         # one of each, also those settled before: they are what others may agree with
         known = (counts > 1) | (owners["twice"][first] == 1)
         u = rows[first]
@@ -409,13 +407,12 @@ def marks(runs: DataFrame) -> DataFrame:
         step = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         which, low = np.nonzero(step == 1)
         _, high = np.nonzero(step == -1)  # offsets low ... high - 1
-        k1.append(owners["k1"][first[which]])
-        k2.append(owners["k2"][first[which]])
+        k.append(owners["k"][first[which]])
         begin.append(place[first[which]] - high + 1)
         end.append(place[first[which]] - low)
         spans = np.empty(sum(map(len, begin)), _SPAN)
         spans["first"], spans["last"] = np.concatenate(begin), np.concatenate(end)
-        return _by_document(np.concatenate(k1), np.concatenate(k2), spans, _PLACES)
+        return _by_document(np.concatenate(k), spans, _PLACES)
 
     return runs.groupBy("bucket").applyInArrow(task, _sql(_PLACES))
 
@@ -434,20 +431,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """One row per document: ``row`` (the columns ``keep``, all by default),
     ``n_bytes``, ``n_removed``, ``spans`` (removed runs: begin, end), ``kept``
     (the remaining bytes), ``kept_sha256``."""
-    t = F.col(f"`{text}`")
-    keyed = docs.select(F.struct(*(keep if keep is not None else ["*"])).alias("row"), t.alias("t"),
-                        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1).cast("long")).alias("k1"),
-                        F.xxhash64(t, F.lit(MATCH)).alias("k2"))
-    found = keyed.where(F.octet_length("t") >= MATCH).select("k1", "k2", "t")
+    # the locator names one row for good, as it is stored: copies of a row have their own
+    rows = store(rows_with_text(spread(docs), text, keep, F.monotonically_increasing_id().alias("k")), "rows")
+    t = F.col("t") if "t" in rows.columns else F.col(f"row.`{text}`")
+    found = rows.where(F.octet_length(t) >= MATCH).select("k", t.alias("t"))
     total = found.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
-    places = store(repeated_anchors(hashed_anchors(spread(found), max(1, total // (LEFT // 2) // ANCHORS))), "places")
+    places = store(repeated_anchors(hashed_anchors(found, max(1, total // (LEFT // 2) // ANCHORS))), "places")
     n = places.agg(F.sum(F.octet_length("places").cast("long"))).first()[0] or 0
-    per_document = places.groupBy("k1", "k2").agg(F.collect_list("places").alias("places"))
-    runs = store(sorted_runs(found.join(per_document, ["k1", "k2"]), max(1, n // _PLACE.itemsize // ENTRIES)), "runs")
-    spans = runs.where("bucket = -1").select("k1", "k2", F.col("body").alias("places")) \
+    per_document = places.groupBy("k").agg(F.collect_list("places").alias("places"))
+    runs = store(sorted_runs(found.join(per_document, "k"), max(1, n // _PLACE.itemsize // ENTRIES)), "runs")
+    drop_stored(places)
+    spans = runs.where("bucket = -1").select("k", F.col("body").alias("places")) \
         .unionByName(marks(runs.where("bucket >= 0")))
-    per_document = spans.groupBy("k1", "k2").agg(F.collect_list("places").alias("places"))
-    row = keyed.schema["row"].dataType.simpleString()
+    per_document = spans.groupBy("k").agg(F.collect_list("places").alias("places"))
+    row = rows.schema["row"].dataType.simpleString()
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +452,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
                 out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "spans", "kept", "kept_sha256")}
-                for raw, found in zip(raw_texts(column_of(batch, "t")), column_of(batch, "places"), strict=True):
+                for raw, found in zip(raw_texts(text_of(batch, text)), column_of(batch, "places"), strict=True):
                     raw = raw or b""
                     parts = [np.frombuffer(x.as_buffer(), _SPAN) for x in found.values] if found.is_valid else []
                     runs = covered(np.concatenate(parts) if parts else np.empty(0, _SPAN), len(raw)).tolist()
@@ -469,7 +466,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                     [column_of(batch, "row"), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))],
                     names=["row", *out])
 
-    return keyed.join(per_document, ["k1", "k2"], "left").select("row", "t", "places").mapInArrow(
+    return rows.join(per_document, "k", "left").drop("k").mapInArrow(
         cut, f"row {row}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary, kept_sha256 string")
 
 

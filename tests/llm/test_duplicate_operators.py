@@ -148,6 +148,30 @@ def test_repeated_strings_of_random_pieces(spark, seed):
     assert removal_rows(table) == sorted(slow_removal(texts))
 
 
+def test_copies_of_a_text_cost_in_proportion_and_lie_apart(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ANCHORS", 50)
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefgh") for _ in range(3000))
+    entries, told = [], []
+    runs, repeated = suffix_dedup.sorted_runs, suffix_dedup.repeated_anchors
+
+    def seen_runs(texts, buckets):
+        entries.append(texts.select(F.expr("aggregate(places, 0L, (n, p) -> n + octet_length(p))").alias("n")).agg(F.sum("n")).first()[0])
+        return runs(texts, buckets)
+
+    def seen_repeated(hashed):
+        told.append([r["n"] for r in hashed.where("kind = 1").groupBy("bucket").agg(F.sum(F.octet_length("entries")).alias("n")).collect()])
+        return repeated(hashed)
+
+    monkeypatch.setattr(suffix_dedup, "sorted_runs", seen_runs)
+    monkeypatch.setattr(suffix_dedup, "repeated_anchors", seen_repeated)
+    for copies in (16, 64):
+        table = spark.createDataFrame([(None, text)] * copies + [(1, "x" + text[:500])], "doc_id long, text string").coalesce(1)
+        assert removal_rows(table) == sorted(slow_removal([text] * copies + ["x" + text[:500]]))
+    assert entries[1] < 5 * entries[0]
+    assert max(told[1]) < sum(told[1]) / 4
+
+
 def test_texts_longer_than_a_chunk(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 12)
     monkeypatch.setattr(suffix_dedup, "RUN", 50)
