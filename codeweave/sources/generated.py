@@ -51,13 +51,19 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.min("l_linenumber").alias("first_ln")))
 
 
-def _method_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = call_sites(spark, sf_dir)
+def site_parts(sites: DataFrame) -> DataFrame:
+    """Call sites with the part ``mpart`` of the order's methods that holds them."""
     counts = sites.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_sites"))
     return (
         sites.join(counts, "l_orderkey")
         .withColumn("mparts", F.greatest(F.lit(1), F.ceil(F.col("n_sites") / METHOD_MAX_SITES)))
         .withColumn("mpart", F.pmod(F.col("l_partkey") + F.col("l_suppkey"), F.col("mparts")))
+    )
+
+
+def _method_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        site_parts(call_sites(spark, sf_dir))
         .groupBy("l_orderkey", "mpart")
         .agg(F.sort_array(F.collect_list(F.struct("first_ln", "l_partkey", "l_suppkey")))
              .alias("sites"))

@@ -25,7 +25,7 @@ from .plans import structure as Q
 from .session import checkpoint_dir, spread
 from .sources.corpus import classify, read_table, write_corpus
 from .sources.features import feature_corpus
-from .sources.generated import generate_corpus
+from .sources.generated import call_sites, generate_corpus, site_parts
 
 # Parameters of the parameterised operators (the search terms themselves).
 USAGE_NAME = "part_1"
@@ -175,15 +175,24 @@ def _vars(scope):
     return q
 
 
-def _order_symbols(spark, d) -> DataFrame:
-    """``Cust<c>.<method>`` for every order plus every free function, from
-    the base tables."""
-    o = spark.read.parquet(f"{d}/orders.parquet")
+def _method_symbols(orders: DataFrame, sites: DataFrame) -> DataFrame:
+    """``Cust<c>.<method>`` for every method that the generator writes for
+    ``orders``: one for each part of an order's call sites."""
     verb = (F.when(F.col("o_orderstatus") == "F", "get_")
             .when(F.col("o_orderstatus") == "O", "obtener_").otherwise("run_"))
-    meth = o.select(F.concat(F.lit("Cust"), F.col("o_custkey").cast("string"), F.lit("."),
-                             verb, F.lit("order_"), F.col("o_orderkey").cast("string"))
-                    .alias("symbol"))
+    parts = site_parts(sites).select("l_orderkey", "mpart").distinct()
+    suffix = (F.when(F.col("mpart") > 0, F.concat(F.lit("_"), F.col("mpart").cast("string")))
+              .otherwise(F.lit("")))
+    return (orders.join(parts, orders.o_orderkey == parts.l_orderkey, "left")
+            .select(F.concat(F.lit("Cust"), F.col("o_custkey").cast("string"), F.lit("."), verb,
+                             F.lit("order_"), F.col("o_orderkey").cast("string"), suffix)
+                    .alias("symbol")))
+
+
+def _order_symbols(spark, d) -> DataFrame:
+    """The methods of every order plus every free function, from the base
+    tables."""
+    meth = _method_symbols(spark.read.parquet(f"{d}/orders.parquet"), call_sites(spark, d))
     cust = spark.read.parquet(f"{d}/customer.parquet")
     fns = cust.select(F.concat(F.lit("crear_cust_"), F.col("c_custkey").cast("string"))
                       .alias("symbol"))
@@ -196,14 +205,11 @@ def calls_of_symbols(spark, d):
 
 
 def calls_of_symbol(spark, d):
-    """The single-symbol form: the method of the most expensive order."""
+    """The form for a few symbols: the methods of the most expensive order."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     top = o.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(1)
-    verb = (F.when(F.col("o_orderstatus") == "F", "get_")
-            .when(F.col("o_orderstatus") == "O", "obtener_").otherwise("run_"))
-    sym = top.select(F.concat(F.lit("Cust"), F.col("o_custkey").cast("string"), F.lit("."),
-                              verb, F.lit("order_"), F.col("o_orderkey").cast("string"))
-                     .alias("symbol"))
+    sites = call_sites(spark, d)
+    sym = _method_symbols(top, sites.join(top, sites.l_orderkey == top.o_orderkey, "left_semi"))
     return Q.calls_of(index_for(spark, d), sym).select(
         "symbol", "repo", "path", _j("calls").alias("calls"))
 

@@ -68,3 +68,32 @@ def test_hidden_variables_filter(sample_index):
     blk = X.file_blocks(sample_index, "firmas", filters={"variables": False}).where(
         "path = 'app/service.py'").first().block
     assert "var TIMEOUT" not in blk and "  .kind" in blk.replace("    .kind", "  .kind")
+
+
+def test_calls_of_orders_split_over_methods(spark, monkeypatch):
+    """Every call site of an order is answered, also those of its methods ``..._<part>``."""
+    import re
+    from collections import defaultdict
+
+    from codeweave import suite
+    from codeweave.sources import generated
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(generated, "METHOD_MAX_SITES", 2)
+    monkeypatch.setattr(suite, "_CACHE", {})
+    orders = {r["o_orderkey"]: r for r in spark.read.parquet(f"{sf}/orders.parquet").collect()
+              if r["o_custkey"] % 23 != 7 and r["o_custkey"] % 50 != 9 and r["o_custkey"] % 40 != 16}
+    want = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        if r["l_orderkey"] in orders:  # a Dart call is named by the part alone
+            want[r["l_orderkey"]].add(r["l_partkey"])
+
+    def sites(df):
+        got = defaultdict(set)
+        for r in df.where("symbol LIKE 'Cust%'").collect():
+            got[int(re.search(r"order_(\d+)", r["symbol"])[1])] |= {
+                int(p) for p in re.findall(r"part_(\d+)", r["calls"])}
+        return {o: found for o, found in got.items() if found}
+    assert any(len(x) > 4 for x in want.values())
+    assert sites(suite.calls_of_symbols(spark, sf)) == want
+    top = spark.read.parquet(f"{sf}/orders.parquet").orderBy("o_totalprice", "o_orderkey", ascending=[False, True]).first()[0]
+    assert sites(suite.calls_of_symbol(spark, sf)) == {o: x for o, x in want.items() if o == top}
