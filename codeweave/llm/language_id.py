@@ -197,12 +197,15 @@ def training_rows(docs: DataFrame, usable: Column, text: str, lang: str, id_col:
 
 
 def identify(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
              keep: list[str] | None = None) -> DataFrame:
     """Train on the rows where ``usable`` holds and predict every row: ``row``
     (the columns ``keep``, all by default), ``lang_pred``, ``score``."""
     samples = training_rows(docs, usable, text, lang, id_col)
-    has_letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    rows = spread(rows_with_text(docs, text, keep, has_letter))
+    rows = spread(rows_with_text(docs, text, keep, has_letter(F.col(f"`{text}`")).alias("has_letter")))
     row = rows.schema["row"].dataType.simpleString()
     net = train(samples) if samples else None
 

@@ -45,6 +45,14 @@ def test_language_id(spark, odd, none, clashing, sf):
     assert {r["lang_pred"] for r in language_id.identify(odd, F.lit(False)).collect()} == {"und"}
 
 
+def test_an_unlabelled_corpus_keeps_its_documents(spark, odd, sf):
+    want = sorted(str(r["doc_id"]) for r in odd.collect() if any(c.isalpha() for c in r["text"] or ""))
+    other = F.coalesce(queries.remainder(4), F.lit(2)) != 2
+    for lang in (F.lit(None).cast("string"), F.when(other, F.lit(None)).otherwise(F.col("lang"))):
+        got = corpus_pipeline.identify_language(spark, odd.withColumn("lang", lang), sf).collect()
+        assert sorted(str(r["doc_id"]) for r in got) == want
+
+
 def test_quality(spark, odd, none, clashing, sf):
     labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
     rows = queries.op10_quality_classifier(spark, sf.replace("0.001", "0.01")).join(labels, "doc_id").collect()
