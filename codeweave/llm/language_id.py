@@ -181,11 +181,12 @@ def training_rows(docs: DataFrame, usable: Column, text: str, lang: str, id_col:
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not counts:
         return []
-    share = {name: int(min(1.0, 1.5 * SAMPLE_PER_LANG / n) * 1_000_000) for name, n in counts.items()}
-    chosen = reduce(lambda c, x: c.when(F.col("l") == x[0], F.lit(x[1])), share.items(), F.when(F.lit(False), 0))
+    # of the hash's upper 63 bits, so that a share is never rounded to nothing
+    share = {name: min((1 << 63) - 1, int(1.5 * SAMPLE_PER_LANG / n * (1 << 63))) for name, n in counts.items()}
+    chosen = reduce(lambda c, x: c.when(F.col("l") == x[0], F.lit(x[1]).cast("long")), share.items(), F.when(F.lit(False), F.lit(0).cast("long")))
     start = F.lit(1) + F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("t") - SEGMENT)).cast("int")
     window = F.substring(F.col("t"), start, F.lit(SEGMENT))
-    some = rows.where(F.pmod("h", F.lit(1_000_000)) < chosen).select("l", "h", window.alias("t")).where(F.col("t").rlike(r"\p{L}")) \
+    some = rows.where(F.shiftrightunsigned("h", 1) <= chosen).select("l", "h", window.alias("t")).where(F.col("t").rlike(r"\p{L}")) \
         .orderBy("h").limit(2 * SAMPLE_PER_LANG * len(counts)).collect()
     taken: dict[str, int] = {}
     out: list[tuple[bytes, str]] = []
@@ -196,11 +197,11 @@ def training_rows(docs: DataFrame, usable: Column, text: str, lang: str, id_col:
     return [x for x in out if x[0]]
 
 
-def identify(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def identify(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
              keep: list[str] | None = None) -> DataFrame:
     """Train on the rows where ``usable`` holds and predict every row: ``row``
     (the columns ``keep``, all by default), ``lang_pred``, ``score``."""

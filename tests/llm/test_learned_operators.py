@@ -45,6 +45,12 @@ def test_language_id(spark, odd, none, clashing, sf):
     assert {r["lang_pred"] for r in language_id.identify(odd, F.lit(False)).collect()} == {"und"}
 
 
+def test_the_sample_does_not_vanish_in_a_large_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_PER_LANG", 4)  # with 1,200 the same share is met at 2.4 billion rows
+    docs = spark.range(8_000_000).selectExpr("id AS doc_id", "'some words' AS text", "'en' AS lang")
+    assert 1 <= len(language_id.training_rows(docs, F.lit(True), "text", "lang", "doc_id")) <= 4
+
+
 def test_an_unlabelled_corpus_keeps_its_documents(spark, odd, sf):
     want = sorted(str(r["doc_id"]) for r in odd.collect() if any(c.isalpha() for c in r["text"] or ""))
     other = F.coalesce(queries.remainder(4), F.lit(2)) != 2
