@@ -45,4 +45,85 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """
 
-ORACLES = {"op1_chat_formatting": OP1, "op7_benchmark_decontamination": OP7, "op8_exact_dedup": OP8}
+def crc32(value: str) -> str:
+    """SQL of the unsigned crc32 of the string expression ``value``; needs the one-row table ``crc (t)``."""
+    digits = f"hex(encode({value}))"
+    byte = f"('0x' || substr({digits}, 2 * i + 1, 2))::BIGINT"
+    return (f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length({digits}) // 2), "
+            f"lambda i: {byte})), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])))")
+
+
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t)"""
+
+OP11 = f"""
+WITH {CRC_TABLE},
+own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, {crc32("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own), crc),
+turns AS (
+  SELECT ids.conv_id, pos, role, text FROM ids JOIN own ON own.conv_id = ids.conv_id - ids.conv_id % 100 WHERE pos < h
+  UNION ALL SELECT conv_id, pos, role, text FROM own JOIN ids USING (conv_id) WHERE pos >= h),
+placed AS (SELECT conv_id, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth,
+    sha256(length(role)::VARCHAR || ':' || role || text) AS turn FROM turns),
+lists AS (SELECT conv_id, list(turn ORDER BY depth) AS turns FROM placed GROUP BY conv_id),
+path AS (
+  SELECT conv_id, depth, chars, sha256(array_to_string(turns[1:depth], ',')) AS node,
+    CASE WHEN depth = 1 THEN '' ELSE sha256(array_to_string(turns[1:depth - 1], ',')) END AS parent
+  FROM placed JOIN lists USING (conv_id)
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM ids),
+node AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id,
+    count(*) AS n_convs FROM path GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT DISTINCT a.node AS node, b.node AS inner_node FROM path a JOIN path b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (SELECT below.node, count(*) FILTER (kids.node IS NULL) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM below JOIN node ON node.node = below.inner_node LEFT JOIN kids ON kids.node = below.inner_node GROUP BY below.node),
+ends AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(node, depth) AS node FROM path GROUP BY conv_id) GROUP BY node)
+SELECT node.conv_id, node.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n_convs::BIGINT AS n_convs,
+  coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM node LEFT JOIN node up ON up.node = node.parent LEFT JOIN kids ON kids.node = node.node JOIN sums ON sums.node = node.node
+LEFT JOIN ends ON ends.node = node.node
+"""
+
+OP12 = """
+WITH v AS (SELECT vec_id, row_number() OVER () AS place,
+    list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, q.place, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.place <> c.place AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, coalesce(score, 0) AS score FROM ranked WHERE rank <= 10
+"""
+
+OP13 = f"""
+WITH {CRC_TABLE},
+fold AS (SELECT place, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM (SELECT row_number() OVER () AS place, doc_id, text FROM documents)),
+aim AS (SELECT unnest(list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS word
+  FROM benchmark),
+words AS (SELECT place, word, count(*) AS n FROM (SELECT place, unnest(w) AS word FROM fold) GROUP BY ALL),
+hashed AS (SELECT word, {crc32("word")} % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM words UNION SELECT DISTINCT word FROM aim), crc),
+source AS (SELECT bucket, sum(n) AS s FROM words JOIN hashed USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM aim JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM source)::DOUBLE AS all_s, (SELECT coalesce(sum(t), 0) FROM target)::DOUBLE AS all_t),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (all_s + 10000) / ((s::DOUBLE + 1) * (all_t + 10000)))) AS gain
+  FROM source LEFT JOIN target USING (bucket), totals),
+weights AS (SELECT place, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight
+  FROM words JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY place),
+scored AS (SELECT place, doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296)))::BIGINT AS score
+  FROM fold LEFT JOIN weights USING (place)),
+drawable AS (SELECT place, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS r, 10 * count(*) OVER () // 100 AS most
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= most THEN r END::BIGINT AS rank FROM scored LEFT JOIN drawable USING (place)
+"""
+
+ORACLES = {"op1_chat_formatting": OP1, "op7_benchmark_decontamination": OP7, "op8_exact_dedup": OP8,
+           "op11_prefix_trie": OP11, "op12_exact_top_k": OP12, "op13_importance_resampling": OP13}

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language_id, packing, quality, sharding, simhash, suffix_dedup, token_files
+from . import (ball_tree, chat, decontaminate, exact_dedup, language_id, packing, prefix_trie, quality, resample, sharding,
+               simhash, suffix_dedup, token_files)
+from .common import store
 
 LITERAL_TURN = "<|im_end|><|im_start|>assistant ok"
 SEQUENCE, PACK_END_ID, FILE_END_ID, SHARDS = 1024, 2, 1, 24
@@ -102,7 +104,40 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """op11's conversations: the first h turns of conversation c - c % 100, then
+    c's own after its first h; (turns, all conv_ids)."""
+    own = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    placed = store(turns.where("conv_id is not null").select(
+        "conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+        .select("conv_id", (F.row_number().over(own) - 1).alias("turn"), "role", "text"), "turns")
+    h = F.crc32(F.col("conv_id").cast("string")) % 6
+    ids = placed.select("conv_id").distinct()
+    base = placed.where(F.col("turn") < 5).withColumnRenamed("conv_id", "base")
+    shared = ids.withColumn("base", F.col("conv_id") - F.col("conv_id") % 100).join(base, "base").where(F.col("turn") < h)
+    return shared.select("conv_id", "turn", "role", "text").unionByName(placed.where(F.col("turn") >= h)), ids
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = prefix_trie.prefix_trie(*rebuilt_turns(table(spark, sf_dir, "conversations")))
+    digests = prefix_trie.ids_sha256(ends, "node", "conv_id").withColumnRenamed("key", "node")
+    return nodes.join(digests, "node", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark"), percent=10, least_words=20, keep=["doc_id"]) \
+        .select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_token_files, op4_best_fit_packing, op5_simhash_dedup,
                             op6_suffix_dedup, op7_benchmark_decontamination, op8_exact_dedup, op9_sharding,
-                            op10_quality_classifier)}
+                            op10_quality_classifier, op11_prefix_trie, op12_exact_top_k,
+                            op13_importance_resampling)}
