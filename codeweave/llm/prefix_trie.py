@@ -49,7 +49,7 @@ _BLOCKS_SQL = ("conv_id long, parent binary, node binary, start long, nodes arra
                "before long, last boolean")
 
 
-def blocks_of(turns: DataFrame, block: int) -> DataFrame:
+def blocks_of(turns: DataFrame, block: int, partitions: int) -> DataFrame:
     """One row per conversation and block: digests of all turns up to each turn
     of the block, and code points of all texts up to it."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def blocks_of(turns: DataFrame, block: int) -> DataFrame:
         if open_block:
             yield pa.RecordBatch.from_pylist([open_block | {"last": True}], schema=_BLOCKS)
 
-    ordered = turns.repartition(partitions_for(turns), "conv_id").sortWithinPartitions(
+    ordered = turns.repartition(partitions, "conv_id").sortWithinPartitions(
         "conv_id", F.col("turn").asc_nulls_first(), "role", "text")
     return ordered.select("conv_id", "role", "text", F.length("text").cast("long").alias("n")).mapInArrow(task, _BLOCKS_SQL)
 
@@ -113,9 +113,11 @@ def turn_nodes(groups: DataFrame, measures: dict[str, Column]) -> DataFrame:
         turns.where("diverges").groupBy("at").agg(*same, *[m.alias(n) for n, m in measures.items()]).select(*columns))
 
 
-def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None, block: int = BLOCK,
+                partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Of ``turns (conv_id long, turn, role, text)`` and, if some may have no turn, all
-    ``conversations (conv_id)``:
+    ``conversations (conv_id)`` (``partitions`` of the exchange of turns: by
+    default from their estimated size, which is right for a scan, not for a join):
 
     * nodes: ``node`` (digest of the turns up to it), ``parent`` (null: root),
       ``depth``, ``conv_id`` (smallest member; the node's text is its turn
@@ -126,7 +128,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None, block:
     bound_batches(turns.sparkSession)
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     turns = turns.where("conv_id is not null").select("conv_id", "turn", text("role"), text("text"))
-    blocks = store(blocks_of(turns, block), "blocks")
+    blocks = store(blocks_of(turns, block, partitions or partitions_for(turns)), "blocks")
     ends = blocks.where("last").select("conv_id", "node", (F.col("start") + F.size("nodes")).alias("depth"),
                                        F.element_at("chars", -1).alias("total"))
     if conversations is not None:

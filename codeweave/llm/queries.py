@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (ball_tree, chat, decontaminate, exact_dedup, language_id, packing, prefix_trie, quality, resample, sharding,
                simhash, suffix_dedup, token_files)
-from .common import store
+from .common import partitions_for, store
 
 LITERAL_TURN = "<|im_end|><|im_start|>assistant ok"
 SEQUENCE, PACK_END_ID, FILE_END_ID, SHARDS = 1024, 2, 1, 24
@@ -104,9 +104,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """op11's conversations: the first h turns of conversation c - c % 100, then
-    c's own after its first h; (turns, all conv_ids)."""
+    c's own after its first h; (turns, all conv_ids, partitions for their size)."""
     own = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     placed = store(turns.where("conv_id is not null").select(
         "conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
@@ -115,11 +115,12 @@ def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = placed.select("conv_id").distinct()
     base = placed.where(F.col("turn") < 5).withColumnRenamed("conv_id", "base")
     shared = ids.withColumn("base", F.col("conv_id") - F.col("conv_id") % 100).join(base, "base").where(F.col("turn") < h)
-    return shared.select("conv_id", "turn", "role", "text").unionByName(placed.where(F.col("turn") >= h)), ids
+    return shared.select("conv_id", "turn", "role", "text").unionByName(placed.where(F.col("turn") >= h)), ids, partitions_for(placed)
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, ends = prefix_trie.prefix_trie(*rebuilt_turns(table(spark, sf_dir, "conversations")))
+    turns, ids, partitions = rebuilt_turns(table(spark, sf_dir, "conversations"))
+    nodes, ends = prefix_trie.prefix_trie(turns, ids, partitions=partitions)
     digests = prefix_trie.ids_sha256(ends, "node", "conv_id").withColumnRenamed("key", "node")
     return nodes.join(digests, "node", "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
