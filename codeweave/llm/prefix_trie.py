@@ -116,8 +116,8 @@ def turn_nodes(groups: DataFrame, measures: dict[str, Column]) -> DataFrame:
 def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None, block: int = BLOCK,
                 partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Of ``turns (conv_id long, turn, role, text)`` and, if some may have no turn, all
-    ``conversations (conv_id)`` (``partitions`` of the exchange of turns: by
-    default from their estimated size, which is right for a scan, not for a join):
+    ``conversations (conv_id)`` (``partitions`` of the exchange of turns: unless
+    given, the turns are stored first and sized):
 
     * nodes: ``node`` (digest of the turns up to it), ``parent`` (null: root),
       ``depth``, ``conv_id`` (smallest member; the node's text is its turn
@@ -128,7 +128,10 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None, block:
     bound_batches(turns.sparkSession)
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     turns = turns.where("conv_id is not null").select("conv_id", "turn", text("role"), text("text"))
-    blocks = store(blocks_of(turns, block, partitions or partitions_for(turns)), "blocks")
+    if partitions is None:
+        turns = store(turns, "turns")
+        partitions = partitions_for(turns)
+    blocks = store(blocks_of(turns, block, partitions), "blocks")
     ends = blocks.where("last").select("conv_id", "node", (F.col("start") + F.size("nodes")).alias("depth"),
                                        F.element_at("chars", -1).alias("total"))
     if conversations is not None:
