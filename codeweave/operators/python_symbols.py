@@ -100,8 +100,16 @@ def calls(nodes: Column) -> Column:
 
 
 def first_of_name(found: Column) -> Column:
-    names = F.transform(found, lambda v: v["name"])
-    return F.filter(found, lambda v, i: F.array_position(names, v["name"]) == i + 1)
+    """The first of each name, in order.  Sorted by name and position, an element
+    stays when the one before it has another name; each list is derived twice,
+    whatever its length (a reference from inside a lambda would derive it again
+    for every element)."""
+    by_name = F.array_sort(F.transform(found, lambda v, i: F.struct(v["name"].alias("name"), i.alias("at"), v.alias("v"))))
+    before = F.concat(F.array(F.lit("")), F.transform(by_name, lambda x: x["name"]))
+    firsts = F.filter(F.zip_with(by_name, before, lambda x, name: F.struct(
+        x["at"].alias("at"), x["v"].alias("v"), ((x["at"].isNotNull()) & ~x["name"].eqNullSafe(name)).alias("new"))),
+        lambda x: x["new"])
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["at"], x["v"]))), lambda x: x["v"])
 
 
 def variable(name: Column, kind: Column, value: Column, line: Column) -> Column:
@@ -110,8 +118,10 @@ def variable(name: Column, kind: Column, value: Column, line: Column) -> Column:
 
 def assigned(nodes: Column, statement: Column, target, unpack: bool) -> Column:
     """The variables that a statement assigns; ``target`` says which
-    targets count, ``unpack`` also takes the names of a tuple (without a value)."""
-    kids = F.filter(nodes, lambda n: n["parent"] == statement["at"])
+    targets count, ``unpack`` also takes the names of a tuple (without a value).
+    Only the statement's own slice of ``nodes`` is looked at."""
+    inside = below(nodes, statement)
+    kids = F.filter(inside, lambda n: n["parent"] == statement["at"])
     value = literal(one(F.filter(kids, lambda n: n["field"] == "value")))
     kind = F.when(statement["kind"] == "AnnAssign", one(F.filter(kids, lambda n: n["field"] == "annotation"))["text"])
     mine = F.filter(kids, lambda n: n["field"].isin("targets", "target"))
@@ -121,7 +131,7 @@ def assigned(nodes: Column, statement: Column, target, unpack: bool) -> Column:
     def of(t: Column) -> Column:
         out = F.when(target(t), single(t))
         if unpack:
-            inner = F.filter(children(nodes, t, "elts"), lambda n: n["kind"] == "Name")
+            inner = F.filter(children(inside, t, "elts"), lambda n: n["kind"] == "Name")
             out = out.when(t["kind"] == "Tuple", F.transform(
                 inner, lambda n: variable(n["name"], null_string(), null_string(), statement["line"])))
         return out.otherwise(none)
@@ -141,10 +151,9 @@ def attributes(sub: Column, cls: Column) -> Column:
     inits = F.filter(children(sub, cls, "body"), lambda n: n["kind"].isin(*CALLABLE) & (n["name"] == "__init__"))
 
     def in_init(fn: Column) -> Column:
-        inner = below(sub, fn)
-        order = F.array_sort(F.transform(statements(inner), lambda s: F.struct(s["depth"], s["at"], s.alias("s"))))
+        order = F.array_sort(F.transform(statements(below(sub, fn)), lambda s: F.struct(s["depth"], s["at"], s.alias("s"))))
         is_self = lambda t: (t["kind"] == "Attribute") & (t["text"] == F.concat(F.lit("self."), t["name"]))
-        return F.flatten(F.transform(order, lambda o: assigned(inner, o["s"], is_self, False)))
+        return F.flatten(F.transform(order, lambda o: assigned(sub, o["s"], is_self, False)))
 
     return first_of_name(F.concat(own, F.flatten(F.transform(inits, in_init))))
 
@@ -169,8 +178,14 @@ def python_tables(parsed: DataFrame) -> dict[str, DataFrame]:
 
     is_callable = lambda n: n["kind"].isin(*CALLABLE)
     c, sub = F.col("c"), F.col("sub")
-    classes_x = parsed.select(*key, "nodes", F.posexplode(F.filter(top, lambda n: n["kind"] == "ClassDef")).alias("class_ord", "c")) \
-        .select("repo", "path", "lang", "class_ord", "c", below(F.col("nodes"), c).alias("sub"))
+
+    def exploded(rows: DataFrame, columns: list, found: Column, nodes: Column, order: str, name: str) -> DataFrame:
+        """One row per node of ``found`` with the slice below it: no row carries its file's or class's whole array."""
+        each = F.transform(found, lambda n: F.struct(n.alias("n"), below(nodes, n).alias("sub")))
+        return rows.select(*columns, F.posexplode(each).alias(order, "x")) \
+            .withColumn(name, F.col("x.n")).withColumn("sub", F.col("x.sub")).drop("x")
+
+    classes_x = exploded(parsed, key, F.filter(top, lambda n: n["kind"] == "ClassDef"), F.col("nodes"), "class_ord", "c")
     init = one(F.filter(children(sub, c, "body"), lambda n: is_callable(n) & (n["name"] == "__init__")))
     classes = classes_x.withColumn("init", init).select(
         "repo", "path", "lang", "class_ord", c["name"].alias("name"),
@@ -178,12 +193,9 @@ def python_tables(parsed: DataFrame) -> dict[str, DataFrame]:
                  F.lit(")")).alias("signature"),
         docstring(sub, c).alias("docstring"), texts(sub, c, "bases").alias("bases"), c["line"].alias("line"),
         c["line"].alias("ref_line"))
-    methods = classes_x.select(
-        "repo", "path", "lang", "class_ord", c["name"].alias("class_name"), sub,
-        F.posexplode(F.filter(children(sub, c, "body"), is_callable)).alias("call_ord", "m")) \
-        .withColumn("sub", below(sub, F.col("m")))
-    functions = parsed.select(*key, *no_class, "nodes", F.posexplode(F.filter(top, is_callable)).alias("call_ord", "m")) \
-        .withColumn("sub", below(F.col("nodes"), F.col("m")))
+    methods = exploded(classes_x, ["repo", "path", "lang", "class_ord", c["name"].alias("class_name")],
+                       F.filter(children(sub, c, "body"), is_callable), sub, "call_ord", "m")
+    functions = exploded(parsed, [*key, *no_class], F.filter(top, is_callable), F.col("nodes"), "call_ord", "m")
     attrs = classes_x.select("repo", "path", "lang", "class_ord", c["name"].alias("class_name"),
                              F.posexplode(attributes(sub, c)).alias("ord", "v"), F.lit("class").alias("scope"))
     named = first_of_name(F.flatten(F.transform(
@@ -193,10 +205,10 @@ def python_tables(parsed: DataFrame) -> dict[str, DataFrame]:
         "repo", "path", "lang", "class_ord", "class_name", "ord", "v.name", "v.type", "v.value", "scope", "v.line",
         F.col("v.line").alias("ref_line"))
     found = F.flatten(F.transform(F.filter(top, lambda n: n["kind"].isin("Import", "ImportFrom")), lambda s: F.when(
-        s["kind"] == "Import", F.transform(children(F.col("nodes"), s, "names"), lambda a: F.struct(
+        s["kind"] == "Import", F.transform(children(below(F.col("nodes"), s), s, "names"), lambda a: F.struct(
             a["name"].alias("module"), F.array().cast(STRINGS).alias("names"), F.lit(False).alias("is_from")))).otherwise(
         F.array(F.struct(F.coalesce(s["name"], F.lit("")).alias("module"),
-                         F.transform(children(F.col("nodes"), s, "names"), lambda a: a["name"]).alias("names"),
+                         F.transform(children(below(F.col("nodes"), s), s, "names"), lambda a: a["name"]).alias("names"),
                          F.lit(True).alias("is_from"))))))
     imports = parsed.select(*key, F.posexplode(found).alias("ord", "i")).select(
         "repo", "path", "lang", "ord", "i.module", "i.names", "i.is_from")

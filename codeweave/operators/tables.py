@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.corpus import eligible_files
-from . import brace
+from . import brace, snapshot
 from .python_nodes import python_nodes
 from .python_symbols import python_tables
 
@@ -47,6 +47,14 @@ class CodeIndex:
     classes: DataFrame
     callables: DataFrame
     variables: DataFrame
+    #: One record per file with its symbols nested; stored in a snapshot, else derived.
+    stored_nested: DataFrame | None = None
+    #: Time of analysis (UTC) of a snapshot's version.
+    analyzed_at: str | None = None
+
+    @property
+    def nested(self) -> DataFrame:
+        return self.stored_nested if self.stored_nested is not None else snapshot.nested_files(self.tables())
 
     @property
     def calls(self) -> DataFrame:
@@ -68,7 +76,7 @@ class CodeIndex:
     def persist(self) -> "CodeIndex":
         from pyspark import StorageLevel
         for df in self.tables().values():
-            # NB: MEMORY_AND_DISK; lost blocks are recomputed from lineage
+            # lost blocks are recomputed, which parses again unless the index is a snapshot
             df.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
@@ -141,17 +149,32 @@ def build_index(corpus: DataFrame, persist: bool = False,
     return idx
 
 
-def save_index(idx: CodeIndex, path: str) -> None:
-    """Full rebuild, no merge — every table is overwritten.  Tables are
-    partitioned by language, so a language filter prunes whole folders."""
+def save_index(idx: CodeIndex, path: str, analyzed_at: str | None = None) -> None:
+    """Full rebuild, no merge — a new version beside the old ones, current
+    once it is whole.  Tables are partitioned by language, so a language filter
+    prunes whole folders; the nested records are derived from the written tables."""
+    spark = idx.files.sparkSession
+    folder = snapshot.new_version(path)
+    written = {}
     for name, df in idx.tables().items():
-        df.write.mode("overwrite").partitionBy("lang").parquet(f"{path.rstrip('/')}/{name}")
+        written[name] = _written(df.select(*_COLUMNS[name]), f"{folder}/{name}")
+    written["nested"] = _written(snapshot.nested_files(written), f"{folder}/nested")
+    schemas = {name: df.schema for name, df in written.items()}
+    snapshot.commit(spark, path, folder, schemas, analyzed_at)
 
 
 _COLUMNS = {"files": FILE_COLS, "imports": IMPORT_COLS, "classes": CLASS_COLS, "callables": CALLABLE_COLS,
             "variables": VAR_COLS}
 
 
-def load_index(spark: SparkSession, path: str) -> CodeIndex:
-    """A saved snapshot; a missing one raises ``AnalysisException``."""
-    return CodeIndex(**{t: spark.read.parquet(f"{path.rstrip('/')}/{t}").select(*_COLUMNS[t]) for t in TABLES})
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.partitionBy("lang").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, version: int | None = None) -> CodeIndex:
+    """A saved snapshot, the newest version or the one of a number; a
+    missing snapshot raises ``AnalysisException``.  The tables stay those of the
+    version that was current when it was loaded."""
+    tables, analyzed_at = snapshot.current(spark, path, version)
+    return CodeIndex(**{t: tables[t].select(*_COLUMNS[t]) for t in TABLES}, stored_nested=tables["nested"], analyzed_at=analyzed_at)

@@ -197,39 +197,6 @@ def write_report(lines: DataFrame, out: str) -> None:
 
 
 def file_json(idx: CodeIndex) -> DataFrame:
-    """One JSON document per file with its nested symbols."""
-    key = ["repo", "path"]
-    meth = (idx.callables.where(F.col("kind") == "method")
-            .groupBy("repo", "path", "class_ord")
-            .agg(F.sort_array(F.collect_list(F.struct(
-                "call_ord", "name", "signature", "docstring", "decorators", "is_async",
-                "calls", "line"))).alias("methods")))
-    attr = (idx.variables.where(F.col("scope") == "class")
-            .groupBy("repo", "path", "class_ord")
-            .agg(F.sort_array(F.collect_list(F.struct("ord", "name", "type", "value", "line")))
-                 .alias("attributes")))
-    cls = (idx.classes.join(meth, key + ["class_ord"], "left").join(attr, key + ["class_ord"], "left")
-           .groupBy(*key)
-           .agg(F.sort_array(F.collect_list(F.struct(
-               "class_ord", "name", "signature", "docstring", "bases", "line",
-               F.coalesce("methods", F.array()).alias("methods"),
-               F.coalesce("attributes", F.array()).alias("attributes")))).alias("classes")))
-    fns = (idx.callables.where(F.col("kind") == "function").groupBy(*key)
-           .agg(F.sort_array(F.collect_list(F.struct(
-               "call_ord", "name", "signature", "docstring", "decorators", "is_async", "calls",
-               "line"))).alias("functions")))
-    mv = (idx.variables.where(F.col("scope") == "module").groupBy(*key)
-          .agg(F.sort_array(F.collect_list(F.struct("ord", "name", "type", "value", "line")))
-               .alias("variables")))
-    imp = (idx.imports.groupBy(*key)
-           .agg(F.sort_array(F.collect_list(F.struct("ord", "module", "names", "is_from")))
-                .alias("imports")))
-    doc = idx.files
-    for part in (cls, fns, mv, imp):
-        doc = doc.join(part, key, "left")
-    return doc.select("repo", "path", F.to_json(F.struct(
-        "path", "folder", "name", "lang", "error",
-        F.coalesce("classes", F.array()).alias("classes"),
-        F.coalesce("functions", F.array()).alias("functions"),
-        F.coalesce("variables", F.array()).alias("variables"),
-        F.coalesce("imports", F.array()).alias("imports"))).alias("json"))
+    """One JSON document per file with its nested symbols (narrow on a snapshot)."""
+    return idx.nested.select("repo", "path", F.to_json(F.struct(
+        "path", "folder", "name", "lang", "error", "classes", "functions", "variables", "imports")).alias("json"))

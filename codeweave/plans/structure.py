@@ -220,9 +220,9 @@ def status_by_repo(idx: CodeIndex) -> DataFrame:
 
 
 def status(idx: CodeIndex, root: str | None = None, analyzed_at: str | None = None) -> DataFrame:
-    """One row of totals over all repositories."""
+    """One row of totals over all repositories; the time of analysis is the snapshot's unless given."""
     t = _totals(idx)
-    return t.agg(F.lit(root).cast("string").alias("root"), F.lit(analyzed_at).cast("string").alias("analyzed_at"),
+    return t.agg(F.lit(root).cast("string").alias("root"), F.lit(analyzed_at or idx.analyzed_at).cast("string").alias("analyzed_at"),
                  *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in t.columns[1:]])
 
 

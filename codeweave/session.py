@@ -22,6 +22,8 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
+        # a call site for each column expression costs more than the planning of the large extraction plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("CW_DRIVER_MEM", "8g"))
         # whole source files travel in Arrow batches to the Python extractor
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")

@@ -107,3 +107,50 @@ def test_spark_branch(sample_index):
     assert attrs == [("kind",), ("port",), ("host",), ("cert",)]
     err = rows_of(idx.files, "error", path="app/broken.py")[0][0]
     assert err.startswith("SyntaxError")
+
+
+def _seconds(spark, text):
+    """(variables, seconds) of one file: parsing, symbols and all, without the planning."""
+    import time
+
+    from codeweave.operators.python_nodes import python_nodes
+    from codeweave.operators.python_symbols import python_tables
+
+    files = spark.createDataFrame([("r", "m.py", text)], "repo string, path string, text string")
+    found = python_tables(python_nodes(files))["variables"]
+    found.collect()
+    start = time.perf_counter()
+    rows = sorted(found.collect(), key=lambda r: (r.scope, r.ord))
+    return rows, time.perf_counter() - start
+
+
+def test_many_assignments_in_one_file(spark):
+    """Time grows with the file, not with its square: 10,000 assignments in seconds."""
+    text = lambda n: "".join(f"V{i % (n - 5)} = {i}\n" for i in range(n))
+    rows, _ = _seconds(spark, text(10_000))
+    assert [(r.ord, r.name, r.value, r.line) for r in rows] == [(i, f"V{i}", str(i), i + 1) for i in range(9_995)]
+    _, small = _seconds(spark, text(5_000))
+    _, large = _seconds(spark, text(20_000))
+    assert large < 20 and large < 4 * small * 2
+
+
+def test_many_attributes_in_one_class(spark):
+    text = lambda n: ("class A:\n" + "".join(f"    a{i} = {i}\n" for i in range(n)) + "    def __init__(self):\n"
+                      + "".join(f"        self.b{i} = {i}\n        self.a{i} = 0\n" for i in range(n)))
+    rows, _ = _seconds(spark, text(2_000))
+    assert [(r.name, r.value) for r in rows] == [(f"{k}{i}", str(i)) for k in "ab" for i in range(2_000)]
+    _, small = _seconds(spark, text(1_000))
+    _, large = _seconds(spark, text(4_000))
+    assert large < 20 and large < 4 * small * 2
+
+
+def test_a_callable_row_carries_its_own_records_only(spark):
+    n = 1_500
+    text = "class A:\n" + "".join(f"    def m{i}(self, a, b=1):\n        return f{i}(a)\n" for i in range(n))
+    text += "".join(f"def g{i}(a):\n    return h{i}(a)\n" for i in range(n))
+    from codeweave.operators.python_nodes import python_nodes
+    from codeweave.operators.python_symbols import python_tables
+
+    files = spark.createDataFrame([("r", "m.py", text)], "repo string, path string, text string")
+    rows = sorted(python_tables(python_nodes(files))["callables"].collect(), key=lambda r: (r.kind, r.call_ord))
+    assert [(r.name, r.calls) for r in rows] == [(f"g{i}", [f"h{i}"]) for i in range(n)] + [(f"m{i}", [f"f{i}"]) for i in range(n)]

@@ -1,8 +1,10 @@
 """Corpus sources: folder scan, eligibility, decoding, snapshots."""
+import glob
 import os
 
 from pyspark.sql import functions as F
 
+import pytest
 from codeweave.operators.tables import build_index, load_index, save_index
 from codeweave.plans import report as X
 from codeweave.sources.corpus import classify, read_folder
@@ -53,7 +55,51 @@ def test_snapshot_roundtrip(spark, sample_index, tmp_path):
     save_index(sample_index, out)
     back = load_index(spark, out)
     assert back.callables.count() == sample_index.callables.count()
-    assert os.path.isdir(out + "/files")
+    assert back.nested.count() == back.files.count() == sample_index.nested.count()
+
+
+def test_rebuild_is_a_new_version(spark, sample_index, tmp_path, monkeypatch):
+    from codeweave.operators import snapshot
+    from codeweave.plans import structure as Q
+
+    out = str(tmp_path / "snap")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        load_index(spark, out)
+    save_index(sample_index, out, "2024-05-01T10:00:00Z")
+    first = load_index(spark, out)
+    assert first.analyzed_at == Q.status(first).first().analyzed_at == "2024-05-01T10:00:00Z"
+    assert Q.status(first, analyzed_at="now").first().analyzed_at == "now"
+    few = build_index(spark.createDataFrame([("r", "a.py", "X = 1\n")], "repo string, path string, content string"))
+    # a rebuild that fails before it is whole leaves the old answer
+    with monkeypatch.context() as m:
+        m.setattr(snapshot, "nested_files", lambda tables: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            save_index(few, out)
+    assert load_index(spark, out).files.count() == first.files.count()
+    save_index(few, out)
+    now = load_index(spark, out)
+    assert now.files.count() == 1 and now.analyzed_at.endswith("Z") and now.analyzed_at > first.analyzed_at
+    assert first.files.count() > 1  # who has loaded the old version still reads it
+    assert load_index(spark, out, version=1).files.count() == first.files.count()
+    assert sorted(r.number for r in snapshot.versions(spark, out).collect()) == [1, 2]
+    snapshot.drop_old(spark, out, keep=1)
+    assert [r.number for r in snapshot.versions(spark, out).collect()] == [2]
+    assert load_index(spark, out).files.count() == 1 and len(glob.glob(out + "/version-*")) == 2  # and the failed one
+
+
+def test_json_and_symbol_counts_read_nested_records_only(spark, sample_index, tmp_path):
+    from codeweave.plans import scope as V
+
+    out = str(tmp_path / "snap")
+    save_index(sample_index, out)
+    back = load_index(spark, out)
+    for df, same in ((X.file_json(back), X.file_json(sample_index)), (V.symbols_per_file(back), V.symbols_per_file(sample_index))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        assert sorted(df.collect()) == sorted(same.collect())
+    counts = {r.path: (r.n_classes, r.n_functions, r.n_variables, r.n_imports) for r in V.symbols_per_file(back).collect()}
+    flat = sample_index.variables.where("path = 'app/service.py'").count()
+    assert counts["app/service.py"][2] == flat and counts["app/broken.py"] == (0, 0, 0, 0)
 
 
 def test_markdown_subset_counts_selected_files(sample_index, spark):
