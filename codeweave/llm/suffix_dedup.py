@@ -14,8 +14,8 @@ sorted, which loses no match:
 * The other anchors' surroundings are sorted: the suffix from the anchor, then
   what lies before it.  Each task sorts its own into a run, drops equal ones
   (their windows repeat), and sends the run front-coded (shared prefix length
-  and the rest).  Runs meet by gram and are combined with a loser tree that
-  keeps, for each contender, the length of the prefix it shares with the last
+  and the rest).  Runs meet by gram and are combined, as a stream, with a loser
+  tree that keeps, for each contender, the length of the prefix it shares with the last
   winner, and never compares bytes below it.
 * The merged order and its prefix lengths tell which suffixes agree in 200 - o
   bytes; the same from the anchor to the left tells which agree in o bytes.  A
@@ -49,6 +49,8 @@ CHUNK = 1 << 18  # bytes hashed at once
 TEXTS_AT_ONCE = 500
 #: Anchors and entries in a bucket of an exchange, and entries in a run, on average.
 ANCHORS, ENTRIES, RUN = 200_000, 25_000, 12_000
+#: Merged entries that are looked at together (more only if of one gram).
+SLICE = 4_000
 HASH_BYTES, ROW = 8, 8 + MATCH + LEFT + 2
 _BASE, _INVERSE, _MIX = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 0xD6E8FEB86659FD93
 
@@ -221,37 +223,50 @@ def front_coded(rows: np.ndarray, owners: np.ndarray) -> bytes:
     return zstandard.compress(len(rows).to_bytes(4, "little") + shared.tobytes() + owners.tobytes() + rest, 1)
 
 
-def front_decoded(body: bytes) -> tuple[list[int], list[bytes], np.ndarray]:
+def decoding(body: bytes) -> tuple[Iterator[tuple[int, bytes]], np.ndarray]:
+    """A run's rows, one by one (length shared with the row before, row), and its owners."""
     raw = zstandard.decompress(body)
     n = int.from_bytes(raw[:4], "little")
-    shared = np.frombuffer(raw, "<u2", n, 4).tolist()
     owners = np.frombuffer(raw, _OWNER, n, 4 + 2 * n)
-    at, row, rows = 4 + 2 * n + _OWNER.itemsize * n, b"", []
-    for k in shared:
-        row = row[:k] + raw[at:at + ROW - k]
-        at += ROW - k
-        rows.append(row)
-    return shared, rows, owners
 
+    def rows() -> Iterator[tuple[int, bytes]]:
+        at, row = 4 + 2 * n + _OWNER.itemsize * n, b""
+        for k in np.frombuffer(raw, "<u2", n, 4).tolist():
+            row = row[:k] + raw[at:at + ROW - k]
+            at += ROW - k
+            yield k, row
+
+    return rows(), owners
+
+
+def front_decoded(body: bytes) -> tuple[list[int], list[bytes], np.ndarray]:
+    """A whole run: shared lengths, rows, owners."""
+    rows, owners = decoding(body)
+    found = list(rows)
+    return [k for k, _ in found], [row for _, row in found], owners
 
-def merge(runs: list[tuple[list[int], list[bytes]]]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Loser tree over sorted runs: the merged order as (run, place), and the
-    length of the prefix each row shares with the one before it.
+
+def merged(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int, bytes]]:
+    """Loser tree over sorted runs, as a stream: (run, length of the prefix shared
+    with the row before it, row).
 
     Every contender carries the length it shares with the last winner.  Of two,
     the one that shares more is smaller, without a look at the bytes; only at
-    equal lengths are bytes compared, from there on.
+    equal lengths are bytes compared, from there on.  One row of each run is held.
     """
-    k = len(runs)
     size = 1
-    while size < k:
+    while size < len(runs):
         size *= 2
-    place, share = [0] * size, [0] * size
-    alive = [i < k and bool(runs[i][1]) for i in range(size)]
-    rows = [r[1] for r in runs] + [[]] * (size - k)
-    lengths = [r[0] for r in runs] + [[]] * (size - k)
+    share, row, alive = [0] * size, [b""] * size, [False] * size
     losers = [0] * size
-    order, shared = [], []
+
+    def advance(i: int, share_of_first: int | None = None) -> None:
+        found = next(runs[i], None) if i < len(runs) else None
+        alive[i] = found is not None
+        if alive[i]:
+            share[i], row[i] = found
+            if share_of_first is not None:
+                share[i] = share_of_first
 
     def play(a: int, b: int) -> tuple[int, int]:
         """(winner, loser); the loser's shared length becomes the one with the winner."""
@@ -262,7 +277,7 @@ def merge(runs: list[tuple[list[int], list[bytes]]]) -> tuple[list[tuple[int, in
         if share[a] != share[b]:
             return (a, b) if share[a] > share[b] else (b, a)
         at = share[a]
-        x, y = rows[a][place[a]], rows[b][place[b]]
+        x, y = row[a], row[b]
         if x == y:
             share[b] = ROW
             return a, b
@@ -280,19 +295,25 @@ def merge(runs: list[tuple[list[int], list[bytes]]]) -> tuple[list[tuple[int, in
         winner, losers[node] = play(build(2 * node), build(2 * node + 1))
         return winner
 
+    for i in range(size):
+        advance(i, 0)
     winner = build(1)
     while alive[winner]:
-        order.append((winner, place[winner]))
-        shared.append(share[winner])
-        place[winner] += 1
-        if place[winner] < len(rows[winner]):
-            share[winner] = lengths[winner][place[winner]]
-        else:
-            alive[winner] = False
+        yield winner, share[winner], row[winner]
+        advance(winner)
         node = (winner + size) // 2
         while node:
             winner, losers[node] = play(winner, losers[node])
             node //= 2
+
+
+def merge(runs: list[tuple[list[int], list[bytes]]]) -> tuple[list[tuple[int, int]], list[int]]:
+    """The merged order of whole runs as (run, place), and the lengths of the shared prefixes."""
+    seen, order, shared = [0] * len(runs), [], []
+    for run, common, _ in merged([zip(*r, strict=True) for r in runs]):
+        order.append((run, seen[run]))
+        shared.append(common)
+        seen[run] += 1
     return order, shared
 
 
@@ -378,43 +399,63 @@ def repeats(n: int, shared: np.ndarray, left: np.ndarray, lo: np.ndarray, hi: np
     return found
 
 
-def marks(runs: DataFrame) -> DataFrame:
-    """Merge the runs of each bucket; spans of windows that repeat, by document."""
+def spans_of(rows: list[bytes], shared: list[int], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole grams in merged order: documents and spans of windows that repeat."""
+    shared = np.array(shared, np.int64)
+    shared[0] = 0
+    rows = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, ROW)
+    new = shared < ROW  # equal surroundings in two runs: all their windows repeat
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(new)))
+    twice = (np.repeat(counts, counts) > 1) & (owners["twice"] == 0)
+    lo, hi = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+    place = owners["place"].astype(np.int64)
+    k, begin, end = [owners["k"][twice]], [(place - hi)[twice]], [(place - lo)[twice]]
+    # one of each, also those settled before: they are what others may agree with
+    known = (counts > 1) | (owners["twice"][first] == 1)
+    u = rows[first]
+    suffix = np.where(shared[first] < HASH_BYTES, -1, np.minimum(shared[first] - HASH_BYTES, MATCH))
+    left = np.hstack([u[:, :HASH_BYTES], u[:, HASH_BYTES + MATCH:HASH_BYTES + MATCH + LEFT][:, ::-1]])
+    found = repeats(len(u), suffix, left, lo[first], hi[first])
+    found[known] = False
+    step = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    which, low = np.nonzero(step == 1)
+    _, high = np.nonzero(step == -1)  # offsets low ... high - 1
+    k.append(owners["k"][first[which]])
+    begin.append(place[first[which]] - high + 1)
+    end.append(place[first[which]] - low)
+    spans = np.empty(sum(map(len, begin)), _SPAN)
+    spans["first"], spans["last"] = np.concatenate(begin), np.concatenate(end)
+    return np.concatenate(k), spans
+
+
+def marks(runs: DataFrame, buckets: int) -> DataFrame:
+    """Merge the runs of each bucket as a stream, cut at gram borders into slices
+    of about ``SLICE`` entries; spans of windows that repeat, by document."""
     def task(table: pa.Table) -> pa.Table:
-        decoded = [front_decoded(x.as_py()) for x in table["body"]]
-        order, shared = merge([(s, r) for s, r, _ in decoded])
-        shared = np.array(shared, np.int64)
-        shared[0] = 0
-        owners = np.concatenate([o for _, _, o in decoded])
-        base = np.cumsum([0, *(len(o) for _, _, o in decoded)])
-        owners = owners[[base[r] + i for r, i in order]]
-        rows = np.frombuffer(b"".join(decoded[r][1][i] for r, i in order), np.uint8).reshape(-1, ROW)
-        del decoded
-        new = shared < ROW  # equal surroundings in two runs: all their windows repeat
-        first = np.flatnonzero(new)
-        counts = np.diff(np.append(first, len(new)))
-        twice = (np.repeat(counts, counts) > 1) & (owners["twice"] == 0)
-        lo, hi = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-        place = owners["place"].astype(np.int64)
-        k, begin, end = [owners["k"][twice]], [(place - hi)[twice]], [(place - lo)[twice]]
-        # one of each, also those settled before: they are what others may agree with
-        known = (counts > 1) | (owners["twice"][first] == 1)
-        u = rows[first]
-        suffix = np.where(shared[first] < HASH_BYTES, -1, np.minimum(shared[first] - HASH_BYTES, MATCH))
-        left = np.hstack([u[:, :HASH_BYTES], u[:, HASH_BYTES + MATCH:HASH_BYTES + MATCH + LEFT][:, ::-1]])
-        found = repeats(len(u), suffix, left, lo[first], hi[first])
-        found[known] = False
-        step = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        which, low = np.nonzero(step == 1)
-        _, high = np.nonzero(step == -1)  # offsets low ... high - 1
-        k.append(owners["k"][first[which]])
-        begin.append(place[first[which]] - high + 1)
-        end.append(place[first[which]] - low)
-        spans = np.empty(sum(map(len, begin)), _SPAN)
-        spans["first"], spans["last"] = np.concatenate(begin), np.concatenate(end)
-        return _by_document(np.concatenate(k), spans, _PLACES)
-
-    return runs.groupBy("bucket").applyInArrow(task, _sql(_PLACES))
+        decoded = [decoding(x.as_py()) for x in table["body"]]
+        owners = np.concatenate([o for _, o in decoded])
+        next_owner = np.cumsum([0, *(len(o) for _, o in decoded)]).tolist()
+        rows, shared, mine, out = [], [], [], []
+
+        def settle() -> None:
+            if len(rows) > 1:  # an entry alone repeats nowhere
+                out.append(spans_of(rows, shared, owners[mine]))
+            for held in (rows, shared, mine):
+                held.clear()
+
+        for run, common, row in merged([r for r, _ in decoded]):
+            if common < HASH_BYTES and len(rows) >= SLICE:
+                settle()
+            rows.append(row)
+            shared.append(common)
+            mine.append(next_owner[run])
+            next_owner[run] += 1
+        settle()
+        return _by_document(np.concatenate([np.empty(0, np.int64), *(k for k, _ in out)]),
+                            np.concatenate([np.empty(0, _SPAN), *(x for _, x in out)]), _PLACES)
+
+    return runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(task, _sql(_PLACES))
 
 
 def covered(spans: np.ndarray, size: int) -> np.ndarray:
@@ -436,13 +477,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     t = F.col("t") if "t" in rows.columns else F.col(f"row.`{text}`")
     found = rows.where(F.octet_length(t) >= MATCH).select("k", t.alias("t"))
     total = found.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
-    places = store(repeated_anchors(hashed_anchors(found, max(1, total // (LEFT // 2) // ANCHORS))), "places")
+    buckets = max(1, total // (LEFT // 2) // ANCHORS)
+    places = store(repeated_anchors(hashed_anchors(found, buckets).repartition(buckets, "bucket")), "places")
     n = places.agg(F.sum(F.octet_length("places").cast("long"))).first()[0] or 0
     per_document = places.groupBy("k").agg(F.collect_list("places").alias("places"))
-    runs = store(sorted_runs(found.join(per_document, "k"), max(1, n // _PLACE.itemsize // ENTRIES)), "runs")
+    buckets = max(1, n // _PLACE.itemsize // ENTRIES)
+    runs = store(sorted_runs(found.join(per_document, "k"), buckets), "runs")
     drop_stored(places)
     spans = runs.where("bucket = -1").select("k", F.col("body").alias("places")) \
-        .unionByName(marks(runs.where("bucket >= 0")))
+        .unionByName(marks(runs.where("bucket >= 0"), buckets))
     per_document = spans.groupBy("k").agg(F.collect_list("places").alias("places"))
     row = rows.schema["row"].dataType.simpleString()
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -470,4 +513,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         cut, f"row {row}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary, kept_sha256 string")
 
 
-__all__ = ["Anchors", "covered", "drop_stored", "front_coded", "front_decoded", "merge", "remove_repeats"]
+__all__ = ["Anchors", "covered", "drop_stored", "front_coded", "front_decoded", "merge", "merged", "remove_repeats"]

@@ -182,6 +182,17 @@ def test_texts_longer_than_a_chunk(spark, monkeypatch):
     assert removal_rows(table) == sorted(slow_removal(texts))
 
 
+def test_merge_is_looked_at_in_slices(spark, monkeypatch):
+    """Small slices give the same result, and only a gram's own entries stay together."""
+    monkeypatch.setattr(suffix_dedup, "SLICE", 3)
+    monkeypatch.setattr(suffix_dedup, "RUN", 20)
+    rng = random.Random(11)
+    pieces = ["".join(rng.choice("abcdefgh") for _ in range(260)) for _ in range(12)]
+    texts = ["".join(rng.sample(pieces, 4)) + str(i) for i in range(40)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert removal_rows(table) == sorted(slow_removal(texts))
+
+
 def test_loser_tree_and_front_coding():
     rng = random.Random(3)
     runs, everything = [], []
