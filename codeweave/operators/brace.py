@@ -202,19 +202,28 @@ _OUTSIDE_PARENS = (
 )
 
 
-def cpu_partitions(spark) -> int:
+#: Estimated source bytes for one partition of the line stage, and its largest number of partitions.
+LINE_BYTES, MOST_PARTITIONS = 32 << 20, 200_000
+
+
+def cpu_partitions(spark, files: DataFrame | None = None) -> int:
     """Partition count for the CPU-bound line stage.
 
-    Per-line regexes and windows cost CPU, not bytes, so this exchange gets
-    an explicit count (which AQE does not coalesce into a handful of tasks):
-    the session's shuffle partitions — sized for the data on a cluster — but
-    at least two tasks per core.  ``codeweave.linePartitions`` overrides it.
+    Per-line regexes and windows cost CPU, not bytes, so this exchange gets an
+    explicit count (which AQE does not coalesce into a handful of tasks).  It
+    follows the input: one partition for ``LINE_BYTES`` of the optimizer's size
+    of ``files``, at least two tasks per core; a size that no statistics back
+    (rows made on the driver) counts as the session's shuffle partitions.
+    ``codeweave.linePartitions`` overrides it.
     """
     forced = spark.conf.get("codeweave.linePartitions", "")
     if forced:
         return int(forced)
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-               2 * spark.sparkContext.defaultParallelism)
+    least = 2 * spark.sparkContext.defaultParallelism
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if files is not None else 1 << 62
+    if size >= 1 << 60:
+        return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(MOST_PARTITIONS, -(-size // LINE_BYTES)))
 
 
 def line_table(files: DataFrame) -> DataFrame:
@@ -224,7 +233,7 @@ def line_table(files: DataFrame) -> DataFrame:
                            .when(F.col("d") == "c", clean_code(F.col("text"), "c"))
                            .otherwise(clean_code(F.col("text"), "dart")))
                .drop("text")
-               .repartition(cpu_partitions(files.sparkSession), *KEY))
+               .repartition(cpu_partitions(files.sparkSession, files.select(*KEY, "lang", "text")), *KEY))
     lines = cleaned.select("repo", "path", "lang", "d",
                            F.posexplode(split_lines(F.col("clean"))).alias("ln", "line"))
     # only lines holding both '{' and '}' need the character-level scan; for

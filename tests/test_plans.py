@@ -24,6 +24,20 @@ def test_line_plan_has_one_exchange_and_linear_frames(spark):
     assert "UnboundedFollowing" not in p and "unboundedfollowing" not in p.lower()
 
 
+def test_line_partitions_follow_the_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(brace, "LINE_BYTES", 1 << 12)
+    counts = []
+    for n in (200, 2000):
+        rows = spark.range(n).select(F.lit("r").alias("repo"), F.concat(F.col("id"), F.lit(".js")).alias("path"),
+                                     F.sha2(F.col("id").cast("string"), 512).alias("content"))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/c{n}")
+        files = eligible_files(spark.read.parquet(f"{tmp_path}/c{n}"))
+        counts.append(int(re.search(r"Exchange hashpartitioning\(repo[^)]*, (\d+)\)", plan(brace.line_table(files))).group(1)))
+    assert counts[1] > 5 * counts[0] or counts[0] == 2 * spark.sparkContext.defaultParallelism < counts[1]
+    made = spark.createDataFrame([("r", "a.js", "x")], "repo string, path string, content string")
+    assert brace.cpu_partitions(spark, made) == max(2 * spark.sparkContext.defaultParallelism, 8)
+
+
 def test_language_branches_prune_partitions(spark):
     files = eligible_files(suite.corpus_for(spark, SF)).where(F.col("lang") == "python")
     p = files._jdf.queryExecution().executedPlan().toString()
