@@ -273,3 +273,31 @@ def test_numbered(spark):
     rows = numbered(table, "k").collect()
     for k in range(3):
         assert sorted(r["slot"] for r in rows if r["k"] == k) == list(range(sum(r["k"] == k for r in rows)))
+
+
+def outcome(df, *columns):
+    return sorted((tuple(r) for r in df.select("row.doc_id", "row.text", "keep_id", "group_size", "kept").collect()), key=str)
+
+
+@pytest.mark.parametrize("key", [None, lambda t: F.substring(t, 1, 1).cast("binary")])
+def test_state_goes_on_over_batches_and_runs(spark, odd, tmp_path, key):
+    """Several micro-batches and two runs on one folder give the rows of one run, also when digests collide."""
+    docs = odd.repartition(7)
+    want = outcome(exact_dedup.exact_dedup(docs, digest=key))
+    assert outcome(exact_dedup.exact_dedup(docs, digest=key, files_per_batch=1)) == want
+    folder = str(tmp_path / "state")
+    ids = F.coalesce("doc_id", F.lit(0)) % 2
+    first = exact_dedup.exact_dedup(docs.where(ids == 1), digest=key, state_dir=folder, files_per_batch=2)
+    assert outcome(first) == outcome(exact_dedup.exact_dedup(docs.where(ids == 1), digest=key))
+    assert outcome(exact_dedup.exact_dedup(docs.where(ids == 0), digest=key, state_dir=folder, files_per_batch=2)) == want
+    assert outcome(exact_dedup.exact_dedup(docs.where("false"), digest=key, state_dir=folder)) == want  # an empty run adds nothing
+
+
+def test_batches_look_up_earlier_keys(spark, tmp_path):
+    """A digest met once in each of two batches is a hit of the second one."""
+    folder = str(tmp_path / "state")
+    for run in (1, 2):
+        exact_dedup.exact_dedup(spark.createDataFrame([(run, "same"), (run + 10, f"own {run}")], "doc_id long, text string"), state_dir=folder)
+    keys = spark.read.parquet(f"{folder}/keys")
+    assert sorted((r.batch, r.n, r.hit) for r in keys.collect())[-2:] == [(keys.agg(F.max("batch")).first()[0], 1, False),
+                                                                          (keys.agg(F.max("batch")).first()[0], 1, True)]
