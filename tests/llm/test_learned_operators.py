@@ -1,6 +1,8 @@
 """Language identification and quality: held-out accuracy, odd input; the pipeline."""
 import zlib
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -59,6 +61,33 @@ def test_an_unlabelled_corpus_keeps_its_documents(spark, odd, sf):
         assert sorted(str(r["doc_id"]) for r in got) == want
 
 
+def test_the_prediction_fills_a_missing_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = docs.where("lang is not null and text rlike '[a-z]{3}'")
+    hidden = known.withColumn("lang", F.when(queries.remainder(4) != 2, F.col("lang")))
+    got = corpus_pipeline.identify_language(spark, hidden, "").select("doc_id", F.col("lang").alias("filled"))
+    pairs = got.join(known, "doc_id").where(queries.remainder(4) == 2).select("filled", "lang").collect()
+    assert len(pairs) > 50 and all(r["filled"] for r in pairs)
+    assert np.mean([r["filled"] == r["lang"] for r in pairs]) > 0.9
+    rest = got.join(known, "doc_id").where(queries.remainder(4) != 2).where("filled <> lang")
+    assert rest.count() == 0  # a given language stays
+
+
+def test_stages_on_the_odd_table(spark, odd, sf):
+    docs = odd.withColumn("n_chars", F.length("text").cast("long"))
+    texts = Counter()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == [*odd.columns, "n_chars"]
+        now = Counter(r["text"] for r in docs.collect())
+        assert not texts or all(texts[t] >= n for t, n in now.items())
+        texts = now
+    assert None not in texts and "" not in texts and max(texts.values()) == 1
+    assert sorted(r["doc_id"] for r in docs.where("text like '%Hello%'").collect()) == [3]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
 def test_quality(spark, odd, none, clashing, sf):
     labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
     rows = queries.op10_quality_classifier(spark, sf.replace("0.001", "0.01")).join(labels, "doc_id").collect()
@@ -113,7 +142,7 @@ def test_queries_match_their_sql(spark, sf):
     from codeweave.llm.oracle import ORACLES
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "conversations"):
+    for t in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     for name, sql in ORACLES.items():
         df = queries.QUERIES[name](spark, sf)
