@@ -16,9 +16,13 @@ from codeweave.llm.common import store
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (no text, or no letter) go; the others stay, also when no row has a label to learn from."""
+    """Documents in no language (no text, or no letter) go; the others stay, also
+    when no row has a label to learn from.  A null ``lang`` becomes the predicted
+    language, if one was learned; a given one stays."""
     learnable = F.coalesce(queries.remainder(4), F.lit(2)) != 2
-    return language_id.identify(docs, learnable).where(language_id.has_letter(F.col("row.text"))).select("row.*")
+    found = language_id.identify(docs, learnable).where(language_id.has_letter(F.col("row.text")))
+    lang = F.coalesce(F.col("row.lang"), F.when(F.col("lang_pred") != "und", F.col("lang_pred")))
+    return found.select(F.col("row").withField("lang", lang).alias("row")).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the whole ``documents``; the pieces of what stays.
+    Null and empty texts go in the first stage; rows with one id and text are
+    copies, of which one stays; an empty table gives no pieces."""
     docs = queries.table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
