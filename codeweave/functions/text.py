@@ -73,14 +73,15 @@ _TOKENS = {
 }
 
 
-def clean_code(text: Column, dialect: str) -> Column:
+def clean_code(text: Column, dialect: str, ref_compat: bool = False) -> Column:
     """Blank comments and string literals (dialect ``js``, ``dart`` or ``c``).
 
     * block comments and triple-quoted strings keep their newlines;
     * a line comment keeps its terminating newline (none at end of text);
     * in quoted strings an escape pair (backslash + any char) vanishes, so
       an escaped newline is dropped; other newlines are kept;
-    * C character literals drop newlines entirely.
+    * with ``ref_compat``, C character literals drop newlines entirely, which
+      shifts the lines after them (Q32).
     """
     toks = F.regexp_extract_all(text, F.lit(f"({_TOKENS[dialect]})"), 1)
 
@@ -93,7 +94,9 @@ def clean_code(text: Column, dialect: str) -> Column:
             quoted = quoted | t.startswith("`")
         out = F.when(comment, F.regexp_replace(t, "[^\\n]", ""))
         if dialect == "c":
-            out = out.when(t == "'", t).when(t.startswith("'"), F.lit(""))
+            out = out.when(t == "'", t)
+            if ref_compat:
+                out = out.when(t.startswith("'"), F.lit(""))
         no_escapes = F.regexp_replace(t, "\\\\[\\s\\S]", "")
         return out.when(quoted, F.regexp_replace(no_escapes, "[^\\n]", "")) \
             .otherwise(t)

@@ -226,11 +226,11 @@ def cpu_partitions(spark, files: DataFrame | None = None) -> int:
     return max(least, min(MOST_PARTITIONS, -(-size // LINE_BYTES)))
 
 
-def line_table(files: DataFrame) -> DataFrame:
+def line_table(files: DataFrame, ref_compat: bool = False) -> DataFrame:
     """Cleaned lines with brace depth, one exchange on (repo, path)."""
     cleaned = (files.select("repo", "path", "lang", dialect_of(F.col("lang")).alias("d"), "text")
                .withColumn("clean", F.when(F.col("d") == "js", clean_code(F.col("text"), "js"))
-                           .when(F.col("d") == "c", clean_code(F.col("text"), "c"))
+                           .when(F.col("d") == "c", clean_code(F.col("text"), "c", ref_compat))
                            .otherwise(clean_code(F.col("text"), "dart")))
                .drop("text")
                .repartition(cpu_partitions(files.sparkSession, files.select(*KEY, "lang", "text")), *KEY))
@@ -275,8 +275,9 @@ def line_table(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # headers
 # ---------------------------------------------------------------------------
-def _class_header() -> dict[str, Column]:
-    """Columns describing a module-level class header (NULL name otherwise)."""
+def _class_header(ref_compat: bool = False) -> dict[str, Column]:
+    """Columns describing a module-level class header (NULL name otherwise).
+    With ``ref_compat`` a C enum is always ``enum class`` or ``enum struct`` (Q20)."""
     s, line, d = F.col("s"), F.col("line"), F.col("d")
     js_m = s.rlike(JS_CLASS)
     c_cls, c_enum = s.rlike(C_CLASS), s.rlike(C_ENUM)
@@ -307,13 +308,16 @@ def _class_header() -> dict[str, Column]:
              .when(dx, F.array(_rx(line, DART_EXTENSION, 2)))
              .otherwise(dart_bases))
     bases = F.coalesce(bases, F.array().cast("array<string>"))
+    keyword = F.when(line.contains("struct"), F.lit("struct ")).otherwise(F.lit("class "))
+    if not ref_compat:
+        keyword = F.when(~c_cls & ~s.rlike(r"^enum\s+(?:class|struct)\s"), F.lit("")) \
+            .when(c_cls, F.concat(_rx(s, r"^(?:template\s*<[^>]*>\s*)?(class|struct)\s", 1), F.lit(" "))).otherwise(keyword)
     sig = (F.when(d == "js", F.concat(F.lit("class "), name,
                                       F.when(js_base != "", F.concat(F.lit(" extends "), js_base))
                                       .otherwise(F.lit(""))))
            .when(d == "c", F.concat(
                F.when(c_cls, F.lit("")).otherwise(F.lit("enum ")),
-               F.when(line.contains("struct"), F.lit("struct ")).otherwise(F.lit("class ")),
-               name,
+               keyword, name,
                F.when(c_cls & (c_base != ""), F.concat(F.lit(" : "), c_base)).otherwise(F.lit(""))))
            .when(de, F.concat(F.lit("enum "), name))
            .when(dm, F.concat(F.lit("mixin "), name))
@@ -530,7 +534,7 @@ def extract_all(files: DataFrame, lines: DataFrame | None = None,
     return _finish(L, classes, cal, imports, c_defines, long_variables)
 
 
-def annotate(files: DataFrame) -> DataFrame:
+def annotate(files: DataFrame, ref_compat: bool = False) -> DataFrame:
     """The line table with every per-line decision of the extractors:
     headers, class membership, member kinds and the owning callable.
 
@@ -541,7 +545,7 @@ def annotate(files: DataFrame) -> DataFrame:
     enclosing member.
     """
     files = files.where(dialect_of(F.col("lang")).isNotNull())
-    L = line_table(files)
+    L = line_table(files, ref_compat)
     w = Window.partitionBy(*KEY).orderBy("ln")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     line, d = F.col("line"), F.col("d")
@@ -562,7 +566,7 @@ def annotate(files: DataFrame) -> DataFrame:
     cls_pre = ((F.col("depth") == 0) & line.contains("{")
                & (line.contains("class") | line.contains("struct") | line.contains("enum")
                   | line.contains("mixin") | line.contains("extension")))
-    ch = _class_header()
+    ch = _class_header(ref_compat)
     L = L.withColumn("is_class", F.coalesce(cls_pre & ch.pop("is_class"), F.lit(False)))
     L = L.select("*", *[F.when(F.col("is_class"), v).alias(k) for k, v in ch.items()])
     fn_pre = (F.col("depth") == 0) & ~F.col("is_class") & ~at_top & ~F.col("is_var") & (line.contains("(") | line.contains("=>"))

@@ -86,7 +86,7 @@ class CodeIndex:
 
 
 def build_index(corpus: DataFrame, persist: bool = False,
-                save_to: str | None = None, drop_self_call: bool = False) -> CodeIndex:
+                save_to: str | None = None, drop_self_call: bool = False, ref_compat: bool = False) -> CodeIndex:
     """The corpus job: ``(repo, path, content)`` → :class:`CodeIndex`.
 
     Python files go through the Arrow extractor; JS/TS, C/C++ and Dart files
@@ -95,7 +95,9 @@ def build_index(corpus: DataFrame, persist: bool = False,
     are pruned per branch.
 
     ``drop_self_call`` removes a brace-language callable's own name from its
-    calls (kept by default, as the original tool does).  ``persist`` keeps
+    calls (kept by default, as the original tool does).  ``ref_compat`` restores
+    two quirks of C/C++: ``enum class`` for a plain enum (Q20) and character
+    literals that swallow newlines (Q32).  ``persist`` keeps
     the tables cached; ``save_to`` writes them as Parquet
     (a snapshot in shared storage, e.g. below ``spark.checkpoint.dir``) and
     returns the index read back from there — lineage cut, durable against
@@ -106,7 +108,7 @@ def build_index(corpus: DataFrame, persist: bool = False,
     files = eligible_files(corpus)
     nested = python_nodes(files.where(F.col("lang") == "python"))
     other = files.where(F.col("lang") != "python")
-    lines = brace.narrow(brace.annotate(other))
+    lines = brace.narrow(brace.annotate(other, ref_compat))
     staged = persist or save_to is not None
     if staged:
         # both intermediate results feed several tables: evaluate them once

@@ -45,6 +45,21 @@ def test_js_functions_and_variables(sample_index):
     assert mv == [("MAX_ITEMS", "250"), ("counter", "0"), ("label", "")]
 
 
+def test_cpp_keywords_and_literals_by_default_and_as_the_original(spark):
+    from codeweave.operators.tables import build_index
+
+    text = "enum Plain { A };\nenum class Scoped { B };\nclass Uses : structure {\n};\nint a() {\n  char c = 'x\n';\n}\nint late() {\n}\n"
+    corpus = spark.createDataFrame([("r", "a.cpp", text)], "repo string, path string, content string")
+    signatures, lines = {}, {}
+    for quirks in (False, True):
+        idx = build_index(corpus, ref_compat=quirks)
+        signatures[quirks] = [r.signature for r in idx.classes.orderBy("class_ord").collect()]
+        lines[quirks] = {r.name: r.line for r in idx.callables.collect()}["late"]
+    assert signatures[False] == ["enum Plain", "enum class Scoped", "class Uses : structure"]
+    assert signatures[True] == ["enum class Plain", "enum class Scoped", "struct Uses : structure"]
+    assert lines == {False: 9, True: 8}  # it stands on line 9
+
+
 def test_cpp(sample_index):
     p = "app/geometry.cpp"
     cls = rows_of(sample_index.classes.orderBy("class_ord"), "name", "signature", "bases", path=p)
