@@ -659,7 +659,7 @@ WITH u AS (
          starts_with(url, 'https:') AS https
   FROM pages),
 f AS (
-  SELECT repo, path, bool_or(https) AS active, count(*) AS n FROM u WHERE path <> ''
+  SELECT repo, path, bool_or(https) AS active, count(*) AS n FROM u WHERE path IS NOT NULL
   GROUP BY repo, path),
 t AS (
   SELECT repo, path, active, n, string_split(path, '/') AS parts FROM f),

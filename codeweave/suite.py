@@ -327,11 +327,11 @@ URL_PARTS = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)([^?#]*)"
 
 
 def url_folder_rollup(spark, d):
-    """V1/V2 on real paths: every page URL is a file ``host`` / ``path``."""
+    """V1/V2 on real paths: every page URL is a file ``host`` / ``path``; one without a path lies in the top folder."""
     pages = spark.read.parquet(f"{d}/pages.parquet")
     path = F.regexp_replace(F.regexp_extract("url", URL_PARTS, 2), r"^/+|/+$", "")
     tree = pages.select(F.regexp_extract("url", URL_PARTS, 1).alias("repo"),
-                        path.alias("path"), F.col("url").startswith("https:").alias("https")).where(F.col("path") != "")
+                        path.alias("path"), F.col("url").startswith("https:").alias("https")).where(F.col("path").isNotNull())
     # a path counts as active when any of its URLs is https
     paths = tree.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"), F.max("https").alias("active"))
     folder = F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))
