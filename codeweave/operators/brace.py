@@ -25,6 +25,8 @@ variable run on to the line whose ``;`` closes them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,14 +228,23 @@ def cpu_partitions(spark, files: DataFrame | None = None) -> int:
     return max(least, min(MOST_PARTITIONS, -(-size // LINE_BYTES)))
 
 
+def in_place(files: DataFrame) -> bool:
+    """Whether the rows of a file are where windows over it need them: the
+    source is bucketed by ``(repo, path)``."""
+    at = files._jdf.queryExecution().sparkPlan().outputPartitioning().toString()
+    return re.fullmatch(r"hashpartitioning\(repo#\d+, path#\d+, \d+\)", at) is not None
+
+
 def line_table(files: DataFrame, ref_compat: bool = False) -> DataFrame:
-    """Cleaned lines with brace depth, one exchange on (repo, path)."""
+    """Cleaned lines with brace depth: no exchange on a corpus bucketed by
+    (repo, path), else one."""
     cleaned = (files.select("repo", "path", "lang", dialect_of(F.col("lang")).alias("d"), "text")
                .withColumn("clean", F.when(F.col("d") == "js", clean_code(F.col("text"), "js"))
                            .when(F.col("d") == "c", clean_code(F.col("text"), "c", ref_compat))
                            .otherwise(clean_code(F.col("text"), "dart")))
-               .drop("text")
-               .repartition(cpu_partitions(files.sparkSession, files.select(*KEY, "lang", "text")), *KEY))
+               .drop("text"))
+    if not in_place(files):
+        cleaned = cleaned.repartition(cpu_partitions(files.sparkSession, files.select(*KEY, "lang", "text")), *KEY)
     lines = cleaned.select("repo", "path", "lang", "d",
                            F.posexplode(split_lines(F.col("clean"))).alias("ln", "line"))
     # only lines holding both '{' and '}' need the character-level scan; for

@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.bucketed import forget_bucketed, read_bucketed
+
+#: Tables of a version that are bucketed.
+BUCKETED = ("definitions", "details")
 MANIFEST = "number long, folder string, analyzed_at string, schemas map<string,string>"
 
 
@@ -64,7 +68,9 @@ def current(spark: SparkSession, path: str, number: int | None = None) -> tuple[
     row = found.orderBy(F.col("number").desc()).first()
     if row is None:
         raise LookupError(f"no committed version in {path}")
-    return {t: spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{path.rstrip('/')}/{row['folder']}/{t}")
+    folder = f"{path.rstrip('/')}/{row['folder']}"
+    return {t: read_bucketed(spark, f"{folder}/{t}") if t in BUCKETED
+            else spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{folder}/{t}")
             for t, schema in row["schemas"].items()}, row["analyzed_at"]
 
 
@@ -72,6 +78,8 @@ def drop_old(spark: SparkSession, path: str, keep: int = 2) -> None:
     """Delete all but the newest ``keep`` versions (at least one), manifests first."""
     rows = versions(spark, path).orderBy(F.col("number").desc()).collect()[max(keep, 1):]
     for row in rows:
+        for t in BUCKETED:
+            forget_bucketed(spark, f"{path.rstrip('/')}/{row['folder']}/{t}")
         for name in (f"manifests/{row['number']:09d}.json", row["folder"]):
             at, fs = _fs(spark, f"{path.rstrip('/')}/{name}")
             fs.delete(at, True)

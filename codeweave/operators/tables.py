@@ -23,8 +23,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.bucketed import buckets_for, write_bucketed
 from ..sources.corpus import eligible_files
-from . import brace, snapshot
+from . import brace, lookup, snapshot
 from .python_nodes import python_nodes
 from .python_symbols import python_tables
 
@@ -51,6 +52,9 @@ class CodeIndex:
     stored_nested: DataFrame | None = None
     #: Time of analysis (UTC) of a snapshot's version.
     analyzed_at: str | None = None
+    #: Tables of a snapshot bucketed by symbol, see :mod:`operators.lookup`.
+    definitions: DataFrame | None = None
+    details: DataFrame | None = None
 
     @property
     def nested(self) -> DataFrame:
@@ -154,13 +158,16 @@ def build_index(corpus: DataFrame, persist: bool = False,
 def save_index(idx: CodeIndex, path: str, analyzed_at: str | None = None) -> None:
     """Full rebuild, no merge — a new version beside the old ones, current
     once it is whole.  Tables are partitioned by language, so a language filter
-    prunes whole folders; the nested records are derived from the written tables."""
+    prunes whole folders; the nested records and the lookup tables are derived from
+    the written tables."""
     spark = idx.files.sparkSession
     folder = snapshot.new_version(path)
     written = {}
     for name, df in idx.tables().items():
         written[name] = _written(df.select(*_COLUMNS[name]), f"{folder}/{name}")
     written["nested"] = _written(snapshot.nested_files(written), f"{folder}/nested")
+    for name, df in (("definitions", lookup.definitions(written["callables"])), ("details", lookup.details(written["nested"]))):
+        written[name] = write_bucketed(df, f"{folder}/{name}", ["key"], buckets_for(df))
     schemas = {name: df.schema for name, df in written.items()}
     snapshot.commit(spark, path, folder, schemas, analyzed_at)
 
@@ -179,4 +186,5 @@ def load_index(spark: SparkSession, path: str, version: int | None = None) -> Co
     missing snapshot raises ``AnalysisException``.  The tables stay those of the
     version that was current when it was loaded."""
     tables, analyzed_at = snapshot.current(spark, path, version)
-    return CodeIndex(**{t: tables[t].select(*_COLUMNS[t]) for t in TABLES}, stored_nested=tables["nested"], analyzed_at=analyzed_at)
+    return CodeIndex(**{t: tables[t].select(*_COLUMNS[t]) for t in TABLES}, stored_nested=tables["nested"],
+                     analyzed_at=analyzed_at, definitions=tables.get("definitions"), details=tables.get("details"))

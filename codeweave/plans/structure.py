@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lookup
 from ..operators.tables import CodeIndex
 
 
@@ -89,6 +90,8 @@ def class_detail(idx: CodeIndex, classes: str | DataFrame) -> DataFrame:
     One row per member: ``member_kind`` is ``method`` or ``attribute``.
     ``classes`` is one name or a DataFrame with a ``name`` column.
     """
+    if idx.details is not None:
+        return _stored_detail(idx.details, classes)
     if isinstance(classes, str):  # one name is a filter on the scan
         first = first_of_each(idx.classes.where(F.col("name") == classes))
     else:
@@ -113,6 +116,30 @@ def class_detail(idx: CodeIndex, classes: str | DataFrame) -> DataFrame:
     return cls.join(members, key, "left")
 
 
+def _stored_detail(details: DataFrame, classes: str | DataFrame) -> DataFrame:
+    """The same from a snapshot's lookup table: without an exchange of the index."""
+    if isinstance(classes, str):
+        found = lookup.at_keys(details.where(F.col("name") == classes), classes)
+    else:
+        found = details.join(lookup.salted(classes.select("name").distinct(), F.col("name")).select("key"), "key", "left_semi")
+    members = F.concat(
+        F.transform("c.methods", lambda m: F.struct(
+            F.lit("method").alias("member_kind"), m["call_ord"].alias("member_ord"), m["name"].alias("name"),
+            m["signature"].alias("signature"), m["docstring"].alias("docstring"), m["decorators"].alias("decorators"),
+            m["is_async"].alias("is_async"), m["calls"].alias("calls"), F.lit(None).cast("string").alias("type"),
+            F.lit(None).cast("string").alias("value"), m["line"].alias("line"))),
+        F.transform("c.attributes", lambda m: F.struct(
+            F.lit("attribute").alias("member_kind"), m["ord"].alias("member_ord"), m["name"].alias("name"),
+            F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("docstring"),
+            F.lit(None).cast("array<string>").alias("decorators"), F.lit(None).cast("boolean").alias("is_async"),
+            F.lit(None).cast("array<string>").alias("calls"), m["type"].alias("type"), m["value"].alias("value"),
+            m["line"].alias("line"))))
+    return found.select("repo", "path", F.col("c.class_ord").alias("class_ord"), F.col("name").alias("class_name"),
+                        F.col("c.signature").alias("class_signature"), F.col("c.bases").alias("class_bases"),
+                        F.col("c.docstring").alias("class_docstring"), F.explode_outer(members).alias("m")) \
+        .select("repo", "path", "class_ord", "class_name", "class_signature", "class_bases", "class_docstring", "m.*")
+
+
 # --- R5 --------------------------------------------------------------------
 def functions_by_file(idx: CodeIndex, path: str | None = None, repo: str | None = None) -> DataFrame:
     files = _file_filter(idx.files.select("repo", "path"), path, repo)
@@ -158,28 +185,24 @@ def calls_of(idx: CodeIndex, symbols: str | DataFrame) -> DataFrame:
     ``symbols`` is one symbol or a DataFrame with a ``symbol`` column; many
     symbols are answered with one equi-join.
     """
-    callables = idx.callables
     if isinstance(symbols, str):  # one symbol is a filter on the scan
         owner, dot, member = symbols.partition(".")
-        callables = callables.where((F.col("name") == member) & (F.col("kind") == "method") & (F.col("class_name") == owner)
-                                    if dot else (F.col("name") == symbols) & (F.col("kind") == "function"))
-        symbols = idx.callables.sparkSession.createDataFrame([(symbols,)], "symbol string")
+        cls, member = (owner, member) if dot else ("", symbols)
+        if idx.definitions is not None:
+            first = lookup.at_keys(idx.definitions.where(F.col("name") == member), cls, member)
+        else:
+            first = lookup.first_callables(idx.callables.where(
+                (F.col("name") == member) & ((F.col("kind") == "method") & (F.col("class_name") == cls) if dot else F.col("kind") == "function")))
+        found = first.where(F.lit(not dot or cls != ""))
+        return found.select(F.lit(symbols).alias("symbol"), "repo", "path", "calls")
     cls, member = split_symbol(F.col("symbol"))
-    s = symbols.select("symbol").distinct().select("symbol", cls.alias("cls"),
-                                                   member.alias("member"))
-    # key: (class, member) for methods, ('', name) for functions; a dotted
-    # symbol therefore never matches a function (Q7).  Each key is reduced to
-    # its first definition of a repository before the join, which combines
-    # map-side: a name defined in millions of files is one partial row per task.
-    c = callables.select(
-        "repo",
-        F.coalesce(F.when(F.col("kind") == "method", F.col("class_name")), F.lit("")).alias("cls"),
-        F.col("name").alias("member"),
-        F.struct("path", F.coalesce("class_ord", F.lit(-1)).alias("co"), "call_ord", "calls").alias("h"))
-    first = c.groupBy("repo", "cls", "member").agg(F.min("h").alias("h"))
-    return (s.withColumn("cls", F.coalesce("cls", F.lit("")))
-            .join(first, ["cls", "member"])
-            .select("symbol", "repo", "h.path", "h.calls"))
+    wanted = symbols.where(~F.col("symbol").startswith(".")).select("symbol").distinct().select("symbol", F.coalesce(cls, F.lit("")).alias("cls"), member.alias("name"))
+    if idx.definitions is not None:
+        # the key alone: names hold no separator, and a join on more columns would move the index
+        found = idx.definitions.join(lookup.salted(wanted, F.col("cls"), F.col("name")).select("key", "symbol"), "key")
+    else:
+        found = lookup.first_callables(idx.callables).join(wanted, ["cls", "name"])
+    return found.select("symbol", "repo", "path", "calls")
 
 
 # --- R8 / F3 / U2 ----------------------------------------------------------

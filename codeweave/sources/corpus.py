@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import EXCLUDED_PARTS, EXTENSIONS
 from ..functions.text import universal_newlines
+from .bucketed import read_bucketed, write_bucketed
 
 CORPUS_COLUMNS = ["repo", "path", "content"]
 
@@ -99,11 +100,20 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def write_corpus(corpus: DataFrame, path: str, partitions: int | None = None) -> None:
     """Store a corpus partitioned by language (``lang=python/``, ``lang=js/``,
     ...; unsupported files under the default partition).  Every extractor
-    branch then reads only its own language's files."""
+    branch then reads only its own language's files.
+
+    ``partitions`` buckets it by ``(repo, path)`` as well: read with
+    :func:`read_bucketed_corpus`, its texts are never shuffled again."""
     df = corpus.select(*CORPUS_COLUMNS, language(F.col("path")).alias("lang"))
     if partitions:
-        df = df.repartition(partitions, "repo", "path")
-    df.write.mode("overwrite").partitionBy("lang").parquet(path)
+        write_bucketed(df, path, ["repo", "path"], partitions, ["lang"])
+    else:
+        df.write.mode("overwrite").partitionBy("lang").parquet(path)
+
+
+def read_bucketed_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A corpus stored by :func:`write_corpus` in buckets."""
+    return read_bucketed(spark, path).select(*CORPUS_COLUMNS, "lang")
 
 
 def extension(path: Column) -> Column:

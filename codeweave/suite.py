@@ -23,7 +23,7 @@ from .plans import scope as V
 from .plans import search as S
 from .plans import structure as Q
 from .session import checkpoint_dir, spread
-from .sources.corpus import classify, read_table, write_corpus
+from .sources.corpus import classify, read_bucketed_corpus, write_corpus
 from .sources.features import feature_corpus
 from .sources.generated import call_sites, generate_corpus, site_parts
 
@@ -51,13 +51,13 @@ def features_for(spark: SparkSession, sf_dir: str) -> CodeIndex:
 
 def corpus_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered corpus, written once as Parquet below the session's
-    checkpoint folder (cuts the rendering lineage; every extractor branch
-    then scans the table instead of re-rendering it)."""
+    checkpoint folder, by language and in buckets by file (cuts the rendering
+    lineage; every extractor branch then scans the table, without an exchange)."""
     key = ("corpus", spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
         out = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
         write_corpus(generate_corpus(spark, sf_dir), out, partitions=cpu_partitions(spark))
-        _CACHE[key] = read_table(spark, out)
+        _CACHE[key] = read_bucketed_corpus(spark, out)
     return _CACHE[key]
 
 

@@ -1,5 +1,6 @@
 """Plan-shape guards for the scale properties the design relies on."""
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from __spark_entry__ import queries
 from codeweave import suite
 from codeweave.operators import brace
 from codeweave.plans import structure as Q
-from codeweave.sources.corpus import eligible_files
+from codeweave.sources.bucketed import forget_bucketed
+from codeweave.sources.corpus import eligible_files, read_bucketed_corpus, read_table, write_corpus
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,13 +19,57 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_line_plan_has_one_exchange_and_linear_frames(spark):
-    files = eligible_files(suite.corpus_for(spark, SF)).where(F.col("lang") != "python")
+def test_line_plan_has_one_exchange_and_linear_frames(spark, tmp_path):
+    suite.corpus_for(spark, SF).write.partitionBy("lang").parquet(f"{tmp_path}/flat")
+    files = eligible_files(read_table(spark, f"{tmp_path}/flat")).where(F.col("lang") != "python")
     p = plan(brace.annotate(files))
     assert len(re.findall(r"Exchange hashpartitioning\(repo", p)) == 1
     assert "UnboundedFollowing" not in p and "unboundedfollowing" not in p.lower()
 
 
+def test_a_bucketed_corpus_is_not_shuffled_again(spark, tmp_path):
+    corpus = suite.corpus_for(spark, SF)
+    files = eligible_files(corpus).where(F.col("lang") != "python")
+    p = plan(brace.annotate(files))
+    assert "Exchange" not in p and "Bucketed: true" in p
+    # another session finds the buckets by the path alone
+    write_corpus(corpus, f"{tmp_path}/c", partitions=3)
+    forget_bucketed(spark, f"{tmp_path}/c")
+    again = read_bucketed_corpus(spark, f"{tmp_path}/c")
+    assert brace.in_place(eligible_files(again)) and not brace.in_place(eligible_files(read_table(spark, f"{tmp_path}/c")))
+    assert again.exceptAll(corpus.select(*again.columns)).count() == 0 and again.count() == corpus.count()
+    lines = [brace.annotate(eligible_files(c).where(F.col("lang") != "python")) for c in (again, read_table(spark, f"{tmp_path}/c"))]
+    sums = [x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("repo", "path", "ln", "line", "s_after").cast("decimal(38,0)"))).first() for x in lines]
+    assert sums[0] == sums[1] and sums[0][0] > 0
+
+
+def test_symbols_are_looked_up_without_moving_the_index(spark):
+    idx = suite.index_for(spark, SF)
+    flat = replace(idx, definitions=None, details=None)
+    names = idx.callables.select(F.concat_ws(".", "class_name", "name").alias("symbol")).unionByName(
+        spark.createDataFrame([("none.such",), (".crear_cust_1",), (None,)], "symbol string"))
+    classes = idx.classes.select("name").unionByName(spark.createDataFrame([("NoClass",), (None,)], "name string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for query, wanted in ((Q.calls_of, names), (Q.class_detail, classes)):
+            found = query(idx, wanted)
+            # each exchange lies below the wanted side of the join
+            scan = next(x for x in re.split(r"(?=SortMergeJoin|ShuffledHashJoin)", plan(found)) if "Bucketed: true" in x)
+            at = scan.index("Bucketed: true")
+            branch = scan[:at].rsplit("Exchange", 1)
+            assert len(branch) == 1 or "Scan" in branch[1].split("FileScan")[0]
+            rows = [sorted(map(str, x.select(*sorted(x.columns)).collect())) for x in (found, query(flat, wanted))]
+            assert rows[0] == rows[1] and rows[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for query, one in ((Q.calls_of, "Cust5.get_order_1"), (Q.calls_of, "crear_cust_4"), (Q.class_detail, "Cust5")):
+        assert "SelectedBucketsCount" in query(idx, one)._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(map(str, query(idx, one).select(*sorted(query(idx, one).columns)).collect())) == sorted(
+            map(str, query(flat, one).select(*sorted(query(flat, one).columns)).collect()))
+    assert Q.calls_of(idx, ".crear_cust_4").count() == 0
+
+
 def test_line_partitions_follow_the_input(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(brace, "LINE_BYTES", 1 << 12)
     counts = []
@@ -45,7 +91,7 @@ def test_language_branches_prune_partitions(spark):
 
 
 def test_first_match_is_combined_map_side(spark):
-    idx = suite.index_for(spark, SF)
+    idx = replace(suite.index_for(spark, SF), definitions=None)
     p = plan(Q.calls_of(idx, "Cust5.get_order_1"))
     assert "partial_min" in p
 
