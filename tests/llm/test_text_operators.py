@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeweave.llm import chat, packing, token_files
-from codeweave.llm.common import scratch_path
 from codeweave.llm.tokens import Encoder
 
 WORD, BYTE = (str(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -75,16 +74,30 @@ def test_token_files_round_trip(spark, odd, none):
     assert token_files.token_files(none, WORD, 1).count() == 0
 
 
-def test_one_document_is_read_without_its_shard(spark, odd):
-    folder = scratch_path(spark, "files")
-    shard = next(r for r in token_files.write_token_files(odd, WORD, 1, folder).collect() if 20 in r["doc_ids"])
-    with token_files.filesystem(f"{folder}/dictionary")[0].open_input_stream(token_files.filesystem(f"{folder}/dictionary")[1]) as f:
-        dictionary = f.read()
-    opened = token_files.Shard(shard["path"], dictionary)
-    text = odd.where("doc_id = 20").first()["text"]
-    assert opened.ids(shard["doc_ids"].index(20)).tolist() == [*whole(WORD, text), 1]
+def test_documents_are_found_from_the_folder_alone(spark, odd, clashing, tmp_path):
+    folder = str(tmp_path / "files")  # no scheme: Spark's default file system decides
+    assert token_files.qualified(spark, folder) == f"file://{folder}"
+    token_files.write_token_files(clashing, WORD, 1, folder)
+    for doc_id in (20, 3, 14, 99):
+        want = sorted([*whole(WORD, r["text"]), 1] for r in odd.where(F.col("doc_id") == doc_id).collect())
+        assert sorted(x.tolist() for x in token_files.find_document(spark, folder, doc_id)) == want
+    place = token_files.read_token_files(spark, folder).where("doc_id = 20").first()
+    row = token_files.read_manifest(spark, folder).where(F.col("shard") == place["shard"]).first()
+    shard = token_files.Shard(f"file://{folder}/{row['file']}", token_files.open_dictionary(f"file://{folder}"))
+    assert len(shard.ids(place["place"])) == place["n_tokens"] and row["base"] + shard.ends[place["place"]] == place["start"]
     with pytest.raises(ValueError):
-        token_files.Shard(shard["path"], b"another dictionary")
+        token_files.Shard(f"file://{folder}/{row['file']}", b"another dictionary")
+
+
+def test_dictionary_sample_is_bounded_distinct_and_from_anywhere(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SAMPLE_DOCS", 50)
+    monkeypatch.setattr(token_files, "SAMPLE_CHARS", 20)
+    rows = spark.range(6000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a copy' ELSE concat(repeat('x', 30), id, repeat('y', 30)) END AS t")
+    got = [r["t"] for r in token_files.sample_texts(rows).collect()]
+    assert 10 < len(got) < 90 and got.count("a copy") == 1  # a third of all rows is one sample
+    assert all(len(t) <= 20 for t in got) and any("y" in t for t in got) and any("x" in t for t in got)
+    assert token_files.sample_texts(rows.where("false")).count() == 0
+    assert [r["t"] for r in token_files.sample_texts(rows.where("t = 'a copy'")).collect()] in ([], ["a copy"])
 
 
 def test_plan_is_feasible_and_tight():
