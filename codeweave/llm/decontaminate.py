@@ -4,37 +4,39 @@ Training words become the numbers of benchmark words (0: in no benchmark item).
 Each shard, a few megabytes of consecutive documents of a partition, is a
 sorted array of its suffixes, cut to the window's length.  A suffix can only
 match where a run of benchmark words is as long as the shortest window, so the
-others are left out of the array: that loses no match.  Every benchmark suffix
-is binary-searched in every shard, which yields the places of its window and
-its longest verbatim match there.
+others are left out of the array: that loses no match.  Every distinct benchmark
+suffix is binary-searched in every shard, which yields the places of its window,
+its items, and their longest verbatim match there.
 
-The documents are read once, without a shuffle.  The benchmark is sent to the
-tasks in blocks of a checked size; further blocks are further passes over the
-same stream of batches, whose findings add up.
+The documents are read without a shuffle.  The benchmark is dealt by hash into
+blocks of a checked size, and one block at a time goes to the tasks: a benchmark of
+up to ``BLOCK_BYTES`` is one pass, a larger one several, each stored before the
+next, whose findings add up.  A prompt template that many items share is one window.
 
 Defined cases: null or empty texts have no words and are clean; an item of
 fewer words than a window is one window, of none is no window; a null item_id
 counts as the empty string, equal item_ids as one item; an empty benchmark
-leaves all documents clean.
+leaves all documents clean, an empty documents table gives no rows.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, column_of, raw_texts, rows_with_text, spread, text_of
+from .common import by_value, column_of, drop_stored, raw_texts, rows_with_text, spread, store, text_of
 
 by_value(__name__)
 
 WINDOW = 10
-#: Bytes of benchmark text sent to the tasks at once, and of document text in one suffix array.
-BLOCK_BYTES, SHARD_BYTES = 32 << 20, 8 << 20
+#: Bytes of benchmark text sent to the tasks at once (some 16 times that as windows),
+#: and of document text in one suffix array.
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
 #: Bytes of words stay (digits, letters, all beyond ASCII), A-Z in lower case; all others become a space.
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32
               for c in range(256))
@@ -45,29 +47,38 @@ def words_of(raw: bytes | None) -> list[bytes]:
 
 
 class Benchmark:
-    """A block of items as numbered words, and all its suffixes as windows."""
+    """A block of items as numbered words: their distinct windows (``low`` to
+    ``high``, sorted), the items of each, and each item's windows in order."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
-        texts = [(item, words_of(raw)) for item, raw in items]
+        texts = [(item, words) for item, words in ((item, words_of(raw)) for item, raw in items) if words]
         self.window = window
         self.number = {w: i for i, w in enumerate(sorted({w for _, words in texts for w in words}), 1)}
-        self.items = [item for item, words in texts if words]
-        numbered = [[self.number[w] for w in words] for _, words in texts if words]
-        #: all item words, one after the other with a gap, for the lengths of matches
-        owner, at, sizes, rows = [], [], [], []
-        for i, words in enumerate(numbered):
-            size = min(window, len(words))
-            for k in range(len(words) - size + 1):
-                owner.append(i)
-                at.append(k)
-                sizes.append(size)
-                rows.append(words[k:k + size] + [0] * (window - size))
-        self.owner, self.at, self.sizes = (np.array(x, np.int64) for x in (owner, at, sizes))
-        rows = np.array(rows, ">u4").reshape(-1, window)
-        self.low = as_bytes(rows)
+        self.items = sorted({item for item, _ in texts})
+        place, rows, owner, chains = {item: i for i, item in enumerate(self.items)}, [], [], {}
+        for item, words in texts:
+            numbers = np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words))
+            n = max(1, len(words) - window + 1)
+            padded = np.append(numbers, np.zeros(window, np.uint32))
+            rows.append(np.lib.stride_tricks.sliding_window_view(padded, window)[:n])
+            owner.append(np.full(n, place[item], np.int64))
+            # items of equal words have equal matches: one of them is enough for the lengths
+            chains.setdefault(numbers.tobytes(), len(rows) - 1)
+        rows = np.concatenate(rows).astype(">u4") if rows else np.empty((0, window), ">u4")
+        self.low, first, which = np.unique(as_bytes(rows), return_index=True, return_inverse=True)
+        self.sizes = (rows[first] != 0).sum(1).astype(np.int64)
         # behind a short window any word may follow
-        self.high = as_bytes(np.where(np.arange(window) < self.sizes[:, None], rows, 0xFFFFFFFF).astype(">u4"))
-        self.shortest = int(self.sizes.min()) if len(owner) else 0
+        self.high = as_bytes(np.where(np.arange(window) < self.sizes[:, None], rows[first], 0xFFFFFFFF).astype(">u4"))
+        self.shortest = int(self.sizes.min()) if len(first) else 0
+        both = np.unique(which * max(1, len(self.items)) + (np.concatenate(owner) if owner else np.empty(0, np.int64)))
+        self.owners = both % max(1, len(self.items))
+        self.owner_cuts = np.searchsorted(both // max(1, len(self.items)), np.arange(len(first) + 1))
+        cuts = np.cumsum([0, *map(len, owner)])
+        self.chains = [which[cuts[k]:cuts[k + 1]] for k in chains.values()]
+
+    def items_of(self, windows: np.ndarray) -> set[str]:
+        found = [self.owners[self.owner_cuts[w]:self.owner_cuts[w + 1]] for w in windows.tolist()]
+        return {self.items[k] for k in np.unique(np.concatenate(found)).tolist()}
 
 
 def as_bytes(rows: np.ndarray) -> np.ndarray:
@@ -92,27 +103,42 @@ def suffix_array(words: np.ndarray, window: int, shortest: int) -> tuple[np.ndar
     return places[order], keys[order]
 
 
-def search(words: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Binary search of every benchmark suffix: ``(window, place, match)`` of all
-    occurrences in this shard; ``match`` is the number of words that agree from
-    there on, past the window's end, within the item."""
+def search(words: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of every distinct window: ``(window, place)`` of all
+    occurrences in this shard.  A place begins at most one window of each size,
+    so these are no more than ``window`` times the words."""
     empty = np.empty(0, np.int64)
-    if not len(bench.owner):
-        return empty, empty, empty
+    if not len(bench.low):
+        return empty, empty
     places, keys = suffix_array(words, bench.window, bench.shortest)
     first, last = np.searchsorted(keys, bench.low, "left"), np.searchsorted(keys, bench.high, "right")
     counts = np.maximum(last - first, 0)
     which = np.repeat(np.arange(len(counts)), counts)
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    place = places[np.repeat(first, counts) + inside]
-    # windows of an item that follow each other at following places are one longer match
-    diagonal = place - bench.at[which]
-    order = np.lexsort((place, diagonal, bench.owner[which]))
-    which, place, diagonal = which[order], place[order], diagonal[order]
-    breaks = np.flatnonzero((np.diff(bench.owner[which]) != 0) | (np.diff(diagonal) != 0) | (np.diff(place) != 1))
-    ends = np.append(breaks, len(which) - 1)
-    end = ends[np.searchsorted(ends, np.arange(len(which)))] if len(which) else empty
-    return which, place, place[end] - place + bench.sizes[which[end]] if len(which) else empty
+    return which, places[np.repeat(first, counts) + inside]
+
+
+def longest_matches(bench: Benchmark, which: np.ndarray, place: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Words of the longest verbatim match of an item in each document: windows
+    of an item that follow each other at following places are one longer match.
+    One window of one item is looked at at a time, so nothing holds every pair of
+    an item's window and a place."""
+    longest = np.zeros(docs, np.int64)
+    order = np.lexsort((place, which))
+    which, place, doc = which[order], place[order], doc[order]
+    cuts = np.searchsorted(which, np.arange(len(bench.low) + 1))
+    for chain in bench.chains:
+        before, lengths, last = np.empty(0, np.int64), np.empty(0, np.int64), -2
+        for k in np.flatnonzero(cuts[chain + 1] > cuts[chain]).tolist():
+            w = chain[k]
+            here, size = place[cuts[w]:cuts[w + 1]], bench.sizes[w]
+            now = np.full(len(here), size, np.int64)
+            if k == last + 1:
+                at = np.minimum(np.searchsorted(before, here - 1), len(before) - 1)
+                now = np.where(before[at] == here - 1, lengths[at] + 1, now)
+            np.maximum.at(longest, doc[cuts[w]:cuts[w + 1]], now)
+            before, lengths, last = here, now, k
+    return longest
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
@@ -127,29 +153,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     own = "t" in out.columns  # else the text is a field of the row
     row = out.schema["row"].dataType.simpleString()
     found = "n_words long, hits array<struct<start:long,size:long>>, items array<string>, longest long"
-    blocks = list(blocks_of(benchmark, item_id, item_text, window)) or [Benchmark([], window)]
-    for number, bench in enumerate(blocks):
-        final = number == len(blocks) - 1
-        out = out.mapInArrow(_pass(out.sparkSession.sparkContext.broadcast(bench), text, final),
-                             f"row {row}, {found}" + ", t string" * (own and not final))
+    n, block = blocks_of(benchmark, item_id, item_text)
+    earlier = None
+    for number in range(n):
+        final = number == n - 1
+        sent = out.sparkSession.sparkContext.broadcast(Benchmark(block(number), window))
+        out = out.mapInArrow(_pass(sent, text, final), f"row {row}, {found}" + ", t string" * (own and not final))
+        if not final:  # one block is in memory at a time: its pass is stored before the next is fetched
+            out = store(out, "decontaminated")
+            sent.destroy()
+            if earlier is not None:
+                drop_stored(earlier)
+            earlier = out
     return out.select("row", "n_words", F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["size"]).alias("n_hit"),
                       "items", F.col("hits").alias("spans"), "longest", (F.size("hits") > 0).alias("contaminated"))
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> Iterator[Benchmark]:
-    """The benchmark, fetched a partition at a time, in blocks of bounded size."""
+def blocks_of(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[int, Callable[[int], list[tuple[str, bytes]]]]:
+    """How many blocks the benchmark's distinct rows are dealt into, and what
+    fetches one: about half of ``BLOCK_BYTES`` each, so that an uneven deal stays
+    below.  (One item's text is not cut.)"""
     rows = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("i"),
-                            F.col(f"`{item_text}`").alias("t"))
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        raw = (r["t"] or "").encode()
-        if block and size + len(raw) > BLOCK_BYTES:
-            yield Benchmark(block, window)
-            block, size = [], 0
-        block.append((r["i"], raw))
-        size += len(raw)
-    if block:
-        yield Benchmark(block, window)
+                            F.col(f"`{item_text}`").alias("t")).where("t IS NOT NULL").distinct()
+    size = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    n = 1 if size <= BLOCK_BYTES else -(-2 * size // BLOCK_BYTES)
+
+    def fetch(number: int) -> list[tuple[str, bytes]]:
+        mine = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == number)
+        return [(r["i"], r["t"].encode()) for r in mine.collect()]
+
+    return n, fetch
 
 
 def _pass(sent, text: str, final: bool):
@@ -163,7 +196,7 @@ def _pass(sent, text: str, final: bool):
             sizes = np.array([len(w) for w in words], np.int64)
             starts = np.cumsum(sizes + 1) - sizes - 1  # a zero after each document
             joined = np.concatenate([x for w in words for x in (w, np.zeros(1, np.uint32))])
-            which, place, match = search(joined, bench)
+            which, place = search(joined, bench)
             doc = np.searchsorted(starts, place, "right") - 1
             before = [column_of(part, n).to_pylist() if n in part.schema.names else itertools.repeat([], len(part))
                       for n in ("hits", "items", "longest")]
@@ -171,6 +204,7 @@ def _pass(sent, text: str, final: bool):
             np.add.at(cover, place, 1)
             np.add.at(cover, place + bench.sizes[which], -1)
             cover = np.cumsum(cover) > 0
+            match = longest_matches(bench, which, place, doc, len(words))
             order = np.argsort(doc, kind="stable")
             cuts = np.searchsorted(doc[order], np.arange(len(words) + 1))
             hits, items, longest = [], [], []
@@ -187,8 +221,8 @@ def _pass(sent, text: str, final: bool):
                     hit[x["start"]:x["start"] + x["size"]] = True
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8)))
                 hits.append([{"start": a, "size": b - a} for a, b in edge.reshape(-1, 2).tolist()])
-                items.append(sorted({*old_items, *(bench.items[k] for k in np.unique(bench.owner[which[mine]]).tolist())}))
-                longest.append(max(old_longest or 0, int(match[mine].max())))
+                items.append(sorted({*old_items, *bench.items_of(np.unique(which[mine]))}))
+                longest.append(max(old_longest or 0, int(match[i])))
             columns = {"row": column_of(part, "row"), "n_words": pa.array(sizes), "hits": pa.array(hits, span),
                        "items": pa.array(items, pa.list_(pa.string())), "longest": pa.array(longest, pa.int64())}
             if not final and "t" in part.schema.names:

@@ -246,6 +246,34 @@ def test_decontamination(spark, odd, none, clashing, monkeypatch, block):
     assert decontaminate.decontaminate(odd, benchmark.where("false")).where("contaminated").count() == 0
 
 
+def test_a_template_of_many_items_and_documents_stays_in_proportion(spark):
+    template = "answer the following question with one word and give no reason for it at all please thank you"
+    n = 600
+    items = [(i, f"{template} item{i} asks{i} what{i}") for i in range(n)]
+    docs = [(i, f"intro{i} {template} item{i} end") for i in range(n)] + [(n, "nothing of it")]
+    bench = decontaminate.Benchmark([(str(i), t.encode()) for i, t in items])
+    # windows inside the template are there once; the three behind it are each item's own
+    assert len(bench.low) == len(template.split()) - 9 + 3 * n
+    words = np.concatenate([[*(bench.number.get(w, 0) for w in decontaminate.words_of(t.encode())), 0] for _, t in docs]).astype(np.uint32)
+    which, place = decontaminate.search(words, bench)
+    assert len(which) <= len(words)  # not one for each item and place
+    out = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"),
+                                      spark.createDataFrame(items, "item_id long, text string")).collect()
+    size = len(template.split())
+    assert {(r["n_hit"], r["longest"], len(r["items"])) for r in out if r["row"]["doc_id"] < n} == {(size + 1, size + 1, n)}
+    assert [(r["contaminated"], r["items"]) for r in out if r["row"]["doc_id"] == n] == [(False, [])]
+
+
+def test_longest_match_in_periodic_texts(spark):
+    items = [(1, "a b " * 30), (2, "a " * 12), (3, "a b " * 30), (4, "b a")]
+    docs = [(1, "a b " * 500), (2, "a " * 11 + "b a"), (3, "c " + "b a " * 9)]
+    got = {r["row"]["doc_id"]: r for r in decontaminate.decontaminate(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for doc_id, text in docs:
+        r = got[doc_id]
+        assert (r["n_words"], r["n_hit"], r["items"], r["longest"]) == slow_hits(text, items)
+
+
 def test_sharding(spark, odd, none, clashing):
     for table, shards in ((clashing, 3), (odd, 24)):
         rows = sharding.assign_shards(table, shards).collect()
