@@ -132,15 +132,16 @@ class Shard:
         return deserialize(self.zstd.decompress(frame))
 
 
-def sample_texts(rows: DataFrame) -> DataFrame:
+def sample_texts(rows: DataFrame) -> list[str]:
     """About ``SAMPLE_DOCS`` rows of ``rows(id, t)`` at most, of each text one, cut
-    to a window of ``SAMPLE_CHARS`` that starts anywhere in it.  Rows are chosen by
-    a hash threshold from the row count, and copies are combined map-side, so the
-    tasks send what they chose and no more."""
+    to a window of ``SAMPLE_CHARS`` that starts anywhere in it.  A threshold from the
+    row count on a hash of each row's place chooses them, whatever copies there are,
+    so the tasks send what they chose and no more, without an exchange."""
     share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64("id", "t"), F.lit(1 << 53)) < int(share * (1 << 53)))
-    at = F.pmod(F.xxhash64("t", F.lit(1)), F.greatest(F.length("t") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
-    return chosen.groupBy(F.xxhash64("t").alias("h")).agg(F.min(F.substring("t", at, F.lit(SAMPLE_CHARS))).alias("t"))
+    chosen = rows.withColumn("place", F.monotonically_increasing_id()) \
+        .where(F.pmod(F.xxhash64("place"), F.lit(1 << 53)) < int(share * (1 << 53)))
+    at = F.pmod(F.xxhash64("t"), F.greatest(F.length("t") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    return sorted({r["t"] for r in chosen.select(F.substring("t", at, F.lit(SAMPLE_CHARS)).alias("t")).collect()})
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, text: str = "text",
@@ -156,7 +157,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     bound_batches(spark)
     folder = qualified(spark, folder)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    samples = [r["t"] for r in sorted(sample_texts(rows).collect(), key=lambda r: r["h"])]
+    samples = sample_texts(rows)
     tail = np.array([end_id], "<u4").tobytes()
     dictionary = train_dictionary([serialize(x + tail) for x in encoder(tokenizer).encode(samples)]) if samples else b""
     put(f"{folder}/dictionary", iter([dictionary]))
