@@ -50,8 +50,19 @@ class Memory:
         found = {k: old[k] for k in keys if k in old}
         return found, [k for k in keys if k not in found]
 
-    def add(self, entries: dict[str, bytes]) -> None:
-        self.young.update((k, v) for k, v in entries.items() if len(k) <= LONGEST)
+    def forget_long(self, keys: set[str]) -> None:
+        """Long parts are not remembered, as they hardly recur."""
+        for k in keys:
+            if len(k) > LONGEST:
+                self.young.pop(k, None)
+
+
+class _Packers(dict):
+    """Number of ids -> what packs them as little-endian unsigned 32-bit integers."""
+
+    def __missing__(self, n: int):
+        self[n] = struct.Struct(f"<{n}I").pack
+        return self[n]
 
 
 class Encoder:
@@ -98,10 +109,11 @@ class Encoder:
 
     def ask(self, parts: list[str]) -> dict[str, bytes]:
         word, tokenize, spelling, found, others = self.word.fullmatch, self.model.tokenize, self.spelling, {}, []
+        pack = _Packers()
         for p in parts:
             if word(p):
                 ids = [t.id for t in tokenize(p.translate(spelling))]
-                found[p] = struct.pack(f"<{len(ids)}I", *ids)
+                found[p] = pack[len(ids)](*ids)
             else:
                 others.append(p)
         for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
@@ -111,17 +123,16 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         self.memory.turn()
         cut = [self.parts(t or "") for t in texts]
-        get = self.memory.young.get
-        known = [list(map(get, parts)) for parts in cut]
-        missing = {p for parts, ids in zip(cut, known, strict=True) if None in ids
-                   for p, x in zip(parts, ids, strict=True) if x is None}
-        if not missing:
-            return [b"".join(ids) for ids in known]
-        fresh, new = self.memory.recall(missing)
-        fresh.update(self.ask(new))
-        self.memory.add(fresh)
-        return [b"".join([fresh[p] if x is None else x for p, x in zip(parts, ids, strict=True)] if None in ids else ids)
-                for parts, ids in zip(cut, known, strict=True)]
+        young = self.memory.young
+        missing = set().union(*cut).difference(young)
+        if missing:
+            fresh, new = self.memory.recall(missing)
+            fresh.update(self.ask(new))
+            young.update(fresh)
+        get = young.__getitem__
+        found = [b"".join(map(get, parts)) for parts in cut]
+        self.memory.forget_long(missing)
+        return found
 
 
 def encoder(path: str) -> Encoder:
