@@ -104,7 +104,12 @@ def clean_code(text: Column, dialect: str, ref_compat: bool = False) -> Column:
     return F.array_join(F.transform(toks, one), "")
 
 
-_GLOB_PARTS = re.compile(r"(?s)(?P<any>\*+)|(?P<one>\?)|\[(?P<not>!?)(?P<set>\]?[^\]]*)\]|(?P<text>[^*?\[]+|\[)")
+GLOB_PARTS = re.compile(r"(?s)(?P<any>\*+)|(?P<one>\?)|\[(?P<not>!?)(?P<set>\]?[^\]]*)\]|(?P<text>[^*?\[]+|\[)")
+
+
+def is_glob(pattern: str) -> bool:
+    """a pattern with ``*`` or ``?`` is a glob, any other a substring."""
+    return "*" in pattern or "?" in pattern
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -123,7 +128,7 @@ def glob_to_regex(pattern: str) -> str:
         inside = re.sub(r"[\\\[\]^&~]", lambda c: "\\" + c[0], m["set"])
         return f"[{'^' if m['not'] else ''}{inside}]"
 
-    return "(?isu)\\A" + _GLOB_PARTS.sub(java, pattern) + "\\z"
+    return "(?isu)\\A" + GLOB_PARTS.sub(java, pattern) + "\\z"
 
 
 def identifier_tokens(name: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from ..sources.bucketed import forget_bucketed, read_bucketed
 
 #: Tables of a version that are bucketed.
-BUCKETED = ("definitions", "details")
+BUCKETED = ("definitions", "details", "grams", "postings", "places")
 MANIFEST = "number long, folder string, analyzed_at string, schemas map<string,string>"
 
 

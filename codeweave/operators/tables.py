@@ -18,14 +18,14 @@ on list order.  ``line`` is 1-based and absolute for every dialect,
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bucketed import buckets_for, write_bucketed
 from ..sources.corpus import eligible_files
-from . import brace, lookup, snapshot
+from . import brace, lookup, name_index, snapshot
 from .python_nodes import python_nodes
 from .python_symbols import python_tables
 
@@ -55,6 +55,8 @@ class CodeIndex:
     #: Tables of a snapshot bucketed by symbol, see :mod:`operators.lookup`.
     definitions: DataFrame | None = None
     details: DataFrame | None = None
+    #: Dictionary of names with their places, see :mod:`operators.name_index`.
+    names: name_index.NameIndex | None = None
 
     @property
     def nested(self) -> DataFrame:
@@ -90,7 +92,8 @@ class CodeIndex:
 
 
 def build_index(corpus: DataFrame, persist: bool = False,
-                save_to: str | None = None, drop_self_call: bool = False, ref_compat: bool = False) -> CodeIndex:
+                save_to: str | None = None, drop_self_call: bool = False, ref_compat: bool = False,
+                search_names: bool = False) -> CodeIndex:
     """The corpus job: ``(repo, path, content)`` → :class:`CodeIndex`.
 
     Python files go through the Arrow extractor; JS/TS, C/C++ and Dart files
@@ -105,7 +108,9 @@ def build_index(corpus: DataFrame, persist: bool = False,
     the tables cached; ``save_to`` writes them as Parquet
     (a snapshot in shared storage, e.g. below ``spark.checkpoint.dir``) and
     returns the index read back from there — lineage cut, durable against
-    executor loss, and queries plan against a plain scan.
+    executor loss, and queries plan against a plain scan.  ``search_names`` adds
+    the dictionary of names to the snapshot, so that searches read only what can
+    match.
     """
     from pyspark import StorageLevel
 
@@ -139,7 +144,7 @@ def build_index(corpus: DataFrame, persist: bool = False,
         variables=union("variables", VAR_COLS),
     )
     if save_to is not None:
-        save_index(idx, save_to)
+        save_index(idx, save_to, search_names=search_names)
         lines.unpersist()
         nested.unpersist()
         idx = load_index(corpus.sparkSession, save_to)
@@ -155,7 +160,7 @@ def build_index(corpus: DataFrame, persist: bool = False,
     return idx
 
 
-def save_index(idx: CodeIndex, path: str, analyzed_at: str | None = None) -> None:
+def save_index(idx: CodeIndex, path: str, analyzed_at: str | None = None, search_names: bool = False) -> None:
     """Full rebuild, no merge — a new version beside the old ones, current
     once it is whole.  Tables are partitioned by language, so a language filter
     prunes whole folders; the nested records and the lookup tables are derived from
@@ -168,6 +173,8 @@ def save_index(idx: CodeIndex, path: str, analyzed_at: str | None = None) -> Non
     written["nested"] = _written(snapshot.nested_files(written), f"{folder}/nested")
     for name, df in (("definitions", lookup.definitions(written["callables"])), ("details", lookup.details(written["nested"]))):
         written[name] = write_bucketed(df, f"{folder}/{name}", ["key"], buckets_for(df))
+    if search_names:
+        written |= name_index.write(spark, written["classes"], written["callables"], written["imports"], folder)
     schemas = {name: df.schema for name, df in written.items()}
     snapshot.commit(spark, path, folder, schemas, analyzed_at)
 
@@ -187,4 +194,12 @@ def load_index(spark: SparkSession, path: str, version: int | None = None) -> Co
     version that was current when it was loaded."""
     tables, analyzed_at = snapshot.current(spark, path, version)
     return CodeIndex(**{t: tables[t].select(*_COLUMNS[t]) for t in TABLES}, stored_nested=tables["nested"],
-                     analyzed_at=analyzed_at, definitions=tables.get("definitions"), details=tables.get("details"))
+                     analyzed_at=analyzed_at, definitions=tables.get("definitions"), details=tables.get("details"),
+                     names=name_index.NameIndex(**{t: tables[t] for t in name_index.TABLES}) if "places" in tables else None)
+
+
+def with_names(idx: CodeIndex, folder: str) -> CodeIndex:
+    """``idx`` with a dictionary of names written to ``folder``, a new one; for
+    a snapshot that was saved without."""
+    made = name_index.write(idx.files.sparkSession, idx.classes, idx.callables, idx.imports, folder.rstrip("/"))
+    return replace(idx, names=name_index.NameIndex(**made))

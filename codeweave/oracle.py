@@ -638,6 +638,11 @@ SELECT repo, path, folder FROM fl WHERE (repo, path) IN (
   WHERE contains(lower(callee), 'lib_2') OR contains(lower(callee), 'lib_3'))""")
     q["search_substring"] = _search_sql(SUBSTR)
     q["search_glob"] = _search_sql(GLOB)
+    # the dictionary of names gives the rows of the scans
+    for pruned, plain in (("search_names_substring", "search_substring"), ("search_names_glob", "search_glob"),
+                          ("usages_by_names", "usages_of_name"), ("library_usage_by_names", "library_usage"),
+                          ("library_union_by_names", "library_union_files")):
+        q[pruned] = q[plain]
     q["search_category_counts"] = _over_search(
         SUBSTR, "SELECT category, type, CAST(count(*) AS BIGINT) AS n FROM hits GROUP BY 1, 2")
     q["suggestions"] = _suggestions_sql(SUBSTR)

@@ -3,7 +3,9 @@ naming-language vote.
 
 Per-callable matching filters the ``calls`` array of each callable row
 (``filter`` higher-order function), so a usage search is a narrow scan with
-no shuffle; only the vote aggregates (map-side combined).
+no shuffle; only the vote aggregates (map-side combined).  An index with a
+name index (:mod:`operators.name_index`) answers the same from the names and
+places that can match, without scanning the call arrays.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import WORDS_EN, WORDS_ES
-from ..functions.text import glob_to_regex, identifier_tokens
+from ..functions.text import glob_to_regex, identifier_tokens, is_glob
 from ..operators.tables import CodeIndex
 
 
@@ -24,7 +26,7 @@ def _context(kind: Column | None = None) -> Column:
 def name_matcher(pattern: str):
     """glob when the pattern has ``*`` or ``?`` (``[seq]`` then works
     too), else a substring; both case-insensitive (Q25)."""
-    if "*" in pattern or "?" in pattern:
+    if is_glob(pattern):
         rx = glob_to_regex(pattern)
         return lambda c: c.rlike(rx)
     term = pattern.lower()
@@ -37,6 +39,8 @@ def library_usage(idx: CodeIndex, lib: str) -> DataFrame:
     calls mention it (matching calls in order).  ``detail`` is an array:
     size 1 for imports (Q28)."""
     term = lib.lower()
+    if idx.names is not None:
+        return _library_places(idx.names.places_of(term, lambda c: F.lower(c).contains(term)))
     imp = (idx.imports.where(F.lower("module").contains(term))
            .groupBy("repo", "path")
            .agg(F.min_by("module", "ord").alias("m"))
@@ -54,12 +58,32 @@ def library_usage(idx: CodeIndex, lib: str) -> DataFrame:
     return imp.unionByName(calls)
 
 
+def _library_places(places: DataFrame) -> DataFrame:
+    imp = (places.where(F.col("role") == "import").groupBy("repo", "path").agg(F.min_by("name", "ord").alias("m"))
+           .select("repo", "path", F.lit("import").alias("type"), F.lit(None).cast("string").alias("symbol"),
+                   F.array("m").alias("detail"), F.lit(-1).alias("class_ord"), F.lit(-1).alias("call_ord")))
+    return imp.unionByName(_callers(places).select(
+        "repo", "path", F.lit("call").alias("type"), F.col("context").alias("symbol"), F.col("found").alias("detail"),
+        F.coalesce("class_ord", F.lit(1 << 30)).alias("class_ord"), "call_ord"))
+
+
+def _callers(places: DataFrame) -> DataFrame:
+    """Callables with their matching calls in order, from the places of calls
+    (one callable's calls form a group)."""
+    one = ["repo", "path", "kind", "context", "signature", "line", "class_ord", "call_ord"]
+    return (places.where(F.col("role") == "usage").groupBy(*one)
+            .agg(F.sort_array(F.collect_list(F.struct("ord", "name"))).alias("c"))
+            .select(*one, F.col("c.name").alias("found")))
+
+
 # --- R11 / U3 / F4 ---------------------------------------------------------
 def search(idx: CodeIndex, pattern: str) -> DataFrame:
     """Definitions (classes, methods, functions) whose name matches and
     callables that call something matching (``calls_to``).  ``class_ord`` and
     ``call_ord`` keep the source order (functions have no class)."""
     match = name_matcher(pattern)
+    if idx.names is not None:
+        return _search_places(idx.names.places_of(pattern, match))
     cls = idx.classes.where(match(F.col("name"))).select(
         "repo", "path", F.lit("class").alias("type"), "name", "signature", "line",
         F.lit("definition").alias("category"),
@@ -78,6 +102,15 @@ def search(idx: CodeIndex, pattern: str) -> DataFrame:
     return cls.unionByName(defs).unionByName(uses)
 
 
+def _search_places(places: DataFrame) -> DataFrame:
+    shown = ["repo", "path", F.col("kind").alias("type"), F.col("context").alias("name"), "signature", "line"]
+    defs = places.where(F.col("role") == "definition").select(
+        *shown, F.lit("definition").alias("category"), F.lit(None).cast("array<string>").alias("calls_to"),
+        "class_ord", "call_ord")
+    return defs.unionByName(_callers(places).select(
+        *shown, F.lit("usage").alias("category"), F.col("found").alias("calls_to"), "class_ord", "call_ord"))
+
+
 # --- R12 / A12 / K4 --------------------------------------------------------
 def _name_tokens(idx: CodeIndex) -> DataFrame:
     return _tokens_of(idx.classes.select("repo", "path", "name")

@@ -210,6 +210,9 @@ def usages(idx: CodeIndex, name: str) -> DataFrame:
     """Calls whose name contains ``name`` (case-insensitive), with context
     ``Class.method`` or the function name."""
     term = name.lower()
+    if idx.names is not None:
+        found = idx.names.places_of(term, lambda c: F.lower(c).contains(term)).where(F.col("role") == "usage")
+        return found.select("repo", "path", "context", F.col("name").alias("call"), "class_ord", "call_ord", "ord")
     return (idx.calls.where(F.lower("callee").contains(term))
             .select("repo", "path",
                     F.when(F.col("kind") == "method", F.concat_ws(".", "class_name", "caller"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.brace import cpu_partitions
-from .operators.tables import CodeIndex, build_index
+from .operators.tables import CodeIndex, build_index, with_names
 from .plans import report as X
 from .plans import scope as V
 from .plans import search as S
@@ -72,6 +72,15 @@ def index_for(spark: SparkSession, sf_dir: str) -> CodeIndex:
     return _CACHE[key]
 
 
+def names_for(spark: SparkSession, sf_dir: str) -> CodeIndex:
+    """The same index with its dictionary of names, built once per session."""
+    key = ("names", spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _CACHE:
+        out = f"{checkpoint_dir(spark).rstrip('/')}/names-{uuid.uuid4().hex}"
+        _CACHE[key] = with_names(index_for(spark, sf_dir), out)
+    return _CACHE[key]
+
+
 def _j(c) -> F.Column:
     return F.array_join(F.col(c) if isinstance(c, str) else c, "|")
 
@@ -214,8 +223,10 @@ def calls_of_symbol(spark, d):
         "symbol", "repo", "path", _j("calls").alias("calls"))
 
 
-def usages_of_name(spark, d):
-    return Q.usages(index_for(spark, d), USAGE_NAME).select("repo", "path", "context", "call")
+def _usages(index):
+    def q(spark, d):
+        return Q.usages(index(spark, d), USAGE_NAME).select("repo", "path", "context", "call")
+    return q
 
 
 def usages_by_file(spark, d):
@@ -237,9 +248,11 @@ def symbols_per_file(spark, d):
 
 
 # ---------------------------------------------------------------- search
-def library_usage(spark, d):
-    return S.library_usage(index_for(spark, d), LIBRARY).select(
-        "repo", "path", "type", "symbol", _j("detail").alias("detail"))
+def _library_usage(index):
+    def q(spark, d):
+        return S.library_usage(index(spark, d), LIBRARY).select(
+            "repo", "path", "type", "symbol", _j("detail").alias("detail"))
+    return q
 
 
 def library_usage_by_file(spark, d):
@@ -258,13 +271,13 @@ def status_by_repo(spark, d):
     return Q.status_by_repo(index_for(spark, d))
 
 
-def library_union_files(spark, d):
-    return V.library_union_files(index_for(spark, d), LIBRARIES)
+def _library_union(index):
+    return lambda spark, d: V.library_union_files(index(spark, d), LIBRARIES)
 
 
-def _search(pattern):
+def _search(pattern, index=index_for):
     def q(spark, d):
-        return S.search(index_for(spark, d), pattern).select(
+        return S.search(index(spark, d), pattern).select(
             "repo", "path", "type", "name", "signature", "category",
             _j("calls_to").alias("calls_to"), _big("line"))
     return q
@@ -392,11 +405,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "variables_all": _vars(None),
     "calls_of_symbol": calls_of_symbol,
     "calls_of_symbols": calls_of_symbols,
-    "usages_of_name": usages_of_name,
+    "usages_of_name": _usages(index_for),
     "usages_by_file": usages_by_file,
     "status_totals": status_totals,
     "symbols_per_file": symbols_per_file,
-    "library_usage": library_usage,
+    "library_usage": _library_usage(index_for),
     "library_usage_by_file": library_usage_by_file,
     "library_hits_multi": library_hits_multi,
     "status_by_repo": status_by_repo,
@@ -405,9 +418,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "variables_all_kinds": variables_all_kinds,
     "imports_all_kinds": imports_all_kinds,
     "class_detail_by_repo": class_detail_by_repo,
-    "library_union_files": library_union_files,
+    "library_union_files": _library_union(index_for),
     "search_substring": _search(SEARCH_TERM),
     "search_glob": _search(SEARCH_GLOB),
+    "search_names_substring": _search(SEARCH_TERM, names_for),
+    "search_names_glob": _search(SEARCH_GLOB, names_for),
+    "usages_by_names": _usages(names_for),
+    "library_usage_by_names": _library_usage(names_for),
+    "library_union_by_names": _library_union(names_for),
     "search_category_counts": search_category_counts,
     "suggestions": suggestions,
     "naming_language_totals": naming_language_totals,
