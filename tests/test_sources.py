@@ -1,12 +1,15 @@
 """Corpus sources: folder scan, eligibility, decoding, snapshots."""
 import glob
 import os
+import random
 
 from pyspark.sql import functions as F
 
 import pytest
+from codeweave.functions.config import EXCLUDED_PARTS, EXTENSIONS
 from codeweave.operators.tables import build_index, load_index, save_index
 from codeweave.plans import report as X
+from codeweave.sources import corpus
 from codeweave.sources.corpus import classify, read_folder
 
 
@@ -50,6 +53,37 @@ def test_hidden_names_and_relative_roots(spark, tmp_path, monkeypatch):
     assert read_folder(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_a_tree_is_listed_in_tasks(spark, tmp_path, monkeypatch):
+    """Against the file system's own walk: odd names, deep and wide folders, several rounds, nothing on the driver."""
+    root = tmp_path / "my proj%20 #1"
+    rng = random.Random(5)
+    parts = ["a", "_b", ".c", "d e", "f#g", "h%41", "ñandú", "build", "node_modules", "x.py"]
+    for i in range(150):
+        place = root.joinpath(*rng.choices(parts, k=rng.randrange(7)))
+        place.mkdir(parents=True, exist_ok=True)
+        for name in rng.sample(["m.py", "_p.js", ".q.ts", "r s.cpp", "t%.dart", "u#.PY", "notes.md", "v.py.gz", "plain", ".py"], 3):
+            if not (place / name).is_dir():
+                (place / name).write_bytes(b"" if name == "m.py" else f"{i} {name}\n".encode())
+    want = {}
+    for at, folders, names in os.walk(root):
+        folders[:] = [f for f in folders if f not in EXCLUDED_PARTS]
+        for n in names:
+            if "." in n[1:] and "." + n.rsplit(".", 1)[1].lower() in EXTENSIONS:
+                want[os.path.relpath(os.path.join(at, n), root)] = open(os.path.join(at, n)).read()
+    assert len(want) > 100
+    for folders in (1, 1000):
+        monkeypatch.setattr(corpus, "TASK_FOLDERS", folders)
+        rows = read_folder(spark, str(root)).collect()
+        assert len(rows) == len(want) and {r.path: r.content for r in rows} == want
+        assert {r.repo for r in rows} == {"my proj%20 #1"}
+    p = corpus.list_files(spark, str(root))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in p and "LogicalRDD" not in p
+    with pytest.raises(ValueError):
+        read_folder(spark, "har:///x")
+    with pytest.raises(Exception):
+        read_folder(spark, str(tmp_path / "missing"))
+
+
 def test_snapshot_roundtrip(spark, sample_index, tmp_path):
     out = str(tmp_path / "snap")
     save_index(sample_index, out)
