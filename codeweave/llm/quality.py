@@ -10,11 +10,14 @@ regression by partition-summed normal equations, isotonic calibration.
    matrix whatever the number of partitions.
 4. Part of the labelled rows, which the ridge fit has not seen, calibrates the
    scores: counts and labels by score bin (a fixed number), then pooled
-   adjacent violators.
+   adjacent violators.  Between the centres of the pooled steps the curve is
+   linear, and ``RANK`` of a score is a fixed rising map of the ridge score, so
+   that documents of one step keep their order.
 
 Defined cases: null text counts as empty and is scored; labels that repeat for
-an id are averaged and null labels ignored; without labelled rows all scores
-are 0.5; an empty table gives no rows.
+an id are averaged and null labels ignored; without labelled rows for the ridge
+fit all scores are 0.5, and without any for calibration they are the fixed map of
+the ridge score alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ by_value(__name__)
 
 FEATURES, WIDTH, RIDGE, SEED = 384, 3.0, 1e-3, 11
 BINS, FAN_IN = 4096, 16
+RANK = 0.01
 THRESHOLD = 0.3
 
 _KIND = np.zeros(256, np.uint8)  # 0 other punctuation, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 beyond ASCII, 7 control
@@ -125,6 +129,17 @@ def pooled(total: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(b), s / n if n else 0.5) for n, s, b in blocks])
 
 
+def centres(bins: np.ndarray, total: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted mean bin and value of each pooled step."""
+    first = np.flatnonzero(np.diff(steps, prepend=np.nan) != 0)
+    return np.add.reduceat(bins * total, first) / np.add.reduceat(total, first), steps[first]
+
+
+def rising(raw: np.ndarray) -> np.ndarray:
+    """Fixed map of a ridge score (about 0 to 1) to a probability."""
+    return 1 / (1 + np.exp(-4 * (raw - 0.5)))
+
+
 def classify(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", id_col: str = "doc_id",
              label: str = "quality", keep: list[str] | None = None) -> DataFrame:
     """Train on the labelled rows where ``usable`` (an expression of ``id_col``)
@@ -161,19 +176,21 @@ def classify(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "te
 
     size = FEATURES + n_stats + 1
     sums = summed(learn.where("not calibrates").mapInArrow(equations, "k long, v binary"))
-    weights, curve = np.zeros(size), np.full(BINS, 0.5)
+    weights, curve = np.zeros(size), None
     if sums is not None:
         sums = sums.reshape(size, size + 1)
         weights = np.linalg.solve(sums[:, :size] + RIDGE * np.trace(sums[:, :size]) / size * np.eye(size), sums[:, size])
 
-    def bins(stats: np.ndarray) -> np.ndarray:
-        raw = fourier(stats, mean, scale) @ weights
-        return np.clip(((raw + 0.5) / 2 * BINS).astype(np.int64), 0, BINS - 1)
+    def place(raw: np.ndarray) -> np.ndarray:
+        return np.clip((raw + 0.5) / 2 * BINS - 0.5, 0, BINS - 1)
+
+    def ridge(stats: np.ndarray) -> np.ndarray:
+        return fourier(stats, mean, scale) @ weights
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s = np.zeros(BINS), np.zeros(BINS)
         for batch in batches:
-            at = bins(matrix(column_of(batch, "stats")))
+            at = np.rint(place(ridge(matrix(column_of(batch, "stats"))))).astype(np.int64)
             n += np.bincount(at, minlength=BINS)
             s += np.bincount(at, column_of(batch, "y").to_numpy(), BINS)
         mine = np.flatnonzero(n)
@@ -183,12 +200,18 @@ def classify(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "te
         found = learn.where("calibrates").mapInArrow(count, "bin long, n double, s double") \
             .groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).orderBy("bin").collect()  # at most BINS
         if found:
-            steps = pooled(np.array([r["n"] for r in found]), np.array([r["s"] for r in found]))
-            curve = np.interp(np.arange(BINS), [r["bin"] for r in found], steps)
+            at, n, good = (np.array([r[c] for r in found], np.float64) for c in ("bin", "n", "s"))
+            curve = centres(at, n, pooled(n, good))
+
+    def probability(stats: np.ndarray) -> np.ndarray:
+        if sums is None:
+            return np.full(len(stats), 0.5)
+        raw = ridge(stats)
+        return rising(raw) if curve is None else (1 - RANK) * np.interp(place(raw), *curve) + RANK * rising(raw)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = curve[bins(matrix(column_of(batch, "stats")))] if len(batch) else np.empty(0)
+            p = probability(matrix(column_of(batch, "stats"))) if len(batch) else np.empty(0)
             yield pa.RecordBatch.from_arrays([column_of(batch, "row"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
                                              names=["row", "score", "predicted"])
 

@@ -101,6 +101,50 @@ def test_quality(spark, odd, none, clashing, sf):
     assert quality.classify(none, some, F.lit(True)).count() == 0
 
 
+def test_quality_against_a_plain_fit(spark, sf):
+    """Normal equations row by row, isotonic values by their max-min formula, scores by hand."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet").where("doc_id % 3 <> 0")
+    usable = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
+    got = {r["row"]["doc_id"]: r["score"] for r in quality.classify(docs, labels, usable).collect()}
+    rows = docs.select("*", usable.alias("u"), (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("c")).collect()
+    y = {r["doc_id"]: float(r["quality"]) for r in labels.collect() if r["quality"] is not None}
+    stats = np.array([quality.statistics((r["text"] or "").encode()) for r in rows])
+    z = quality.fourier(stats, stats.mean(0), np.maximum(stats.std(0), 1e-6))
+    size = z.shape[1]
+    a, b = np.zeros((size, size)), np.zeros(size)
+    for r, v in zip(rows, z, strict=True):
+        if r["u"] and not r["c"] and r["doc_id"] in y:
+            a, b = a + np.outer(v, v), b + v * y[r["doc_id"]]
+    raw = z @ np.linalg.solve(a + quality.RIDGE * np.trace(a) / size * np.eye(size), b)
+    place = np.clip((raw + .5) / 2 * quality.BINS - .5, 0, quality.BINS - 1)
+    by_bin: dict[int, list[float]] = {}
+    for r, p in zip(rows, place, strict=True):
+        if r["u"] and r["c"] and r["doc_id"] in y:
+            by_bin.setdefault(int(np.rint(p)), []).append(y[r["doc_id"]])
+    at = sorted(by_bin)
+    mean = lambda i, j: np.mean([v for k in at[i:j + 1] for v in by_bin[k]])
+    fit = [max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    xs, ys = [], []
+    for value in sorted(set(np.round(fit, 9))):
+        inside = [at[k] for k in range(len(at)) if abs(fit[k] - value) < 1e-8 for _ in by_bin[at[k]]]
+        xs.append(np.mean(inside))
+        ys.append(value)
+    want = 0.99 * np.interp(place, xs, ys) + 0.01 / (1 + np.exp(2 - 4 * raw))
+    assert len(ys) > 1 and len(got) == len(rows)
+    assert max(abs(got[r["doc_id"]] - w) for r, w in zip(rows, want, strict=True)) < 1e-4
+
+
+def test_quality_keeps_an_order_without_calibration(spark, sf):
+    """No labelled row falls to calibration: the ridge score orders the documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = docs.where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0).select(
+        "doc_id", (F.col("doc_id") % 2).alias("quality")).orderBy("doc_id").limit(6)
+    rows = quality.classify(docs, labels, F.lit(True)).collect()
+    texts = {r["text"] for r in docs.collect()}
+    assert len({r["score"] for r in rows}) > len(texts) / 2 and all(0 < r["score"] < 1 for r in rows)
+
+
 def test_pooling_of_violators():
     y = np.array([0, 1, 0, 1, 1, 0, 1.0])
     steps = quality.pooled(np.ones(7), y)
