@@ -249,23 +249,28 @@ cand AS (
   UNION ALL
   SELECT name, repo, path, coalesce(calls, ''), call_ord FROM fns)
 SELECT symbol, repo, path, calls FROM (
-  SELECT cand.*, row_number() OVER (PARTITION BY cand.symbol
-                                    ORDER BY cand.repo, cand.path, cand.call_ord) AS r
+  SELECT cand.*, row_number() OVER (PARTITION BY cand.symbol, cand.repo
+                                    ORDER BY cand.path, cand.call_ord) AS r
   FROM cand JOIN syms ON syms.symbol = cand.symbol) WHERE r = 1
 """)
 
 
-ORDER_SYMBOLS = """
-  SELECT 'Cust' || o_custkey || '.' || CASE o_orderstatus WHEN 'F' THEN 'get_'
-         WHEN 'O' THEN 'obtener_' ELSE 'run_' END || 'order_' || o_orderkey AS symbol
-  FROM orders
+_VERB = "CASE o_orderstatus WHEN 'F' THEN 'get_' WHEN 'O' THEN 'obtener_' ELSE 'run_' END"
+
+
+def _methods_of(orders: str) -> str:
+    """Symbols of every method written for ``orders``, one for each part of an order's call sites."""
+    return f"""
+  SELECT 'Cust' || o_custkey || '.' || {_VERB} || 'order_' || o_orderkey
+         || CASE WHEN coalesce(x.mpart, 0) > 0 THEN '_' || x.mpart ELSE '' END AS symbol
+  FROM {orders} LEFT JOIN (SELECT DISTINCT o, mpart FROM stp) x ON x.o = o_orderkey"""
+
+
+ORDER_SYMBOLS = _methods_of("orders") + """
   UNION ALL
   SELECT 'crear_cust_' || c_custkey FROM customer"""
 
-TOP_SYMBOL = """
-  SELECT 'Cust' || o_custkey || '.' || CASE o_orderstatus WHEN 'F' THEN 'get_'
-         WHEN 'O' THEN 'obtener_' ELSE 'run_' END || 'order_' || o_orderkey AS symbol
-  FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)"""
+TOP_SYMBOL = _methods_of("(SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)")
 
 NAMING = """
 , toks AS (
