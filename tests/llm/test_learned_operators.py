@@ -32,6 +32,38 @@ def test_gradients_match_differences():
         assert abs((losses[0] - losses[1]) / (2 * step) - g[name][at]) < 2e-3
 
 
+def test_pooling_against_a_plain_loop():
+    """The network byte by byte with the same weights, in doubles and without batches."""
+    net = language_id.train([(b"abc def " * 8, "x"), ("\u00e9t\u00e9 ".encode() * 8, "y"), (b"zz 12", "z")], hidden=3)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def slow(text):
+        total = np.zeros(len(net.langs))
+        for at in range(0, len(text), language_id.SEGMENT):
+            part = text[at:at + language_id.SEGMENT]
+            padded = part.ljust(language_id.SEGMENT, b"\0")
+            seen = []
+            for d in (0, 1):
+                h, found = np.zeros(3), {}
+                for t in range(len(padded)) if d == 0 else reversed(range(len(padded))):
+                    x = padded[t]
+                    tables, u = net.tables[d].astype(float), net.recurrent[d].astype(float)
+                    r, z = (sig(tables[g, x] + h @ u[g]) for g in (0, 1))
+                    n = np.tanh(tables[2, x] + r * (h @ u[2] + net.bias[d]))
+                    h = (1 - z) * n + z * h
+                    found[t] = h
+                seen.append(found)
+            for t in range(len(part)):
+                logit = seen[0][t] @ net.out[0] + seen[1][t] @ net.out[1] + net.out_bias
+                total += logit - np.log(np.exp(logit).sum())
+        p = np.exp(total / len(text))
+        return p / p.sum()
+
+    texts = [b"a", b"abc def", "l'\u00e9t\u00e9 dernier, ".encode() * 9, bytes(range(1, 200)), b"x" * 64, b"y" * 65]
+    got = language_id.pool(net, texts)
+    assert np.allclose(got, [slow(t) for t in texts], atol=1e-4) and got.shape == (6, 3)
+
+
 def test_language_id(spark, odd, none, clashing, sf):
     rows = queries.op2_language_id(spark, sf.replace("0.001", "0.01")).join(
         spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
