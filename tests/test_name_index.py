@@ -86,3 +86,19 @@ def test_a_snapshot_keeps_its_names(spark, sample_index, tmp_path):
     empty = replace(sample_index, **{t: df.where("false") for t, df in sample_index.tables().items()})
     save_index(empty, f"{tmp_path}/e", search_names=True)
     assert S.search(load_index(spark, f"{tmp_path}/e"), "get").count() == 0
+
+
+def test_runs_take_less_room_than_names(spark, tmp_path):
+    """Names of a block that share a run post it once, and shuffles of the writing are freed."""
+    made = spark.range(20_000).select(F.lit("r").alias("repo"), F.lit("p.py").alias("path"), F.lit(0).alias("class_ord"),
+                                      F.concat(F.lit("shared_prefix_of_"), F.col("id").cast("string")).alias("name"),
+                                      F.lit("s").alias("signature"), F.lit(1).alias("line"))
+    none = made.where("false")
+    tables = name_index.write(spark, made, none.selectExpr(*none.columns, "'' kind", "'' class_name", "0 call_ord", "array('') calls"),
+                              none.selectExpr(*none.columns, "'' module", "0 ord"), f"{tmp_path}/n")
+    assert tables["grams"].count() < 20_000 and "name" not in tables["places"].columns
+    index = name_index.NameIndex(**tables)
+    for pattern in ("_of_1234", "*_199?9", "no_such"):
+        match = S.name_matcher(pattern)
+        found = [r["name"] for r in index.places_of(pattern, match).collect()]
+        assert sorted(found) == sorted(r["name"] for r in made.where(match(F.col("name"))).collect())
