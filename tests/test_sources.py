@@ -177,3 +177,16 @@ def test_calls_of_orders_split_over_methods(spark, monkeypatch):
     assert sites(suite.calls_of_symbols(spark, sf)) == want
     top = spark.read.parquet(f"{sf}/orders.parquet").orderBy("o_totalprice", "o_orderkey", ascending=[False, True]).first()[0]
     assert sites(suite.calls_of_symbol(spark, sf)) == {o: x for o, x in want.items() if o == top}
+
+
+def test_buckets_of_the_corpus_follow_the_tables(spark, tmp_path):
+    from codeweave.operators import brace
+    from codeweave.sources.generated import corpus_bytes
+    for t in ("customer", "orders", "lineitem"):
+        one = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").coalesce(1)
+        one.write.parquet(f"{tmp_path}/a/{t}.parquet")
+        for _ in range(3):
+            one.write.mode("append").parquet(f"{tmp_path}/b/{t}.parquet")
+    assert corpus_bytes(spark, f"{tmp_path}/b") == 3 * corpus_bytes(spark, f"{tmp_path}/a")
+    least = brace.cpu_partitions(spark, size=0)
+    assert brace.cpu_partitions(spark, size=5 * least * brace.LINE_BYTES) == 5 * least
