@@ -32,6 +32,23 @@ def test_node_records_give_parents_and_extents():
     assert last["parent"] == -1 and by["ClassDef", "A"]["upto"] == last["at"] - 1
 
 
+def test_plain_and_dotted_names_go_without_the_unparser(monkeypatch):
+    import ast
+    tree = ast.parse("import q\nclass A(b.C):\n    x: t.U = v\n    def f(self, p: w.Q): supp_1.part_2(); g()\n")
+    want = node_records(tree)
+    monkeypatch.setattr(ast, "unparse", lambda node: pytest.fail("unparsed"))
+    assert node_records(tree) == want
+    assert [n["name"] for n in want if n["kind"] == "Call"] == ["supp_1.part_2", "g"]
+
+
+def test_source_of_an_expression_is_that_of_the_unparser():
+    import ast
+    from codeweave.operators.python_nodes import _source
+    for text in ("a", "a.b.c", "a().b", "a[0].b", "(1).real", "'x'.join", "(a + b).c", "(await_).d", "año.x", "-a.b", "a" + ".b" * 60):
+        node = ast.parse(text, mode="eval").body
+        assert _source(node) == ast.unparse(node)
+
+
 def test_syntax_error_is_reported_not_raised(rec):
     r = rec("def broken(:\n")
     assert r["error"].startswith("SyntaxError:")
