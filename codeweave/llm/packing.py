@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, column_of, emit, numbered, spread
+from .common import Task, by_value, column_of, emit, numbered, spread
 from .tokens import encoder
 
 by_value(__name__)
@@ -90,11 +90,12 @@ def slots(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in rows.items()}
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, text: str = "text",
-           id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of each piece, and its ``ids``
-    (little-endian unsigned 32-bit) if asked for."""
-    rows = spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t")))
+def texts_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    return spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t")))
+
+
+def cutter(tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> tuple[Task, str]:
+    """The task that makes pieces of ``doc_id, t``, and the columns it gives."""
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
               ("ids_crc32", pa.int64()), ("ids", pa.binary())][: 6 if with_ids else 5]
     schema = pa.schema(fields)
@@ -119,16 +120,24 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
                         begin = end
                 yield emit(out, schema)
 
-    return rows.mapInArrow(cut, kinds)
+    return cut, kinds
+
+
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, text: str = "text",
+           id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` of each piece, and its ``ids``
+    (little-endian unsigned 32-bit) if asked for."""
+    return texts_of(docs, text, id_col).mapInArrow(*cutter(tokenizer, end_id, capacity, with_ids))
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces that have a ``length``."""
-    ranked = numbered(found, "length", "_number")
+def pack(found: DataFrame, capacity: int = CAPACITY, step: tuple[Task, str] | None = None) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces that have a ``length``; with
+    ``step``, to those that it makes of ``found``."""
+    ranked = numbered(found, "length", "_number", step)
     counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = slots(plan(counts, capacity))  # at most a few rows for each of `capacity` lengths
-    names = found.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    names = ranked.columns[:-1]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema[:-1])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,4 +159,4 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, text: str = "text",
                    id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    return pack(pieces(docs, tokenizer, end_id, capacity, text, id_col, with_ids), capacity)
+    return pack(texts_of(docs, text, id_col), capacity, cutter(tokenizer, end_id, capacity, with_ids))

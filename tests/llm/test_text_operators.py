@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from codeweave.llm import chat, packing, token_files
+from codeweave.llm import chat, common, packing, token_files
 from codeweave.llm.tokens import Encoder
 
 WORD, BYTE = (str(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -141,3 +141,13 @@ def test_packing(spark, odd, none):
             at += length
         assert at <= 1024
     assert packing.pack_documents(none, BYTE, 2).count() == 0
+
+
+def test_packing_tokenizes_and_counts_in_one_worker(spark, monkeypatch):
+    """Two Python steps in a row hold two workers for each core, each with a tokenizer's memory."""
+    plans, kept = [], common.store
+    monkeypatch.setattr(common, "store", lambda df, name: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, name))
+    docs = spark.createDataFrame([(1, "one text"), (2, None), (3, "another " * 2000)], "doc_id long, text string")
+    assert {r["doc_id"] for r in packing.pack_documents(docs, BYTE, 2).collect()} == {1, 2, 3}
+    assert [p.count("MapInArrow") for p in plans] == [1]
