@@ -140,3 +140,54 @@ def test_bodies_and_values_are_whole(spark):
                      "draw": ["draw", "Row", "Cell"], "two": ["two"], "three": ["three", "local", "inner", "after"]}
     values = {r["name"]: r["value"] for r in idx.variables.collect()}
     assert values == {"LONG": "k" * 120, "names": "[\n  1,\n]", "x": "3"}
+
+
+def bucketed(spark, rows, path):
+    from codeweave.sources.corpus import read_bucketed_corpus, write_corpus
+    write_corpus(spark.createDataFrame(rows, "repo string, path string, content string"), path, partitions=3)
+    return read_bucketed_corpus(spark, path)
+
+
+def test_a_long_body_is_few_rows_and_whole(spark, tmp_path):
+    """Lines without braces deep in a body are one row; their calls and the lines after them are right."""
+    from codeweave.operators import brace
+    from codeweave.operators.tables import build_index
+    from codeweave.sources.corpus import eligible_files
+    body = "".join(f"    go{i}(x);\n" for i in range(400))
+    js = f"class A {{\n  m(x) {{\n{body}  }}\n  n() {{\n    last();\n  }}\n}}\n"
+    cpp = f"class A {{\n  int m(int x) {{\n{body}  }}\n  int n() {{\n    last();\n  }}\n}};\n"
+    dart = f"class A {{\n  int m(int x) {{\n{body}  }}\n  int n() {{\n    last();\n  }}\n}}\n"
+    corpus = bucketed(spark, [("r", "a.js", js), ("r", "a.cpp", cpp), ("r", "a.dart", dart)], f"{tmp_path}/c")
+    rows = brace.annotate(eligible_files(corpus)).groupBy("path").count().collect()
+    assert len(rows) == 3 and max(r["count"] for r in rows) < 12
+    for r in build_index(corpus).callables.collect():
+        calls, line = {"m": (["m", *[f"go{i}" for i in range(400)]], 2), "n": (["n", "last"], 404)}[r["name"]]
+        assert (r["calls"], r["line"]) == (calls, line)
+
+
+def test_runs_give_what_single_lines_give(spark, tmp_path, monkeypatch):
+    """Odd blocks of every dialect, also in files that share (repo, path), read by runs and line by line."""
+    import random
+
+    from codeweave.operators import brace
+    from codeweave.operators.tables import build_index
+    common = ["{", "}", "}}", "{{", "", "foo(a);", "  a.b(c);", "    return x;", "  } else {", "if (x) {", "foo({", "});", "(", ")",
+              "/* a {", "*/ b(", "\x0b  k(1);", "q\x85 (w);", "y = {a: 1};", "  this.x = 1;", "#define N 3", "a(); b();", "}{"]
+    pools = {"js": ["class K extends B {", "class M { m() { q(); } }", "  constructor(a) {", "  m1(a, b = {c: d()}) {", "function f(a) {",
+                    "let g = (a) => {", "  cnt;", "const A = 1;", "className.foo();"],
+             "cpp": ["class K : public B {", "struct P { int f() {", "  K(int a) {", "  int m1(int a) const {", "int f1(int a) {", "  int cnt;",
+                     "static int t = 3;", "};"],
+             "dart": ["class K extends B {", "  K(int a) {", "  int m1(int a) {", "int f1(a) => g(", "  int f2(b) =>", "final int A = 1;",
+                      "const list = [", "  ];", "var m = {", "    h(b);"]}
+    rng, rows = random.Random(3), [("r", "null.js", None), ("r", "empty.js", ""), ("r", "line.js", "\n")]
+    for ext, pool in pools.items():
+        for k in range(60):
+            lines = [rng.choice(pool if rng.random() < 0.5 else common) for _ in range(rng.randint(1, 40))]
+            rows += [("r", f"f{k}.{ext}", "\n".join(lines))] * (2 if k % 10 == 0 else 1)
+    corpus = bucketed(spark, rows, f"{tmp_path}/c")
+    got = []
+    for runs in (brace.RUNS, brace.LINES):
+        monkeypatch.setattr(brace, "RUNS", runs)
+        idx = build_index(corpus)
+        got.append({t: sorted(map(str, x.collect())) for t, x in idx.tables().items()})
+    assert got[0] == got[1] and got[0]["callables"] and got[0]["variables"]
