@@ -116,3 +116,15 @@ def test_a_single_symbol_is_filtered_at_the_scan(spark):
 def test_rollup_counts_folders_before_it_expands_them(spark):
     p = plan(queries()["folder_rollup"](spark, SF))
     assert p.index("Generate") < p.rindex("HashAggregate")
+
+
+def test_the_index_is_built_without_methods_that_are_never_compiled(spark, monkeypatch):
+    from codeweave.operators import tables
+    key, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(key)
+    written = tables._written
+    monkeypatch.setattr(tables, "_written", lambda *a: seen.append(spark.conf.get(key)) or written(*a))
+    rows = spark.createDataFrame([("r", "a.js", "function f() {\n  g();\n}\n")], "repo string, path string, content string")
+    idx = tables.build_index(rows, save_to=f"{suite.checkpoint_dir(spark)}/compiled")
+    assert idx.callables.first().calls == ["f", "g"]
+    assert set(seen) == {"8000"} and spark.conf.get(key) == before
