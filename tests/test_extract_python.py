@@ -171,3 +171,27 @@ def test_a_callable_row_carries_its_own_records_only(spark):
     files = spark.createDataFrame([("r", "m.py", text)], "repo string, path string, text string")
     rows = sorted(python_tables(python_nodes(files))["callables"].collect(), key=lambda r: (r.kind, r.call_ord))
     assert [(r.name, r.calls) for r in rows] == [(f"g{i}", [f"h{i}"]) for i in range(n)] + [(f"m{i}", [f"f{i}"]) for i in range(n)]
+
+
+def test_constants_go_without_the_unparser_and_records_are_built_by_column(monkeypatch):
+    import ast
+
+    from codeweave.operators import python_nodes as P
+    for text in ("1", "-1", "True", "None", "'a\\'b'", "u'x'", "1.5", "1e999", "2j", "b'x'", "..."):
+        node = ast.parse(text, mode="eval").body
+        assert P._source(node) == ast.unparse(node), text
+    texts = ["", "x = 1\nclass A(B):\n    'doc'\n    y = 'z'\n    def f(self, p: int = 3, *a): g(1).h(p.q())\n", "from . import a as b, c\n"]
+    want = [node_records(ast.parse(t)) for t in texts]
+    assert P._node_arrays([P._rows(ast.parse(t)) for t in texts]).to_pylist() == want and want[1] and P._node_arrays([]).to_pylist() == []
+    monkeypatch.setattr(ast, "unparse", lambda node: pytest.fail("unparsed"))
+    assert [n["text"] for n in node_records(ast.parse("A = 1\nB: int = 'x'\n")) if n["field"] == "value"] == ["1", "'x'"]
+
+
+def test_the_records_below_a_callable_are_looked_through_once_for_its_children(spark):
+    """The parts of a signature look through the children alone, which are found in one step before."""
+    files = spark.createDataFrame([("r", "m.py", "def f(a, /, b=1, *c, d: int = 2, **e) -> int:\n    'Doc.'\n    g()\n")],
+                                  "repo string, path string, text string")
+    found = python_tables(python_nodes(files))["callables"]
+    parts = found._jdf.queryExecution().optimizedPlan().toString().split(" AS signature#")[0].rsplit(" AS ", 1)[-1]
+    assert "kids#" in parts and "sub#" not in parts
+    assert [(r.signature, r.docstring, r.calls) for r in found.collect()] == [("f(a, /, b = 1, *c, d: int = 2, **e) -> int", "Doc.", ["g"])]
