@@ -191,3 +191,22 @@ def test_runs_give_what_single_lines_give(spark, tmp_path, monkeypatch):
         idx = build_index(corpus)
         got.append({t: sorted(map(str, x.collect())) for t, x in idx.tables().items()})
     assert got[0] == got[1] and got[0]["callables"] and got[0]["variables"]
+
+
+def test_a_body_and_its_closing_brace_are_one_row(spark, tmp_path):
+    """A method is its header and one row; the lines after it and the ends of blocks are right."""
+    from codeweave.operators import brace
+    from codeweave.operators.tables import build_index
+    from codeweave.sources.corpus import eligible_files
+    methods = lambda head: "".join(f"  {head}m{i}(x) {{\n    go{i}(x);\n\n    last();\n  }}\n" for i in range(20))
+    after = {"js": "}\nfunction f(a) {\n  h();\n}\nconst A = 1;\n", "cpp": "};\nint f(int a) {\n  h();\n}\nconst int A = 1;\n",
+             "dart": "}\nint f(int a) {\n  h();\n}\nfinal int A = 1;\n"}
+    rows = [("r", f"a.{x}", "class K {\n" + methods("" if x == "js" else "int ") + rest) for x, rest in after.items()]
+    corpus = bucketed(spark, rows, f"{tmp_path}/c")
+    counts = brace.annotate(eligible_files(corpus)).groupBy("path").count().collect()
+    assert len(counts) == 3 and max(r["count"] for r in counts) <= 2 * 20 + 7
+    idx = build_index(corpus)
+    for r in idx.callables.collect():
+        assert (r.calls, r.line) == ((["f", "h"], 103) if r.name == "f" else ([r.name, f"go{r.name[1:]}", "last"], 2 + 5 * int(r.name[1:])))
+    assert idx.callables.count() == 63
+    assert [(r.name, r.line) for r in idx.variables.collect()] == [("A", 106)] * 3
