@@ -102,3 +102,15 @@ def test_runs_take_less_room_than_names(spark, tmp_path):
         match = S.name_matcher(pattern)
         found = [r["name"] for r in index.places_of(pattern, match).collect()]
         assert sorted(found) == sorted(r["name"] for r in made.where(match(F.col("name"))).collect())
+
+
+def test_runs_of_a_name_are_read_in_one_pass(spark):
+    names = ["", "ab", "abc", "ABCabc", "a\nb\nc", "part_1.PART_10", "straße", "x" * 600, "nul\0name", None]
+    df = spark.createDataFrame([(n,) for n in names], "name string").select("name", name_index.runs(F.col("name")).alias("r"))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for n, r in df.collect():
+        if n is None or not n.isascii() or len(n) > name_index.LONGEST:
+            assert r == [""]
+        else:
+            low = n.lower()
+            assert r == list(dict.fromkeys(low[i:i + 3] for i in range(len(low) - 2)))

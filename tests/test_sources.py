@@ -190,3 +190,22 @@ def test_buckets_of_the_corpus_follow_the_tables(spark, tmp_path):
     assert corpus_bytes(spark, f"{tmp_path}/b") == 3 * corpus_bytes(spark, f"{tmp_path}/a")
     least = brace.cpu_partitions(spark, size=0)
     assert brace.cpu_partitions(spark, size=5 * least * brace.LINE_BYTES) == 5 * least
+
+
+def test_buckets_are_written_in_the_order_of_their_keys(spark, tmp_path):
+    """Every file is in order, without a sort that hashes the keys at each comparison."""
+    from codeweave.sources import bucketed
+    rows = spark.range(3000).select(F.concat(F.lit("key_"), F.pmod(F.xxhash64("id"), F.lit(700)).cast("string")).alias("key"), "id",
+                                    F.pmod("id", F.lit(3)).alias("p"))
+    seen = []
+    for parts in ([], ["p"]):
+        table = bucketed.write_bucketed(rows, f"{tmp_path}/t{len(parts)}", ["key"], 4, parts)
+        assert table.count() == 3000 and table.select(*rows.columns).exceptAll(rows).count() == 0
+        info = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {bucketed._name(spark, f'{tmp_path}/t{len(parts)}')}").collect()}
+        assert info["Num Buckets"] == "4" and info.get("Sort Columns", "[]") == "[]"
+        files = sorted(glob.glob(f"{tmp_path}/t{len(parts)}/**/*.parquet", recursive=True))
+        seen.append(len(files))
+        for f in files:
+            keys = [r.key for r in spark.read.parquet(f).coalesce(1).collect()]
+            assert keys == sorted(keys)
+    assert seen == [4, 12]
