@@ -209,3 +209,11 @@ def test_buckets_are_written_in_the_order_of_their_keys(spark, tmp_path):
             keys = [r.key for r in spark.read.parquet(f).coalesce(1).collect()]
             assert keys == sorted(keys)
     assert seen == [4, 12]
+
+
+def test_the_corpus_reads_the_call_sites_once(spark):
+    import re
+
+    from codeweave.sources.generated import generate_corpus
+    plan = generate_corpus(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber") and len(re.findall(r"Relation \[l_orderkey", plan)) == 1
