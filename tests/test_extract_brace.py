@@ -1,5 +1,6 @@
 """JS / C++ / Dart extraction on the sample sources (native line plan)."""
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 
 def callables(idx, path):
@@ -210,3 +211,13 @@ def test_a_body_and_its_closing_brace_are_one_row(spark, tmp_path):
         assert (r.calls, r.line) == ((["f", "h"], 103) if r.name == "f" else ([r.name, f"go{r.name[1:]}", "last"], 2 + 5 * int(r.name[1:])))
     assert idx.callables.count() == 63
     assert [(r.name, r.line) for r in idx.variables.collect()] == [("A", 106)] * 3
+
+
+def test_found_calls_are_filtered_in_one_step(spark):
+    from codeweave.operators import brace
+    rows = [("js", "a$.b (c)\nd\n(e) if (x) f(f(1))"), ("c", "A::b(1); while (y) c (2); c(3)"), ("dart", "é_1(a).b (c); switch (d) {}")]
+    df = spark.createDataFrame(rows, "d string, body string")
+    found = df.select("d", brace._calls_of(F.col("body"), F.col("d")).alias("calls"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "btrim" not in plan and "transform" not in plan
+    assert {r.d: r.calls for r in found.collect()} == {"js": ["a$.b", "d", "f"], "c": ["A::b", "c"], "dart": ["é_1", "b"]}
