@@ -221,3 +221,19 @@ def test_found_calls_are_filtered_in_one_step(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "btrim" not in plan and "transform" not in plan
     assert {r.d: r.calls for r in found.collect()} == {"js": ["a$.b", "d", "f"], "c": ["A::b", "c"], "dart": ["é_1", "b"]}
+
+
+def test_lines_after_the_last_import_are_not_taken_apart(spark):
+    """Imports and defines of any place, with odd line separators; lines that follow the last one never become rows."""
+    from codeweave.operators import brace
+    from codeweave.sources.corpus import eligible_files
+    body = "".join(f"int f{i}(int a) {{\n  g(a);\n}}\n" for i in range(50))
+    texts = {"a.cpp": f"#include <x.h>\n{body}#define LAST 3\x0b{body}", "b.cpp": body, "c.cpp": "", "d.cpp": "\x0b#define A 1 \x0b\x0b\n", "e.cpp": "#",
+             "f.js": f"import 'p';\n{body}import {{ q }} from 'r';", "g.js": "x" * 200_000}
+    files = eligible_files(spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repo string, path string, content string"))
+    imports, defines = brace._raw_branch(files, tuple(brace.DIALECTS))
+    assert sorted((r.path, r.ord, r.module) for r in imports.collect()) == [("a.cpp", 0, "x.h"), ("f.js", 0, "p"), ("f.js", 1, "r")]
+    assert sorted((r.path, r.name, r.value, r.line) for r in defines.collect()) == [("a.cpp", "LAST", "3", 152), ("d.cpp", "A", "1", 2)]
+    assert brace.MARKED in imports._jdf.queryExecution().optimizedPlan().toString()
+    heads = files.select("path", brace._rx(F.col("text"), brace.MARKED, 0).alias("head")).collect()
+    assert {r.path: r["head"].count("\n") for r in heads} == {"a.cpp": 151, "b.cpp": 0, "c.cpp": 0, "d.cpp": 0, "e.cpp": 0, "f.js": 151, "g.js": 0}
